@@ -10,6 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query: its module here.
 MODULES = {
     "op1_simhash": "simhash",
+    "op2_quality_rules": "quality",
+    "op3_top_k": "topk",
+    "op4_lm_score": "lm_score",
+    "op5_mixing": "mixing",
+    "op6_bpe": "bpe",
+    "op7_langid": "langid",
+    "op8_chat_format": "chat",
 }
 
 
