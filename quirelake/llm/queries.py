@@ -17,6 +17,8 @@ MODULES = {
     "op6_bpe": "bpe",
     "op7_langid": "langid",
     "op8_chat_format": "chat",
+    "op9_warc": "warc",
+    "op10_licenses": "licenses",
 }
 
 
