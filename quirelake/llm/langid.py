@@ -150,6 +150,12 @@ def _predict(held):
     return run
 
 
+def predicted(rows: DataFrame, model) -> DataFrame:
+    """The columns of rows but the last, which holds the text, with lang_pred and score."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(_predict(model), f"{schema}, lang_pred string, score double")
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == 0, F.lit(True))
 
@@ -158,7 +164,7 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, held_out, lang_pred and score for each row of docs, learned from the rows of docs that aren't held out."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
     model = learned(rows.where("NOT held_out").select("lang", "text"))
-    return rows.select("doc_id", "held_out", "text").mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return predicted(rows.select("doc_id", "held_out", "text"), model)
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

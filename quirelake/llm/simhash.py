@@ -204,18 +204,44 @@ def links(codes: DataFrame, distance: int = DISTANCE, cuts: tuple[int, ...] = CU
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, cuts: tuple[int, ...] = CUTS, large: int = LARGE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) for each row of docs."""
-    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
+def classes(rows: DataFrame, distance: int = DISTANCE, cuts: tuple[int, ...] = CUTS, large: int = LARGE) -> DataFrame:
+    """fp, root and component_id for each distinct fingerprint of rows (doc_id, fp); written. root names the class even where component_id is null."""
     codes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "codes")
     found = links(codes.select("fp"), distance, cuts, large)
     root = connected_components(found)  # node, root
     joined = written(codes.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "codes")
     drop(codes)
     smallest = written(joined.groupBy("root").agg(F.min("first_id").alias("component_id")), "roots")
-    named = written(joined.join(smallest, "root").select("fp", "component_id"), "classes")
+    return written(joined.join(smallest, "root").select("fp", "root", "component_id"), "classes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, cuts: tuple[int, ...] = CUTS, large: int = LARGE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) for each row of docs."""
+    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    named = classes(rows, distance, cuts, large)
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _row_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    part, n = TaskContext.get().partitionId(), 0
+    for b in batches:
+        fp = [fingerprint(t.encode()) if t else 0 for t in map(lambda x: x.as_py(), b.column(1))]
+        row = [f"{part}-{n + i}" for i in range(len(fp))]
+        n += len(fp)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(row, pa.string())], names=["d", "fp", "row"])
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: the least id, nulls last; of repeated ids the first row as stored."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.col(text_col).cast("string").alias("text"))
+    rows = written(packed.mapInArrow(_row_fingerprints, f"d {packed.schema['d'].dataType.simpleString()}, fp long, row string"), "rows")
+    ids = rows.select(F.col(f"d.`{id_col}`").cast("long").alias("doc_id"), "fp", "row")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
+    first = ids.join(classes(ids), "fp").groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.row").alias("row"))
+    return rows.join(written(first, "first"), "row", "left_semi").select("d.*")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
