@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POWER, SEED, STEP = 0.7, 17, 64.0
+#: Sources up to which their rates are broadcast; beyond, they are joined by a shuffle.
+BROADCAST = 5000
 
 
 def uniform(*parts: Column | int | str) -> Column:
@@ -39,25 +41,26 @@ def poisson_table(mean: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, epochs: float = 1.0, source_col: str = "source") -> DataFrame:
-    """__source, mean, and the table and number of draws to invert; a row for each source."""
+    """__source, mean, and the table and number of draws to invert; a row for each source, marked for broadcast if these are few."""
     n = docs.groupBy(F.col(source_col).alias("__source")).agg(F.count("*").alias("n"))
     if weights is None:
         n = n.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(power)))
     else:
         given = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))]) if weights else None
         n = n.withColumn("w", F.coalesce(given[F.col("__source")], F.lit(0.0)) if weights else F.lit(0.0))
-    total = n.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
+    total = n.agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("sources")).first()
     scale = epochs * (total["n"] or 0) / (total["w"] or 1.0)
     n = n.withColumn("mean", F.col("w") * F.lit(float(scale)) / F.col("n"))
     n = n.withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("mean") / STEP)).cast("int"))
-    return n.select("__source", "mean", "draws", poisson_table(F.col("mean") / F.col("draws")).alias("cdf"))
+    n = n.select("__source", "mean", "draws", poisson_table(F.col("mean") / F.col("draws")).alias("cdf"))
+    return F.broadcast(n) if total["sources"] <= BROADCAST else n
 
 
 def replicated(docs: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, epochs: float = 1.0, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs, each row once for each of its copies, with copy (from 0) and shuffle_key, globally shuffled."""
     docs = docs.drop("copy", "shuffle_key")
     rate = rates(docs, weights, power, epochs, source_col).withColumnRenamed("mean", "__mean").withColumnRenamed("draws", "__draws").withColumnRenamed("cdf", "__cdf")
-    # Few rows: adaptive execution broadcasts them while they are small, and beyond that splits hot sources of the join.
+    # Beyond BROADCAST sources adaptive execution splits hot sources of the join.
     rows = docs.join(rate, F.col(source_col).eqNullSafe(F.col("__source")), "left")
     one = lambda i: F.size(F.filter("__cdf", lambda c: c < uniform(seed, F.col(id_col), i)))
     copies = F.when(F.col("__draws") == 1, one(F.lit(0))).otherwise(F.aggregate(F.sequence(F.lit(0), F.col("__draws") - 1), F.lit(0), lambda a, i: a + one(i)))
