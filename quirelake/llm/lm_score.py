@@ -119,7 +119,8 @@ def scored(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col
     """doc_id, n_tokens, loss_target, loss_background and ce_diff for each row of docs; targets holds the ids of the target texts."""
     own = targets.select(F.col(id_col).alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("t", F.lit(True))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = rows.join(own, "doc_id", "left").select("text", F.coalesce("t", F.lit(False)).alias("is_target"))
+    # Targets grow with the corpus: both sides are dealt out by id whatever their size, so that the plan is one at every size.
+    marked = rows.join(own.hint("merge"), "doc_id", "left").select("text", F.coalesce("t", F.lit(False)).alias("is_target"))
     held = models(written(counts(marked), "counts"))
     out = rows.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(held), "doc_id long, n_tokens long, loss_target double, loss_background double")
     return out.withColumn("ce_diff", F.col("loss_target") - F.col("loss_background"))
