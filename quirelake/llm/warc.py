@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import new_path, written
 
 SMALLEST, ROLL, DATE = 1000, 64 << 20, "2000-01-01T00:00:00Z"
+#: Tasks that read archives side by side, at most.
+READERS = 10_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _END = b"\r\n\r\n"
@@ -198,7 +200,8 @@ def _read(uri: str, payloads: bool):
 
 def read_warc(manifest: DataFrame, uri: str, payloads: bool = False) -> DataFrame:
     """The records of the manifest's files, digests checked; payload is null unless asked for, and empty for revisits."""
-    return manifest.select("file").repartition("file").mapInArrow(_read(uri, payloads), _READ)
+    files = manifest.select("file")
+    return files.repartitionByRange(max(1, min(files.count(), READERS)), "file").mapInArrow(_read(uri, payloads), _READ)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
