@@ -231,7 +231,10 @@ def lines_of(text: str) -> list[list[bytes]]:
 
 def trained(docs: DataFrame, sample: int = SAMPLE, negatives: int = NEGATIVES) -> Classifier:
     """Classifier whose negatives come from `sample` rows of docs (doc_id, text), at most `negatives` lines."""
-    rows = docs.where("text IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text").collect()
+    # First the ids' hashes alone: what tasks send to the driver must not grow with their number times texts.
+    hashed = docs.where("text IS NOT NULL").withColumn("__h", F.xxhash64("doc_id"))
+    last = hashed.select("__h").orderBy("__h").limit(sample).agg(F.max("__h")).first()[0]
+    rows = hashed.where(F.col("__h") <= last).orderBy("__h", "text").limit(sample).select("text").collect() if last is not None else []
     held = []
     for line in (x for r in rows for x in lines_of(r.text)):
         if len(held) < negatives and not any(similarity(line, f) >= CONFIRM for f in TEMPLATES):
