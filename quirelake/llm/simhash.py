@@ -240,7 +240,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids = rows.select(F.col(f"d.`{id_col}`").cast("long").alias("doc_id"), "fp", "row")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
     first = ids.join(classes(ids), "fp").groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.row").alias("row"))
-    return rows.join(written(first, "first"), "row", "left_semi").select("d.*")
+    # The kept rows grow with docs: both sides are dealt out by row whatever their size, so that the plan is one at every size.
+    return rows.join(written(first, "first").hint("merge"), "row", "left_semi").select("d.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
