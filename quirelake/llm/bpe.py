@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pieces that a worker keeps.
-PIECES = 400_000
+PIECES = 200_000
 #: Characters with the Unicode property White_Space (fixed values).
 WHITE = "\t-\r \x85\xa0  -     　"
 _PIECE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -166,6 +166,7 @@ def _digests(path: str, pattern: str):
                 ids_sha.append(sha(" ".join([x[1] for x in pieces]).encode()))
                 text_sha.append(sha(coder.decode(ids)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        coder.held.clear()  # the worker lives on for other stages
 
     return run
 
