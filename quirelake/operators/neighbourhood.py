@@ -13,7 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 Fold = Callable[[Column], Column]
-ROW, COLUMN = W.partitionBy("page", "y").orderBy("x"), W.partitionBy("page", "x").orderBy("y")
+
+
+def row():
+    return W.partitionBy("page", "y").orderBy("x")
+
+
+def column():
+    return W.partitionBy("page", "x").orderBy("y")
 
 
 def by_page(df: DataFrame) -> DataFrame:
@@ -22,8 +29,8 @@ def by_page(df: DataFrame) -> DataFrame:
 
 def box(df: DataFrame, value: str, radius: int, fold: Fold, out: str) -> DataFrame:
     """fold (F.max, F.min, F.sum) of `value` over the box of the radius around each pixel."""
-    mid = df.withColumn("__row", fold(F.col(value)).over(ROW.rangeBetween(-radius, radius)))
-    return mid.withColumn(out, fold(F.col("__row")).over(COLUMN.rangeBetween(-radius, radius))).drop("__row")
+    mid = df.withColumn("__row", fold(F.col(value)).over(row().rangeBetween(-radius, radius)))
+    return mid.withColumn(out, fold(F.col("__row")).over(column().rangeBetween(-radius, radius))).drop("__row")
 
 
 def dilate(df: DataFrame, value: str, radius: int, out: str) -> DataFrame:
@@ -40,7 +47,7 @@ def gradient(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.withColumn(out, F.col("__hi") - F.col("__lo")).drop("__hi", "__lo")
 
 
-def taps(df: DataFrame, value: str, weights: list[int], axis: W, out: str) -> DataFrame:
+def taps(df: DataFrame, value: str, weights: list[int], axis, out: str) -> DataFrame:
     """Weighted sum along one axis of gap-free pixels; beyond the edge the edge pixel goes on."""
     k = len(weights) // 2
 
@@ -52,7 +59,7 @@ def taps(df: DataFrame, value: str, weights: list[int], axis: W, out: str) -> Da
 
 
 def separable(df: DataFrame, value: str, across: list[int], down: list[int], out: str) -> DataFrame:
-    return taps(taps(df, value, across, ROW, "__taps"), "__taps", down, COLUMN, out).drop("__taps")
+    return taps(taps(df, value, across, row(), "__taps"), "__taps", down, column(), out).drop("__taps")
 
 
 def shrink(df: DataFrame, value: str, factor: int, out: str) -> DataFrame:
