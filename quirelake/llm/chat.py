@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 PACK = 1 << 16
+#: Hex digits of a turn's hash: 128 bits, so that no two of any number of turns that fit a cluster share one by chance.
+DIGITS = 32
 LOSS_ROLE = "assistant"
 _TURN = re.compile(r"### ((?:[^\\\n]|\\.)*)\n((?:[^\\<]|\\.)*)</turn>\n", re.S)
 
@@ -65,10 +67,10 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def chains(rows: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text in order) and chain: 16 hex digits for each turn, that depend on all turns up to it."""
+    """conv_id, turns (role, text in order) and chain: DIGITS hex digits for each turn, that depend on all turns up to it."""
     turn = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     conv = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    link = lambda last, t: F.substring(F.sha2(F.concat(last, F.length(t["role"]).cast("string"), F.lit("|"), t["role"], t["text"]), 256), 1, 16)
+    link = lambda last, t: F.substring(F.sha2(F.concat(last, F.length(t["role"]).cast("string"), F.lit("|"), t["role"], t["text"]), 256), 1, DIGITS)
     chain = F.aggregate("turns", F.array().cast("array<string>"), lambda a, t: F.concat(a, F.array(link(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit("")), t))))
     return conv.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"), F.array_join(chain, "").alias("chain"))
 
@@ -89,7 +91,7 @@ class Pack:
         self.path: list[tuple[str, int]] = []
 
     def add(self, chain: str, turns: list[dict]) -> None:
-        keys = [chain[i : i + 16] for i in range(0, len(chain), 16)]
+        keys = [chain[i : i + DIGITS] for i in range(0, len(chain), DIGITS)]
         shared = 0
         while shared < min(len(keys), len(self.path)) and self.path[shared][0] == keys[shared]:
             shared += 1
