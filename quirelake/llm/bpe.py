@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pieces that a worker keeps.
+#: Pieces that a worker keeps: half of them new or met since the last time the table was full, half from before that.
 PIECES = 200_000
 #: Characters with the Unicode property White_Space (fixed values).
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -75,16 +75,27 @@ class Bpe:
         for t, i in vocab.items():
             self.bytes[i] = bytes(byte[c] for c in t)
         self.held: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.before: dict[str, tuple[tuple[int, ...], str]] = {}
+
+    def forget(self) -> None:
+        self.held, self.before = {}, {}
 
     def pieces(self, text: str) -> list[tuple[tuple[int, ...], str]]:
         """(ids, the ids as text) of each piece of a whole text."""
-        found, held = _PIECE.findall(text), self.held
-        if new := [p for p in set(found) if p not in held]:
-            if len(held) + len(new) > PIECES:
-                held.clear()
-                new = list(set(found))
+        found = _PIECE.findall(text)
+        new = set(found).difference(self.held)
+        if len(self.held) + len(new) > PIECES // 2:
+            self.held, self.before = {}, self.held
+            new = set(found)
+        held, before = self.held, self.before
+        if known := [p for p in new if p in before]:
+            held.update((p, before[p]) for p in known)
+            new.difference_update(known)
+        if new:
+            new = list(new)
             for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                held[p] = tuple(e.ids), " ".join(map(str, e.ids))
+                ids = e.ids
+                held[p] = tuple(ids), " ".join(map(str, ids))
         return [held[p] for p in found]
 
     def encode(self, text: str) -> list[int]:
@@ -166,7 +177,7 @@ def _digests(path: str, pattern: str):
                 ids_sha.append(sha(" ".join([x[1] for x in pieces]).encode()))
                 text_sha.append(sha(coder.decode(ids)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        coder.held.clear()  # the worker lives on for other stages
+        coder.forget()  # the worker lives on for other stages
 
     return run
 
