@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
 The merging is done by the tokenizers library over Arrow batches. A text is first cut where a match of the pattern surely begins: before a space that is followed by a character
-other than white space, and before what follows white space; matches never cross such a place, so the pieces can be encoded one by one, each match of the pattern in
+other than white space, before what follows white space, and between a leading run of Latin letters or digits and an ASCII sign; matches never cross such a place, so the pieces can be encoded one by one, each match of the pattern in
 them separately, and pieces met again come from a bounded table of the worker. Ids are turned back through the reversed byte table: a token's characters
 stand for bytes, the bytes of all tokens are joined and only the joined bytes are read as UTF-8, so characters split between tokens come back whole.
 
@@ -30,7 +30,10 @@ from pyspark.sql import functions as F
 PIECES = 200_000
 #: Characters with the Unicode property White_Space (fixed values).
 WHITE = "\t-\r \x85\xa0  -     　"
-_PIECE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Letters and digits of Latin texts: all of them letters or numbers to the pattern, in any version of Unicode (fixed values).
+_LATIN = "0-9A-Za-zÀ-ÖØ-öø-ɏ"
+_ASCII_SIGN = r"!-/:-@\[-`{-~"
+_PIECE = re.compile(f" ?(?:[{_LATIN}]++(?![^{WHITE}{_ASCII_SIGN}])|[^{WHITE}]+)|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
 def byte_characters() -> list[str]:
