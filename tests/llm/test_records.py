@@ -84,7 +84,7 @@ def test_bpe_equals_tiktoken(spark):
     path, pattern = bpe.vocabulary()
     other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     rng = random.Random(7)
-    parts = [" ", "  ", "\n", "\t", "\x85", "\xa0", "　", "\x1c", "'s", "'", "ll", "a", "É", "中", "😀", "é", "1", "２", "!", "<|endoftext|>", "​", "﻿", "\r\n", "don't", "ing"]
+    parts = [" ", "  ", "\n", "\t", "\x85", "\xa0", "　", "\x1c", "'s", "'", "ll", "a", "É", "中", "😀", "é", "1", "２", "!", "<|endoftext|>", "​", "﻿", "\r\n", "don't", "ing", "×", "ɏ", "ɐ", "²", "_", "-", "#", "[", "]", "\\", "^", "`", "~"]
     texts = [None, "", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(400)), "word " * 5000, "x" * 3000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = bpe.encoded(docs, path, pattern, with_offsets=True)
@@ -104,6 +104,21 @@ def test_bpe_equals_tiktoken(spark):
     assert bpe.digests(docs.limit(0), path, pattern).count() == 0
 
 
+def test_bpe_with_a_full_table_of_pieces(monkeypatch):
+    monkeypatch.setattr(bpe, "PIECES", 8)
+    coder = bpe.Bpe(*bpe.vocabulary())
+    words = ["one", " two", " three!", " four-five", "\n", " six", " seven's"]
+    rng, most = random.Random(3), 4  # a half holds 4 pieces, or those of one text
+    for n in (1, 2, 5, 40):
+        for _ in range(30):
+            text = "".join(rng.choice(words) for _ in range(n))
+            assert coder.encode(text) == coder.tokenizer.encode(text, add_special_tokens=False).ids
+            most = max(most, len(set(bpe._PIECE.findall(text))))
+            assert max(len(coder.held), len(coder.before)) <= most and coder.decode(coder.encode(text)) == text.encode()
+    coder.forget()
+    assert not coder.held and not coder.before
+
+
 CONVERSATIONS = {
     1: [("user", "hi # <b>"), ("assistant", "a\\b </turn>\n")],
     2: [("user", "hi # <b>"), ("assistant", "other")],
