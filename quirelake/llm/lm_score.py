@@ -1,16 +1,16 @@
 """Language-model scoring by cross-entropy difference.
 
-Two word-bigram models of one form, one of the target texts and one of the background (all texts), share one vocabulary: a word is its CRC-32 in
-2**WORD_BITS classes, a bigram a mix of its two CRC-32 values in 2**PAIR_BITS classes. Hashing bounds the size of the models, which is what makes their
-broadcast safe at any size of corpus: no word is cut off and every text of the corpus counts. Both models are interpolated the same way:
+Two word-bigram models of one form, one of the target texts and one of the background (all texts), share one vocabulary. A word is its 64-bit hash, a bigram a 64-bit mix of
+its two words' hashes: every word and every bigram of the corpus has its own count, however many there are. Both models are interpolated the same way:
 
-    p(w) = (c(w) + 1) / (n + 2**WORD_BITS)          p(w | v) = (c(v w) + STRENGTH * p(w)) / (c(v) + STRENGTH)
+    p(w) = (c(w) + 1) / (n + V)          p(w | v) = (c(v w) + STRENGTH * p(w)) / (c(v) + STRENGTH)
 
-A text's score is the mean over its words of target loss minus background loss in nats; low scores look like the target. c(v) in the second
-formula counts v as first word of a pair.
+V is the number of distinct words of all texts, 2**WORD_BITS at least. A text's score is the mean over its words of target loss minus background loss in nats; low scores look
+like the target. c(v) in the second formula counts v as first word of a pair.
 
-How it is spread. Each task adds up its texts' counts in arrays of fixed size and gives a row for each class seen; an aggregation by class sums them.
-The summed counts, at most 2**WORD_BITS + 2**PAIR_BITS rows, are the only data that reach the driver.
+How it is spread. Texts are dealt out to packs of some PACK bytes. A pack adds up its own counts and asks each bucket of hashes for the sums over all packs, one row for
+each bucket; the bucket answers in the order asked, and the pack scores its texts with the answers. A very common word is one entry of each pack. Nothing is broadcast and
+nothing but the size of the texts reaches the driver.
 
 Nulls and edge cases. A null or empty text, or one without words, has n_tokens 0 and null losses. Rows that match no target row are background alone; a
 null id is never a target. Repeated rows count each time. An empty table gives an empty result. Other columns aren't read.
@@ -18,111 +18,143 @@ null id is never a target. Repeated rows count each time. An empty table gives a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import chain
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import word_blocks, written
+from .common import word_blocks
 
 WORD_BITS, PAIR_BITS, STRENGTH = 17, 20, 20.0
-_WORDS, _PAIRS = 1 << WORD_BITS, 1 << PAIR_BITS
-
-
-def classes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Word classes, and pair classes (one fewer), of a whole text."""
-    words = chain.from_iterable(word_blocks(text.encode()))
-    h = np.fromiter(map(crc32, words), np.uint64)
-    mixed = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (h & np.uint64(_WORDS - 1)).astype(np.int64), (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-
-
-#: Three tables side by side: words, first words of pairs, pairs.
-_AT = (0, _WORDS, 2 * _WORDS)
-SIZE = 2 * _WORDS + _PAIRS
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, SIZE), np.int64)  # background, target
-    some = False
-    for b in batches:
-        held: list[list[np.ndarray]] = [[], []]
-        for text, target in zip(b.column(0), b.column(1).to_pylist()):
-            if not (text := text.as_py()):
-                continue
-            w, p = classes(text)
-            held[target].append(np.concatenate([w, w[:-1] + _AT[1], p + _AT[2]]))
-            if sum(map(len, held[target])) > 1 << 20:
-                total[target] += np.bincount(np.concatenate(held[target]), minlength=SIZE)
-                held[target], some = [], True
-        for target in (0, 1):
-            if held[target]:
-                total[target] += np.bincount(np.concatenate(held[target]), minlength=SIZE)
-                some = True
-    if some:
-        total[0] += total[1]
-        at = np.flatnonzero(total[0])
-        for i in range(0, len(at), 1 << 16):
-            x = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)), pa.array(total[0][x]), pa.array(total[1][x])], names=["class", "background", "target"])
-
-
-def counts(docs: DataFrame) -> DataFrame:
-    """class, background and target counts over docs (text, is_target)."""
-    rows = docs.select("text", F.col("is_target").cast("int")).mapInArrow(_count, "class int, background long, target long")
-    return rows.groupBy("class").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-class Model:
-    """Log probabilities of words and what pairs need, from the counts of one model."""
-
-    def __init__(self, count: np.ndarray) -> None:
-        word = count[:_WORDS].astype(np.float64)
-        self.p = (word + 1) / (word.sum() + _WORDS)
-        self.first, self.pair = count[_AT[1] : _AT[2]].astype(np.float32), count[_AT[2] :].astype(np.float32)
-
-    def loss(self, w: np.ndarray, p: np.ndarray) -> float:
-        """Mean loss of a text's words; its first word has no word before it."""
-        prob = (self.pair[p] + STRENGTH * self.p[w[1:]]) / (self.first[w[:-1]] + STRENGTH)
-        return float(-(np.log(self.p[w[0]]) + np.log(prob).sum()) / len(w))
-
-
-def models(by_class: DataFrame):
-    """Broadcast pair of models; its size depends on WORD_BITS and PAIR_BITS alone."""
-    count = np.zeros((2, SIZE), np.int64)
-    for b in by_class.select("class", "background", "target").toArrow().to_batches():
-        at = b.column(0).to_numpy()
-        count[0, at], count[1, at] = b.column(1).to_numpy(), b.column(2).to_numpy()
-    return by_class.sparkSession.sparkContext.broadcast((Model(count[0]), Model(count[1])))
-
-
-def _score(held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        background, target = held.value
-        for b in batches:
-            n, lt, lb = [], [], []
-            for text in b.column(1):
-                w, p = classes(text.as_py() or "")
-                n.append(len(w))
-                lt.append(target.loss(w, p) if len(w) else None)
-                lb.append(background.loss(w, p) if len(w) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(lt, pa.float64()), pa.array(lb, pa.float64())], names=["doc_id", "n_tokens", "loss_target", "loss_background"])
+#: Bytes of a pack's texts, which hold fewer than 2**PAIR_BITS pairs as a rule; a small corpus has up to PACKS smaller ones.
+PACK, PACKS = 4 << PAIR_BITS, 64
+
+
+def hashes(text: str) -> np.ndarray:
+    """Hashes of all words of a whole text."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(word_blocks(text.encode()))), np.uint64)
+
+
+def mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of pairs."""
+    x = (first * np.uint64(0x9E3779B97F4A7C15) + second) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of 64 bits by planes of bytes, which shuffles compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(data: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, len(data) // 8).T).view(kind).ravel()
+
+
+class Pack:
+    """Words and pairs of some texts: distinct keys, and the place of each occurrence among them."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        found = [hashes(t or "") for t in texts]
+        self.n = np.array([len(h) for h in found], np.int64)
+        h = np.concatenate([np.zeros(0, np.uint64), *found])
+        self.own = np.repeat(np.arange(len(found)), self.n)  # text of each word
+        self.words, self.word = np.unique(h, return_inverse=True)
+        self.second = np.flatnonzero(self.own[1:] == self.own[:-1]) + 1  # words with one before them
+        self.pairs, self.pair = np.unique(mixed(h[self.second - 1], h[self.second]), return_inverse=True)
+
+    def counts(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words x (background, target, the same as first of a pair) and pairs x (background, target)."""
+
+        def both(at: np.ndarray, own: np.ndarray, size: int) -> list[np.ndarray]:
+            return [np.bincount(at, minlength=size), np.bincount(at[target[own]], minlength=size)]
+
+        first = self.second - 1
+        word = both(self.word, self.own, len(self.words)) + both(self.word[first], self.own[first], len(self.words))
+        return np.stack(word, axis=1).astype(np.int64), np.stack(both(self.pair, self.own[self.second], len(self.pairs)), axis=1).astype(np.int64)
+
+    def loss(self, word: np.ndarray, first: np.ndarray, pair: np.ndarray, total: int, size: int) -> np.ndarray:
+        """Mean loss of each text's words under one model, whose sums come in the order of the keys; a text's first word has no word before it."""
+        p = (word + 1) / (total + size)
+        prob = p[self.word]
+        prob[self.second] = (pair[self.pair] + STRENGTH * prob[self.second]) / (first[self.word[self.second - 1]] + STRENGTH)
+        return -np.bincount(self.own, np.log(prob), len(self.n)) / self.n.clip(1)
+
+
+_ASKED = "pack long, kind int, bucket int, keys binary, counts binary"
+_ANSWER = "pack long, kind int, bucket int, counts binary, size long, background long, target long"
+
+
+def _ask(buckets: tuple[int, int]):
+    """Rows of a pack for each bucket of words (kind 0), even if it asks for none, and of pairs (kind 1)."""
+
+    def run(key: tuple, docs: pa.Table, targets: pa.Table) -> pa.Table:
+        rows = []
+        if docs.num_rows:
+            own = set(targets.column("doc_id").to_pylist()) if targets.num_rows else ()
+            pack = Pack(docs.column("text").to_pylist())
+            count = pack.counts(np.array([i in own for i in docs.column("doc_id").to_pylist()], bool))
+            for kind, (keys, n) in enumerate(zip((pack.words, pack.pairs), count)):
+                edge = np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets[kind]) >> np.uint64(32), np.arange(buckets[kind] + 1))
+                for i, (a, b) in enumerate(zip(edge, edge[1:])):
+                    if a < b or not kind:
+                        rows.append((key[0].as_py(), kind, i, _planes(np.diff(keys[a:b], prepend=np.uint64(0))), _planes(n[a:b])))
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names=["pack", "kind", "bucket", "keys", "counts"])
 
     return run
 
 
+def _answer(asked: pa.Table) -> pa.Table:
+    """The sums of one bucket for each pack, in the order asked, with the bucket's distinct words and its sums."""
+    kind = asked.column("kind")[0].as_py()
+    width = 2 if kind else 4
+    keys = [np.cumsum(_numbers(k, np.uint64), dtype=np.uint64) for k in asked.column("keys").to_pylist()]
+    found, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros((len(found), width), np.int64)
+    at = np.cumsum([0, *map(len, keys)])
+    for c, a, b in zip(asked.column("counts").to_pylist(), at, at[1:]):
+        total[place[a:b]] += _numbers(c).reshape(-1, width)  # a pack has each key once
+    out = [_planes(total[place[a:b]]) for a, b in zip(at, at[1:])]
+    whole = (0, 0, 0) if kind else (len(found), *total[:, :2].sum(axis=0).tolist())
+    sums = [pa.array([x] * len(out), pa.int64()) for x in whole]
+    return pa.table([asked.column("pack"), asked.column("kind"), asked.column("bucket"), pa.array(out, pa.binary()), *sums], names=["pack", "kind", "bucket", "counts", "size", "background", "target"])
+
+
+def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    if not docs.num_rows:
+        n, losses = np.zeros(0, np.int64), [np.zeros(0)] * 2
+        ids = pa.array([], pa.int64())
+    else:
+        pack = Pack(docs.column("text").to_pylist())
+        rows = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        size, *total = (sum(rows.column(c).to_pylist()) for c in ("size", "background", "target"))
+        kinds = rows.column("kind").to_pylist()
+        count = [_numbers(b"").reshape(-1, w) for w in (4, 2)]
+        for kind, width in enumerate((4, 2)):
+            parts = [_numbers(c).reshape(-1, width) for c, k in zip(rows.column("counts").to_pylist(), kinds) if k == kind]
+            count[kind] = np.concatenate([count[kind], *parts])
+        word, pair = count
+        n, losses, ids = pack.n, [pack.loss(word[:, m], word[:, 2 + m], pair[:, m], total[m], max(size, 1 << WORD_BITS)) for m in (1, 0)], docs.column("doc_id")
+    return pa.table([ids, pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=n == 0) for x in losses)], names=["doc_id", "n_tokens", "loss_target", "loss_background"])
+
+
 def scored(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background and ce_diff for each row of docs; targets holds the ids of the target texts."""
-    own = targets.select(F.col(id_col).alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("t", F.lit(True))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # Targets grow with the corpus: both sides are dealt out by id whatever their size, so that the plan is one at every size.
-    marked = rows.join(own.hint("merge"), "doc_id", "left").select("text", F.coalesce("t", F.lit(False)).alias("is_target"))
-    held = models(written(counts(marked), "counts"))
-    out = rows.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(held), "doc_id long, n_tokens long, loss_target double, loss_background double")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    packs = max(1, -(-size // max(1, min(PACK, -(-size // PACKS)))))
+    by_id = F.pmod(F.xxhash64("doc_id"), F.lit(packs)).alias("pack")
+    # Texts without an id are dealt out by text; they are never targets.
+    pack = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(packs))).otherwise(by_id).alias("pack")
+    dealt = rows.select(pack, "doc_id", "text")
+    own = targets.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().select(by_id, "doc_id")
+    buckets = (max(1, packs // 8), packs)
+    asked = dealt.groupBy("pack").cogroup(own.groupBy("pack")).applyInArrow(_ask(buckets), _ASKED)
+    answers = asked.groupBy("kind", "bucket").applyInArrow(_answer, _ANSWER)
+    out = dealt.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(_score, "doc_id long, n_tokens long, loss_target double, loss_background double")
     return out.withColumn("ce_diff", F.col("loss_target") - F.col("loss_background"))
 
 

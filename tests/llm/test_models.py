@@ -116,3 +116,22 @@ def test_licences(spark):
     p = got[1].passages[0]
     assert (p.first_line, p.last_line) == (1, 1) and p.similarity == 1.0 and 0.5 <= p.probability <= 1
     assert licenses.scanned(docs.limit(0)).count() == 0
+
+
+def test_lm_score_counts_each_word_and_pair_of_a_large_vocabulary(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(400_000)}" for _ in range(200)) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    own = list(range(0, len(texts), 4))
+    got = {r.doc_id: r for r in lm_score.scored(docs, spark.createDataFrame([(i,) for i in own], "doc_id long")).collect()}
+    size = len({w for t in texts for w in t.split()})
+    assert size > 1 << lm_score.WORD_BITS and len(got) == len(texts)
+    for chosen, loss in ((texts, "loss_background"), ([texts[i] for i in own], "loss_target")):
+        word = Counter(w for t in chosen for w in t.split())
+        first = Counter(w for t in chosen for w in t.split()[:-1])
+        pair = Counter(p for t in chosen for p in zip(t.split(), t.split()[1:]))
+        p = lambda w: (word[w] + 1) / (word.total() + size)
+        for i in range(0, len(texts), 10):
+            w = texts[i].split()
+            total = -math.log(p(w[0])) - sum(math.log((pair[a, b] + lm_score.STRENGTH * p(b)) / (first[a] + lm_score.STRENGTH)) for a, b in zip(w, w[1:]))
+            assert math.isclose(got[i][loss], total / len(w), rel_tol=1e-9)
