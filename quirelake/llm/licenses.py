@@ -1,13 +1,15 @@
-"""License scan: a trained paragraph classifier, confirmed by templates.
+"""License scan: a trained window classifier, confirmed by templates.
 
-A paragraph is a line. Its hashed word 1-, 2- and 3-grams go through a multinomial logistic regression over the licence families and a class `unknown`. It is trained on the
-template sentences of the families, varied by rule (framing, numbers, dropped and added words), against paragraphs of a bounded sample of the corpus. A temperature fitted on
-paragraphs kept out of training calibrates the probabilities. Neighbouring lines that are predicted to be of one family are joined to one passage, as licence texts wrap over
-lines; a passage counts if it holds at least CONFIRM of the word shingles of one of its family's templates.
+A paragraph is a line; lines without a blank line between them are a block, read as one run of words, as licence texts wrap over lines. Overlapping windows of SIZES words of
+each block go through a multinomial logistic regression of hashed word 1-, 2- and 3-grams over the licence families and a class `unknown`. It is trained on the template
+sentences of the families, varied by rule (framing, numbers, dropped and added words), on pieces of them amid corpus words, and against lines and windows of a bounded sample of
+the corpus. A temperature fitted on examples kept out of training calibrates the probabilities. Windows that look like any licence are joined over gaps of up to GAP words, and
+the templates are compared with the whole joined stretch: a template counts where CONFIRM of its word shingles stand together. Where templates of several families overlap (agpl,
+gpl and lgpl share their wording), the one with the largest similarity, then the most shingles, then the largest probability stays. Neighbouring finds of one family are one passage.
 
 Sample. The negatives come from SAMPLE documents, those with the least hashed ids; a paragraph that holds a template is left out of them. All else reads all rows and whole texts.
 
-Nulls and edge cases. A null or empty text has no paragraph and no licence. Blank lines aren't paragraphs and end a passage. Equal probabilities go to the family that comes first by name.
+Nulls and edge cases. A null or empty text has no paragraph and no licence. Blank lines aren't paragraphs and end a passage. Equal finds go to the family that comes first by name.
 Without any document the negatives are the templates' words shuffled. Repeated rows each get their row. An empty table gives an empty result. Columns other than id and text aren't read.
 """
 
@@ -23,6 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BITS, SAMPLE, NEGATIVES, CONFIRM, LEAST, WIDTH = 16, 400, 4000, 0.8, 0.5, 5
+#: Words of a window (each starts half its size after the one before), and of the gaps over which windows and finds are joined.
+SIZES, GAP = (8, 16, 32), 16
+#: Words of a long text that are classified at a time.
+BLOCK = 1 << 16
 UNKNOWN = "unknown"
 
 #: Sentences of public licences and their usual notices, by family (fixed values).
@@ -139,6 +145,40 @@ def similarity(words: list[bytes], family: str) -> float:
     return best
 
 
+#: (family, words, width of its shingles, shingles) of each template, and where each shingle stands: {words: [(template, shingle)]}.
+_LISTED = [(f, len(w), min(WIDTH, len(w)), len(shingles(w))) for f, texts in TEMPLATES.items() for t in texts for w in [tokens(t)]]
+_WHERE: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
+for _i, _words in enumerate(tokens(t) for texts in TEMPLATES.values() for t in texts):
+    for _j, _s in enumerate(sorted(shingles(_words))):
+        _WHERE.setdefault(tuple(_s.split(b" ")), []).append((_i, _j))
+_WIDTHS = sorted({x[2] for x in _LISTED})
+
+
+def confirmed(words: list[bytes], confirm: float = CONFIRM) -> list[tuple[float, int, str, int, int]]:
+    """(similarity, shingles held, family, first word, last word) of each template that the words hold, wherever CONFIRM of its shingles stand together."""
+    places: dict[int, list[tuple[int, int]]] = {}
+    for width in _WIDTHS:
+        for at, gram in enumerate(zip(*(words[i:] for i in range(width)))):
+            for i, j in _WHERE.get(gram, ()):
+                places.setdefault(i, []).append((at, j))
+    out = []
+    for i, found in places.items():
+        family, length, width, size = _LISTED[i]
+        reach = length + length // 2
+        a = 0
+        while a < len(found):
+            b = a + 1
+            while b < len(found) and found[b][0] - found[a][0] < reach:
+                b += 1
+            held = len({j for _, j in found[a:b]})
+            if held >= confirm * size:
+                out.append((held / size, held, family, found[a][0], found[b - 1][0] + width - 1))
+                a = b
+            else:
+                a += 1
+    return out
+
+
 class Classifier:
     """Weights (n-gram classes x FAMILIES), bias and temperature."""
 
@@ -156,6 +196,23 @@ class Classifier:
             out[some] = np.add.reduceat(self.w[x[order]], at[some], axis=0) / np.sqrt(n[some])[:, None]
         return out + self.b
 
+    def windows(self, found: list[bytes], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Logits of the windows [begin, end) of the words, each with the n-grams that lie within it."""
+        h = np.fromiter(map(crc32, found), np.uint64, len(found))
+        out, total, mixed = np.zeros((len(begin), len(FAMILIES)), np.float32), np.zeros(len(begin), np.int64), h * _MIX[0]
+        for n in range(3):
+            if n:
+                mixed = (mixed[:-1] ^ (h[n:] * _MIX[n])) * _MIX[0]
+            upto = np.zeros((len(mixed) + 1, len(FAMILIES)), np.float64)
+            np.cumsum(self.w[(mixed >> np.uint64(64 - BITS)).astype(np.int32)], axis=0, out=upto[1:], dtype=np.float64)
+            last = np.maximum(end - n, begin)
+            some = last > begin
+            out[some] += upto[last[some]] - upto[begin[some]]
+            total += last - begin
+            if len(mixed) < 2:
+                break
+        return out / np.sqrt(total.clip(1))[:, None].astype(np.float32) + self.b
+
     def proba(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.t
         e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -217,8 +274,22 @@ def training(negatives: list[list[bytes]], seed: int = 5) -> list[tuple[list[byt
                         extra = [plain[i] for i in rng.integers(0, len(plain), 4)]
                         words = extra[:2] + words + extra[2:]
                     out.append((words, y))
+            # A template, or a wrapped line's piece of it, that fills half a window at least (or is whole) amid other words.
+            whole = tokens(text)
+            for size in SIZES:
+                for k in range(8):
+                    piece = whole[(i := int(rng.integers(0, max(1, len(whole) - size + 1)))) : i + size]
+                    if len(piece) > size // 2 and k % 2:
+                        cut = int(rng.integers(size // 2, len(piece) + 1))
+                        piece = piece[:cut] if k % 4 == 1 else piece[len(piece) - cut :]
+                    i, before = int(rng.integers(0, len(plain))), int(rng.integers(0, size - len(piece) + 1))
+                    rest = [plain[(i + j) % len(plain)] for j in range(size - len(piece))]
+                    out.append((rest[:before] + piece + rest[before:], y))
     for n in negatives:
         out.append((n, len(FAMILIES) - 1))
+        size = SIZES[int(rng.integers(0, len(SIZES)))]
+        if len(n) > size:
+            out.append((n[(i := int(rng.integers(0, len(n) - size + 1))) : i + size], len(FAMILIES) - 1))
     if not negatives:
         whole = [w for t in TEMPLATES.values() for s in t for w in tokens(s)]
         out += [([whole[i] for i in rng.integers(0, len(whole), 12)], len(FAMILIES) - 1) for _ in range(200)]
@@ -242,32 +313,71 @@ def trained(docs: DataFrame, sample: int = SAMPLE, negatives: int = NEGATIVES) -
     return Classifier().fit(training(held))
 
 
+def _windows(edge: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the overlapping windows of each block, which lies between two edges."""
+    begin, end = [], []
+    for a, b in zip(edge, edge[1:]):
+        for size in SIZES:
+            at = np.arange(a, max(a + 1, b - size // 2), size // 2)
+            begin.append(at)
+            end.append(np.minimum(at + size, b))
+            if b - a <= size:
+                break
+    return np.concatenate(begin), np.concatenate(end)
+
+
 def scan(model: Classifier, text: str, least: float = LEAST, confirm: float = CONFIRM) -> tuple[int, list[dict]]:
     """(number of paragraphs, confirmed passages with family, lines [first, last], probability and similarity) of a whole text."""
-    found = tokens(text)
-    if not found:
+    words, line, edge, n_lines, blank = [], [], [], 0, True
+    for i, x in enumerate(map(tokens, text.split("\n"))):
+        if x:
+            if blank:
+                edge.append(len(words))
+            words += x
+            line += [i] * len(x)
+            n_lines += 1
+        blank = not x
+    if not words:
         return 0, []
-    x, own, line = features(found)
-    lines = int(line[-1]) + 1
-    is_end = [t == b"\n" for t in found]
-    n_words = np.bincount(line, weights=~np.array(is_end), minlength=lines)
-    p = model.proba(model.logits(x, own, lines))
-    best = p[:, :-1].argmax(axis=1)
-    sure = p[np.arange(lines), best]
-    hit = (sure >= least) & (sure > p[:, -1]) & (n_words > 0)
-    out, i = [], 0
-    at = np.flatnonzero(hit)
-    starts = np.searchsorted(line, np.arange(lines + 1)) if len(at) else None
-    while i < len(at):
-        j = i
-        while j + 1 < len(at) and at[j + 1] == at[j] + 1 and best[at[j + 1]] == best[at[i]]:
-            j += 1
-        family = FAMILIES[best[at[i]]]
-        words = [t for t in found[starts[at[i]] : starts[at[j] + 1]] if t != b"\n"]
-        if (s := similarity(words, family)) >= confirm:
-            out.append({"family": family, "first_line": int(at[i]), "last_line": int(at[j]), "probability": float(sure[at[i : j + 1]].max()), "similarity": s})
-        i = j + 1
-    return int((n_words > 0).sum()), out
+    edge.append(len(words))
+    begin, end = _windows(edge)
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], end[order]
+    part = [*np.searchsorted(begin, np.arange(0, len(words), BLOCK)), len(begin)]
+    p = np.concatenate([model.proba(model.windows(words[k * BLOCK : (k + 1) * BLOCK + SIZES[-1]], begin[i:j] - k * BLOCK, end[i:j] - k * BLOCK)) for k, (i, j) in enumerate(zip(part, part[1:]))])
+    hit = np.flatnonzero(1 - p[:, -1] >= least)
+    # Joined stretches of one block each, with a margin for a template's ends.
+    stretches: list[list[int]] = []
+    block = np.searchsorted(edge, begin[hit], side="right") - 1
+    for a, b, k in zip(begin[hit].tolist(), end[hit].tolist(), block.tolist()):
+        a, b = max(edge[k], a - GAP), min(edge[k + 1], b + GAP)
+        if stretches and stretches[-1][2] == k and a <= stretches[-1][1]:
+            stretches[-1][1] = max(stretches[-1][1], b)
+        else:
+            stretches.append([a, b, k])
+    out = []
+    for a, b, _ in stretches:
+        near = hit[(begin[hit] < b) & (end[hit] > a)]
+
+        def probability(x: tuple) -> float:
+            over = near[(begin[near] <= a + x[4]) & (end[near] > a + x[3])]
+            return float(p[over, FAMILIES.index(x[2])].max()) if len(over) else 0.0
+
+        finds = [(x, probability(x)) for x in confirmed(words[a:b], confirm)]
+        finds.sort(key=lambda f: (-f[0][0], -f[0][1], -f[1], f[0][2]))
+        kept: list[tuple[tuple, float]] = []
+        for f in finds:
+            if not any(k[0][2] != f[0][2] and k[0][3] <= f[0][4] and f[0][3] <= k[0][4] for k in kept):
+                kept.append(f)
+        last: dict | None = None
+        for (s, _, family, i, j), q in sorted(kept, key=lambda f: (f[0][3], f[0][4])):
+            if last and last["family"] == family and i - upto <= GAP:
+                upto = max(upto, j)
+                last |= {"last_line": line[a + upto], "probability": max(q, last["probability"]), "similarity": max(s, last["similarity"])}
+            else:
+                upto, last = j, {"family": family, "first_line": line[a + i], "last_line": line[a + j], "probability": q, "similarity": s}
+                out.append(last)
+    return n_lines, out
 
 
 PASSAGE = "array<struct<family:string,first_line:int,last_line:int,probability:double,similarity:double>>"

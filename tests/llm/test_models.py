@@ -135,3 +135,17 @@ def test_lm_score_counts_each_word_and_pair_of_a_large_vocabulary(spark):
             w = texts[i].split()
             total = -math.log(p(w[0])) - sum(math.log((pair[a, b] + lm_score.STRENGTH * p(b)) / (first[a] + lm_score.STRENGTH)) for a, b in zip(w, w[1:]))
             assert math.isclose(got[i][loss], total / len(w), rel_tol=1e-9)
+
+
+def test_licence_sentence_within_a_long_paragraph():
+    rng = random.Random(9)
+    words = [f"{a}{b}" for a in ("thi", "on", "wer", "ma", "lo", "ke") for b in ("", "s", "ra", "ted", "ing", "ul")]
+    line = lambda n: [rng.choice(words).encode() for _ in range(n)]
+    model = licenses.Classifier().fit(licenses.training([line(60) for _ in range(300)]))
+    plain = lambda n: b" ".join(line(n)).decode()
+    for around in (0, 10, 50, 200):
+        for family, texts in licenses.TEMPLATES.items():
+            for t in texts:
+                n, found = licenses.scan(model, f"{plain(around)} {t}, {plain(around)}\n\n{plain(30)}")
+                assert n == 2 and [(p["family"], p["first_line"], p["similarity"]) for p in found] == [(family, 0, 1.0)], (around, t, found)
+    assert not any(licenses.scan(model, plain(500))[1] for _ in range(20))
