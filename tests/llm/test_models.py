@@ -149,3 +149,19 @@ def test_licence_sentence_within_a_long_paragraph():
                 n, found = licenses.scan(model, f"{plain(around)} {t}, {plain(around)}\n\n{plain(30)}")
                 assert n == 2 and [(p["family"], p["first_line"], p["similarity"]) for p in found] == [(family, 0, 1.0)], (around, t, found)
     assert not any(licenses.scan(model, plain(500))[1] for _ in range(20))
+
+
+def test_licences_wrapped_at_any_column():
+    import textwrap
+
+    rng = random.Random(10)
+    words = ["thion", "were", "marra", "loted", "keing", "this", "of", "the"]
+    model = licenses.Classifier().fit(licenses.training([[rng.choice(words).encode() for _ in range(40)] for _ in range(300)]))
+    gpl = licenses.TEMPLATES["gpl"][2] + ", either version 3 of the License, or (at your option) any later version."
+    agpl, apache = gpl.replace("GNU General", "GNU Affero General"), licenses.TEMPLATES["apache-2.0"][1] + "."
+    for columns in (40, 50, 60, 72, 80):
+        for family, text in (("gpl", gpl), ("agpl-3.0", agpl), ("lgpl", gpl.replace("GNU General", "GNU Lesser General")), ("apache-2.0", apache)):
+            lines = textwrap.wrap(text, columns)
+            for mark in ("", "# "):
+                _, found = licenses.scan(model, "thion were\n\n" + "\n".join(mark + x for x in lines) + "\n\nmarra")
+                assert [p["family"] for p in found] == [family] and found[0]["first_line"] == 2 and found[0]["last_line"] <= 1 + len(lines), (columns, family, found)
