@@ -2,7 +2,7 @@
 
 A language is a distribution over hashed character trigrams, learned from all labelled rows that are not held out. A text is seen as a mixture: each of its trigrams
 comes from one of a few languages. Expectation-maximisation estimates the proportions; the set of languages is the one whose likelihood, less half the logarithm
-of the text's length for each further language (times PENALTY), is highest among the sets of the leading 1, 2, ... languages. The language with the largest proportion in the chosen set is
+of the text's length for each further language (times PENALTY), is highest among the sets of the leading 1, 2, ... languages, up to all. The language with the largest proportion in the chosen set is
 the prediction and the proportion its score.
 
 Texts are lower-cased, everything but letters counts as one space. Trigrams are hashed to 2**BITS classes, so a language takes a fixed amount of memory; the model that is
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BITS, ALPHA, PENALTY, ROUNDS, MOST, FOLDS = 15, 0.5, 3.0, 8, 4, 5
+BITS, ALPHA, PENALTY, ROUNDS, FOLDS = 15, 0.5, 3.0, 8, 5
 BLOCK = 1 << 21
 UNKNOWN = "und"
 
@@ -92,7 +92,7 @@ class Mixture:
         full, _ = rounds(np.full((len(found), len(self.langs)), 1 / len(self.langs)), ROUNDS)
         place = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
         best, best_value = None, None
-        for k in range(1, min(MOST, len(self.langs)) + 1):
+        for k in range(1, len(self.langs) + 1):
             share = np.where(place < k, full + 1e-12, 0.0)
             share, value = rounds(share / share.sum(axis=1, keepdims=True), 0 if k == 1 else 2)
             value = value - PENALTY * 0.5 * (k - 1) * np.log(total)
@@ -100,8 +100,6 @@ class Mixture:
                 best, best_value = share, value
             else:
                 better = value > best_value
-                if not better.any():
-                    break
                 best, best_value = np.where(better[:, None], share, best), np.where(better, value, best_value)
         return best
 

@@ -165,3 +165,21 @@ def test_licences_wrapped_at_any_column():
             for mark in ("", "# "):
                 _, found = licenses.scan(model, "thion were\n\n" + "\n".join(mark + x for x in lines) + "\n\nmarra")
                 assert [p["family"] for p in found] == [family] and found[0]["first_line"] == 2 and found[0]["last_line"] <= 1 + len(lines), (columns, family, found)
+
+
+def test_mixture_of_five_languages_in_any_batch():
+    import numpy as np
+
+    rng = random.Random(11)
+    count_of = lambda t: np.bincount(langid.trigrams(t), minlength=1 << langid.BITS)
+    found = lambda t: (lambda x: (np.flatnonzero(x), x[np.flatnonzero(x)]))(count_of(t))
+    words = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 7))) for _ in range(n))
+    letters = ["abcde", "fghij", "klmno", "pqrst", "uvwxy"]
+    model = langid.Mixture(["l0", "l1", "l2", "l3", "l4"], np.stack([count_of(words(x, 3000)) for x in letters], axis=1))
+    five, one = found(" ".join(words(x, 100) for x in letters)), found(words(letters[2], 100))
+    alone = model.infer([five])
+    assert (alone > 0.1).all() and np.allclose(alone[0], 0.2, atol=0.05)
+    assert (model.infer([one, five])[1] == alone[0]).all() and (model.infer([five, one, one])[0] == alone[0]).all()
+    # A text's choice doesn't hang on its neighbours.
+    texts = [found(" ".join(words(letters[i], rng.randint(1, 6)) for i in rng.sample(range(5), k))) for k in (1, 2, 3, 4, 5) for _ in range(12)]
+    assert np.array_equal(model.infer(texts), np.concatenate([model.infer([t]) for t in texts]))
