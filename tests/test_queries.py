@@ -1,6 +1,7 @@
 """Each query with SQL gives what DuckDB gives for it."""
 
 import os
+import shutil
 import subprocess
 import sys
 
@@ -43,9 +44,36 @@ def test_entry(spark):
     assert df.columns == ["page", "color_ratio", "text_ratio", "gray_ratio", "type"] and df.count() == 500
 
 
-def test_imports_without_optional_parts(tmp_path):
-    for x in ("quirelake", "__spark_entry__.py"):
-        subprocess.run(["cp", "-r", os.path.join(os.path.dirname(__spark_entry__.__file__), x), tmp_path], check=True)
-    subprocess.run(["rm", "-r", tmp_path / "quirelake" / "llm"], check=True)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'page_classify' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+CORE = "import __spark_entry__ as e; q = e.queries(); n = sum(not (x.startswith('op') or x == 'pipeline') for x in q); assert n == {core} == len(q) - {more}, (n, len(q)); e.oracle_sql(); e.entry"
+
+
+def copied(to):
+    """The whole repository, but for its history."""
+    here = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    shutil.copytree(here, to, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    return here
+
+
+def run_in(folder, more):
+    code = CORE.format(core=len(catalog.queries()), more=more)
+    subprocess.run([sys.executable, "-c", code], cwd=folder, check=True, env=os.environ | {"PYTHONPATH": str(folder)})
+
+
+@pytest.mark.parametrize("keep_pipeline", [True, False])
+def test_imports_without_optional_parts(tmp_path, keep_pipeline):
+    copied(tmp_path / "r")
+    for x in ("quirelake/llm", "tests/llm"):
+        shutil.rmtree(tmp_path / "r" / x, ignore_errors=True)
+    if not keep_pipeline:
+        (tmp_path / "r" / "corpus_pipeline.py").unlink(missing_ok=True)
+    run_in(tmp_path / "r", 0)
+
+
+def test_a_missing_library_takes_only_its_own_queries(tmp_path):
+    here = copied(tmp_path / "r")
+    if not os.path.isdir(f"{here}/quirelake/llm"):
+        pytest.skip("no corpus operators here")
+    (tmp_path / "r" / "xxhash.py").write_text("raise ImportError('no xxhash')")
+    found = __spark_entry__.queries()
+    gone = 3  # op1, op4 and the pipeline
+    run_in(tmp_path / "r", len(found) - len(catalog.queries()) - gone)
