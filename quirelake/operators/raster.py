@@ -6,7 +6,6 @@ kept small by Arrow's record limit, and nothing is shuffled. A page with a null
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -93,17 +92,33 @@ def unpack_bits(data: bytes, w: int, h: int) -> np.ndarray | None:
     return np.unpackbits(np.frombuffer(data, np.uint8, stride * h).reshape(h, stride), axis=1)[:, :w] == 0
 
 
-def png_1bit(packed: bytes, w: int, h: int) -> bytes:
-    """A PNG of one bit a pixel from packed rows."""
-    stride = -(-w // 8)
-    rows = b"".join(b"\0" + packed[y * stride : (y + 1) * stride] for y in range(h))
-    part = lambda tag, body: struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 1, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows, 6)) + part(b"IEND", b"")
+#: The first bytes of any PNG file (fixed value).
+PNG = b"\x89PNG\r\n\x1a\n"
+
+
+def png_chunk(kind: bytes, body: bytes = b"") -> bytes:
+    """A chunk of a PNG file: length, type, body and the checksum of type and body."""
+    if len(kind) != 4 or not kind.isalpha() or len(body) >= 1 << 31:
+        raise ValueError(f"no PNG chunk: {kind!r} of {len(body)} bytes")
+    framed = kind + body
+    return len(body).to_bytes(4, "big") + framed + zlib.crc32(framed).to_bytes(4, "big")
+
+
+def png_gray(rows: np.ndarray, width: int, bits: int = 1) -> bytes:
+    """A grayscale PNG of rows (height x bytes a row) that hold `bits` a pixel, each row beginning on a byte."""
+    height, stride = rows.shape
+    if bits not in (1, 2, 4, 8) or stride != -(-width * bits // 8) or not rows.size:
+        raise ValueError(f"{stride} bytes a row don't hold {width} pixels of {bits} bits")
+    scan = np.zeros((height, 1 + stride), np.uint8)  # the first column says for each row that no filter is used
+    scan[:, 1:] = rows
+    head = np.array([width, height], ">u4").tobytes() + bytes([bits, 0, 0, 0, 0])
+    return PNG + b"".join(png_chunk(k, body) for k, body in ((b"IHDR", head), (b"IDAT", zlib.compress(scan.tobytes())), (b"IEND", b"")))
 
 
 def page_1bit(img: np.ndarray) -> bytes:
     """A text page as a 1-bit PNG through the local threshold (35, 15)."""
-    return png_1bit(pack_bits(adaptive(img, 35, 15)), img.shape[1], img.shape[0])
+    packed = np.frombuffer(pack_bits(adaptive(img, 35, 15)), np.uint8)
+    return png_gray(packed.reshape(len(img), -1), img.shape[1])
 
 
 def split_layers(img: np.ndarray, scale: int = 2, denoise: int = 0) -> tuple[bytes, bytes]:

@@ -42,11 +42,14 @@ def test_bits_round_trip(w):
     ink = page(3, 6, w) < 128
     data = raster.pack_bits(ink)
     assert (raster.unpack_bits(data, w, 6) == ink).all() and raster.unpack_bits(data[:-1], w, 6) is None
-    png = raster.png_1bit(data, w, 6)
+    png = raster.png_gray(np.frombuffer(data, np.uint8).reshape(6, -1), w)
     start = png.index(b"IDAT") + 4
     lines = zlib.decompress(png[start : png.index(b"IEND") - 8])
     stride = -(-w // 8)
     assert b"".join(lines[y * (stride + 1) + 1 : (y + 1) * (stride + 1)] for y in range(6)) == data
+    assert png[:8] == raster.PNG and png[16:26] == bytes([0, 0, 0, w, 0, 0, 0, 6, 1, 0])
+    with pytest.raises(ValueError):
+        raster.png_gray(np.zeros((6, stride + 1), np.uint8), w)
 
 
 def test_components_match_flood_fill():
