@@ -32,15 +32,24 @@ def text_normalise(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", normalised(F.col("text")).alias("text"))
 
 
-_ASCII = "substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 80)"
+#: Letters beyond ASCII that the SQL replaces by single bytes, as its engine's edit distance counts bytes and Spark's counts characters (fixed values; the bytes don't occur in normalised text).
+LETTERS = "ÀÁÂÄÇÈÉÊËÍÎÑÓÔÖÚÜßàáâäçèéêëíîñóôöúûü"
+_BYTES = "".join(chr(i) for i in [*range(1, 32), *map(ord, "()[]{}"), 127])[: len(LETTERS)]
 
 
-@query("cer_pairs", f"""WITH c AS (SELECT conv_id, turn, translate(regexp_replace({_ASCII}, '\\s+', '', 'g'), '{MARKS}', '') AS t FROM conversations)
-SELECT a.conv_id, a.turn, CASE WHEN length(b.t) = 0 THEN CASE WHEN length(a.t) > 0 THEN 1.0 ELSE 0.0 END ELSE least(1.0::DOUBLE, levenshtein(a.t, b.t)::DOUBLE / length(b.t)) END::DOUBLE AS cer FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1""")
+def _bytes(text: str) -> str:
+    return f"translate({text}, '{LETTERS}', '{_BYTES}')"
+
+
+def _cer(got: str, truth: str) -> str:
+    return f"CASE WHEN length({truth}) = 0 THEN CASE WHEN length({got}) > 0 THEN 1.0 ELSE 0.0 END ELSE least(1.0::DOUBLE, levenshtein({_bytes(got)}, {_bytes(truth)})::DOUBLE / length({truth})) END::DOUBLE"
+
+
+@query("cer_pairs", f"""WITH c AS (SELECT conv_id, turn, {_NORM} AS t FROM conversations)
+SELECT a.conv_id, a.turn, {_cer('a.t', 'b.t')} AS cer FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1""")
 def cer_pairs(spark, sf_dir):
-    """Error rate between neighbouring turns (printable ASCII, 80 characters, as both engines' edit distances agree there)."""
-    text = F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 80)
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", normalised(text).alias("got"))
+    """Error rate between neighbouring turns, whole texts."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", normalised(F.col("text")).alias("got"))
     truth = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("got").alias("truth"))
     return c.join(truth, ["conv_id", "turn"]).select("conv_id", "turn", cer(F.col("got"), F.col("truth")).alias("cer"))
 
@@ -115,13 +124,13 @@ def resize_rule(spark, sf_dir):
 #: Configurations of a benchmark, by name and step of the turns they read (fixed values).
 CONFIGS = [("none", 1), ("restore", 2), ("sr", 3), ("both", 4)]
 _CONFIGS = "(VALUES " + ", ".join(f"('{n}', {k})" for n, k in CONFIGS) + ") AS c(config, step)"
-_MATRIX = f"""WITH g AS (SELECT item_id AS page, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 60) AS truth FROM benchmark), m AS (SELECT config, step, page, truth, substr(truth, 1, greatest(length(truth) - 5 * step - (page % 4)::INTEGER, 0)) AS got FROM g, {_CONFIGS}),
-d AS (SELECT config, page, CASE WHEN length(truth) = 0 THEN CASE WHEN length(got) > 0 THEN 1.0 ELSE 0.0 END ELSE least(1.0::DOUBLE, levenshtein(got, truth)::DOUBLE / length(truth)) END::DOUBLE AS cer, page % 7 + step AS seconds FROM m) """
+_MATRIX = f"""WITH g AS (SELECT item_id AS page, {_NORM} AS truth FROM benchmark), m AS (SELECT config, step, page, truth, substr(truth, 1, greatest(length(truth) - 5 * step - (page % 4)::INTEGER, 0)) AS got FROM g, {_CONFIGS}),
+d AS (SELECT config, page, {_cer('got', 'truth')} AS cer, page % 7 + step AS seconds FROM m) """
 
 
 def benchmark_rows(spark, sf_dir) -> DataFrame:
-    """Each configuration on each page with its error rate; the configurations are a fixed handful, exploded into each page."""
-    g = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("page"), F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 60).alias("truth"))
+    """Each configuration on each page with its error rate over the whole text; the configurations are a fixed handful, exploded into each page."""
+    g = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("page"), normalised(F.col("text")).alias("truth"))
     configs = F.array(*[F.struct(F.lit(n).alias("config"), F.lit(k).alias("step")) for n, k in CONFIGS])
     m = g.withColumn("c", F.explode(configs)).select("page", "truth", "c.config", "c.step")
     cut = F.greatest(F.length("truth") - 5 * F.col("step") - (F.col("page") % 4).cast("int"), F.lit(0))
