@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,14 +16,22 @@ from pyspark.sql import DataFrame, SparkSession
 SPACES = " \t\n\x0b\x0c\r"
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _OWN: dict[str, str] = {}
+#: Paths of the tables that stand, in the order they were made.
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where unset, as in tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary folder if everything runs in this one process, as in tests; else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors share; it is unset, and {master} runs executors elsewhere")
         app = spark.sparkContext.applicationId
-        found = _OWN.get(app) or _OWN.setdefault(app, f"file://{tempfile.mkdtemp(prefix='quirelake-')}")
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="quirelake-")
+            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+        found = f"file://{_OWN[app]}"
     return found.rstrip("/")
 
 
@@ -29,20 +40,50 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
+    """df as a table in the shared folder: cuts the lineage, survives lost executors, is computed once. It stays until drop(), release() or the end of a scratch() block."""
     path = new_path(df.sparkSession, tag)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quirelake_path = path
+    _MADE.append(path)
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes a table made by written() that no later plan reads."""
-    if path := getattr(df, "_quirelake_path", None):
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that no later plan reads."""
+    for df in tables:
+        if path := getattr(df, "_quirelake_path", None):
+            delete(df.sparkSession, path)
+            if path in _MADE:
+                _MADE.remove(path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df, whose table release() then leaves alone."""
+    if (path := getattr(df, "_quirelake_path", None)) in _MADE:
+        _MADE.remove(path)
+    return df
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes all tables made since the first `since` ones that still stand. Results that read them must have been written or collected."""
+    while len(_MADE) > since:
+        delete(spark, _MADE.pop())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what written() makes inside the block at its end, but for tables passed to keep()."""
+    since = len(_MADE)
+    try:
+        yield
+    finally:
+        release(spark, since)
 
 
 def word_blocks(data: bytes, size: int = 1 << 22) -> Iterator[list[bytes]]:

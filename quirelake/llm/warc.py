@@ -1,16 +1,18 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page_id; each range is a shard. A shard's records are gzip members of their own, appended to a file until its compressed size reaches the roll size;
-then the next file of the shard begins. Headers and digests are made anew from the payload, with a fixed date, so the same table gives the same archives. A
+Records are sorted by page_id; a shard is a range of ids. Where shards begin follows from the data alone: ids are sorted, sizes of payloads are summed up in that order over the whole
+table, and a shard begins with the first id whose records begin in another multiple of the shard size. Neither samples nor the layout of the table nor the number of tasks matter, so the
+same table gives the same archives. A shard's records are gzip members of their own, in the order of page_id, url and payload, appended to a file until its compressed size reaches the roll size;
+then the next file of the shard begins. Headers and digests are made anew from the payload, with a fixed date. A
 file is written under a temporary name that holds the task attempt, and renamed to its final name when complete; a second attempt at the same task writes the same
 bytes and replaces it. The manifest, a table written by Spark's own commit after all shards, lists the files that count with size, number of records and SHA-1; readers
-open those alone.
+open those alone. When it is written, what failed attempts have left is deleted.
 
 Of records with equal payloads of at least `smallest` bytes, the one with the largest page_id is a response and the others are revisits that refer to it and
 carry no payload.
 
 Nulls and edge cases. A null html is an empty payload, a null url leaves out the target header, a null page_id the id headers (such a record is a response unless a
-numbered page has the payload). Rows that repeat the largest page_id of a payload are all responses. Equal payloads under `smallest` are all responses. An empty table gives an empty
+numbered page has the payload); such records have no place in the order of ids and are dealt out to NULL_SHARDS shards of their own by the hash of url and payload. Rows that repeat the largest page_id of a payload are all responses. Equal payloads under `smallest` are all responses. An empty table gives an empty
 manifest and no records. Other columns aren't read. Archives lie in the shared folder and are opened through pyarrow's file systems by its URI.
 """
 
@@ -22,15 +24,18 @@ import posixpath
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import delete, drop, new_path, written
 
 SMALLEST, ROLL, DATE = 1000, 64 << 20, "2000-01-01T00:00:00Z"
+#: Least and most bytes of payloads and headers (HEAD for each record) of a shard; between them the table goes to SHARDS of them. Shards of the records without a page_id.
+SHARD, SHARDS, HEAD, NULL_SHARDS = (8 << 20, 256 << 20), 4096, 600, 64
 #: Tasks that read archives side by side, at most.
 READERS = 10_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -102,10 +107,8 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 class _Shard:
     """Writes the files of one shard."""
 
-    def __init__(self, uri: str, shard: int, attempt: int, roll: int) -> None:
-        self.fs, self.dir = pafs.FileSystem.from_uri(uri)
-        self.shard, self.attempt, self.roll, self.out, self.seq = shard, attempt, roll, None, 0
-        self.fs.create_dir(posixpath.join(self.dir, "_temporary"), recursive=True)
+    def __init__(self, fs, folder: str, shard: int, attempt: int, roll: int) -> None:
+        self.fs, self.dir, self.shard, self.attempt, self.roll, self.out, self.seq = fs, folder, shard, attempt, roll, None, 0
 
     def add(self, page_id: int | None, data: bytes) -> Iterator[tuple]:
         if self.out is None:
@@ -131,40 +134,86 @@ _MANIFEST_KINDS = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(),
 
 
 def _write(uri: str, roll: int):
+    """Rows come sorted by shard and, within it, in the order of its records."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, shard, files = TaskContext.get(), None, []
+        attempt, out, files = TaskContext.get().taskAttemptId(), None, []
+        fs = folder = None
         last, copy = None, 0
         for b in batches:
-            shard = shard or _Shard(uri, task.partitionId(), task.taskAttemptId(), roll)
-            for page_id, url, html, refers_to in zip(*b.columns):
-                page_id = page_id.as_py()
+            if fs is None:
+                fs, folder = pafs.FileSystem.from_uri(uri)
+                fs.create_dir(posixpath.join(folder, "_temporary"), recursive=True)
+            for shard, page_id, url, html, refers_to in zip(*b.columns):
+                page_id, shard = page_id.as_py(), shard.as_py()
+                if out is None or out.shard != shard:
+                    if out and out.out:
+                        files.append(out.close())
+                    out, last = _Shard(fs, folder, shard, attempt, roll), None
                 copy = copy + 1 if page_id == last else 0
                 last = page_id
-                files += shard.add(page_id, record(page_id, url.as_py(), (html.as_py() or "").encode(), refers_to.as_py(), copy))
-        if shard and shard.out:
-            files.append(shard.close())
+                files += out.add(page_id, record(page_id, url.as_py(), (html.as_py() or "").encode(), refers_to.as_py(), copy))
+        if out and out.out:
+            files.append(out.close())
         if files:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*files), _MANIFEST_KINDS)], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
     return run
 
 
+def _longs(numbers: list[int]) -> Column:
+    """An array literal that costs the plan one string, however long it is."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<long>")
+
+
+def shard_starts(rows: DataFrame, shard: int | None = None) -> list[int]:
+    """Where each shard but the first begins: exact quantiles of the bytes by page_id. A row of 16 bytes for each page is sorted; a number a shard reaches the driver."""
+    sizes = rows.where("page_id IS NOT NULL").groupBy("page_id").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + HEAD).alias("n"))
+    ordered = written(sizes.repartitionByRange("page_id").sortWithinPartitions("page_id").withColumn("part", F.spark_partition_id()), "sizes")
+    total = {r.part: r.n for r in ordered.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row for each partition
+    if not total:
+        return []
+    before = [0, *accumulate(total.get(part, 0) for part in range(max(total)))]
+    shard = shard or min(SHARD[1], max(SHARD[0], sum(total.values()) // SHARDS))
+    own = F.sum("n").over(Window.partitionBy("part").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1))
+    at = F.coalesce(own, F.lit(0)) + F.get(_longs(before), F.col("part"))
+    firsts = ordered.select("page_id", F.floor(at / F.lit(shard)).alias("shard")).groupBy("shard").agg(F.min("page_id").alias("first")).collect()
+    drop(ordered)
+    return sorted(r["first"] for r in firsts)[1:]
+
+
+def place(starts: list[int], page_id: Column) -> Column:
+    """How many of the sorted starts are at or below page_id: a binary search by falling steps."""
+    if not starts:
+        return F.lit(0)
+    held = _longs(starts)
+    steps = [1 << k for k in range(len(starts).bit_length() - 1, -1, -1)]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) <= page_id, at + step).otherwise(at))
+
+
 def duplicates(pages: DataFrame, smallest: int = SMALLEST) -> DataFrame:
     """digest and refers_to: the payloads of at least `smallest` bytes that several rows hold, and their largest page_id."""
     big = pages.where(F.octet_length("html") >= smallest)
     return big.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).where("n > 1").select("digest", "refers_to")
 
 
-def write_warc(pages: DataFrame, uri: str, roll: int = ROLL, smallest: int = SMALLEST) -> DataFrame:
+def write_warc(pages: DataFrame, uri: str, roll: int = ROLL, smallest: int = SMALLEST, shard: int | None = None) -> DataFrame:
     """Writes pages (page_id, url, html) to the folder uri; returns the manifest."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    starts = shard_starts(rows, shard)
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     again = written(duplicates(rows, smallest), "duplicates")
     refers = F.when(F.col("page_id") == F.col("refers_to"), F.lit(None)).otherwise(F.col("refers_to"))
-    rows = rows.join(again, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
-    return written(rows.repartitionByRange("page_id").sortWithinPartitions("page_id", "url", "html").mapInArrow(_write(uri, roll), MANIFEST), "manifest")
+    unnumbered = len(starts) + 1 + F.pmod(F.xxhash64("url", "html"), F.lit(NULL_SHARDS)).cast("int")
+    where = F.when(F.col("page_id").isNull(), unnumbered).otherwise(place(starts, F.col("page_id")))
+    rows = rows.join(again, "digest", "left").select(where.alias("shard"), "page_id", "url", "html", refers.alias("refers_to"))
+    sorted_rows = rows.repartition("shard").sortWithinPartitions("shard", "page_id", "url", "html")
+    manifest = written(sorted_rows.mapInArrow(_write(uri, roll), MANIFEST), "manifest")
+    drop(again)
+    delete(pages.sparkSession, f"{uri}/_temporary")
+    return manifest
 
 
 _READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"

@@ -174,6 +174,30 @@ def test_warc_round_trip(spark):
     assert empty.count() == 0 and warc.read_warc(empty, uri).count() == 0
 
 
+def test_warc_gives_the_same_archives_from_any_layout(spark):
+    rng = random.Random(12)
+    rows = [(i * i % 7919 * 1000 + i % 3, f"http://h/{i}", "".join(rng.choice("abc <>é") for _ in range(rng.randint(0, 1500)))) for i in range(6000)]
+    rows += [(None, f"n{i}", "x" * i) for i in range(50)] + [(5000, "hot", f"{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = []
+    for layout in (df.repartition(7), df.repartition(3, "url"), df.orderBy("html")):
+        manifest = warc.write_warc(layout, uri := new_path(spark, "warc"), roll=40_000, shard=400_000)
+        files = sorted(manifest.select("file", "records", "bytes", "sha1", "first_page_id", "last_page_id").collect())
+        seen.append(files)
+        assert warc.read_warc(manifest, uri).count() == len(rows)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 20
+    firsts = [f.first_page_id for f in seen[0] if f.first_page_id is not None]
+    assert firsts == sorted(firsts)
+    assert not pafs_names(uri, "_temporary")
+
+
+def pafs_names(uri, part):
+    from pyarrow import fs
+
+    found, folder = fs.FileSystem.from_uri(uri)
+    return [x.path for x in found.get_file_info(fs.FileSelector(folder)) if part in x.path]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
