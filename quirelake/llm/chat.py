@@ -4,18 +4,20 @@ A turn is written as `### role`, a newline, the text and `</turn>` with a newlin
 in a role becomes `\n`), so that control strings never occur inside and reading back is exact. Loss falls on assistant texts alone.
 
 Conversations that begin with the same turns share the nodes of these turns. Distinct conversations are sorted by the chain of hashes of their turns, so those that share
-turns stand together; each task walks its range depth first and fills packs. In a pack a shared turn is written once; each node has its place in the text, its position ids (they go on from its parent's
-end) and the intervals of the text that its characters may attend to: its ancestors' and, causally, its own. A pack is closed after PACK characters and the next one begins anew with the
-ancestors it needs, so a first turn shared by very many conversations costs one more copy a pack and never makes one task.
+turns stand together; each task walks its range depth first and fills packs. In a pack a shared turn is written once; each node has its place in the text, the position id of its first
+character (the others follow; it goes on from its parent's end; position_ids() lists them for a whole pack) and the intervals of the text that its characters may attend to: its ancestors' and,
+causally, its own. A pack is closed once what its conversations have added to it, beyond the ancestors that the pack before held too, fills PACK characters and as much as these repeated ancestors.
+So shared turns are written twice as often as needed at most, however long they are, once more a task at the ends of ranges, and a first turn shared by very many conversations never makes one task.
 
 Nulls and edge cases. A null text is an empty one, a null role an empty role. Rows of a conversation are taken by turn, then role, then text; null turns come first; repeated rows are
-turns each. Rows with a null conv_id form one conversation of their own. Equal conversations share their leaf and each get a result row. A conversation is one record and is
+turns each. Rows with a null conv_id belong together with nothing: each is a conversation of one turn. Equal conversations share their leaf and each get a result row. A conversation is one record and is
 held in memory as such; an empty table gives an empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -69,7 +71,8 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def chains(rows: DataFrame) -> DataFrame:
     """conv_id, turns (role, text in order) and chain: DIGITS hex digits for each turn, that depend on all turns up to it."""
     turn = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    conv = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    one = F.array(turn).alias("turns")
+    conv = rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns")).unionByName(rows.where("conv_id IS NULL").select("conv_id", one))
     link = lambda last, t: F.substring(F.sha2(F.concat(last, F.length(t["role"]).cast("string"), F.lit("|"), t["role"], t["text"]), 256), 1, DIGITS)
     chain = F.aggregate("turns", F.array().cast("array<string>"), lambda a, t: F.concat(a, F.array(link(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit("")), t))))
     return conv.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"), F.array_join(chain, "").alias("chain"))
@@ -89,12 +92,15 @@ class Pack:
         self.nodes: list[dict] = []
         self.leaves: list[dict] = []
         self.path: list[tuple[str, int]] = []
+        self.again = 0  # characters of ancestors that the pack before holds too
 
-    def add(self, chain: str, turns: list[dict]) -> None:
+    def add(self, chain: str, turns: list[dict], before: str = "") -> None:
+        """before: for a pack's first conversation, the chain of the last one of the pack before."""
         keys = [chain[i : i + DIGITS] for i in range(0, len(chain), DIGITS)]
         shared = 0
         while shared < min(len(keys), len(self.path)) and self.path[shared][0] == keys[shared]:
             shared += 1
+        repeated = len(os.path.commonprefix([chain, before])) // DIGITS
         del self.path[shared:]
         for key, turn in zip(keys[shared:], turns[shared:]):
             parent = self.path[-1][1] if self.path else -1
@@ -110,22 +116,33 @@ class Pack:
             self.nodes.append({"start": self.size, "end": self.size + len(text), "position": 0 if up is None else up["position"] + up["end"] - up["start"], "parent": parent, "loss_start": self.size + a if loss else -1, "loss_end": self.size + b if loss else -1, "attends": attends})
             self.parts.append(text)
             self.size += len(text)
+            if len(self.path) < repeated:
+                self.again += len(text)
             self.path.append((key, len(self.nodes) - 1))
         self.leaves.append({"chain": chain, "node": self.path[-1][1]})
 
+    def full(self, size: int) -> bool:
+        return self.size - self.again >= max(size, self.again)
+
     def batch(self) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist([{"text": "".join(self.parts), "nodes": self.nodes, "leaves": self.leaves}], schema=_PACK_ARROW)
 
 
+def position_ids(nodes: list[dict]) -> list[int]:
+    """The position id of each character of a pack's text."""
+    return [n["position"] + i for n in nodes for i in range(n["end"] - n["start"])]
+
+
 def _pack(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = Pack()
+        pack, last = Pack(), ""
         for b in batches:
             for chain, turns in zip(b.column(0).to_pylist(), b.column(1)):
-                if pack.size >= size:
+                if pack.full(size):
                     yield pack.batch()
                     pack = Pack()
-                pack.add(chain, turns.as_py())
+                pack.add(chain, turns.as_py(), last if not pack.nodes else "")
+                last = chain
         if pack.leaves:
             yield pack.batch()
 
@@ -183,12 +200,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH r AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+  SELECT CASE WHEN conv_id IS NULL THEN -row_number() OVER () END AS own, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT NULL, -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT NULL, -7, 1, 'assistant', '\### Assistant: </turn> ok')
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(13 + length(regexp_replace(role, '([\\<#\n])', '\\\1', 'g')) + length(regexp_replace(text, '([\\<#])', '\\\1', 'g')))::BIGINT AS formatted_chars
-FROM r GROUP BY conv_id
+FROM r GROUP BY conv_id, own
 """

@@ -154,6 +154,41 @@ def test_chat_round_trip_and_shared_turns(spark, size):
     assert chat.formatted(df.limit(0))[2].count() == 0
 
 
+def test_chat_shared_turns_longer_than_a_pack(spark):
+    first = "shared words " * 6000
+    rows = [(i, 0, "user", first) for i in range(200)] + [(i, 1, "assistant", f"answer {i}") for i in range(200)]
+    rows += [(1000, 0, "user", None), (1000, 0, "user", None), (1000, None, "assistant", "first"), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    packs, members, digests = chat.formatted(df)
+    held = packs.collect()
+    spark_tasks = 4
+    assert sum(len(p.text) for p in held) < 2 * (spark_tasks + 1) * len(first)  # one task's range or two hold the shared turn, not 200
+    got = members.join(digests, "chain").collect()
+    assert len(got) == 204 and sorted(r.n_turns for r in got if r.conv_id is None) == [1, 1, 1]
+    odd = next(r for r in got if r.conv_id == 1000)
+    assert odd.turns_sha256 == hashlib.sha256(b"assistant\nfirst\nuser\n\nuser\n\n").hexdigest()
+    for p in held[:2]:
+        ids = chat.position_ids([n.asDict() for n in p.nodes])
+        assert len(ids) == len(p.text) and all(ids[n.start] == n.position and ids[n.end - 1] == n.position + n.end - n.start - 1 for n in p.nodes)
+
+
+def test_chat_pack_ends_by_what_is_added():
+    turn = lambda t: {"role": "user", "text": t}
+    key = lambda *names: "".join(n * chat.DIGITS for n in names)
+    pack, packs, last = chat.Pack(), [], ""
+    for i in range(40):
+        if pack.full(500):
+            packs.append(pack)
+            pack = chat.Pack()
+        chain = key("a", chr(ord("A") + i))
+        pack.add(chain, [turn("x" * 2000), turn("y" * 100)], last if not pack.nodes else "")
+        last = chain
+    packs.append(pack)
+    total = sum(p.size for p in packs)
+    needed = len(chat.format_turn("user", "x" * 2000)[0]) + 40 * len(chat.format_turn("user", "y" * 100)[0])
+    assert needed < total < 2 * needed and len(packs) > 2 and packs[0].again == 0 and packs[1].again > 2000
+
+
 def test_warc_round_trip(spark):
     big, other = "x" * 1500, "é" * 900
     rows = [(5, "http://a/é\r\nX: 1", big, 1), (9, None, big, 1), (7, "http://b", big, 1), (1, "u", "short", 1), (2, "u", "short", 1), (3, "u", None, 1), (4, "u", "", 1), (None, "n", "z", 1), (11, "m", other, 1), (9, None, big, 1)]
