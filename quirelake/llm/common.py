@@ -49,6 +49,15 @@ def written(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def reread(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What was appended at path, as a table like those of written(); empty if nothing was."""
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._quirelake_path = path
+    _MADE.append(path)
+    return out
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -54,11 +54,32 @@ def test_top_k_matches_brute_force(spark):
             best = sorted((-int(e @ f), i) for i, f in whole if i != q and len(f) == len(e))[:5]
             assert sorted(got.pop(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert not got
-    big = topk.Columns(np.array([1, 2]), np.array([[2.0**40, 3.0], [2.0**40, 2.0]]))
-    assert big.search(0, np.array([2.0**30, 1.0]), 1)[1][0] == 2**70 + 3
+    big = topk.Columns(np.array([1, 2, 0]), np.array([[2.0**40, 3.0], [2.0**40, 2.0], [1.0, 1.0]]))
+    assert big.search([0], np.array([[2.0**20, 1.0]]), 1) == [[(-(2**60 + 3), 1)]]
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_with_outlying_components(spark):
+    """Outlying rows and queries are exact, others of the same block as well; scores beyond long are the nearest long."""
+    rng = np.random.default_rng(13)
+    v = np.round(rng.normal(size=(200, 8)), 2)
+    v[::17] *= 10.0 ** rng.integers(3, 30, len(v[::17]))[:, None]
+    v[5], v[7] = 1e300, -1e300
+    rows = [(i, [float(x) for x in e]) for i, e in enumerate(v)] + [(300, [1e20, 1.0] + [0.0] * 6), (310, [1e308] * 8), (320, [7e305] * 8), (0, [1.0] * 8), (0, [-1.0] * 8)]
+    df = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2))
+    whole = [(i, [int(np.floor(256 * x)) for x in e]) for i, e in rows if all(np.isfinite(256 * x) for x in e)]
+    assert len(whole) == len(rows) - 1
+    got = defaultdict(list)
+    for r in topk.top_k(df.where("vec_id % 5 = 0"), df, query_block=20, row_block=64).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    ask = {i: min(e for j, e in whole if j == i) for i, _ in whole if i % 5 == 0}
+    for q, e in ask.items():
+        score = lambda f: max(-topk.MOST, min(topk.MOST, sum(a * b for a, b in zip(e, f))))
+        best = sorted((-score(f), i) for i, f in whole if i != q)[:5]
+        assert sorted(got.pop(q)) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)], q
+    assert not got
+
+
 def test_mixing_rates_and_repeatability(spark):
     rows = [(i, "t", "big" if i % 3 else None, "c") for i in range(3000)] + [(10_000 + i, None, "small", "c") for i in range(30)] + [(None, "", "small", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, copy string").repartition(4)
