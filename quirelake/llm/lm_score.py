@@ -5,12 +5,13 @@ its two words' hashes: every word and every bigram of the corpus has its own cou
 
     p(w) = (c(w) + 1) / (n + V)          p(w | v) = (c(v w) + STRENGTH * p(w)) / (c(v) + STRENGTH)
 
-V is the number of distinct words of all texts, 2**WORD_BITS at least. A text's score is the mean over its words of target loss minus background loss in nats; low scores look
-like the target. c(v) in the second formula counts v as first word of a pair.
+V is the number of distinct words of all texts. Both p(w) and, for each v, p(w | v) add up to one over these words: c(v) in the second formula counts v as first word of a pair.
+A text's score is the mean over its words of target loss minus background loss in nats; low scores look like the target.
 
-How it is spread. Texts are dealt out to packs of some PACK bytes. A pack adds up its own counts and asks each bucket of hashes for the sums over all packs, one row for
-each bucket; the bucket answers in the order asked, and the pack scores its texts with the answers. A very common word is one entry of each pack. Nothing is broadcast and
-nothing but the size of the texts reaches the driver.
+How it is spread. Texts are dealt out to packs. A pack adds up its own counts and asks the buckets of hashes in which it has keys for the sums over all packs, one row for
+each such bucket; the bucket answers in the order asked, and the pack scores its texts with the answers. A very common word is one entry of each pack. The sizes of both models and of the
+vocabulary are summed up over the buckets and reach each pack in one row. Rows grow with the keys of the packs, never with packs times buckets; packs grow from PACK bytes with the root of the
+corpus up to MOST bytes, so that a row keeps several keys. Nothing is broadcast and nothing but the size of the texts reaches the driver.
 
 Nulls and edge cases. A null or empty text, or one without words, has n_tokens 0 and null losses. Rows that match no target row are background alone; a
 null id is never a target. Repeated rows count each time. An empty table gives an empty result. Other columns aren't read.
@@ -18,6 +19,7 @@ null id is never a target. Repeated rows count each time. An empty table gives a
 
 from __future__ import annotations
 
+import math
 from itertools import chain
 
 import numpy as np
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import word_blocks
 
-WORD_BITS, PAIR_BITS, STRENGTH = 17, 20, 20.0
-#: Bytes of a pack's texts, which hold fewer than 2**PAIR_BITS pairs as a rule; a small corpus has up to PACKS smaller ones.
-PACK, PACKS = 4 << PAIR_BITS, 64
+STRENGTH = 20.0
+#: Least and most bytes of a pack's texts, with the bytes of the corpus for each of their squares; a small corpus has up to PACKS smaller ones.
+PACK, MOST, ROOT, PACKS = 4 << 20, 64 << 20, 160, 64
 
 
 def hashes(text: str) -> np.ndarray:
@@ -84,11 +86,17 @@ class Pack:
 
 
 _ASKED = "pack long, kind int, bucket int, keys binary, counts binary"
-_ANSWER = "pack long, kind int, bucket int, counts binary, size long, background long, target long"
+_ANSWER = "pack long, kind int, bucket int, counts binary"
+
+
+def packs_of(size: int) -> int:
+    """Packs of a corpus of so many bytes."""
+    wanted = min(MOST, max(PACK, math.isqrt(size * ROOT)))
+    return max(1, -(-size // max(1, min(wanted, -(-size // PACKS)))))
 
 
 def _ask(buckets: tuple[int, int]):
-    """Rows of a pack for each bucket of words (kind 0), even if it asks for none, and of pairs (kind 1)."""
+    """Rows of a pack for each bucket in which it has words (kind 0) or pairs (kind 1)."""
 
     def run(key: tuple, docs: pa.Table, targets: pa.Table) -> pa.Table:
         rows = []
@@ -99,7 +107,7 @@ def _ask(buckets: tuple[int, int]):
             for kind, (keys, n) in enumerate(zip((pack.words, pack.pairs), count)):
                 edge = np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets[kind]) >> np.uint64(32), np.arange(buckets[kind] + 1))
                 for i, (a, b) in enumerate(zip(edge, edge[1:])):
-                    if a < b or not kind:
+                    if a < b:
                         rows.append((key[0].as_py(), kind, i, _planes(np.diff(keys[a:b], prepend=np.uint64(0))), _planes(n[a:b])))
         types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names=["pack", "kind", "bucket", "keys", "counts"])
@@ -108,9 +116,8 @@ def _ask(buckets: tuple[int, int]):
 
 
 def _answer(asked: pa.Table) -> pa.Table:
-    """The sums of one bucket for each pack, in the order asked, with the bucket's distinct words and its sums."""
-    kind = asked.column("kind")[0].as_py()
-    width = 2 if kind else 4
+    """The sums of one bucket for each pack, in the order asked."""
+    width = 2 if asked.column("kind")[0].as_py() else 4
     keys = [np.cumsum(_numbers(k, np.uint64), dtype=np.uint64) for k in asked.column("keys").to_pylist()]
     found, place = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.zeros((len(found), width), np.int64)
@@ -118,9 +125,17 @@ def _answer(asked: pa.Table) -> pa.Table:
     for c, a, b in zip(asked.column("counts").to_pylist(), at, at[1:]):
         total[place[a:b]] += _numbers(c).reshape(-1, width)  # a pack has each key once
     out = [_planes(total[place[a:b]]) for a, b in zip(at, at[1:])]
-    whole = (0, 0, 0) if kind else (len(found), *total[:, :2].sum(axis=0).tolist())
-    sums = [pa.array([x] * len(out), pa.int64()) for x in whole]
-    return pa.table([asked.column("pack"), asked.column("kind"), asked.column("bucket"), pa.array(out, pa.binary()), *sums], names=["pack", "kind", "bucket", "counts", "size", "background", "target"])
+    return pa.table([asked.column("pack"), asked.column("kind"), asked.column("bucket"), pa.array(out, pa.binary())], names=["pack", "kind", "bucket", "counts"])
+
+
+def _totals(asked: pa.Table) -> pa.Table:
+    """Distinct words of a bucket, and how often they occur in the background and in the target; no row for pairs."""
+    rows = []
+    if not asked.column("kind")[0].as_py():
+        keys = [np.cumsum(_numbers(k, np.uint64), dtype=np.uint64) for k in asked.column("keys").to_pylist()]
+        occur = sum(_numbers(c).reshape(-1, 4)[:, :2].sum(axis=0) for c in asked.column("counts").to_pylist())
+        rows.append((len(np.unique(np.concatenate(keys))), *occur.tolist()))
+    return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["size", "background", "target"])
 
 
 def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -130,14 +145,14 @@ def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
     else:
         pack = Pack(docs.column("text").to_pylist())
         rows = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-        size, *total = (sum(rows.column(c).to_pylist()) for c in ("size", "background", "target"))
         kinds = rows.column("kind").to_pylist()
+        size, *total = (rows.column(c)[-1].as_py() for c in ("size", "background", "target"))  # kind 2
         count = [_numbers(b"").reshape(-1, w) for w in (4, 2)]
         for kind, width in enumerate((4, 2)):
             parts = [_numbers(c).reshape(-1, width) for c, k in zip(rows.column("counts").to_pylist(), kinds) if k == kind]
             count[kind] = np.concatenate([count[kind], *parts])
         word, pair = count
-        n, losses, ids = pack.n, [pack.loss(word[:, m], word[:, 2 + m], pair[:, m], total[m], max(size, 1 << WORD_BITS)) for m in (1, 0)], docs.column("doc_id")
+        n, losses, ids = pack.n, [pack.loss(word[:, m], word[:, 2 + m], pair[:, m], total[m], size) for m in (1, 0)], docs.column("doc_id")
     return pa.table([ids, pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=n == 0) for x in losses)], names=["doc_id", "n_tokens", "loss_target", "loss_background"])
 
 
@@ -145,7 +160,7 @@ def scored(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col
     """doc_id, n_tokens, loss_target, loss_background and ce_diff for each row of docs; targets holds the ids of the target texts."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packs = max(1, -(-size // max(1, min(PACK, -(-size // PACKS)))))
+    packs = packs_of(size)
     by_id = F.pmod(F.xxhash64("doc_id"), F.lit(packs)).alias("pack")
     # Texts without an id are dealt out by text; they are never targets.
     pack = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(packs))).otherwise(by_id).alias("pack")
@@ -153,7 +168,12 @@ def scored(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col
     own = targets.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().select(by_id, "doc_id")
     buckets = (max(1, packs // 8), packs)
     asked = dealt.groupBy("pack").cogroup(own.groupBy("pack")).applyInArrow(_ask(buckets), _ASKED)
-    answers = asked.groupBy("kind", "bucket").applyInArrow(_answer, _ANSWER)
+    by_bucket = asked.groupBy("kind", "bucket")  # one exchange for both of its readers
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "background", "target")]
+    total = by_bucket.applyInArrow(_totals, "size long, background long, target long").agg(*sums)
+    total = total.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long"))).alias("pack"), F.lit(2).alias("kind"), F.lit(0).alias("bucket"), F.lit(b"").alias("counts"), "size", "background", "target")
+    empty = [F.lit(None).cast("long").alias(c) for c in ("size", "background", "target")]
+    answers = by_bucket.applyInArrow(_answer, _ANSWER).select("*", *empty).unionByName(total)
     out = dealt.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(_score, "doc_id long, n_tokens long, loss_target double, loss_background double")
     return out.withColumn("ce_diff", F.col("loss_target") - F.col("loss_background"))
 

@@ -8,34 +8,25 @@ from zlib import crc32
 
 from quirelake.llm import langid, licenses, lm_score
 
-M64 = (1 << 64) - 1
-
-
 def brute_models(texts, targets):
+    """Losses by counts of the words themselves."""
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    vocabulary = {w for t in texts for w in split(t)}
+
     def counted(chosen):
         word, first, pair = Counter(), Counter(), Counter()
-        for t in chosen:
-            h = [crc32(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
-            word.update(x % (1 << lm_score.WORD_BITS) for x in h)
-            first.update(x % (1 << lm_score.WORD_BITS) for x in h[:-1])
-            pair.update(mix(a, b) for a, b in zip(h, h[1:]))
-        return word, first, pair
-
-    def mix(a, b):
-        return ((((a * 0x9E3779B97F4A7C15) + b) & M64) * 0xC2B2AE3D27D4EB4F & M64) >> (64 - lm_score.PAIR_BITS)
-
-    def loss(model, t):
-        word, first, pair = model
-        h = [crc32(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
-        size, n = 1 << lm_score.WORD_BITS, sum(word.values())
-        p = lambda x: (word[x % size] + 1) / (n + size)
-        total = -math.log(p(h[0]))
-        for a, b in zip(h, h[1:]):
-            total -= math.log((pair[mix(a, b)] + lm_score.STRENGTH * p(b)) / (first[a % size] + lm_score.STRENGTH))
-        return total / len(h)
-
-    both = counted(texts), counted(targets)
-    return lambda t: (loss(both[1], t), loss(both[0], t))
+        for w in map(split, chosen):
+            word.update(w)
+            first.update(w[:-1])
+            pair.update(zip(w, w[1:]))
+        n = word.total() + len(vocabulary)
+        p = lambda w: (word[w] + 1) / n
+        after = lambda v, w: (pair[v, w] + lm_score.STRENGTH * p(w)) / (first[v] + lm_score.STRENGTH)
+        assert math.isclose(sum(map(p, vocabulary)), 1) and all(math.isclose(sum(after(v, w) for w in vocabulary), 1) for v in sorted(vocabulary)[:20])
+        return lambda w: -(math.log(p(w[0])) + sum(math.log(after(a, b)) for a, b in zip(w, w[1:]))) / len(w)
+
+    target, background = counted(targets), counted(texts)
+    return lambda t: (target(split(t)), background(split(t)))
 
 
 def test_lm_score_matches_brute_force(spark):
@@ -54,7 +45,7 @@ def test_lm_score_matches_brute_force(spark):
         assert r.n_tokens == n
         if n:
             a, b = want(t)
-            assert math.isclose(r.loss_target, a, rel_tol=1e-5) and math.isclose(r.loss_background, b, rel_tol=1e-5)
+            assert math.isclose(r.loss_target, a, rel_tol=1e-9) and math.isclose(r.loss_background, b, rel_tol=1e-9)
             assert math.isclose(r.ce_diff, r.loss_target - r.loss_background)
         else:
             assert r.loss_target is None and r.ce_diff is None
@@ -125,18 +116,32 @@ def test_lm_score_counts_each_word_and_pair_of_a_large_vocabulary(spark):
     own = list(range(0, len(texts), 4))
     got = {r.doc_id: r for r in lm_score.scored(docs, spark.createDataFrame([(i,) for i in own], "doc_id long")).collect()}
     size = len({w for t in texts for w in t.split()})
-    assert size > 1 << lm_score.WORD_BITS and len(got) == len(texts)
+    assert size > 100_000 and len(got) == len(texts)
     for chosen, loss in ((texts, "loss_background"), ([texts[i] for i in own], "loss_target")):
         word = Counter(w for t in chosen for w in t.split())
         first = Counter(w for t in chosen for w in t.split()[:-1])
         pair = Counter(p for t in chosen for p in zip(t.split(), t.split()[1:]))
-        p = lambda w: (word[w] + 1) / (word.total() + size)
+        n = word.total() + size
+        p = lambda w: (word[w] + 1) / n
         for i in range(0, len(texts), 10):
             w = texts[i].split()
             total = -math.log(p(w[0])) - sum(math.log((pair[a, b] + lm_score.STRENGTH * p(b)) / (first[a] + lm_score.STRENGTH)) for a, b in zip(w, w[1:]))
             assert math.isclose(got[i][loss], total / len(w), rel_tol=1e-9)
 
 
+def test_lm_score_packs_and_long_texts(spark):
+    assert lm_score.packs_of(0) == 1 and lm_score.packs_of(510_000_000) == 122
+    assert lm_score.packs_of(100 * 10**12) <= 100 * 10**12 // (63 << 20)  # larger packs, not ever more of them
+    rng = random.Random(14)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(n)) for n in (5, 900_000, 40, 1)]
+    assert len(texts[1]) > 4 << 20  # more than a block of words
+    docs = spark.createDataFrame([(i % 3, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, pack long")
+    got = sorted(lm_score.scored(docs, spark.createDataFrame([(0,)], "doc_id long")).collect(), key=lambda r: r.n_tokens)
+    target, both = [texts[0], texts[3]], brute_models(texts, [texts[0], texts[3]])
+    for r, t in zip(got, sorted(texts, key=len)):
+        assert r.n_tokens == len(t.split()) and math.isclose(r.loss_target, both(t)[0], rel_tol=1e-9) and math.isclose(r.loss_background, both(t)[1], rel_tol=1e-9)
+
+
 def test_licence_sentence_within_a_long_paragraph():
     rng = random.Random(9)
     words = [f"{a}{b}" for a in ("thi", "on", "wer", "ma", "lo", "ke") for b in ("", "s", "ra", "ted", "ing", "ul")]
