@@ -12,7 +12,7 @@ Of records with equal payloads of at least `smallest` bytes, the one with the la
 carry no payload.
 
 Nulls and edge cases. A null html is an empty payload, a null url leaves out the target header, a null page_id the id headers (such a record is a response unless a
-numbered page has the payload); such records have no place in the order of ids and are dealt out to NULL_SHARDS shards of their own by the hash of url and payload. Rows that repeat the largest page_id of a payload are all responses. Equal payloads under `smallest` are all responses. An empty table gives an empty
+numbered page has the payload); such records have no place in the order of ids and are dealt out to shards of their own by the hash of url and payload. Rows that repeat the largest page_id of a payload are all responses. Equal payloads under `smallest` are all responses. An empty table gives an empty
 manifest and no records. Other columns aren't read. Archives lie in the shared folder and are opened through pyarrow's file systems by its URI.
 """
 
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import delete, drop, new_path, written
 
 SMALLEST, ROLL, DATE = 1000, 64 << 20, "2000-01-01T00:00:00Z"
-#: Least and most bytes of payloads and headers (HEAD for each record) of a shard; between them the table goes to SHARDS of them. Shards of the records without a page_id.
-SHARD, SHARDS, HEAD, NULL_SHARDS = (8 << 20, 256 << 20), 4096, 600, 64
+#: Least and most bytes of payloads and headers (HEAD for each record) of a shard; between them the table goes to SHARDS of them.
+SHARD, SHARDS, HEAD = (8 << 20, 256 << 20), 4096, 600
 #: Tasks that read archives side by side, at most.
 READERS = 10_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -168,20 +168,22 @@ def _longs(numbers: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<long>")
 
 
-def shard_starts(rows: DataFrame, shard: int | None = None) -> list[int]:
-    """Where each shard but the first begins: exact quantiles of the bytes by page_id. A row of 16 bytes for each page is sorted; a number a shard reaches the driver."""
-    sizes = rows.where("page_id IS NOT NULL").groupBy("page_id").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + HEAD).alias("n"))
+def shards(rows: DataFrame, shard: int | None = None) -> tuple[list[int], int]:
+    """Where each shard of numbered rows but the first begins, by exact quantiles of the bytes in the order of page_id, and the number of shards of the other rows.
+    A row of 16 bytes for each page is sorted; a number a shard reaches the driver."""
+    sizes = rows.groupBy("page_id").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + HEAD).alias("n"))
     ordered = written(sizes.repartitionByRange("page_id").sortWithinPartitions("page_id").withColumn("part", F.spark_partition_id()), "sizes")
-    total = {r.part: r.n for r in ordered.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row for each partition
+    total = {r.part: (r.n, r.unnumbered) for r in ordered.groupBy("part").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("page_id").isNull(), F.col("n"))).alias("unnumbered")).collect()}  # a row for each partition
     if not total:
-        return []
-    before = [0, *accumulate(total.get(part, 0) for part in range(max(total)))]
-    shard = shard or min(SHARD[1], max(SHARD[0], sum(total.values()) // SHARDS))
+        return [], 0
+    before = [0, *accumulate(total.get(part, (0, 0))[0] for part in range(max(total)))]
+    shard = shard or min(SHARD[1], max(SHARD[0], sum(n for n, _ in total.values()) // SHARDS))
     own = F.sum("n").over(Window.partitionBy("part").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1))
     at = F.coalesce(own, F.lit(0)) + F.get(_longs(before), F.col("part"))
-    firsts = ordered.select("page_id", F.floor(at / F.lit(shard)).alias("shard")).groupBy("shard").agg(F.min("page_id").alias("first")).collect()
+    firsts = ordered.select("page_id", F.floor(at / F.lit(shard)).alias("shard")).where("page_id IS NOT NULL").groupBy("shard").agg(F.min("page_id").alias("first")).collect()
     drop(ordered)
-    return sorted(r["first"] for r in firsts)[1:]
+    unnumbered = sum(n or 0 for _, n in total.values())
+    return sorted(r["first"] for r in firsts)[1:], -(-unnumbered // shard)
 
 
 def place(starts: list[int], page_id: Column) -> Column:
@@ -202,14 +204,14 @@ def duplicates(pages: DataFrame, smallest: int = SMALLEST) -> DataFrame:
 def write_warc(pages: DataFrame, uri: str, roll: int = ROLL, smallest: int = SMALLEST, shard: int | None = None) -> DataFrame:
     """Writes pages (page_id, url, html) to the folder uri; returns the manifest."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    starts = shard_starts(rows, shard)
+    starts, more = shards(rows, shard)
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     again = written(duplicates(rows, smallest), "duplicates")
     refers = F.when(F.col("page_id") == F.col("refers_to"), F.lit(None)).otherwise(F.col("refers_to"))
-    unnumbered = len(starts) + 1 + F.pmod(F.xxhash64("url", "html"), F.lit(NULL_SHARDS)).cast("int")
+    unnumbered = len(starts) + 1 + F.pmod(F.xxhash64("url", "html"), F.lit(max(1, more))).cast("int")
     where = F.when(F.col("page_id").isNull(), unnumbered).otherwise(place(starts, F.col("page_id")))
     rows = rows.join(again, "digest", "left").select(where.alias("shard"), "page_id", "url", "html", refers.alias("refers_to"))
-    sorted_rows = rows.repartition("shard").sortWithinPartitions("shard", "page_id", "url", "html")
+    sorted_rows = rows.repartitionById(len(starts) + 1 + more, "shard").sortWithinPartitions("shard", "page_id", "url", "html")
     manifest = written(sorted_rows.mapInArrow(_write(uri, roll), MANIFEST), "manifest")
     drop(again)
     delete(pages.sparkSession, f"{uri}/_temporary")
