@@ -10,11 +10,14 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The six characters that end a word: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
+BITS_PER_KEY, BITS = 16, 1 << 29
 _OWN: dict[str, str] = {}
 #: Paths of the tables that stand, in the order they were made.
 _MADE: list[str] = []
@@ -95,6 +98,27 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         release(spark, since)
 
 
+class Bitmap:
+    """A set of hashed keys that never misses one and takes in others at a small rate: bit `key mod size` of each key is set."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys.view(np.uint64) & np.uint64(64 * len(self.words) - 1)
+        return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def bitmap(keys: DataFrame, column: str):
+    """Broadcast Bitmap of a column of 64-bit hashes: BITS_PER_KEY bits a key, BITS (64 MB) at most whatever the table's size; a fuller one only takes in more other keys."""
+    bits = 1 << min(BITS.bit_length() - 1, max(6, (BITS_PER_KEY * keys.count()).bit_length()))
+    at = keys.select(F.col(column).bitwiseAND(F.lit(bits - 1)).alias("at"))
+    rows = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("b")).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
+    words[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(Bitmap(words))
+
+
 def word_blocks(data: bytes, size: int = 1 << 22) -> Iterator[list[bytes]]:
     """Words of UTF-8 data in order, a list for each block of about size bytes, so that a very long text
     never has all of its words in memory at once. bytes.split() splits at just the six SPACES."""

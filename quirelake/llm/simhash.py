@@ -42,24 +42,41 @@ LARGE = 2000
 WINDOW = 16
 
 
-def fingerprint(data: bytes, width: int = 3, seed: int = 42) -> int:
-    """SimHash of the word shingles (repeats included) of UTF-8 text; bytes.lower() lower-cases A-Z alone."""
-    ones, total, carry = np.zeros(64, np.int64), 0, []
+def shingle_blocks(data: bytes, width: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles (repeats included) of UTF-8 text, block by block; bytes.lower() lower-cases A-Z alone."""
+    none, carry = True, []
     for words in word_blocks(data.lower()):
         words = carry + words
         n = len(words) - width + 1
         if n > 0:
-            h = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(width)))), repeat(seed)), np.uint64, n)
-            for at in range(0, n, 1 << 16):
-                part = h[at : at + (1 << 16)]
-                ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            total += n
+            none = False
+            yield np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(width)))), repeat(seed)), np.uint64, n)
         carry = words[-(width - 1) :] if width > 1 else []
-    if not total and carry:
-        return xxhash.xxh64_intdigest(b" ".join(carry), seed)
+    if none and carry:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(carry), seed)], np.uint64)
+
+
+def bit_sums(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits, lowest first."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def majority(ones: np.ndarray, total: int) -> int:
     return int.from_bytes(np.packbits(ones * 2 > total, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(data: bytes, width: int = 3, seed: int = 42) -> int:
+    """SimHash of the word shingles of UTF-8 text."""
+    ones, total = np.zeros(64, np.int64), 0
+    for h in shingle_blocks(data, width, seed):
+        ones += bit_sums(h)
+        total += len(h)
+    return majority(ones, total)
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = [fingerprint(t.encode()) if t else 0 for t in map(lambda x: x.as_py(), b.column(1))]
@@ -79,34 +96,40 @@ def masks(blocks: int, distance: int = DISTANCE) -> list[int]:
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
-    """Place of each code in the Gray sequence: the prefix XOR of its bits."""
+    """Place of each code in the Gray sequence: the prefix XOR of its bits. Codes of several words (a column each) go on over the words, highest first."""
     x = x.copy()
     for s in (1, 2, 4, 8, 16, 32):
         x ^= x >> np.uint64(s)
+    if x.ndim > 1:
+        odd = np.cumsum(x & np.uint64(1), axis=1)[:, :-1] & np.uint64(1)  # whether the words before have an odd number of bits
+        x[:, 1:] ^= np.uint64(0) - odd
     return x
 
 
 class GrayIndex:
-    """Hierarchical index over the distinct codes of one upper node whose masked bits are known to agree."""
-
-    def __init__(self, codes: np.ndarray, known: int, window: int = WINDOW) -> None:
-        self.codes, self.window = codes[np.argsort(gray_rank(codes))], window
-        full = np.uint64(0xFFFFFFFFFFFFFFFF)
-        same = [np.full(len(codes), full)]  # by level, leaves first: bits in which all below agree
-        pattern = [self.codes]
+    """Hierarchical index over the distinct codes of one upper node whose masked bits are known to agree. A code is a number, or a row of several words."""
+
+    def __init__(self, codes: np.ndarray, known: int = 0, window: int = WINDOW) -> None:
+        rank = gray_rank(codes)
+        self.order = np.argsort(rank) if codes.ndim == 1 else np.lexsort(rank.T[::-1])
+        self.codes, self.window = codes[self.order], window
+        rows = self.codes.reshape(len(codes), -1)
+        same = [np.full(rows.shape, np.uint64(0xFFFFFFFFFFFFFFFF))]  # by level, leaves first: bits in which all below agree
+        pattern = [rows]
         while len(pattern[-1]) > 1:
             starts = np.arange(0, len(pattern[-1]), window)
             one = np.bitwise_and.reduceat(pattern[-1] & same[-1], starts)
             zero = np.bitwise_and.reduceat(~pattern[-1] & same[-1], starts)
             same.append(one | zero)
             pattern.append(one)
-        same.append(np.array([known], np.uint64))
+        same.append(np.full((1, rows.shape[1]), known, np.uint64))
         #: What a node adds to its parent's mask.
         self.own = [same[k] & ~same[k + 1][np.arange(len(same[k])) // window if k + 2 < len(same) else np.zeros(len(same[k]), int)] for k in range(len(same) - 1)]
         self.pattern = pattern
 
-    def search(self, queries: np.ndarray, distance: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places (query, code) of all pairs within the distance where the code's place is over floor[query]."""
+    def near(self, queries: np.ndarray, distance: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places (query, code) and distance of all pairs within `distance` where the code's place is over floor[query]."""
+        queries = queries.reshape(len(queries), -1)
         top = len(self.pattern) - 1
         q, node, acc = np.arange(len(queries)), np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
         for k in range(top, -1, -1):
@@ -118,10 +141,14 @@ class GrayIndex:
                 q, acc, node = q[keep], acc[keep], node[keep]
             keep = (node + 1) * self.window**k - 1 > floor[q]
             q, acc, node = q[keep], acc[keep], node[keep]
-            acc = acc + np.bitwise_count((queries[q] ^ self.pattern[k][node]) & self.own[k][node])
+            acc = acc + np.bitwise_count((queries[q] ^ self.pattern[k][node]) & self.own[k][node]).sum(axis=1, dtype=np.int64)
             keep = acc <= distance
             q, acc, node = q[keep], acc[keep], node[keep]
-        return q, node
+        return q, node, acc
+
+    def search(self, queries: np.ndarray, distance: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """near() without the distances."""
+        return self.near(queries, distance, floor)[:2]
 
     def links(self, distance: int = DISTANCE, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
         """A spanning forest of the links among the codes: at most one row for each code, never all pairs."""
@@ -222,27 +249,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _row_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    part, n = TaskContext.get().partitionId(), 0
-    for b in batches:
-        fp = [fingerprint(t.encode()) if t else 0 for t in map(lambda x: x.as_py(), b.column(1))]
-        row = [f"{part}-{n + i}" for i in range(len(fp))]
-        n += len(fp)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(row, pa.string())], names=["d", "fp", "row"])
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: the least id, nulls last; of repeated ids the first row as stored."""
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.col(text_col).cast("string").alias("text"))
-    rows = written(packed.mapInArrow(_row_fingerprints, f"d {packed.schema['d'].dataType.simpleString()}, fp long, row string"), "rows")
-    ids = rows.select(F.col(f"d.`{id_col}`").cast("long").alias("doc_id"), "fp", "row")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
-    first = ids.join(classes(ids), "fp").groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.row").alias("row"))
-    # The kept rows grow with docs: both sides are dealt out by row whatever their size, so that the plan is one at every size.
-    return rows.join(written(first, "first").hint("merge"), "row", "left_semi").select("d.*")
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from quirelake.llm import simhash
+from quirelake.llm import near_copies, simhash
 from quirelake.llm.components import connected_components
 
 
@@ -101,3 +101,86 @@ def test_large_nodes_go_to_finer_cuts(spark):
 def test_empty(spark):
     got = simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"))
     assert got.columns == ["doc_id", "fingerprint", "component_id"] and got.count() == 0
+
+
+def jaccard(a, b):
+    a, b = set(near_copies.shingle_set(a).tolist()), set(near_copies.shingle_set(b).tolist())
+    return 1.0 if a == b else len(a & b) / len(a | b)
+
+
+def brute_groups(texts):
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    sets = [set(near_copies.shingle_set(t).tolist()) for t in texts]
+    links = []
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or a and b and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b):
+                links.append((j, i))
+                up[root(i)] = root(j)
+    return [root(i) for i in range(len(texts))], links
+
+
+def edited(rng, words, rate):
+    return [w if rng.random() > rate else f"x{rng.randrange(10**6)}" for w in words]
+
+
+def test_near_copies_match_brute_force(spark):
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(2000)]
+    texts = [None, "", " \n", "one two", "One two", "one two three four"]
+    for _ in range(120):
+        base = [rng.choice(vocab) for _ in range(rng.randint(60, 300))]
+        texts += [" ".join(base), *(" ".join(edited(rng, base, rng.choice([0.002, 0.01, 0.02, 0.04]))) for _ in range(rng.randint(0, 4)))]
+    rng.shuffle(texts)
+    ids = [3 * i + 1 for i in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, i % 5, "q") for i, t in zip(ids, texts)], "doc_id long, text string, row int, s string").repartition(3)
+    want, links = brute_groups(texts)
+    got = {r.doc_id: r.root for r in near_copies.groups(docs).collect()}
+    found = [got[i] for i in ids]
+    held = sum(found[a] == found[b] for a, b in links)
+    assert held >= 0.97 * len(links), (held, len(links))
+    # No group is larger than the true one.
+    true = {}
+    assert all(true.setdefault(f, w) == w for f, w in zip(found, want))
+    kept = near_copies.deduplicated(docs)
+    assert kept.columns == docs.columns
+    least = {}
+    for f, i in zip(found, ids):
+        least[f] = min(i, least.get(f, i))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
+
+
+def test_near_copies_with_large_nodes_and_odd_rows(spark):
+    rng = random.Random(22)
+    base = [f"w{rng.randrange(500)}" for _ in range(200)]
+    texts = [" ".join(edited(rng, base, 0.004)) for _ in range(150)] + [" ".join(f"u{rng.randrange(10**6)}" for _ in range(80)) for _ in range(50)]
+    rows = [(i, t, None) for i, t in enumerate(texts)] + [(None, texts[-1], None), (None, texts[-1], None), (190, texts[190], None), (190, texts[190], 2.5), (None, "alone here", 1.0), (None, "alone here", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, maybe double").repartition(3)
+    want, links = brute_groups(texts)
+    for large in (10, 2000):
+        kept = sorted((r.doc_id is None, r.doc_id or 0, r.maybe or 0) for r in near_copies.deduplicated(docs, large=large).collect())
+        assert len(kept) <= len(set(want)) + 2 and kept[-1] == (True, 0, 1.0) and sum(k[0] for k in kept) == 1, kept
+        assert sum(k[1] == 190 for k in kept) == 1
+    empty = near_copies.deduplicated(docs.limit(0))
+    assert empty.columns == docs.columns and empty.count() == 0
+
+
+def test_wide_index_gives_all_pairs_and_tables_reach_their_recall():
+    rng = np.random.default_rng(23)
+    codes = rng.integers(0, 2**63, (300, 4), dtype=np.uint64)
+    codes[150:] = codes[:150] ^ (np.uint64(1) << rng.integers(0, 64, (150, 4), dtype=np.uint64))
+    index = simhash.GrayIndex(codes)
+    q, c, d = index.near(index.codes, 40, np.full(300, -1))
+    whole = np.bitwise_count(index.codes[:, None] ^ index.codes[None]).sum(axis=2)
+    assert sorted(zip(q.tolist(), c.tolist(), d.tolist())) == sorted((a, b, whole[a, b]) for a, b in np.argwhere(whole <= 40).tolist())
+    for classes in (10, 10**6, 5 * 10**10):
+        masks = near_copies.tables(classes)
+        bits = int(np.bitwise_count(masks[0]).sum())
+        assert 1 - (1 - (1 - near_copies.share_of_bits(0.8)) ** bits) ** len(masks) >= near_copies.RECALL
+        assert classes / 2**bits <= 4
