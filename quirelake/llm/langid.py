@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BITS, ALPHA, PENALTY, ROUNDS, FOLDS = 15, 0.5, 3.0, 8, 5
+BITS, ALPHA, PENALTY, ROUNDS, TOLERANCE, FOLDS = 15, 0.5, 3.0, 60, 1e-3, 5
 BLOCK = 1 << 21
 UNKNOWN = "und"
 
@@ -77,16 +77,28 @@ class Mixture:
 
     def infer(self, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Proportions (texts x languages) of the chosen sets; found: classes and their counts of texts with at least one trigram."""
-        starts = np.cumsum([0, *(len(c) for c, _ in found[:-1])])
-        own = np.repeat(np.arange(len(found)), [len(c) for c, _ in found])
+        length = np.array([len(c) for c, _ in found])
+        starts = np.cumsum([0, *length[:-1]])
+        own = np.repeat(np.arange(len(found)), length)
         p, n = self.p[np.concatenate([c for c, _ in found])], np.concatenate([k for _, k in found]).astype(np.float64)
         total = np.add.reduceat(n, starts)
 
-        def rounds(share: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-            for _ in range(k):
-                w = p * share[own]
-                w *= (n / w.sum(axis=1))[:, None]
-                share = np.add.reduceat(w, starts, axis=0) / total[:, None]
+        def rounds(share: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+            """Settled proportions and their log-likelihood."""
+            share, open_ = share.copy(), np.arange(len(found))
+            at, rows, begin = slice(None), own, starts
+            for _ in range(most):
+                w = p[at] * share[rows]
+                w *= (n[at] / w.sum(axis=1))[:, None]
+                new = np.add.reduceat(w, begin, axis=0) / total[open_][:, None]
+                moving = np.abs(new - share[open_]).max(axis=1) >= TOLERANCE
+                share[open_] = new
+                if not moving.any():
+                    break
+                if not moving.all():
+                    open_ = open_[moving]
+                    at = np.concatenate([np.arange(starts[i], starts[i] + length[i]) for i in open_])
+                    rows, begin = own[at], np.cumsum([0, *length[open_][:-1]])
             return share, np.add.reduceat(n * np.log((p * share[own]).sum(axis=1)), starts)
 
         full, _ = rounds(np.full((len(found), len(self.langs)), 1 / len(self.langs)), ROUNDS)
@@ -94,7 +106,7 @@ class Mixture:
         best, best_value = None, None
         for k in range(1, len(self.langs) + 1):
             share = np.where(place < k, full + 1e-12, 0.0)
-            share, value = rounds(share / share.sum(axis=1, keepdims=True), 0 if k == 1 else 2)
+            share, value = rounds(share / share.sum(axis=1, keepdims=True), 0 if k == 1 else ROUNDS)
             value = value - PENALTY * 0.5 * (k - 1) * np.log(total)
             if best is None:
                 best, best_value = share, value

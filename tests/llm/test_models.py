@@ -188,3 +188,52 @@ def test_mixture_of_five_languages_in_any_batch():
     # A text's choice doesn't hang on its neighbours.
     texts = [found(" ".join(words(letters[i], rng.randint(1, 6)) for i in rng.sample(range(5), k))) for k in (1, 2, 3, 4, 5) for _ in range(12)]
     assert np.array_equal(model.infer(texts), np.concatenate([model.infer([t]) for t in texts]))
+
+
+def brute_inference(model, x):
+    """Settled EM over every set of languages; the best by penalised likelihood."""
+    from itertools import combinations
+
+    import numpy as np
+
+    at, n = x
+    best = None
+    for k in range(1, len(model.langs) + 1):
+        for langs in combinations(range(len(model.langs)), k):
+            p, share = model.p[at][:, langs], np.full(k, 1 / k)
+            for _ in range(3000):
+                w = p * share
+                new = ((n / w.sum(axis=1))[:, None] * w).sum(axis=0) / n.sum()
+                if np.abs(new - share).max() < 1e-9:
+                    break
+                share = new
+            value = (n * np.log((p * share).sum(axis=1))).sum() - langid.PENALTY * 0.5 * (k - 1) * np.log(n.sum())
+            if best is None or value > best[0]:
+                best = (value, langs, share)
+    return best
+
+
+def test_mixture_matches_brute_force_over_all_sets():
+    import numpy as np
+
+    rng = random.Random(12)
+    count_of = lambda t: np.bincount(langid.trigrams(t), minlength=1 << langid.BITS)
+    found = lambda t: (lambda x: (np.flatnonzero(x), x[np.flatnonzero(x)]))(count_of(t))
+    words = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 7))) for _ in range(n))
+    letters = ["abcdefg", "efghijk", "ijklmno", "mnopqra"]  # neighbours share letters
+    model = langid.Mixture(["l0", "l1", "l2", "l3"], np.stack([count_of(words(x, 2000)) for x in letters], axis=1))
+    texts = [found(" ".join(words(letters[i], rng.randint(2, 40)) for i in rng.sample(range(4), k))) for k in (1, 1, 2, 3, 4) for _ in range(24)]
+    same = 0
+    for x, share in zip(texts, model.infer(texts)):
+        value, langs, want = brute_inference(model, x)
+        assert abs(share.sum() - 1) < 1e-9
+        same += set(np.flatnonzero(share > 1e-6)) == set(langs) and np.abs(share[list(langs)] - want).max() < 0.02
+    assert same >= 0.95 * len(texts), same
+
+
+def test_langid_clashing_columns_ties_and_repeats(spark):
+    docs = spark.createDataFrame([(1, "aa bb", "en", "x", True), (1, "aa bb", "en", "x", True), (2, "aa bb", "de", "y", None), (3, "aa bb " * 400_000, "de", "y", None)], "doc_id long, text string, lang string, lang_pred string, held_out boolean")
+    got = langid.identified(docs)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and got.count() == 4
+    rows = got.collect()
+    assert {r.lang_pred for r in rows} <= {"en", "de"} and all(0 < r.score <= 1 for r in rows)
