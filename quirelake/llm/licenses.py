@@ -1,13 +1,17 @@
 """License scan: a trained window classifier, confirmed by templates.
 
 A paragraph is a line; lines without a blank line between them are a block, read as one run of words, as licence texts wrap over lines. Overlapping windows of SIZES words of
-each block go through a multinomial logistic regression of hashed word 1-, 2- and 3-grams over the licence families and a class `unknown`. It is trained on the template
-sentences of the families, varied by rule (framing, numbers, dropped and added words), on pieces of them amid corpus words, and against lines and windows of a bounded sample of
+each block go through a multinomial logistic regression of hashed word 1-, 2- and 3-grams over the licence families, a class for other licences and one for text that is no licence. It is trained on the template
+passages of the families, varied by rule (framing, numbers, dropped and added words), on pieces of them amid corpus words, on the OTHERS in the same ways, and against lines and windows of a bounded sample of
 the corpus. A temperature fitted on examples kept out of training calibrates the probabilities. Windows that look like any licence are joined over gaps of up to GAP words, and
 the templates are compared with the whole joined stretch: a template counts where CONFIRM of its word shingles stand together. Where templates of several families overlap (agpl,
 gpl and lgpl share their wording), the one with the largest similarity, then the most shingles, then the largest probability stays. Neighbouring finds of one family are one passage.
 
-Sample. The negatives come from SAMPLE documents, those with the least hashed ids; a paragraph that holds a template is left out of them. All else reads all rows and whole texts.
+Licences of unknown family. A stretch without any confirmed template is the passage of an `unknown-licence` where a run of windows is a licence with a probability of SURE or more and the run holds TERMS different
+legal terms: wording of a licence that no template has. Its similarity is the largest share of any template's shingles.
+
+Sample. The negatives come from SAMPLE documents, those with the least hashed ids of the ones with up to LONGEST bytes, cut into pieces of PIECE words, NEGATIVES of them at most; a piece that holds a template or LEGAL
+terms like a licence's is left out. All else reads all rows and whole texts. The corpus is read once for the ids, once for these texts and once for the scan; trained() can be called once and its model given to several scans.
 
 Nulls and edge cases. A null or empty text has no paragraph and no licence. Blank lines aren't paragraphs and end a passage. Equal finds go to the family that comes first by name.
 Without any document the negatives are the templates' words shuffled. Repeated rows each get their row. An empty table gives an empty result. Columns other than id and text aren't read.
@@ -24,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BITS, SAMPLE, NEGATIVES, CONFIRM, LEAST, WIDTH = 16, 400, 4000, 0.8, 0.5, 5
+BITS, SAMPLE, LONGEST, PIECE, NEGATIVES, CONFIRM, LEAST, WIDTH = 16, 400, 1 << 16, 400, 4000, 0.8, 0.5, 5
+#: Least probability and number of legal terms of an unknown licence.
+SURE, TERMS = 0.9, 3
 #: Words of a window (each starts half its size after the one before), and of the gaps over which windows and finds are joined.
 SIZES, GAP = (8, 16, 32), 16
 #: Words of a long text that are classified at a time.
 BLOCK = 1 << 16
-UNKNOWN = "unknown"
+OTHER, NONE, UNKNOWN_LICENCE = "other", "none", "unknown-licence"
+#: Beginnings of words that licences are made of (fixed values).
+LEGAL = [b"licen", b"copyright", b"permi", b"redistribut", b"warrant", b"liab", b"royalt", b"sublicen", b"grant", b"notice", b"patent", b"disclaim"]
 
 #: Sentences of public licences and their usual notices, by family (fixed values).
 TEMPLATES = {
@@ -44,7 +52,20 @@ TEMPLATES = {
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
         "SPDX-License-Identifier: Apache-2.0",
     ],
+    "apache-1.1": [
+        "The end-user documentation included with the redistribution, if any, must include the following acknowledgment: This product includes software developed by the Apache Software Foundation",
+        "The names Apache and Apache Software Foundation must not be used to endorse or promote products derived from this software without prior written permission",
+        "licensed under the Apache Software License, Version 1.1",
+    ],
+    "boost-1.0": [
+        "Distributed under the Boost Software License, Version 1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
     "bsd": [
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
         "released under the BSD License",
@@ -59,6 +80,10 @@ TEMPLATES = {
         "licensed under CC BY-NC 4.0",
         "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     ],
+    "cc-by-nd": [
+        "licensed under CC BY-ND 4.0",
+        "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    ],
     "cc-by-sa": [
         "licensed under CC BY-SA 4.0",
         "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
@@ -67,6 +92,11 @@ TEMPLATES = {
         "dedicated to the public domain under CC0 1.0 Universal",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     ],
+    "epl-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+        "licensed under the Eclipse Public License, version 2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
     "gpl": [
         "licensed under the GNU General Public License, version 3",
         "licensed under the GNU General Public License, version 2",
@@ -86,7 +116,9 @@ TEMPLATES = {
         "released under the MIT License",
         "licensed under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE",
         "SPDX-License-Identifier: MIT",
     ],
     "mpl-2.0": [
@@ -97,8 +129,24 @@ TEMPLATES = {
         "This is free and unencumbered software released into the public domain",
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
     ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software",
+    ],
 }
-FAMILIES = [*sorted(TEMPLATES), UNKNOWN]
+#: Sentences in the manner of licences that have no family above, public ones and house licences (fixed values).
+OTHERS = [
+    "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",
+    "You may Distribute verbatim copies of the Source form of the Standard Version of this Package in any medium without restriction, provided that you duplicate all of the original copyright notices and associated disclaimers",
+    "The Font Software may be modified, altered, or added to, and may only be renamed if the fonts are not sold by themselves; any derivative must be licensed under the same license and include this copyright notice",
+    "The Licensor hereby grants You a worldwide, royalty-free, non-exclusive, sublicensable licence to use the Work in any circumstance and for all usage, for the duration of copyright vested in the Work",
+    "This license does not grant permission to use the trade names, trademarks, service marks, or product names of the Licensor, and no patent license is granted herein",
+    "Subject to the terms of this agreement, we grant you a limited, revocable, non-transferable license to install the program on one computer; you may not redistribute, rent or sublicense it, and no warranty is given",
+    "Provided that this notice is retained in full, permission is granted to make and distribute copies of this manual for any noncommercial purpose, and the publisher disclaims all liability",
+    "By using this data you accept the license: attribution is required, copies must carry the copyright notice, and the rights granted end upon breach of any condition of this licence",
+    "All rights reserved. No part of this work may be copied or distributed without written permission of the copyright holder; use is at your own risk and without warranty of any kind",
+]
+FAMILIES = [*sorted(TEMPLATES), OTHER, NONE]
 _TOKEN = re.compile(rb"\n|[0-9a-z\x80-\xff]+")
 _END = np.uint64(crc32(b"\n"))
 #: Neither a hash nor a bigram of one crosses a line.
@@ -257,14 +305,19 @@ class Classifier:
         return self
 
 
+def legal_terms(words: list[bytes]) -> int:
+    """How many of LEGAL begin some of the words."""
+    return sum(any(w.startswith(t) for w in words) for t in LEGAL)
+
+
 def training(negatives: list[list[bytes]], seed: int = 5) -> list[tuple[list[bytes], int]]:
-    """Lines with their family: varied templates, and negatives."""
+    """Lines with their class: varied templates and other licences' sentences, and negatives."""
     rng = np.random.default_rng(seed)
     frames = [("", ""), ("this work is ", ""), ("this software is ", " see the license file for details"), ("copyright 2019 the authors ", ""), ("# ", " all rights reserved"), ("the code is ", " unless stated otherwise")]
     out = []
-    plain = [w for n in negatives[:200] for w in n] or [b"lorem", b"ipsum", b"dolor"]
+    plain = [w for n in negatives for w in n] or [b"lorem", b"ipsum", b"dolor"]
     for y, family in enumerate(FAMILIES[:-1]):
-        for text in TEMPLATES[family]:
+        for text in OTHERS if family == OTHER else TEMPLATES[family]:
             for a, b in frames:
                 for k in range(4):
                     words = tokens(a + text + b)
@@ -303,14 +356,12 @@ def lines_of(text: str) -> list[list[bytes]]:
 def trained(docs: DataFrame, sample: int = SAMPLE, negatives: int = NEGATIVES) -> Classifier:
     """Classifier whose negatives come from `sample` rows of docs (doc_id, text), at most `negatives` lines."""
     # First the ids' hashes alone: what tasks send to the driver must not grow with their number times texts.
-    hashed = docs.where("text IS NOT NULL").withColumn("__h", F.xxhash64("doc_id"))
+    hashed = docs.where("text IS NOT NULL").where(F.octet_length("text") <= LONGEST).withColumn("__h", F.xxhash64("doc_id"))
     last = hashed.select("__h").orderBy("__h").limit(sample).agg(F.max("__h")).first()[0]
     rows = hashed.where(F.col("__h") <= last).orderBy("__h", "text").limit(sample).select("text").collect() if last is not None else []
-    held = []
-    for line in (x for r in rows for x in lines_of(r.text)):
-        if len(held) < negatives and not any(similarity(line, f) >= CONFIRM for f in TEMPLATES):
-            held.append(line[:400])
-    return Classifier().fit(training(held))
+    pieces = (line[i : i + PIECE] for r in rows for line in lines_of(r.text) for i in range(0, len(line), PIECE))
+    held = [p for p in pieces if legal_terms(p) < TERMS and not any(similarity(p, f) >= CONFIRM for f in TEMPLATES)]
+    return Classifier().fit(training(held[:negatives]))
 
 
 def _windows(edge: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -326,6 +377,15 @@ def _windows(edge: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(begin), np.concatenate(end)
 
 
+def unknown(words: list[bytes], begin: np.ndarray, end: np.ndarray, p: np.ndarray) -> tuple[int, int, float] | None:
+    """(first word, word after the last, probability) of the windows that are surely a licence's, if together they hold enough legal terms."""
+    sure = (p >= SURE) & (end - begin > SIZES[0])  # a few words alone say too little
+    if not sure.any():
+        return None
+    i, j = int(begin[sure].min()), int(end[sure].max())
+    return (i, j, float(p[sure].max())) if legal_terms(words[i:j]) >= TERMS else None
+
+
 def scan(model: Classifier, text: str, least: float = LEAST, confirm: float = CONFIRM) -> tuple[int, list[dict]]:
     """(number of paragraphs, confirmed passages with family, lines [first, last], probability and similarity) of a whole text."""
     words, line, edge, n_lines, blank = [], [], [], 0, True
@@ -345,7 +405,8 @@ def scan(model: Classifier, text: str, least: float = LEAST, confirm: float = CO
     begin, end = begin[order], end[order]
     part = [*np.searchsorted(begin, np.arange(0, len(words), BLOCK)), len(begin)]
     p = np.concatenate([model.proba(model.windows(words[k * BLOCK : (k + 1) * BLOCK + SIZES[-1]], begin[i:j] - k * BLOCK, end[i:j] - k * BLOCK)) for k, (i, j) in enumerate(zip(part, part[1:]))])
-    hit = np.flatnonzero(1 - p[:, -1] >= least)
+    licence = 1 - p[:, -1]
+    hit = np.flatnonzero(licence >= least)
     # Joined stretches of one block each, with a margin for a template's ends.
     stretches: list[list[int]] = []
     block = np.searchsorted(edge, begin[hit], side="right") - 1
@@ -364,6 +425,10 @@ def scan(model: Classifier, text: str, least: float = LEAST, confirm: float = CO
             return float(p[over, FAMILIES.index(x[2])].max()) if len(over) else 0.0
 
         finds = [(x, probability(x)) for x in confirmed(words[a:b], confirm)]
+        if not finds and (found := unknown(words, begin[near], end[near], licence[near])):
+            i, j, q = found
+            best = max(similarity(words[i:j], f) for f in TEMPLATES)
+            out.append({"family": UNKNOWN_LICENCE, "first_line": line[i], "last_line": line[j - 1], "probability": q, "similarity": best})
         finds.sort(key=lambda f: (-f[0][0], -f[0][1], -f[1], f[0][2]))
         kept: list[tuple[tuple, float]] = []
         for f in finds:
