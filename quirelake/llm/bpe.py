@@ -2,7 +2,7 @@
 
 The merging is done by the tokenizers library over Arrow batches. A text is first cut where a match of the pattern surely begins: before a space that is followed by a character
 other than white space, before what follows white space, and between a leading run of Latin letters or digits and an ASCII sign; matches never cross such a place, so the pieces can be encoded one by one, each match of the pattern in
-them separately, and pieces met again come from a bounded table of the worker. Ids are turned back through the reversed byte table: a token's characters
+them separately, and pieces met again come from a bounded table of the worker. These cuts hold for the pattern of vocabulary() alone; with any other pattern whole texts are encoded. Ids are turned back through the reversed byte table: a token's characters
 stand for bytes, the bytes of all tokens are joined and only the joined bytes are read as UTF-8, so characters split between tokens come back whole.
 
 Vocabulary and merges come from the rank file, whose path is a parameter; merges are restored from the ranks: the two parts of a token are those at which merging by rank of its bytes stops just before it.
@@ -77,6 +77,7 @@ class Bpe:
         self.bytes: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for t, i in vocab.items():
             self.bytes[i] = bytes(byte[c] for c in t)
+        self.cuts = pattern == known_pattern()
         self.held: dict[str, tuple[tuple[int, ...], str]] = {}
         self.before: dict[str, tuple[tuple[int, ...], str]] = {}
 
@@ -85,6 +86,9 @@ class Bpe:
 
     def pieces(self, text: str) -> list[tuple[tuple[int, ...], str]]:
         """(ids, the ids as text) of each piece of a whole text."""
+        if not self.cuts:
+            ids = tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            return [(ids, " ".join(map(str, ids)))] if ids else []
         found = _PIECE.findall(text)
         new = set(found).difference(self.held)
         if len(self.held) + len(new) > PIECES // 2:
@@ -122,6 +126,15 @@ def bpe(path: str, pattern: str) -> Bpe:
     return Bpe(path, pattern)
 
 
+def known_pattern() -> str | None:
+    """The pattern that _PIECE was made for, where its library is there."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return None
+    return public_tokenizers.PATTERN
+
+
 def vocabulary() -> tuple[str, str]:
     import public_tokenizers
 

@@ -140,6 +140,18 @@ def test_bpe_with_a_full_table_of_pieces(monkeypatch):
     assert not coder.held and not coder.before
 
 
+def test_bpe_with_another_pattern_clashing_columns_and_repeats(spark):
+    import tiktoken
+
+    path, _ = bpe.vocabulary()
+    pattern = r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+    other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    texts = ["x!\n\ny", "one.\n\ntwo", "a  b\tc 12345", "", "É's über—naïve\r\n"] * 3
+    docs = spark.createDataFrame([(i // 2, t, "n", [1]) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string, ids array<int>")
+    got = sorted((r.doc_id, tuple(r.ids)) for r in bpe.encoded(docs, path, pattern).collect())
+    assert got == sorted((i // 2, tuple(other.encode_ordinary(t))) for i, t in enumerate(texts))
+
+
 CONVERSATIONS = {
     1: [("user", "hi # <b>"), ("assistant", "a\\b </turn>\n")],
     2: [("user", "hi # <b>"), ("assistant", "other")],
