@@ -6,6 +6,7 @@ by the stage that uses it. The classical ones here stand in for models: backgrou
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import numpy as np
@@ -58,7 +59,35 @@ def repeat(scale: int = 2, **_) -> Callable[[Page], Page]:
     return lambda page: page.repeat(scale, axis=0).repeat(scale, axis=1)
 
 
+@register("sr", "cubic")
+def cubic(scale: int = 2, **_) -> Callable[[Page], Page]:
+    """Four times as large by cubic interpolation, then down to `scale` by Lanczos."""
+    from ..operators.pageimage import resize
+
+    def run(page: Page) -> Page:
+        h, w = page.shape[:2]
+        large = resize(page, 4 * h, 4 * w, "cubic")
+        return large if scale == 4 else resize(large, scale * h, scale * w, "lanczos")
+
+    return run
+
+
+def weights(name: str, folders: list[str]) -> str:
+    """Path of a model's file in the first folder that has it."""
+    for folder in folders:
+        if os.path.isfile(path := os.path.join(folder, name)):
+            return path
+    raise FileNotFoundError(f"{name} is in none of {folders}")
+
+
 def enhanced(pages: DataFrame, restore: str = "none", sr: str = "none", **parameters) -> DataFrame:
-    """Pages (page, h, w, data) through both stages; names are checked before any page is read."""
-    stages = [create("restore", restore, **parameters), create("sr", sr, **parameters)]
-    return raster.on_pages(pages, lambda page: stages[1](stages[0](page)))
+    """Pages (page, h, w, data) through both stages; names are checked before any page is read, and each task makes its own stages once."""
+    for stage, name in (("restore", restore), ("sr", sr)):
+        if (stage, name) not in REGISTRY:
+            create(stage, name)  # says which there are
+
+    def stages() -> Callable[[Page], Page]:
+        first, second = create("restore", restore, **parameters), create("sr", sr, **parameters)
+        return lambda page: second(first(page))
+
+    return raster.on_pages(pages, make=stages)

@@ -64,16 +64,33 @@ def adaptive(img: np.ndarray, k: int, c: float) -> np.ndarray:
     return img <= np.round(gaussian(img, k)) - c
 
 
+def box_sum(img: np.ndarray, k: int) -> np.ndarray:
+    """Sums over k x k windows that lie within the page, by running sums."""
+    upto = np.zeros((img.shape[0] + 1, img.shape[1] + 1), np.int64)
+    np.cumsum(np.cumsum(img, axis=0, dtype=np.int64), axis=1, out=upto[1:, 1:])
+    return upto[k:, k:] - upto[:-k, k:] - upto[k:, :-k] + upto[:-k, :-k]
+
+
 def median(img: np.ndarray, k: int) -> np.ndarray:
-    """Median over k x k (k odd; 0 or 1 leaves the page), edge pixels going on; rows are taken in strips to bound memory."""
+    """Median over k x k (k odd; 0 or 1 leaves the page), edge pixels going on; rows are taken in strips to bound memory. Large windows go by counts of the levels, whatever k."""
     if k < 2:
         return img
     r = k // 2
     pad = np.pad(img, r, mode="edge")
     out = np.empty_like(img)
-    for y in range(0, len(img), 16):
-        strip = pad[y : min(y + 16, len(img)) + 2 * r]
-        out[y : y + 16] = np.median(np.lib.stride_tricks.sliding_window_view(strip, (k, k)), axis=(2, 3)).astype(img.dtype)
+    step = 16 if k < 9 else 512
+    for y in range(0, len(img), step):
+        strip = pad[y : min(y + step, len(img)) + 2 * r]
+        if k < 9:
+            out[y : y + step] = np.median(np.lib.stride_tricks.sliding_window_view(strip, (k, k)), axis=(2, 3)).astype(img.dtype)
+            continue
+        left = np.ones((len(strip) - 2 * r, img.shape[1]), bool)
+        for level in np.unique(strip):
+            now = left & (box_sum(strip <= level, k) > k * k // 2)
+            out[y : y + step][now] = level
+            left &= ~now
+            if not left.any():
+                break
     return out
 
 
@@ -134,17 +151,18 @@ def split_layers(img: np.ndarray, scale: int = 2, denoise: int = 0) -> tuple[byt
     return zlib.compress(pack_bits(ink), 6), zlib.compress(small.tobytes(), 6)
 
 
-def on_pages(pages: DataFrame, f: Callable[[np.ndarray], np.ndarray | bytes]) -> DataFrame:
-    """f applied to the page of each row; the result replaces data, and h and w if it is a page of another size."""
+def on_pages(pages: DataFrame, f: Callable[[np.ndarray], np.ndarray | bytes] | None = None, make: Callable[[], Callable] | None = None) -> DataFrame:
+    """f, or what make() gives in each task, applied to the page of each row; the result replaces data, and h and w if it is a page of another size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f_ = f or make()
         for b in batches:
             out = []
             for page, h, w, data in zip(*(c.to_pylist() for c in b.columns)):
                 if data is None or h is None or w is None or len(data) < h * w:
                     out.append((page, h, w, None))
                     continue
-                got = f(np.frombuffer(data, np.uint8, h * w).reshape(h, w))
+                got = f_(np.frombuffer(data, np.uint8, h * w).reshape(h, w))
                 out.append((page, h, w, got) if isinstance(got, bytes) else (page, *got.shape, got.astype(np.uint8).tobytes()))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["page", "h", "w", "data"])
