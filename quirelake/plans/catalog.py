@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jobs, pages, pixels, texts  # noqa: F401  they register their queries
+from . import jobs, mosaics, pages, pixels, texts  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 

@@ -90,3 +90,34 @@ def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOG_SQL = """lg AS (SELECT user_id AS job, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INTEGER AS seq, event_id, event_type,
   CASE event_type WHEN 'signup' THEN 'plan: pages ' || k WHEN 'view' THEN 'OCR ' || k || '/100' WHEN 'click' THEN 'page ' || k || '/100 done' WHEN 'purchase' THEN 'rebuild pdf' ELSE 'total time' END AS line
   FROM (SELECT *, coalesce(json_extract_string(props, '$.k'), '0') AS k FROM events))"""
+
+
+#: Side of the mosaic pages of F3.
+MOSAIC = 32
+
+
+def mosaic_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 pages of F1 as the tiles of one page of 32 x 32, through the tone map of that page; incomplete pages are left out."""
+    px = gray_pixels(spark, sf_dir).where(F.col("page").isNotNull())
+    tile = F.pmod(F.col("page"), F.lit(16))
+    at = px.select(F.floor(F.col("page") / 16).alias("page"), (F.floor(tile / 4) * SIDE + F.col("y")).cast("int").alias("y"), (tile % 4 * SIDE + F.col("x")).cast("int").alias("x"), "gray")
+    whole = at.groupBy("page").count().where(F.col("count") == MOSAIC * MOSAIC).select("page")
+    return at.join(whole, "page", "left_semi").select("page", "y", "x", *[F.expr(_tone(i)).alias(c) for i, c in enumerate("bgr")])
+
+
+def mosaic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 as page rows (page, h, w, data)."""
+    import pyarrow as pa
+
+    def page(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("y", "ascending"), ("x", "ascending")])
+        data = bytes(v for p in zip(*(rows.column(c).to_pylist() for c in "bgr")) for v in p)
+        return pa.table({"page": rows.column("page")[:1], "h": pa.array([MOSAIC], pa.int32()), "w": pa.array([MOSAIC], pa.int32()), "data": pa.array([data], pa.binary())})
+
+    return mosaic_pixels(spark, sf_dir).groupBy("page").applyInArrow(page, "page long, h int, w int, data binary")
+
+
+MOSAIC_SQL = GRAY_SQL + f""", mz AS (SELECT page // 16 AS page, ((page % 16) // 4 * 8 + y)::INTEGER AS y, (page % 16 % 4 * 8 + x)::INTEGER AS x, gray FROM px),
+mw AS (SELECT page FROM mz GROUP BY page HAVING count(*) = 1024),
+mb AS (SELECT page, y, x, {_tone(0)} AS b, {_tone(1)} AS g, {_tone(2)} AS r FROM mz SEMI JOIN mw USING (page)),
+mc AS (SELECT *, ((114 * b + 587 * g + 299 * r) // 1000)::INTEGER AS gray, greatest(b, g, r) AS hi, greatest(b, g, r) - least(b, g, r) AS spread FROM mb)"""

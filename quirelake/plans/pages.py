@@ -201,17 +201,18 @@ def ink_extremes(spark, sf_dir):
     return rows.groupBy("book").agg(F.min("ink").alias("least_ink"), F.min_by("page", F.struct("ink", "page")).alias("least_page"), F.max("ink").alias("most_ink"), F.count_if(F.col("ink") > 0.9).alias("black"))
 
 
-@query("filter_census", _P + " SELECT a.ptype AS filter_a, b.ptype AS filter_b, count(*) AS pages FROM pg a JOIN pg b ON a.book = b.book AND b.page = a.page + 1 GROUP BY a.ptype, b.ptype")
+@query("filter_census", _P + ", b AS (SELECT book, page, CASE WHEN page % 5 = 0 THEN 'gray-image' ELSE ptype END AS ptype FROM pg WHERE page % 7 <> 0) SELECT a.ptype AS filter_a, b.ptype AS filter_b, count(*) AS pages FROM pg a JOIN b ON a.book = b.book AND b.page = a.page GROUP BY a.ptype, b.ptype")
 def filter_census(spark, sf_dir):
-    a = page_rows(spark, sf_dir).select("book", "page", F.col("ptype").alias("filter_a"))
-    b = a.select("book", (F.col("page") - 1).alias("page"), F.col("filter_a").alias("filter_b"))
-    return a.join(b, ["book", "page"]).groupBy("filter_a", "filter_b").agg(F.count("*").alias("pages"))
+    """Pairs of encodings of the same page in two files, the second with other encodings and without some pages."""
+    pages = page_rows(spark, sf_dir).select("book", "page", F.col("ptype").alias("filter_a"))
+    other = pages.where("page % 7 <> 0").select("book", "page", F.when(F.col("page") % 5 == 0, "gray-image").otherwise(F.col("filter_a")).alias("filter_b"))
+    return pages.join(other, ["book", "page"]).groupBy("filter_a", "filter_b").agg(F.count("*").alias("pages"))
 
 
-@query("black_page_probe", _P + f" SELECT book, bool_or({_PAINT} > 0.85) AS rebuild FROM pg GROUP BY book")
+@query("black_page_probe", _P + f" SELECT book, bool_or({_PAINT} > 0.95) AS rebuild FROM pg GROUP BY book")
 def black_page_probe(spark, sf_dir):
     ink = F.when(F.col("page") % 2 == 0, 1 - F.col("px_w") / 2300.0).otherwise(F.col("px_w") / 2300.0)
-    return page_rows(spark, sf_dir).groupBy("book").agg(F.bool_or(ink > 0.85).alias("rebuild"))
+    return page_rows(spark, sf_dir).groupBy("book").agg(F.bool_or(ink > 0.95).alias("rebuild"))
 
 
 # -- names ------------------------------------------------------------------------------------------------------------

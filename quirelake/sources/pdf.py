@@ -161,13 +161,14 @@ def write_files(pages: DataFrame, uri: str, interpolate: bool = False) -> DataFr
 
 
 def write_books(pages: DataFrame) -> DataFrame:
-    """book, n_pages and pdf for pages (book, page, width_pt, height_pt, kind, w, h, data)."""
+    """book, n_pages and pdf for pages (book, page and what Writer.page() takes): for books that fit in memory; write_files() is for any size."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("page").to_dict("records")
         return pd.DataFrame({"book": [rows[0]["book"]], "n_pages": [len(rows)], "pdf": [assemble(rows)]})
 
-    return pages.select("book", "page", "width_pt", "height_pt", "kind", "w", "h", "data").groupBy("book").applyInPandas(one, "book long, n_pages int, pdf binary")
+    kept = ["book", "page", "width_pt", "height_pt", "kind", "w", "h", "data", *(c for c in ("filter", "channels", "layers", "mask_w", "mask_h", "spans") if c in pages.columns)]
+    return pages.select(*kept).groupBy("book").applyInPandas(one, "book long, n_pages int, pdf binary")
 
 
 def _objects(pdf: bytes) -> tuple[dict[int, bytes], list[int]]:
