@@ -161,9 +161,7 @@ def _weights(kind: str, t: np.ndarray) -> np.ndarray:
     if kind == "cubic":  # Keys' kernel with a = -0.75
         a = -0.75
         return np.select([t <= 1, t < 2], [(a + 2) * t**3 - (a + 3) * t**2 + 1, a * t**3 - 5 * a * t**2 + 8 * a * t - 4 * a], 0.0)
-    if kind == "lanczos":
-        return np.where(t < 4, np.sinc(t) * np.sinc(t / 4), 0.0)
-    raise ValueError(f"no kernel {kind!r}")
+    return np.where(t < 4, np.sinc(t) * np.sinc(t / 4), 0.0)  # lanczos
 
 
 REACH = {"linear": 1, "cubic": 2, "lanczos": 4}
@@ -171,6 +169,8 @@ REACH = {"linear": 1, "cubic": 2, "lanczos": 4}
 
 def _taps(old: int, new: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Source places and weights (new x taps) along one side; places beyond the edge are the edge's."""
+    if kind not in REACH:
+        raise ValueError(f"no kernel {kind!r}; there are {sorted(REACH)}, nearest and area")
     at = (np.arange(new) + 0.5) * old / new - 0.5
     first = np.floor(at).astype(int) - REACH[kind] + 1
     place = first[:, None] + np.arange(2 * REACH[kind])

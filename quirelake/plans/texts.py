@@ -158,3 +158,29 @@ def contact_sheet(spark, sf_dir):
     """Place on a sheet of six columns, in order within each source."""
     k = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
     return table(spark, sf_dir, "documents").select("doc_id", k.alias("k")).select("doc_id", F.floor(F.col("k") / 6).cast("int").alias("sheet_row"), (F.col("k") % 6).alias("sheet_col"))
+
+
+@query("pixel_rect", _S + "SELECT page, ln, 0::INTEGER AS px0, trunc(y0 * 1.7::DOUBLE)::INTEGER AS py0, trunc(x1 * 1.7::DOUBLE)::INTEGER AS px1, trunc(y1 * 1.7::DOUBLE)::INTEGER AS py1 FROM sp")
+def pixel_rect(spark, sf_dir):
+    """Boxes in points as whole pixels at scale 1.7, cut off towards zero."""
+    px = lambda c: (F.col(c) * 1.7).cast("int")
+    return spans(spark, sf_dir).select("page", "ln", F.lit(0).alias("px0"), px("y0").alias("py0"), px("x1").alias("px1"), px("y1").alias("py1"))
+
+
+@query("locate_first_hit", _S + ", h AS (SELECT page, ln, y0, contains(text, 'License') OR contains(text, 'license') AS hard FROM sp WHERE page % 10 BETWEEN 2 AND 6 AND contains(text, 'the') OR page % 10 BETWEEN 2 AND 6 AND (contains(text, 'License') OR contains(text, 'license'))) SELECT page // 10 AS book, arg_min(page, (NOT hard, page, ln)) AS page, arg_min(ln, (NOT hard, page, ln)) AS ln, bool_or(hard) AS hard FROM h GROUP BY page // 10")
+def locate_first_hit(spark, sf_dir):
+    """Within a slice of each book's pages, the first line with a sure keyword, or else the first with a weak one."""
+    hard = F.contains("text", F.lit("License")) | F.contains("text", F.lit("license"))
+    rows = spans(spark, sf_dir).where((F.col("page") % 10).between(2, 6)).select("page", "ln", hard.alias("hard"), F.contains("text", F.lit("the")).alias("weak")).where("hard OR weak")
+    best = F.min(F.struct((~F.col("hard")).alias("soft"), "page", "ln")).alias("best")
+    return rows.groupBy(F.floor(F.col("page") / 10).alias("book")).agg(best, F.bool_or("hard").alias("hard")).select("book", "best.page", "best.ln", "hard")
+
+
+@query("filter_names", "SELECT DISTINCT lang, CASE lang WHEN 'en' THEN 'JPEG' WHEN 'de' THEN 'JBIG2' WHEN 'fr' THEN 'Flate' WHEN 'es' THEN 'G4' ELSE 'none' END AS name FROM documents")
+def filter_names(spark, sf_dir):
+    """Short names of stream filters by a literal map."""
+    from ..sources.pdf import FILTERS
+
+    code = {"en": "DCTDecode", "de": "JBIG2Decode", "fr": "FlateDecode", "es": "CCITTFaxDecode"}
+    names = F.create_map(*[F.lit(x) for k, v in code.items() for x in (k, FILTERS[v])])
+    return table(spark, sf_dir, "documents").select("lang").distinct().select("lang", F.coalesce(names[F.col("lang")], F.lit("none")).alias("name"))

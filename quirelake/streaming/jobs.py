@@ -1,11 +1,12 @@
-"""Streams of job logs: stage, progress and the last lines of each job as keyed state, and page checkpoints that can be resumed.
+"""Streams of job logs and job requests: stage, progress and last lines of each job, the life of jobs under one serial consumer, and page checkpoints that can be resumed.
 
-State is bounded: one row and RING lines a job. A job without news for a day of processing time is given up.
+Lines may come late, repeated and in any order over batches: a line counts once, the stage is that of the line with the largest number that has one, progress is the largest of all lines. State is bounded: a row and
+RING lines a job; of numbers more than RING under the largest only repeats can't be told any more, and such lines don't count. A job without news for a day of processing time is given up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..plans.jobs import progress, stage
 
 RING = 4000
-_STATE = "seq long, stage string, progress double, lines array<string>"
+_STATE = "seq long, stage_seq long, stage string, progress double, n_lines long, numbers array<long>, lines array<string>"
 _OUT = "job long, seq long, stage string, progress double, n_lines long"
 
 
@@ -23,19 +24,23 @@ def _follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator
     if state.hasTimedOut:
         state.remove()
         return
-    seq, at, done, lines = state.get if state.exists else (-1, None, 0.0, [])
-    lines = list(lines)
-    for x in sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: r.seq):
-        if x.seq <= seq:  # a line that was delivered before
+    seq, stage_seq, at, done, n, numbers, lines = state.get if state.exists else (-1, -1, None, 0.0, 0, [], [])
+    held = dict(zip(numbers, lines))
+    for x in (r for b in batches for r in b.itertuples(index=False)):
+        number = int(x.seq)
+        if number in held or number <= seq - RING:
             continue
-        seq = int(x.seq)
-        at = x.stage if isinstance(x.stage, str) else at
-        done = max(done, x.progress if x.progress == x.progress and x.progress is not None else 0.0)
-        lines.append(x.line)
-    lines = lines[-RING:]
-    state.update((seq, at, float(done), lines))
+        held[number], seq, n = x.line, max(seq, number), n + 1
+        if isinstance(x.stage, str) and number > stage_seq:
+            stage_seq, at = number, x.stage
+        if x.progress is not None and x.progress == x.progress:
+            done = max(done, float(x.progress))
+        if len(held) > 2 * RING:
+            held = {k: held[k] for k in sorted(held)[-RING:]}
+    held = {k: held[k] for k in sorted(held)[-RING:]}
+    state.update((seq, stage_seq, at, float(done), n, list(held), list(held.values())))
     state.setTimeoutDuration(24 * 3600 * 1000)
-    yield pd.DataFrame({"job": [key[0]], "seq": [seq], "stage": [at], "progress": [done], "n_lines": [len(lines)]})
+    yield pd.DataFrame({"job": [key[0]], "seq": [seq], "stage": [at], "progress": [done], "n_lines": [min(n, RING)]})
 
 
 def job_progress(log: DataFrame) -> DataFrame:
@@ -57,3 +62,48 @@ def checkpoint_pages(pages: DataFrame, store: str, checkpoint: str):
         batch.write.mode("append").partitionBy("sig").parquet(store)
 
     return pages.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: What may follow each state of a job (fixed values).
+NEXT = {None: {"draft", "queued"}, "draft": {"queued"}, "queued": {"running", "stopped"}, "running": {"done", "error", "stopped"}, "done": {"queued"}, "error": {"queued"}, "stopped": {"queued"}}
+
+
+def _live(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    status, created, refused = state.get if state.exists else (None, None, 0)
+    for x in sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: r.at):
+        if x.status in NEXT[status]:
+            status, created = x.status, created if created is not None and status is not None else int(x.at)
+        else:
+            refused += 1
+    state.update((status, created, refused))
+    yield pd.DataFrame({"job": [key[0]], "status": [status], "created": [created], "refused": [refused]})
+
+
+def job_states(requests: DataFrame) -> DataFrame:
+    """Status, time of creation and number of refused steps of each job with news in a batch of the stream requests (job, at, status); a step that can't follow the present state is refused."""
+    rows = requests.select(F.col("job").cast("long"), F.col("at").cast("long"), "status")
+    return rows.groupBy("job").applyInPandasWithState(_live, "job long, status string, created long, refused long", "status string, created long, refused long", "update", GroupStateTimeout.NoTimeout)
+
+
+def serial_consumer(queued: DataFrame, work: Callable[[int], None], cancelled: Callable[[int], bool], checkpoint: str):
+    """Starts the one consumer of a stream of queued jobs (job, created): jobs run one after the other in order of creation, then number. One that is cancelled before its turn is left out; a job's work should ask
+    `cancelled` between its pages. A batch that fails is run again as a whole, so work must find out what is done (checkpoint_pages does). The jobs of a batch, numbers alone, come to the driver one partition at a time."""
+
+    def run(batch: DataFrame, _: int) -> None:
+        for r in batch.dropDuplicates(["job"]).orderBy("created", "job").toLocalIterator():
+            if not cancelled(r.job):
+                work(r.job)
+
+    return queued.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Cancelled(Exception):
+    """Raised between pages of a job that is to stop."""
+
+
+def until_cancelled(pages: Iterator, stop: Callable[[], bool]) -> Iterator:
+    """The pages, until stop() says so."""
+    for page in pages:
+        if stop():
+            raise Cancelled
+        yield page
