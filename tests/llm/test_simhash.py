@@ -183,4 +183,4 @@ def test_wide_index_gives_all_pairs_and_tables_reach_their_recall():
         masks = near_copies.tables(classes)
         bits = int(np.bitwise_count(masks[0]).sum())
         assert 1 - (1 - (1 - near_copies.share_of_bits(0.8)) ** bits) ** len(masks) >= near_copies.RECALL
-        assert classes / 2**bits <= 4
+        assert classes / 2**bits <= 1 / 16
