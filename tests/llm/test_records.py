@@ -5,7 +5,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quirelake.llm import bpe, chat, mixing, quality, topk, warc
@@ -20,7 +22,7 @@ def brute_measure(t):
     covered = {i + d for i, w in enumerate(windows) if k[w] > 1 for d in range(3)}
     lines = t.split("\n")
     dup = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) and x in lines[:i] for i, x in enumerate(lines))
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered), len(lines) if t else 0
 
 
 def test_quality_measures_and_hosts(spark):
@@ -38,6 +40,28 @@ def test_quality_measures_and_hosts(spark):
     assert quality.judged(df.limit(0)).count() == 0
 
 
+def test_quality_rejects_a_mixed_host_for_any_rule_that_stands_out(spark):
+    """Hosts of 60 documents each, of which some fail one rule; those of bad hosts go whole, those of the others by themselves."""
+    words = [f"w{i}" for i in range(60)]
+    good, symbols, lines = " ".join(words), " ".join(["<&>", *words, "#" * 40]), "\n".join([" ".join(words), *["same old line"] * 4, "end"])
+    few, again = "too few words", " ".join(["round and round"] * 30)
+    share = {"few": (few, 40), "again": (again, 39), "symbols": (symbols, 42), "lines": (lines, 45), "half": (symbols, 24), "some": (few, 12), "clean": (few, 0)}
+    rows = [(host, text if i < k else good) for host, (text, k) in share.items() for i in range(60)]
+    rows += [(f"ok{j}", few if i == j else good) for j in range(20) for i in range(60)] + [("small", few), ("small", good), (None, good)]
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    failing = {few, again}
+    for i, host, text in rows:
+        assert got[i].base_failed == (text in failing)
+        assert got[i].kept == (text not in failing and host not in ("few", "again", "symbols", "lines")), (host, got[i])
+
+    con = duckdb.connect()
+    documents = pa.table({c: [r[i] for r in rows] for i, c in enumerate(("doc_id", "source", "text"))})
+    con.register("documents", documents)
+    want = con.execute(quality.SQL).fetchall()
+    assert sorted(want) == sorted(tuple(r)[:-1] for r in got.values())
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(6)
     v = np.round(rng.normal(size=(300, 24)), 2)
