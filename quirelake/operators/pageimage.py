@@ -19,6 +19,8 @@ from .raster import dilate, ellipse, erode, opening
 
 #: Share of a page from which on a connected dark or coloured region is a figure, and the area under which a component is a speck (fixed values).
 FIGURE, SPECK = 0.004, 24
+#: By how much a gray figure is darker than paper, and the least deviation of its grays (fixed values).
+DARKER, UNEVEN = 35, 12
 BOX3, BOX7 = np.ones((3, 3), bool), np.ones((7, 7), bool)
 
 
@@ -106,6 +108,30 @@ def features(bgr: np.ndarray) -> tuple[str, float, float, float, float, float]:
     return page_class(*blobs, ratio), float(colour.mean()), ratio, float(mid.mean()), *blobs
 
 
+def blob_profile(mask: np.ndarray, gray: np.ndarray, most: int = 3) -> list[tuple[int, float, float, float, bool]]:
+    """The largest components of a mask (equal ones by their labels): area, mean gray, its deviation, how much darker than paper (the page's 90th percentile), and whether within a hundredth of the border (4 pixels at least)."""
+    label, ids, _ = areas(mask)
+    if not len(ids):
+        return []
+    y, x = np.nonzero(mask)
+    own = np.searchsorted(ids, label[mask])
+    v = gray[mask].astype(np.float64)
+    n = np.bincount(own)
+    mean = np.bincount(own, v) / n
+    std = np.sqrt(np.bincount(own, (v - mean[own]) ** 2) / n)
+    h, w = mask.shape
+    margin = max(4, min(h, w) // 100)
+    edge = np.bincount(own, (y <= margin) | (x <= margin) | (y >= h - margin - 1) | (x >= w - margin - 1)) > 0
+    paper = float(np.percentile(gray, 90))
+    top = np.lexsort((ids, -n))[:most]
+    return [(int(n[i]), float(mean[i]), float(std[i]), paper - float(mean[i]), bool(edge[i])) for i in top]
+
+
+def strict_class(colour_blob: float, blobs: list[tuple[int, float, float, float, bool]], text: float) -> str:
+    """page_class() where gray counts as a figure only if one of the blobs is clearly darker than paper and no flat wash."""
+    return page_class(colour_blob, float(any(b[3] > DARKER and b[2] > UNEVEN for b in blobs)), text)
+
+
 def figures(mask: np.ndarray) -> np.ndarray:
     """Components of FIGURE of the page or more, widened by a 9 x 9 ellipse."""
     label, ids, n = areas(mask)
@@ -247,3 +273,27 @@ def classified(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     return pages.select("page", "h", "w", "data").mapInArrow(run, FEATURES)
+
+
+BLOBS = "array<struct<area:long,mean:double,std:double,darkness:double,border:boolean>>"
+
+
+def diagnosed(pages: DataFrame) -> DataFrame:
+    """page, type, strict (the stricter class) and blobs (the three largest gray regions) of each page; null for pages that can't be read."""
+    blob = pa.struct([("area", pa.int64()), ("mean", pa.float64()), ("std", pa.float64()), ("darkness", pa.float64()), ("border", pa.bool_())])
+
+    def one(page: int, img: np.ndarray | None) -> tuple:
+        if img is None:
+            return page, None, None, None
+        gray = luma(img)
+        kind, _, text, _, colour, _ = features(img)
+        blobs = blob_profile(gray_masks(img, gray)[1], gray)
+        return page, kind, strict_class(colour, blobs, text), [dict(zip((f.name for f in blob), b)) for b in blobs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [one(page.as_py(), decode(data.as_py(), h.as_py(), w.as_py())) for page, h, w, data in zip(*b.columns)]
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(blob))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["page", "type", "strict", "blobs"])
+
+    return pages.select("page", "h", "w", "data").mapInArrow(run, f"page long, type string, strict string, blobs {BLOBS}")

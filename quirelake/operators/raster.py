@@ -132,6 +132,25 @@ def png_gray(rows: np.ndarray, width: int, bits: int = 1) -> bytes:
     return PNG + b"".join(png_chunk(k, body) for k, body in ((b"IHDR", head), (b"IDAT", zlib.compress(scan.tobytes())), (b"IEND", b"")))
 
 
+def png_ink(data: bytes) -> np.ndarray:
+    """Ink (black) of a 1-bit grayscale PNG whose rows use no filter, with all checksums tested."""
+    at, parts = len(PNG), {}
+    if data[:at] != PNG:
+        raise ValueError("no PNG file")
+    while at < len(data):
+        size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + size]
+        if png_chunk(kind, body) != data[at : at + 12 + size]:
+            raise ValueError(f"chunk {kind!r} is damaged")
+        parts[kind] = parts.get(kind, b"") + body
+        at += 12 + size
+    w, h = (int(v) for v in np.frombuffer(parts[b"IHDR"], ">u4", 2))
+    scan = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8).reshape(h, -1)
+    if parts[b"IHDR"][8:10] != b"\x01\x00" or scan[:, 0].any():
+        raise ValueError("not 1-bit gray, or rows with filters")
+    return unpack_bits(np.ascontiguousarray(scan[:, 1:]).tobytes(), w, h)
+
+
 def page_1bit(img: np.ndarray) -> bytes:
     """A text page as a 1-bit PNG through the local threshold (35, 15)."""
     packed = np.frombuffer(pack_bits(adaptive(img, 35, 15)), np.uint8)

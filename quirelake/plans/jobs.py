@@ -106,11 +106,6 @@ def dpi_param(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.when(raw.rlike(r"^\d+$"), raw.try_cast("int")).alias("dpi"))
 
 
-@query("verdict_confusion", "SELECT quality AS current_verdict, toxic AS strict_verdict, count(*) AS n FROM labels GROUP BY ALL")
-def verdict_confusion(spark, sf_dir):
-    return table(spark, sf_dir, "labels").groupBy(F.col("quality").alias("current_verdict"), F.col("toxic").alias("strict_verdict")).agg(F.count("*").alias("n"))
-
-
 @query("stage_backend", "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 4 = 0 THEN 'none' ELSE n_name END AS backend FROM nation")
 def stage_backend(spark, sf_dir):
     """A disabled stage has the backend none."""

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import encode as E
 from ..operators import pageimage as I
+from ..operators import raster
 from ..operators.raster import ellipse
 from ..sources import pdf
 from .fixtures import MOSAIC, MOSAIC_SQL, PAGES_SQL, mosaic_pages, page_rows
@@ -25,7 +27,9 @@ def _kernel(name: str, size: int) -> str:
 
 
 def _fold(out: str, fold: str, value: str, source: str, kernel: str) -> str:
-    return f"{out} AS (SELECT p.page, p.y, p.x, {fold}(q.{value}) AS {value} FROM {source} p, {kernel} k JOIN {source} q ON q.page = p.page AND q.y = p.y + k.dy AND q.x = p.x + k.dx GROUP BY p.page, p.y, p.x)"
+    """Tables of the places that a kernel reaches from each pixel, written out first so that they are joined by all their keys, and of the folded values."""
+    return f"""{out}_at AS MATERIALIZED (SELECT p.page, p.y, p.x, p.y + k.dy AS qy, p.x + k.dx AS qx FROM {source} p, {kernel} k),
+{out} AS MATERIALIZED (SELECT p.page, p.y, p.x, {fold}(q.{value}) AS {value} FROM {out}_at p JOIN {source} q ON q.page = p.page AND q.y = p.qy AND q.x = p.qx GROUP BY p.page, p.y, p.x)"""
 
 
 def _mirrored(c: str, d: str) -> str:
@@ -49,19 +53,53 @@ def mosaic_ratios(spark, sf_dir):
     return I.classified(mosaic_pages(spark, sf_dir)).select("page", "color_ratio", "text_ratio", "gray_ratio")
 
 
-@query("mosaic_classify")
+#: Components of a mask on mosaics: the least label spreads to all eight neighbours, in rounds that outlast any path in it. `tag` keeps the tables of several masks apart.
+def _spread(mask: str, source: str = "mc", tag: str = "") -> str:
+    return f"""on_{tag} AS MATERIALIZED (SELECT page, y, x, y * {MOSAIC} + x AS own FROM {source} WHERE {mask}),
+near{tag} AS MATERIALIZED (SELECT a.page, a.own, b.own AS other FROM on_{tag} a JOIN on_{tag} b ON b.page = a.page AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1),
+lab{tag}(i, page, own, label) AS (SELECT 0, page, own, own FROM on_{tag} UNION ALL
+  SELECT any_value(l.i) + 1, n.page, n.own, min(l.label) FROM near{tag} n JOIN lab{tag} l ON l.page = n.page AND l.own = n.other WHERE l.i < 160 GROUP BY n.page, n.own),
+ar{tag} AS MATERIALIZED (SELECT page, label, count(*) AS area FROM lab{tag} WHERE i = 160 GROUP BY page, label)"""
+
+
+_BOX7 = "(SELECT a.d AS dy, b.d AS dx FROM (SELECT unnest(range(-3, 4)) AS d) a, (SELECT unnest(range(-3, 4)) AS d) b)"
+_CONTENT = f"""inkm AS (SELECT page, y, x, (gray < 100)::INT AS i FROM mc), {_fold('nearink', 'max', 'i', 'inkm', _BOX7)},
+content AS (SELECT m.page, m.y, m.x, m.gray FROM mc m JOIN nearink n ON n.page = m.page AND n.y = m.y AND n.x = m.x WHERE n.i = 0 AND m.spread <= 12 AND m.gray > 40 AND m.gray < 220)"""
+_GRAY_CLASS = "CASE WHEN color_blob > 0.0008 THEN CASE WHEN text_ratio > 0.03 THEN 'mixed' WHEN text_ratio > 0.01 THEN 'color-text' ELSE 'color-image' END WHEN {} THEN CASE WHEN text_ratio > 0.005 THEN 'gray-text' ELSE 'gray-image' END ELSE 'bw-text' END"
+_CLASSES = f"""{_COLOUR}, {_TEXT}, {_CONTENT}, {_spread('c = 1', 'opened', '_c')}, {_spread('true', 'content', '_g')},
+ratios AS (SELECT m.page, avg(o.c::DOUBLE) AS color_ratio, avg(t.t::DOUBLE) AS text_ratio, avg((m.spread <= 12 AND m.gray > 40 AND m.gray < 220)::INT::DOUBLE) AS gray_ratio
+  FROM mc m JOIN opened o ON o.page = m.page AND o.y = m.y AND o.x = m.x JOIN txt t ON t.page = m.page AND t.y = m.y AND t.x = m.x GROUP BY m.page),
+feat AS (SELECT r.*, coalesce(c.n, 0) / {MOSAIC * MOSAIC}::DOUBLE AS color_blob, coalesce(g.n, 0) / {MOSAIC * MOSAIC}::DOUBLE AS gray_blob FROM ratios r
+  LEFT JOIN (SELECT page, max(area) AS n FROM ar_c GROUP BY page) c ON c.page = r.page LEFT JOIN (SELECT page, max(area) AS n FROM ar_g GROUP BY page) g ON g.page = r.page)"""
+_BLOBS = f"""paper AS (SELECT page, quantile_cont(gray::DOUBLE, 0.9) AS p90 FROM mc GROUP BY page),
+bl AS (SELECT l.page, l.label, count(*) AS area, avg(c.gray::DOUBLE) AS mean, stddev_pop(c.gray::DOUBLE) AS std, bool_or(least(c.y, c.x) <= 4 OR greatest(c.y, c.x) >= {MOSAIC - 5}) AS border
+  FROM lab_g l JOIN content c ON c.page = l.page AND c.y * {MOSAIC} + c.x = l.own WHERE l.i = 160 GROUP BY l.page, l.label),
+prof AS (SELECT bl.page, (row_number() OVER (PARTITION BY bl.page ORDER BY area DESC, label))::INTEGER AS rank, area, round(mean, 6) AS mean, round(std, 6) AS std, round(p90 - mean, 6) AS darkness, border FROM bl JOIN paper ON paper.page = bl.page)"""
+
+
+@query("mosaic_classify", f"WITH RECURSIVE {MOSAIC_SQL}, {_CLASSES} SELECT *, {_GRAY_CLASS.format('gray_blob > 0.0008')} AS type FROM feat")
 def mosaic_classify(spark, sf_dir):
-    """Full page classification with the largest components, and sharpness."""
-    return I.classified(mosaic_pages(spark, sf_dir))
+    """Full page classification: opened and smoothed masks, and the largest components."""
+    return I.classified(mosaic_pages(spark, sf_dir)).drop("sharpness")
+
+
+@query("mosaic_sharpness")
+def mosaic_sharpness(spark, sf_dir):
+    return I.classified(mosaic_pages(spark, sf_dir)).select("page", "sharpness")
 
 
-#: Components of a mask on mosaics: the least label spreads to all eight neighbours, in rounds that outlast any path in it.
-def _spread(mask: str) -> str:
-    return f"""on_ AS (SELECT page, y, x, y * {MOSAIC} + x AS own FROM mc WHERE {mask}),
-near AS (SELECT a.page, a.own, b.own AS other FROM on_ a JOIN on_ b ON b.page = a.page AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1),
-lab(i, page, own, label) AS (SELECT 0, page, own, own FROM on_ UNION ALL
-  SELECT any_value(l.i) + 1, n.page, n.own, min(l.label) FROM near n JOIN lab l ON l.page = n.page AND l.own = n.other WHERE l.i < 160 GROUP BY n.page, n.own),
-ar AS (SELECT page, label, count(*) AS area FROM lab WHERE i = 160 GROUP BY page, label)"""
+@query("mosaic_blobs", f"WITH RECURSIVE {MOSAIC_SQL}, {_CONTENT}, {_spread('true', 'content', '_g')}, {_BLOBS} SELECT * FROM prof WHERE rank <= 3")
+def mosaic_blobs(spark, sf_dir):
+    """The three largest gray regions of each page that lie away from strokes."""
+    got = I.diagnosed(mosaic_pages(spark, sf_dir)).select("page", F.posexplode("blobs").alias("at", "b"))
+    return got.select("page", (F.col("at") + 1).alias("rank"), "b.area", *[F.round(f"b.{c}", 6).alias(c) for c in ("mean", "std", "darkness")], "b.border")
+
+
+@query("verdict_confusion", f"""WITH RECURSIVE {MOSAIC_SQL}, {_CLASSES}, {_BLOBS}, v AS (SELECT *, page IN (SELECT page FROM prof WHERE rank <= 3 AND darkness > 35 AND std > 12) AS figure FROM feat)
+SELECT {_GRAY_CLASS.format('gray_blob > 0.0008')} AS current_verdict, {_GRAY_CLASS.format('figure')} AS strict_verdict, count(*) AS n FROM v GROUP BY ALL""")
+def verdict_confusion(spark, sf_dir):
+    """Pages by their class and by the stricter one."""
+    return I.diagnosed(mosaic_pages(spark, sf_dir)).groupBy(F.col("type").alias("current_verdict"), F.col("strict").alias("strict_verdict")).agg(F.count("*").alias("n"))
 
 
 def _areas(spark, sf_dir, mask) -> DataFrame:
@@ -112,6 +150,117 @@ def ab_report(spark, sf_dir):
     return pdf.compare_books(*both)
 
 
+def _gray_rows(spark, sf_dir, f: Callable[[np.ndarray], list[tuple]], schema: str) -> DataFrame:
+    """The rows that f makes of each page's gray plane, after the page's number."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
+    types = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[k] for k in kinds]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for page, h, w, data in zip(*(c.to_pylist() for c in b.columns)):
+                columns = list(zip(*f(I.luma(I.decode(data, h, w))))) or [()] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array([page] * len(columns[0]), pa.int64()), *(pa.array([*map(_plain, c)], k) for c, k in zip(columns, types))], names=["page", *names])
+
+    return mosaic_pages(spark, sf_dir).select("page", "h", "w", "data").mapInArrow(run, f"page long, {schema}")
+
+
+def _plain(v):
+    return v.item() if isinstance(v, np.generic) else v
+
+
+def _pixels(plane: np.ndarray) -> list[tuple]:
+    return [(y, x, *np.atleast_1d(v)) for (y, x), v in zip(np.ndindex(plane.shape[:2]), plane.reshape(plane.shape[0] * plane.shape[1], -1))]
+
+
+def _held(c: str, d: str) -> str:
+    """A place beyond the edge is the edge."""
+    return f"least(greatest(p.{c} + {d}, 0), {_LAST})"
+
+
+_REACH = 10
+
+
+@query("mosaic_median", f"""WITH {MOSAIC_SQL}, d AS (SELECT unnest(range(-{_REACH}, {_REACH + 1}))::INTEGER AS d)
+SELECT p.page, p.y, p.x, quantile_disc(q.gray, 0.5)::INTEGER AS gray FROM mc p, d a, d b JOIN mc q ON q.page = p.page AND q.y = {_held('y', 'a.d')} AND q.x = {_held('x', 'b.d')} GROUP BY p.page, p.y, p.x""")
+def mosaic_median(spark, sf_dir):
+    """Background shade: the median over 21 x 21."""
+    return _gray_rows(spark, sf_dir, lambda gray: _pixels(raster.median(gray, 2 * _REACH + 1)), "y int, x int, gray int")
+
+
+def _ink_sql(name: str, k: int, c: int) -> str:
+    """Table `name` of the local threshold: not over the Gaussian mean of k x k less c."""
+    s = 0.3 * ((k - 1) * 0.5 - 1) + 0.8
+    return f"""t{k} AS (SELECT d, w / sum(w) OVER () AS w FROM (SELECT d::INTEGER AS d, exp(-(d * d) / {2 * s * s}::DOUBLE) AS w FROM (SELECT unnest(range(-{k // 2}, {k // 2 + 1})) AS d))),
+a{k} AS (SELECT p.page, p.y, p.x, sum(t.w * q.gray) AS v FROM mc p, t{k} t JOIN mc q ON q.page = p.page AND q.y = p.y AND q.x = {_held('x', 't.d')} GROUP BY p.page, p.y, p.x),
+g{k} AS (SELECT p.page, p.y, p.x, sum(t.w * q.v) AS v FROM a{k} p, t{k} t JOIN a{k} q ON q.page = p.page AND q.x = p.x AND q.y = {_held('y', 't.d')} GROUP BY p.page, p.y, p.x),
+{name} AS (SELECT m.page, m.y, m.x, (m.gray <= round_even(g.v, 0) - {c})::INTEGER AS ink FROM mc m JOIN g{k} g ON g.page = m.page AND g.y = m.y AND g.x = m.x)"""
+
+
+@query("mosaic_ink", f"WITH {MOSAIC_SQL}, {_ink_sql('i', 25, 10)} SELECT page, y, x, ink FROM i")
+def mosaic_ink(spark, sf_dir):
+    """Ink by the local threshold of layers (25, 10)."""
+    return _gray_rows(spark, sf_dir, lambda gray: _pixels(E.ink_threshold(gray).astype(np.int32)), "y int, x int, ink int")
+
+
+@query("mosaic_one_bit", f"WITH {MOSAIC_SQL}, {_ink_sql('i', 35, 15)} SELECT page, y, string_agg(ink::VARCHAR, '' ORDER BY x) AS bits FROM i GROUP BY page, y")
+def mosaic_one_bit(spark, sf_dir):
+    """Pages as 1-bit PNG files by the local threshold of text pages (35, 15), read back."""
+    bits = lambda gray: [(y, "".join("01"[v] for v in row)) for y, row in enumerate(raster.png_ink(raster.page_1bit(gray)).astype(int))]
+    return _gray_rows(spark, sf_dir, bits, "y int, bits string")
+
+
+@query("mosaic_widened", f"""WITH RECURSIVE {MOSAIC_SQL}, {_kernel('ell9', 9)}, {_spread('gray < 170')},
+large AS MATERIALIZED (SELECT m.page, m.y, m.x, (a.label IS NOT NULL)::INT AS c FROM mc m LEFT JOIN (SELECT * FROM lab WHERE i = 160) l ON l.page = m.page AND l.own = m.y * {MOSAIC} + m.x
+  LEFT JOIN (SELECT * FROM ar WHERE area >= {I.FIGURE} * {MOSAIC * MOSAIC}) a ON a.page = l.page AND a.label = l.label), {_fold('wide', 'max', 'c', 'large', 'ell9')}
+SELECT page, y, string_agg(c::VARCHAR, '' ORDER BY x) AS bits FROM wide GROUP BY page, y""")
+def mosaic_widened(spark, sf_dir):
+    """Figures of each page, widened by the 9 x 9 ellipse."""
+    bits = lambda gray: [(y, "".join("01"[v] for v in row)) for y, row in enumerate(I.figures(gray < 170).astype(int))]
+    return _gray_rows(spark, sf_dir, bits, "y int, bits string")
+
+
+@query("mosaic_pad", f"""WITH {MOSAIC_SQL}, p AS (SELECT page, y, x FROM (SELECT DISTINCT page FROM mc), (SELECT unnest(range({MOSAIC}))::INTEGER AS y), (SELECT unnest(range({MOSAIC}))::INTEGER AS x))
+SELECT p.page, p.y, p.x, m.gray FROM p JOIN mc m ON m.page = p.page AND m.y = greatest(p.y - 3, 0) AND m.x = greatest(p.x - 5, 0)""")
+def mosaic_pad(spark, sf_dir):
+    """Pages without their last three rows and five columns, filled up to multiples of eight at the top and left."""
+    return _gray_rows(spark, sf_dir, lambda gray: _pixels(I.pad_to_multiple(gray[:-3, :-5])[0]), "y int, x int, gray int")
+
+
+_WEIGHT = """CASE kind WHEN 'linear' THEN greatest(1 - t, 0) WHEN 'cubic' THEN CASE WHEN t <= 1 THEN 1.25 * t * t * t - 2.25 * t * t + 1 WHEN t < 2 THEN -0.75 * t * t * t + 3.75 * t * t - 6 * t + 3 ELSE 0 END
+  ELSE CASE WHEN t >= 4 THEN 0 ELSE 4 * sin(pi() * t) * sin(pi() * t / 4) / (pi() * pi() * t * t) END END"""
+
+
+@query("mosaic_resize", f"""WITH {MOSAIC_SQL}, raw AS (SELECT kind, i::INTEGER AS i, least(greatest(j, 0), {_LAST})::INTEGER AS src, abs((i + 0.5::DOUBLE) / 2 - 0.5 - j) AS t
+  FROM (SELECT unnest(['linear', 'cubic', 'lanczos']) AS kind), (SELECT unnest(range({2 * MOSAIC})) AS i), (SELECT unnest(range(-5, {MOSAIC + 5})) AS j)),
+tap AS (SELECT kind, i, src, w / sum(w) OVER (PARTITION BY kind, i) AS w FROM (SELECT kind, i, src, {_WEIGHT} AS w FROM raw) WHERE w <> 0),
+across AS (SELECT page, kind, y, i AS x, sum(w * gray) AS v FROM mc JOIN tap ON tap.src = mc.x GROUP BY page, kind, y, i),
+down AS (SELECT page, a.kind, i AS y, a.x, sum(w * v) AS v FROM across a JOIN tap ON tap.kind = a.kind AND tap.src = a.y GROUP BY page, a.kind, i, a.x)
+SELECT page, kind, y, string_agg(least(greatest(round_even(v, 0), 0), 255)::INTEGER::VARCHAR, ',' ORDER BY x) AS grays FROM down GROUP BY page, kind, y""")
+def mosaic_resize(spark, sf_dir):
+    """Pages twice as large by the linear, cubic and Lanczos kernels, row by row."""
+    size = 2 * MOSAIC
+    rows = lambda gray: [(kind, y, ",".join(map(str, row))) for kind in I.REACH for y, row in enumerate(I.resize(gray, size, size, kind))]
+    return _gray_rows(spark, sf_dir, rows, "kind string, y int, grays string")
+
+
+@query("jpeg_headers", f"""WITH {PAGES_SQL} SELECT book, page, CASE WHEN page < 7 THEN px_w END AS w, CASE WHEN page < 7 THEN px_h END AS h, CASE WHEN page < 7 THEN CASE WHEN starts_with(ptype, 'gray') THEN 1 ELSE 3 END END AS components,
+  CASE WHEN page < 7 THEN CASE WHEN starts_with(ptype, 'gray') THEN '1x1' ELSE '2x2,1x1,1x1' END END AS sampling FROM pg""")
+def jpeg_headers(spark, sf_dir):
+    """Size, components and sampling out of JPEG headers, made of an application segment, a table and a frame (progressive on even pages); the seventh page of a book has no frame."""
+    number = lambda c: F.lpad(F.hex(c), 4, "0")
+    parts = F.when(F.col("ptype").startswith("gray"), "01011100").otherwise("03012200021101031101")
+    frame = F.concat(F.when(F.col("page") % 2 == 0, "FFC2").otherwise("FFC0"), number(8 + F.when(F.col("ptype").startswith("gray"), 3).otherwise(9)), F.lit("08"), number(F.col("px_h")), number(F.col("px_w")), parts)
+    data = F.unhex(F.concat(F.lit("FFD8FFE000044A46FFC40003FF"), F.when(F.col("page") < 7, frame).otherwise(""), F.lit("FFD9")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [pdf.jpeg_header(x) or (None,) * 4 for x in b.column(2).to_pylist()]
+            more = [pa.array([f[i] for f in found], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *more], names=["book", "page", "w", "h", "components", "sampling"])
+
+    return page_rows(spark, sf_dir).select("book", "page", data.alias("data")).mapInArrow(run, "book long, page int, w int, h int, components int, sampling string")
+
+
 @query("image_listing", f"WITH {PAGES_SQL}, s AS (SELECT book, page, px_w, px_h, jpeg_bytes FROM pg WHERE book % 50 = 1) SELECT book, (page - 1)::INTEGER AS page, px_w AS w, px_h AS h, 8::INTEGER AS bits, 'DCTDecode' AS filter, 2 + jpeg_bytes % 997 AS size FROM s")
 def image_listing(spark, sf_dir):
     """Images of assembled books, read back from the files."""

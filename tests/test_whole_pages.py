@@ -51,6 +51,36 @@ def test_features_match_loops():
     assert I.features(plain)[0] == "gray-image" and I.features(np.full((60, 60, 3), (40, 60, 200), np.uint8))[0] == "color-image"
 
 
+def test_strict_class_asks_for_dark_uneven_gray(spark):
+    """A gray wash and a gray photo are figures for the classifier; for the stricter class only the photo is."""
+    rng = np.random.default_rng(11)
+    page = np.full((120, 100, 3), 250, np.uint8)
+    wash, photo = page.copy(), page.copy()
+    wash[30:90, 20:80] = 200
+    photo[30:90, 20:80] = rng.integers(110, 190, (60, 60, 1))
+    pages = [(i, 120, 100, bytearray(img.tobytes())) for i, img in enumerate((page, wash, photo))] + [(3, 120, 100, None)]
+    got = {r.page: r for r in I.diagnosed(spark.createDataFrame(pages, "page long, h int, w int, data binary")).collect()}
+    assert [got[i].type for i in range(4)] == ["bw-text", "gray-image", "gray-text", None]
+    assert [got[i].strict for i in range(4)] == ["bw-text", "bw-text", "gray-text", None]
+    assert got[0].blobs == [] and got[1].blobs[0] == (3600, 200.0, 0.0, 50.0, False)
+    inner = photo[30:90, 20:80, 0].astype(float)
+    assert got[2].blobs[0].area == 3600 and np.isclose(got[2].blobs[0].mean, inner.mean()) and np.isclose(got[2].blobs[0].std, inner.std())
+    striped = np.full((90, 40), 200)
+    striped[::2] = 80
+    mask = np.zeros((90, 40), bool)
+    mask[10:20, 10:20] = mask[60:70, 26:36] = mask[40:44, 2:6] = mask[30:32, 20:22] = True
+    assert [(b[0], b[4]) for b in I.blob_profile(mask, striped.astype(np.uint8))] == [(100, False), (100, True), (16, True)]
+
+
+def test_one_bit_pages_read_back_and_damage_is_found():
+    img = I.luma(scan())
+    data = raster.page_1bit(img)
+    assert (raster.png_ink(data) == raster.adaptive(img, 35, 15)).all()
+    for spoilt in (data[:40] + bytes([data[40] ^ 1]) + data[41:], data[1:]):
+        with pytest.raises(ValueError):
+            raster.png_ink(spoilt)
+
+
 @pytest.mark.parametrize("k", [3, 9, 21])
 def test_median_of_any_window(k):
     img = np.random.default_rng(k).integers(0, 256, (40, 33)).astype(np.uint8)
