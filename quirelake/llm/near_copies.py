@@ -2,18 +2,25 @@
 
 Two texts are near copies if the sets of their word shingles (five words) have a Jaccard similarity of 0.8 or more. Near copies are linked, linked texts form groups.
 
-How links are found. Texts with equal shingle sets are one class. A class has a SimHash of WORDS * 64 bits of its set; at similarity 0.8 two sets differ in some 15 % of the bits (the angle of the
+How links are found. Texts with equal shingle sets are one class. Two rounds follow; the first joins most near copies cheaply, the second finds every link between the groups of the first, so that no group is
+split and none is false.
+
+First round. A class has a SimHash of WORDS * 64 bits of its set; at similarity 0.8 two sets differ in some 15 % of the bits (the angle of the
 sets, as a share of a half turn). That is too much for blocks of which one must agree, so upper nodes hold the classes that agree in a chosen set of bits: `tables` sets of `bits` bits each, so many that a pair at 0.8 shares
 a node with probability RECALL (more similar pairs nearly always). More classes take more bits, so that chance doesn't fill the nodes, and so more tables. In a node the index of simhash.GrayIndex (Gray order, patterns
 shared by groups, groups pruned by accumulated differences) gives the pairs within DISTANCE bits. Of these a node passes on a minimum spanning forest, closest pairs first, never all pairs. Last, the similarity of each link
-is computed exactly from the sets, and links under 0.8 go. So no link is false; a true one is missed where no node shares it, where the fingerprints differ in over DISTANCE bits, or where a forest
-prefers a closer pair that then fails. A test measures the recall against brute force.
+is computed exactly from the sets, and links under 0.8 go. A true link is missed here where no node shares it, where the fingerprints differ in over DISTANCE bits, or where a forest prefers a closer pair that then fails.
+
+Second round. All classes put their shingles in one order, rarest first as a sample of SAMPLE documents has it, then by hash. Of two sets as similar as asked, the first n - ceil(0.8 n) + k shingles of each (n: its size) share k at
+least, whatever the order is; k is one and one more for each STEP shingles, the lesser one of a pair counts. So the classes that hold a shingle among these form a bucket, and all pairs of a bucket from two groups of the first round
+are compared, whatever its size. A pair goes on if k buckets give it. A bucket does unless the pair can't be similar: by the places of the bucket's shingle in both orders (the shingles from there on and k - 1 before bound the overlap;
+the buckets of the first k shared shingles let each true pair through), or by PARITY words of parities of hashed shingles (no more of them differ than shingles do). What goes on is checked exactly as before. The sample and the order bear on speed alone.
 
 Large nodes. A node of over LARGE members is dealt out in parts by hash; each part gives its forest and one leader a tree, and the leaders form the node anew. When leaders stop getting fewer by half, the parts
-are compared pair by pair, each pair in a task of its own.
+are compared pair by pair, each pair in a task of its own. Buckets of over LARGE members are compared in that way at once.
 
-What is moved. Keys of nodes are counted first; only classes in nodes of two or more go on, found by a bitmap of bounded size (common.Bitmap) that is broadcast. Shingle sets are made
-only for classes with a link to check. Of the texts themselves, only those of groups of two or more rows are shuffled at the end, again by a bitmap; all others are passed on where they are read.
+What is moved. Keys of nodes and shingles of buckets are counted first; only classes in nodes of two or more, or in buckets of two groups or more, go on, found by a bitmap of bounded size (common.Bitmap) that is broadcast. Shingle sets are made
+only for classes with a link to check; a class keeps about a fifth of its set for the second round. Of the texts themselves, only those of groups of two or more rows are shuffled at the end, again by a bitmap; all others are passed on where they are read.
 
 Nulls and edge cases. A null or empty text, or one without words, has an empty set; all such texts are one group. A text of fewer words than a shingle is one shingle. Of each group the row with the least id stays, nulls last,
 then the one with the least hash of its columns; of rows equal in all columns one stays. Columns may have any names and types but maps. An empty table gives an empty result.
@@ -36,12 +43,20 @@ from .components import connected_components
 from .simhash import GrayIndex, bit_sums, majority, shingle_blocks
 
 WIDTH, WORDS, SIMILARITY, RECALL = 5, 4, 0.8, 0.92
-#: Members of a node from which on it is dealt out.
+#: Members of a node or bucket from which on it is dealt out.
 LARGE = 2000
+#: Documents that show which shingles are frequent, and cells of the table of their counts.
+SAMPLE, CELLS = 4096, 1 << 22
+#: So many shingles of a set ask for one more shared shingle in its prefix, which is longer by one then.
+STEP = 50
+#: Words of parities.
+PARITY = 4
 #: Odd numbers that make a hash into WORDS independent ones.
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 FP = [f"f{i}" for i in range(WORDS)]
 _FP = ", ".join(f"{f} long" for f in FP)
+ODD = [f"p{i}" for i in range(PARITY)]
+_ODD_WORDS = ", ".join(f"{p} long" for p in ODD)
 
 
 def share_of_bits(similarity: float) -> float:
@@ -93,12 +108,61 @@ def sketch(h: np.ndarray) -> tuple[int, list[int]]:
 _signed = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _sketches(width: int):
+def least_overlap(size, similarity: float = SIMILARITY):
+    """Least overlap of two sets of that similarity and that sum of sizes; a little less, for rounding."""
+    return (similarity * size - 1e-6) / (1 + similarity)
+
+
+def shared_least(n, similarity: float = SIMILARITY):
+    """How many shingles a set of n must share with a set of that similarity among the prefixes of both."""
+    return np.minimum(np.ceil(similarity * n - 1e-6), 1 + n // STEP).astype(np.int64)
+
+
+def prefix(h: np.ndarray, frequent: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first shingles of a set (sorted hashes) in the common order, rarest first: two sets of that similarity share as many of them as the lesser shared_least() of both."""
+    n = len(h)
+    rank = frequent[h & np.uint64(len(frequent) - 1)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
+    return h[np.argsort(rank, kind="stable")[: n - math.ceil(similarity * n - 1e-6) + int(shared_least(n, similarity))]]
+
+
+def parities(h: np.ndarray) -> np.ndarray:
+    """Parity of the number of hashes in each of PARITY * 64 cells: of two sets no more cells differ than hashes."""
+    cells = np.bincount((h >> np.uint64(24) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY)
+    return np.packbits((cells & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _cells(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array((shingle_set(t.as_py(), width) & np.uint64(CELLS - 1)).astype(np.int32))], names=["cell"])
+
+    return run
+
+
+def frequencies(rows: DataFrame, width: int = WIDTH, sample: int = SAMPLE) -> np.ndarray:
+    """How many of some `sample` of rows (row, text), chosen by hash, hold a shingle of each cell: 0 for under three, 255 at most."""
+    every = max(1, rows.count() // sample)
+    some = rows.where(F.pmod("row", F.lit(every)) == 0).select("text").mapInArrow(_cells(width), "cell int")
+    found = some.groupBy("cell").count().where("count > 2").toArrow()
+    out = np.zeros(CELLS, np.uint8)
+    out[found.column(0).to_numpy()] = np.minimum(found.column(1).to_numpy(), 255)
+    return out
+
+
+def _sketches(width: int, similarity: float, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sketch(shingle_set(t.as_py(), width)) for t in b.column(2)]
-            words = np.array([f for _, f in found], np.uint64).reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed([s for s, _ in found]), *(_signed(w) for w in words.T)], names=["doc_id", "row", "s", *FP])
+            s, words, sizes, first, odd = [], [], [], [], []
+            for t in b.column(2):
+                h = shingle_set(t.as_py(), width)
+                name, fp = sketch(h)
+                s.append(name), words.append(fp), sizes.append(len(h)), first.append(prefix(h, frequent.value, similarity).view(np.int64)), odd.append(parities(h))
+            columns = [*np.array(words, np.uint64).reshape(-1, WORDS).T, *np.array(odd, np.uint64).reshape(-1, PARITY).T]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), _signed(s), *map(_signed, columns[:WORDS]), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), *map(_signed, columns[WORDS:])],
+                names=["doc_id", "row", "s", *FP, "n", "first", *ODD],
+            )
 
     return run
 
@@ -259,6 +323,96 @@ def candidates(classes: DataFrame, distance: int, masks: np.ndarray, large: int
     return out
 
 
+def _bucket_rows(held):
+    """Rows (key, s, root, n, place, parities) of each class for those of its first shingles that the bitmap holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first = b.column("first")
+            key, start = first.flatten().to_numpy(), first.value_lengths().to_numpy().cumsum() - first.value_lengths().to_numpy()
+            at = np.flatnonzero(held.value.has(key))
+            if len(at):
+                of = np.searchsorted(start, at, side="right") - 1
+                take = pa.array(of)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[at]), *(b.column(c).take(take) for c in ("s", "root", "n")), pa.array((at - start[of]).astype(np.int32)), *(b.column(p).take(take) for p in ODD)], names=["key", "s", "root", "n", "place", *ODD]
+                )
+
+    return run
+
+
+def _bucket_pairs(similarity: float, most: int = 1 << 19):
+    """Pairs (a, b) of each part of a bucket that have different roots and may be as similar, with how many buckets must give them and how many did here; rows come sorted by (key, part), and parts with two sides give the pairs across alone."""
+
+    def pairs(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cut = np.flatnonzero((np.diff(c["key"]) != 0) | (np.diff(c["part"]) != 0)) + 1
+        edges = np.concatenate([[0], cut, [len(c["key"])]])
+        end = np.repeat(edges[1:], np.diff(edges))
+        odd = np.stack([c[p] for p in ODD], axis=1).view(np.uint64)
+        least = shared_least(c["n"].astype(np.int64), similarity)
+        n, left, x, step, found, held = c["n"].astype(np.int64), (c["n"] - c["place"]).astype(np.int64), np.arange(len(end)), 0, [], 0
+        while True:
+            step += 1
+            x = x[x + step < end[x]]
+            if not len(x):
+                break
+            y = x + step
+            need, times = least_overlap(n[x] + n[y], similarity), np.minimum(least[x], least[y])
+            ok = (c["root"][x] != c["root"][y]) & (np.minimum(left[x], left[y]) >= need - times + 1) & (c["across"][x] <= (c["side"][x] != c["side"][y]))
+            i, j, need, times = x[ok], y[ok], need[ok], times[ok]
+            ok = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j] - 2 * need
+            s = np.sort(np.stack([c["s"][i[ok]], c["s"][j[ok]]], axis=1), axis=1)
+            found.append(np.concatenate([s, times[ok, None]], axis=1))
+            held += len(found[-1])
+            if held > most:
+                yield batch(found)
+                found, held = [], 0
+        if held:
+            yield batch(found)
+
+    def batch(found: list[np.ndarray]) -> pa.RecordBatch:
+        rows, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([*map(pa.array, rows.T.copy()), pa.array(times)], names=["a", "b", "least", "times"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            here = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names}
+            # The last part of a batch may go on in the next one.
+            last = np.flatnonzero((here["key"] != here["key"][-1]) | (here["part"] != here["part"][-1]))
+            cut = last[-1] + 1 if len(last) else 0
+            if cut or held and (held[-1]["key"][-1], held[-1]["part"][-1]) != (here["key"][0], here["part"][0]):
+                held.append({c: v[:cut] for c, v in here.items()})
+                yield from pairs({c: np.concatenate([h[c] for h in held]) for c in here})
+                held = []
+            held.append({c: v[cut:].copy() for c, v in here.items()})
+        if held:
+            yield from pairs({c: np.concatenate([h[c] for h in held]) for c in held[0]})
+
+    return run
+
+
+def across(classes: DataFrame, root: DataFrame, similarity: float = SIMILARITY, large: int = LARGE) -> DataFrame:
+    """(a, b), a < b: pairs to check among classes (s, n, first, parities), every pair of different groups that is as similar among them; root: group (root) of classes (node) that aren't alone. Written."""
+    named = classes.where("s <> 0").join(root.withColumnRenamed("node", "s"), "s", "left")
+    named = written(named.select("s", F.coalesce("root", "s").alias("root"), "n", "first", *ODD), "named")
+    held_by = named.select(F.explode("first").alias("key"), "root").groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("count"))
+    shared = written(held_by.where("least < most").select("key", "count"), "shared")
+    held = bitmap(shared, "key")
+    member = named.mapInArrow(_bucket_rows(held), f"key long, s long, root long, n int, place int, {_ODD_WORDS}").join(shared, "key")
+    parts = F.when(F.col("count") <= large, F.lit(1).cast("long")).otherwise(F.ceil(F.col("count") / F.lit(max(1, large // 2))))
+    member = member.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("s"), "parts"))
+    member = member.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    member = member.withColumn("part", F.greatest("side", "other") * F.col("parts") + F.least("side", "other")).withColumn("across", F.expr("part div parts <> part % parts"))
+    rows = member.select("key", "part", "side", "across", "s", "root", "n", "place", *ODD).repartition("key", "part").sortWithinPartitions("key", "part")
+    pairs = rows.mapInArrow(_bucket_pairs(similarity), "a long, b long, least long, times long").groupBy("a", "b").agg(F.max("least").alias("least"), F.sum("times").alias("times"))
+    out = written(pairs.where("times >= least").select("a", "b"), "across")
+    drop(named, shared)
+    return out
+
+
 def _sets(held, width: int):
     """Shingle sets of the rows that the bitmap holds."""
 
@@ -294,13 +448,19 @@ def row_hash(columns: list[str]) -> Column:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = WIDTH, large: int = LARGE) -> DataFrame:
     """doc_id, row (hash of all columns) and root (class that names the group) of each row of docs. Written."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), row_hash(docs.columns).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    sketches = written(rows.mapInArrow(_sketches(width), f"doc_id long, row long, s long, {_FP}"), "sketches")
-    classes = written(sketches.groupBy("s").agg(F.min("row").alias("row"), *(F.first(f).alias(f) for f in FP)), "classes")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequencies(rows, width))
+    sketches = written(rows.mapInArrow(_sketches(width, similarity, frequent), f"doc_id long, row long, s long, {_FP}, n int, first array<long>, {_ODD_WORDS}"), "sketches")
+    classes = written(sketches.groupBy("s").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in (*FP, "n", "first", *ODD))), "classes")
     found = candidates(classes, bit_distance(similarity), tables(classes.count(), similarity), large)
     true = similar(found, classes, rows, similarity, width)
-    root = connected_components(true).withColumnRenamed("node", "s")
+    root = connected_components(true)
+    missed = across(classes, root, similarity, large)
+    more = similar(missed, classes, rows, similarity, width)
+    if more.take(1):
+        root = connected_components(root.toDF("a", "b").unionByName(more))
+    root = root.withColumnRenamed("node", "s")
     out = written(sketches.select("doc_id", "row", "s").join(root, "s", "left").select("doc_id", "row", F.coalesce("root", "s").alias("root")), "groups")
-    drop(sketches, classes, found, true)
+    drop(sketches, classes, found, true, missed, more)
     return out
 
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from quirelake.llm import near_copies, simhash
@@ -184,3 +185,55 @@ def test_wide_index_gives_all_pairs_and_tables_reach_their_recall():
         bits = int(np.bitwise_count(masks[0]).sum())
         assert 1 - (1 - (1 - near_copies.share_of_bits(0.8)) ** bits) ** len(masks) >= near_copies.RECALL
         assert classes / 2**bits <= 1 / 16
+
+
+def borderline():
+    """Families whose members lie close to similarity 0.8, and a passage that most texts share."""
+    rng = random.Random(24)
+    passage = [f"p{i}" for i in range(14)]
+    texts = []
+    for k in range(70):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(40, 160))] + (passage if k % 4 else [])
+        texts += [" ".join(edited(rng, base, 0.022)) for _ in range(rng.randint(2, 4))]
+    texts += [" ".join([*passage, *(f"u{rng.randrange(10**6)}" for _ in range(k % 9))]) for k in range(60)]
+    rng.shuffle(texts)
+    return texts
+
+
+def test_near_copies_leave_out_no_link(spark):
+    texts = borderline()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want, links = brute_groups(texts)
+    for large in (10, 2000):
+        got = {r.doc_id: r.root for r in near_copies.groups(docs, large=large).collect()}
+        lost = [(a, b) for a, b in links if got[a] != got[b]]
+        assert not lost, (large, len(lost), len(links))
+        assert len({(want[i], got[i]) for i in got}) == len(set(want)) == len(set(got.values()))
+
+
+def test_pairs_of_buckets_over_batches_and_sides():
+    rng = np.random.default_rng(25)
+    n = 400
+    sets = [np.unique(rng.choice(5000, 60).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(40)]
+    sets = [np.unique(np.where(rng.random(len(s)) < 0.06, rng.integers(0, 2**63, len(s), dtype=np.uint64), s)) for s in (sets[i % 40] for i in range(n))]
+    frequent = np.zeros(1 << 10, np.uint8)
+    frequent[rng.choice(1 << 10, 100)] = 9
+    want = {(i, j) for j in range(n) for i in range(j) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    assert len(want) > 200
+    rows = []
+    for i, h in enumerate(sets):
+        for place, key in enumerate(near_copies.prefix(h, frequent).view(np.int64).tolist()):
+            # Buckets of even keys are dealt out over two sides.
+            for part in (0, 1, 3) if key % 2 == 0 else (0,):
+                side = i % 2 if key % 2 == 0 else 0
+                if key % 2 or part == 1 or part == 3 * side:
+                    rows.append((key, part, side, part == 1, i, i, len(h), place, *near_copies.parities(h).view(np.int64).tolist()))
+    rows.sort(key=lambda r: r[:2])
+    names = ["key", "part", "side", "across", "s", "root", "n", "place", *near_copies.ODD]
+    for size in (1, 7, len(rows)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + size])], names=names) for i in range(0, len(rows), size)]
+        found = {}
+        for b in near_copies._bucket_pairs(0.8)(iter(batches)):
+            for x, y, least, times in zip(*(c.to_pylist() for c in b.columns)):
+                found.setdefault((x, y, least), []).append(times)
+        assert want <= {(x, y) for (x, y, least), times in found.items() if sum(times) >= least}
