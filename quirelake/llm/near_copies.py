@@ -11,15 +11,16 @@ a node with probability RECALL (more similar pairs nearly always). More classes
 shared by groups, groups pruned by accumulated differences) gives the pairs within DISTANCE bits. Of these a node passes on a minimum spanning forest, closest pairs first, never all pairs. Last, the similarity of each link
 is computed exactly from the sets, and links under 0.8 go. A true link is missed here where no node shares it, where the fingerprints differ in over DISTANCE bits, or where a forest prefers a closer pair that then fails.
 
-Second round. All classes put their shingles in one order, rarest first as a sample of SAMPLE documents has it, then by hash. Of two sets as similar as asked, the first n - ceil(0.8 n) + k shingles of each (n: its size) share k at
-least, whatever the order is; k is one and one more for each STEP shingles, the lesser one of a pair counts. So the classes that hold a shingle among these form a bucket, and all pairs of a bucket from two groups of the first round
-are compared, whatever its size. A pair goes on if k buckets give it. A bucket does unless the pair can't be similar: by the places of the bucket's shingle in both orders (the shingles from there on and k - 1 before bound the overlap;
-the buckets of the first k shared shingles let each true pair through), or by PARITY words of parities of hashed shingles (no more of them differ than shingles do). What goes on is checked exactly as before. The sample and the order bear on speed alone.
+Second round. All classes put their shingles in one order, rarest first as a sample of SAMPLE documents has it, then by hash. Of two sets as similar as asked, the first n - ceil(0.8 n) + 1 shingles of each (n: its size) share one at
+least, whatever the order is. So the classes that hold a shingle among these share it, and the buckets of all shingles whose least group of the first round is the same are one bucket: texts with much in common meet in few buckets, once
+in each, not once for each shingle. All pairs of a bucket from two groups are compared, whatever its size, and a pair goes on unless it can't be similar: by the sizes, or by parities of the numbers of hashed shingles in cells (no more
+of them differ than shingles do), in PARITY words first and then in two to four cells a shingle, which leave little but pairs within some hundredths of the similarity asked for. So what a bucket gives grows with the links, not with the
+square of its size. What goes on is checked exactly as before. The sample and the order bear on speed alone.
 
 Large nodes. A node of over LARGE members is dealt out in parts by hash; each part gives its forest and one leader a tree, and the leaders form the node anew. When leaders stop getting fewer by half, the parts
 are compared pair by pair, each pair in a task of its own. Buckets of over LARGE members are compared in that way at once.
 
-What is moved. Keys of nodes and shingles of buckets are counted first; only classes in nodes of two or more, or in buckets of two groups or more, go on, found by a bitmap of bounded size (common.Bitmap) that is broadcast. Shingle sets are made
+What is moved. Keys of nodes and shingles of prefixes are counted first; only classes in nodes of two or more, or with shingles of two groups or more, go on, found by a bitmap of bounded size (common.Bitmap) that is broadcast. Shingle sets are made
 only for classes with a link to check; a class keeps about a fifth of its set for the second round. Of the texts themselves, only those of groups of two or more rows are shuffled at the end, again by a bitmap; all others are passed on where they are read.
 
 Nulls and edge cases. A null or empty text, or one without words, has an empty set; all such texts are one group. A text of fewer words than a shingle is one shingle. Of each group the row with the least id stays, nulls last,
@@ -47,10 +48,8 @@ WIDTH, WORDS, SIMILARITY, RECALL = 5, 4, 0.8, 0.92
 LARGE = 2000
 #: Documents that show which shingles are frequent, and cells of the table of their counts.
 SAMPLE, CELLS = 4096, 1 << 22
-#: So many shingles of a set ask for one more shared shingle in its prefix, which is longer by one then.
-STEP = 50
-#: Words of parities.
-PARITY = 4
+#: Words of parities that are compared first, and words at most of the wide ones.
+PARITY, WIDE = 4, 512
 #: Odd numbers that make a hash into WORDS independent ones.
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 FP = [f"f{i}" for i in range(WORDS)]
@@ -113,24 +112,39 @@ def least_overlap(size, similarity: float = SIMILARITY):
     return (similarity * size - 1e-6) / (1 + similarity)
 
 
-def shared_least(n, similarity: float = SIMILARITY):
-    """How many shingles a set of n must share with a set of that similarity among the prefixes of both."""
-    return np.minimum(np.ceil(similarity * n - 1e-6), 1 + n // STEP).astype(np.int64)
-
-
 def prefix(h: np.ndarray, frequent: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The first shingles of a set (sorted hashes) in the common order, rarest first: two sets of that similarity share as many of them as the lesser shared_least() of both."""
+    """The first shingles of a set (sorted hashes) in the common order, rarest first: two sets of that similarity share one of them at least."""
     n = len(h)
     rank = frequent[h & np.uint64(len(frequent) - 1)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
-    return h[np.argsort(rank, kind="stable")[: n - math.ceil(similarity * n - 1e-6) + int(shared_least(n, similarity))]]
+    return h[np.argsort(rank, kind="stable")[: n - math.ceil(similarity * n - 1e-6) + min(n, 1)]]
 
 
-def parities(h: np.ndarray) -> np.ndarray:
-    """Parity of the number of hashes in each of PARITY * 64 cells: of two sets no more cells differ than hashes."""
-    cells = np.bincount((h >> np.uint64(24) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY)
+def parities(h: np.ndarray, words: int = PARITY) -> np.ndarray:
+    """Parity of the number of hashes in each of words * 64 cells (words: a power of two): of two sets no more cells differ than hashes."""
+    cells = np.bincount((h >> np.uint64(24) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words)
     return np.packbits((cells & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def wide_parities(h: np.ndarray) -> bytes:
+    """parities() in two to four cells a hash, WIDE words at most."""
+    return parities(h, min(WIDE, 1 << max(0, (2 * len(h) - 1).bit_length() - 6))).tobytes()
+
+
+def cells_apart(wide: list[bytes], i: np.ndarray, j: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """In how many cells the wide parities i and j of each pair differ; the larger ones are folded to the cells of the others."""
+    flat, words = np.frombuffer(b"".join(wide), np.uint64), np.array([len(x) // 8 for x in wide], np.int64)
+    start, out = np.cumsum(words) - words, np.zeros(len(i), np.int64)
+
+    def folded(x: np.ndarray, own: int, to: int) -> np.ndarray:
+        return np.bitwise_xor.reduce(flat[start[x][:, None] + np.arange(own)].reshape(len(x), own // to, to), axis=1)
+
+    for p, q in set(zip(words[i].tolist(), words[j].tolist())):
+        at = np.flatnonzero((words[i] == p) & (words[j] == q))
+        for k in np.array_split(at, 1 + len(at) * (p + q) // most):
+            out[k] = np.bitwise_count(folded(i[k], p, min(p, q)) ^ folded(j[k], q, min(p, q))).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _cells(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,15 +167,15 @@ def frequencies(rows: DataFrame, width: int = WIDTH, sample: int = SAMPLE) -> np
 def _sketches(width: int, similarity: float, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s, words, sizes, first, odd = [], [], [], [], []
+            s, words, sizes, first, odd, wide = [], [], [], [], [], []
             for t in b.column(2):
                 h = shingle_set(t.as_py(), width)
                 name, fp = sketch(h)
-                s.append(name), words.append(fp), sizes.append(len(h)), first.append(prefix(h, frequent.value, similarity).view(np.int64)), odd.append(parities(h))
+                s.append(name), words.append(fp), sizes.append(len(h)), first.append(prefix(h, frequent.value, similarity).view(np.int64)), odd.append(parities(h)), wide.append(wide_parities(h))
             columns = [*np.array(words, np.uint64).reshape(-1, WORDS).T, *np.array(odd, np.uint64).reshape(-1, PARITY).T]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), _signed(s), *map(_signed, columns[:WORDS]), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), *map(_signed, columns[WORDS:])],
-                names=["doc_id", "row", "s", *FP, "n", "first", *ODD],
+                [b.column(0), b.column(1), _signed(s), *map(_signed, columns[:WORDS]), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), *map(_signed, columns[WORDS:]), pa.array(wide, pa.binary())],
+                names=["doc_id", "row", "s", *FP, "n", "first", *ODD, "wide"],
             )
 
     return run
@@ -323,56 +337,57 @@ def candidates(classes: DataFrame, distance: int, masks: np.ndarray, large: int
     return out
 
 
-def _bucket_rows(held):
-    """Rows (key, s, root, n, place, parities) of each class for those of its first shingles that the bitmap holds."""
+def _shared_rows(held):
+    """Rows (key, s) of each class for those of its first shingles that the bitmap holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             first = b.column("first")
-            key, start = first.flatten().to_numpy(), first.value_lengths().to_numpy().cumsum() - first.value_lengths().to_numpy()
+            key = first.flatten().to_numpy()
             at = np.flatnonzero(held.value.has(key))
             if len(at):
-                of = np.searchsorted(start, at, side="right") - 1
-                take = pa.array(of)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[at]), *(b.column(c).take(take) for c in ("s", "root", "n")), pa.array((at - start[of]).astype(np.int32)), *(b.column(p).take(take) for p in ODD)], names=["key", "s", "root", "n", "place", *ODD]
-                )
+                of = np.searchsorted(first.value_lengths().to_numpy().cumsum(), at, side="right")
+                yield pa.RecordBatch.from_arrays([pa.array(key[at]), b.column("s").take(pa.array(of))], names=["key", "s"])
 
     return run
 
 
 def _bucket_pairs(similarity: float, most: int = 1 << 19):
-    """Pairs (a, b) of each part of a bucket that have different roots and may be as similar, with how many buckets must give them and how many did here; rows come sorted by (key, part), and parts with two sides give the pairs across alone."""
+    """Pairs (a, b) of each part of a bucket that have different roots and may be as similar, with how many shingles differ at least and how many may at most; rows come sorted by (key, part), and parts with two sides give the pairs across alone. Without wide parities the short ones decide."""
 
     def pairs(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero((np.diff(c["key"]) != 0) | (np.diff(c["part"]) != 0)) + 1
         edges = np.concatenate([[0], cut, [len(c["key"])]])
         end = np.repeat(edges[1:], np.diff(edges))
         odd = np.stack([c[p] for p in ODD], axis=1).view(np.uint64)
-        least = shared_least(c["n"].astype(np.int64), similarity)
-        n, left, x, step, found, held = c["n"].astype(np.int64), (c["n"] - c["place"]).astype(np.int64), np.arange(len(end)), 0, [], 0
+        n, x, step, found, held = c["n"].astype(np.int64), np.arange(len(end)), 0, [], 0
         while True:
             step += 1
             x = x[x + step < end[x]]
             if not len(x):
                 break
             y = x + step
-            need, times = least_overlap(n[x] + n[y], similarity), np.minimum(least[x], least[y])
-            ok = (c["root"][x] != c["root"][y]) & (np.minimum(left[x], left[y]) >= need - times + 1) & (c["across"][x] <= (c["side"][x] != c["side"][y]))
-            i, j, need, times = x[ok], y[ok], need[ok], times[ok]
-            ok = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j] - 2 * need
-            s = np.sort(np.stack([c["s"][i[ok]], c["s"][j[ok]]], axis=1), axis=1)
-            found.append(np.concatenate([s, times[ok, None]], axis=1))
-            held += len(found[-1])
+            need = least_overlap(n[x] + n[y], similarity)
+            ok = (c["root"][x] != c["root"][y]) & (np.minimum(n[x], n[y]) >= need) & (c["across"][x] <= (c["side"][x] != c["side"][y]))
+            i, j, may = x[ok], y[ok], np.floor(n[x[ok]] + n[y[ok]] - 2 * need[ok]).astype(np.int64)
+            differ = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64)
+            found.append(np.stack([i, j, differ, may])[:, differ <= may])
+            held += found[-1].shape[1]
             if held > most:
-                yield batch(found)
+                yield batch(c, found)
                 found, held = [], 0
         if held:
-            yield batch(found)
-
-    def batch(found: list[np.ndarray]) -> pa.RecordBatch:
-        rows, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([*map(pa.array, rows.T.copy()), pa.array(times)], names=["a", "b", "least", "times"])
+            yield batch(c, found)
+
+    def batch(c: dict[str, np.ndarray], found: list[np.ndarray]) -> pa.RecordBatch:
+        i, j, differ, may = np.concatenate(found, axis=1)
+        if "wide" in c:
+            used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            differ = cells_apart(c["wide"][used].tolist(), *at.reshape(2, -1))
+            i, j, differ, may = (v[differ <= may] for v in (i, j, differ, may))
+        s = np.sort(np.stack([c["s"][i], c["s"][j]]), axis=0)
+        rows = np.unique(np.stack([*s, differ, may], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([*map(pa.array, rows.T.copy())], names=["a", "b", "least", "most"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
@@ -395,21 +410,23 @@ def _bucket_pairs(similarity: float, most: int = 1 << 19):
 
 
 def across(classes: DataFrame, root: DataFrame, similarity: float = SIMILARITY, large: int = LARGE) -> DataFrame:
-    """(a, b), a < b: pairs to check among classes (s, n, first, parities), every pair of different groups that is as similar among them; root: group (root) of classes (node) that aren't alone. Written."""
+    """(a, b), a < b: pairs to check among classes (s, n, first, short and wide parities), every pair of different groups that is as similar among them; root: group (root) of classes (node) that aren't alone. Written."""
     named = classes.where("s <> 0").join(root.withColumnRenamed("node", "s"), "s", "left")
-    named = written(named.select("s", F.coalesce("root", "s").alias("root"), "n", "first", *ODD), "named")
-    held_by = named.select(F.explode("first").alias("key"), "root").groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("count"))
-    shared = written(held_by.where("least < most").select("key", "count"), "shared")
+    named = written(named.select("s", F.coalesce("root", "s").alias("root"), "n", "first", *ODD, "wide"), "named")
+    held_by = named.select(F.explode("first").alias("key"), "root").groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    shared = written(held_by.where("least < most").select("key", "least"), "shared")
     held = bitmap(shared, "key")
-    member = named.mapInArrow(_bucket_rows(held), f"key long, s long, root long, n int, place int, {_ODD_WORDS}").join(shared, "key")
-    parts = F.when(F.col("count") <= large, F.lit(1).cast("long")).otherwise(F.ceil(F.col("count") / F.lit(max(1, large // 2))))
-    member = member.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("s"), "parts"))
-    member = member.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    led = named.select("s", "first").mapInArrow(_shared_rows(held), "key long, s long").join(shared, "key")
+    led = written(led.select(F.col("least").alias("key"), "s").distinct(), "led")
+    hot = led.groupBy("key").count().where(F.col("count") > large)
+    parts = F.coalesce(F.ceil(F.col("count") / F.lit(max(1, large // 2))), F.lit(1).cast("long"))
+    member = led.join(F.broadcast(hot), "key", "left").withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("s"), "parts"))
+    member = member.join(named.drop("first"), "s").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     member = member.withColumn("part", F.greatest("side", "other") * F.col("parts") + F.least("side", "other")).withColumn("across", F.expr("part div parts <> part % parts"))
-    rows = member.select("key", "part", "side", "across", "s", "root", "n", "place", *ODD).repartition("key", "part").sortWithinPartitions("key", "part")
-    pairs = rows.mapInArrow(_bucket_pairs(similarity), "a long, b long, least long, times long").groupBy("a", "b").agg(F.max("least").alias("least"), F.sum("times").alias("times"))
-    out = written(pairs.where("times >= least").select("a", "b"), "across")
-    drop(named, shared)
+    rows = member.select("key", "part", "side", "across", "s", "root", "n", *ODD, "wide").repartition("key", "part").sortWithinPartitions("key", "part")
+    pairs = rows.mapInArrow(_bucket_pairs(similarity), "a long, b long, least long, most long")
+    out = written(pairs.select("a", "b").distinct(), "across")
+    drop(named, shared, led)
     return out
 
 
@@ -449,8 +466,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     """doc_id, row (hash of all columns) and root (class that names the group) of each row of docs. Written."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), row_hash(docs.columns).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     frequent = docs.sparkSession.sparkContext.broadcast(frequencies(rows, width))
-    sketches = written(rows.mapInArrow(_sketches(width, similarity, frequent), f"doc_id long, row long, s long, {_FP}, n int, first array<long>, {_ODD_WORDS}"), "sketches")
-    classes = written(sketches.groupBy("s").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in (*FP, "n", "first", *ODD))), "classes")
+    sketches = written(rows.mapInArrow(_sketches(width, similarity, frequent), f"doc_id long, row long, s long, {_FP}, n int, first array<long>, {_ODD_WORDS}, wide binary"), "sketches")
+    classes = written(sketches.groupBy("s").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in (*FP, "n", "first", *ODD, "wide"))), "classes")
     found = candidates(classes, bit_distance(similarity), tables(classes.count(), similarity), large)
     true = similar(found, classes, rows, similarity, width)
     root = connected_components(true)

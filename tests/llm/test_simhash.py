@@ -237,3 +237,41 @@ def test_pairs_of_buckets_over_batches_and_sides():
             for x, y, least, times in zip(*(c.to_pylist() for c in b.columns)):
                 found.setdefault((x, y, least), []).append(times)
         assert want <= {(x, y) for (x, y, least), times in found.items() if sum(times) >= least}
+
+
+def test_pairs_to_check_grow_with_links_not_with_the_square_of_a_family(spark, monkeypatch):
+    # Copies of one text, most of them less alike than asked for, so that each is a group of its own.
+    rng = random.Random(26)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    texts = [" ".join(edited(rng, base, 0.025)) for _ in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want, links = brute_groups(texts)
+    assert len(set(want)) > 50
+    checked, real = [], near_copies.across
+
+    def across(*args):
+        out = real(*args)
+        checked.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "across", across)
+    for large in (10, 2000):
+        got = {r.doc_id: r.root for r in near_copies.groups(docs, large=large).collect()}
+        assert len({(want[i], got[i]) for i in got}) == len(set(want)) == len(set(got.values()))
+    assert max(checked) <= len(texts), (checked, len(links), len(set(want)))
+
+
+def test_folded_parities_never_exceed_the_hashes_that_differ():
+    rng = np.random.default_rng(27)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (0, 1, 5, 33, 60, 300, 300, 2000, 40000)]
+    sets += [np.unique(np.concatenate([h[len(h) // 9 :], rng.integers(0, 2**63, len(h) // 5, dtype=np.uint64)])) for h in sets]
+    wide = [near_copies.wide_parities(h) for h in sets]
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    whole = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    for most in (1, 1 << 20):
+        found = near_copies.cells_apart(wide, i, j, most)
+        assert (found <= whole).all() and (found[i == j] == 0).all()
+    # A pair at similarity 0.75 is told from one at 0.8.
+    a = np.unique(rng.integers(0, 2**63, 700, dtype=np.uint64))
+    b = np.concatenate([a[100:], rng.integers(0, 2**63, 100, dtype=np.uint64)])
+    assert near_copies.cells_apart([near_copies.wide_parities(x) for x in (a, b)], np.array([0]), np.array([1]))[0] > 1400 - 2 * near_copies.least_overlap(1400)
