@@ -19,6 +19,7 @@ MODULES = {
     "op8_chat_format": "chat",
     "op9_warc": "warc",
     "op10_licenses": "licenses",
+    "op11_collocations": "phrases",
     "op12_align": "align",
     "op13_line_dedup": "lines",
 }
