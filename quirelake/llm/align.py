@@ -1,18 +1,20 @@
 """Alignment of two tokenizers over whole texts: the byte ranges at which both end a token, the groups between these, and all links of tokens that overlap.
 
 A is a byte-level BPE of the tokenizers library over space + text, B a byte-fallback BPE of sentencepiece, which adds that space itself. An Arrow function gives the ids and byte ends of both; all else is higher-order functions of Spark.
-A text goes through in blocks of about BLOCK characters, cut before a single space between two other characters: no match of A's pattern and no piece of B's vocabulary crosses such a place (the vocabulary is searched for one that
-could when it is loaded; texts are not cut then), so both end a token there and a block's ids are those of the whole text. Pieces between such places that were met before come from bounded tables of the worker.
+A text is cut into units before each single space between two characters other than white space: no match of A's pattern and no piece of B's vocabulary crosses such a place (the vocabulary is searched for one that could when it is
+loaded; texts are one unit then), so both end a token there and a unit's ids are those of the whole text. Documents of about PACK characters make a pack: a row with its distinct units, each once, and its documents as sequences of units.
+A worker keeps a bounded table of units that it has met.
 
-Within a block the ends of A and B are sorted together, each with its side and place. Ends of both (array_intersect) cut the block into groups. Each distinct end closes one stretch that lies in one token of A and one of B; two
+Within a unit the ends of A and B are sorted together, each with its side and place. Ends of both (array_intersect) cut the unit into groups. Each distinct end closes one stretch that lies in one token of A and one of B; two
 stretches never share both, so these are the links: an end of A at place i, at j in the sorted ends, has j - i ends of B before it and thus lies in B's token j - i, and an end of B the other way round. All this is linear but for
-the sort, and a block's arrays are let go before the next one's.
+the sort, and is done once for each unit of a pack. For units of few tokens, nearly all there are, searching the arrays for the places of ends comes to the same and costs less.
 
-Links are counted by id pair over all documents, first within a block, then by partial sums. Of the pairs, the FREQUENT most frequent ones are broadcast (a fixed number) and answer most links where they stand; the others, none
-of which can be hot, meet their counts in a join.
+Links are counted by id pair over all documents, by units weighted with their occurrences in the pack and partial sums. Of the pairs, the FREQUENT most frequent ones are broadcast (a fixed number) and answer most links where they
+stand; the others, none of which can be hot, meet their counts in a join. Sums over a unit's links go back to its pack, and each document adds up those of its units.
 
 Nulls and edge cases. Null and empty texts, and texts that A's or B's tokens don't give back byte by byte (such as ones with U+2581), have no tokens: empty arrays, zeros, and '' for the digest. Special tokens' strings are ordinary text.
-Each row is a document of its own, whatever its id; rows that repeat count each. A very long text without any place to cut is one block. An empty table gives an empty result. Columns other than id and text aren't read.
+Each row is a document of its own, whatever its id; rows that repeat count each. A long text is in one pack, with a number for each of its units; a long text without any place to cut is one unit. An empty table gives an empty result. Columns other than
+id and text aren't read.
 """
 
 from __future__ import annotations
@@ -28,19 +30,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import PIECES, WHITE, Bpe, byte_characters, known_pattern
+from .bpe import WHITE, byte_characters
 from .common import written
 
-#: Characters of a block, characters of texts that go out in one batch, and pairs that are broadcast.
-BLOCK, BATCH, FREQUENT = 1 << 15, 1 << 21, 1 << 16
-_CUT = re.compile(f"(?<=[^{WHITE}])(?= [^{WHITE}])")
-_WORD = re.compile(" *[^ ]+| +")
-_RANGE = pa.struct([(c, pa.list_(pa.int32())) for c in ("ids_a", "ends_a", "ids_b", "ends_b")])
-BLOCKS = "array<struct<ids_a:array<int>,ends_a:array<int>,ids_b:array<int>,ends_b:array<int>>>"
+#: Characters of a pack, units that a worker keeps, pairs that are broadcast, and tokens of both sides up to which places are searched for rather than sorted.
+PACK, UNITS, FREQUENT, FEW = 1 << 22, 600_000, 1 << 16, 64
+_UNIT = re.compile(f"[{WHITE}]*+[^{WHITE}]++(?:(?! [^{WHITE}])[{WHITE}]++[^{WHITE}]++)*+(?:[{WHITE}]++\\Z)?+|[{WHITE}]+")
+_LIST = pa.list_(pa.int32())
+_SIDES = ("ids_a", "ends_a", "ids_b", "ends_b")
+_WORD = pa.struct([*((c, _LIST) for c in _SIDES), ("n", pa.int64())])
+_DOC = pa.struct([("doc_id", pa.int64()), ("seq", _LIST)])
+PACKS = "units array<struct<ids_a:array<int>,ends_a:array<int>,ids_b:array<int>,ends_b:array<int>,n:bigint>>, docs array<struct<doc_id:bigint,seq:array<int>>>"
 
 
-class ByteLevel(Bpe):
-    """A: the tokenizer of a file of the tokenizers library, with the tables of Bpe."""
+class Coder:
+    """A tokenizer of units that begin with a space, with each token's bytes; cuts says whether no token crosses the places between units."""
+
+    bytes: list[bytes]
+    cuts = True
+
+    def measured(self) -> None:
+        self.lengths = np.array([len(b) for b in self.bytes], np.int32)
+
+
+class ByteLevel(Coder):
+    """A: a byte-level file of the tokenizers library."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,13 +67,16 @@ class ByteLevel(Bpe):
         self.bytes = [b""] * (1 + max(vocab.values()))
         for t, i in vocab.items():
             self.bytes[i] = bytes(byte[c] for c in t)
-        self.lengths = np.array([len(b) for b in self.bytes], np.int32)
-        self.cuts = known_pattern() is not None
-        self.forget()
+        # The library's own pattern of byte-level splitting begins a match at each such space.
+        self.cuts = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
+        self.measured()
 
+    def encode(self, units: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
-class Pieces:
-    """B: a sentencepiece model, with a table of words that a worker keeps. A word is a run of spaces with the characters up to the next space."""
+
+class Pieces(Coder):
+    """B: a sentencepiece model, which adds the space itself."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -67,103 +84,115 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-        self.lengths = np.array([len(b) for b in self.bytes], np.int32)
-        self.space = self.model.piece_to_id("▁")
         self.cuts = not any(re.search("[^▁]▁", n) for n in names)
-        self.forget()
+        self.measured()
 
-    def forget(self) -> None:
-        self.held: dict[str, tuple[int, ...]] = {}
-        self.before: dict[str, tuple[int, ...]] = {}
-
-    def fresh(self, words: list[str]) -> Iterator[tuple[int, ...]]:
-        """Ids of words that begin with a space, which the model adds itself. A space alone is one piece."""
-        for w, ids in zip(words, self.model.encode([w[1:] for w in words], num_threads=1)):
-            yield tuple(ids) if w != " " else (self.space,)
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text that begins with a space."""
-        if not self.cuts:
-            return list(next(self.fresh([text])))
-        found = _WORD.findall(text)
-        new = set(found).difference(self.held)
-        if len(self.held) + len(new) > PIECES // 2:
-            self.held, self.before = {}, self.held
-            new = set(found)
-        if new:
-            known = {w: self.before[w] for w in new if w in self.before}
-            new = list(new.difference(known))
-            self.held.update(known)
-            self.held.update(zip(new, self.fresh(new)))
-        return list(chain.from_iterable(map(self.held.__getitem__, found)))
+    def encode(self, units: list[str]) -> list[list[int]]:
+        return self.model.encode([u[1:] for u in units], num_threads=1)
 
 
-@lru_cache(maxsize=2)
-def coders(path_a: str, path_b: str) -> tuple[ByteLevel, Pieces]:
-    return ByteLevel(path_a), Pieces(path_b)
+class _Flat:
+    """Lists of integers end to end."""
+
+    def __init__(self) -> None:
+        self.values, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def add(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        self.values = np.concatenate([self.values, values])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
 
-def blocks_of(text: str, size: int = BLOCK) -> Iterator[str]:
-    at = 0
-    while at < len(text):
-        m = _CUT.search(text, at + size) if len(text) - at > size else None
-        end = m.start() if m else len(text)
-        yield text[at:end]
-        at = end
+    def take(self, codes: np.ndarray) -> pa.ListArray:
+        lengths = self.starts[codes + 1] - self.starts[codes]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.starts[codes] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        return pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), self.values[at])
 
 
-def ranges(text: str | None, a: ByteLevel, b: Pieces, size: int = BLOCK) -> list[tuple[np.ndarray, ...]]:
-    """(ids of A, ends, ids of B, ends) of each block of space + text, ends counted in bytes of the block; none if the tokens don't give the text back."""
-    if not text:
-        return []
-    out = []
-    for block in blocks_of(" " + text, size) if a.cuts and b.cuts else [" " + text]:
-        data, both = block.encode(), []
-        for coder in (a, b):
-            ids = coder.encode(block)
-            if b"".join(map(coder.bytes.__getitem__, ids)) != data:
-                return []
-            ids = np.array(ids, np.int32)
-            both += [ids, np.cumsum(coder.lengths[ids], dtype=np.int32)]
-        out.append(tuple(both))
-    return out
+class Table:
+    """Ids and byte ends of units under both tokenizers, each unit tokenised once while it is kept."""
 
+    def __init__(self, a: Coder, b: Coder) -> None:
+        self.coders, self.cuts = (a, b), a.cuts and b.cuts
+        self.forget()
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-    return pa.ListArray.from_arrays(ends, np.concatenate(parts) if parts else np.zeros(0, np.int32))
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.whole = np.zeros(0, bool)
+        self.flat = {c: _Flat() for c in _SIDES}
+
+    def units(self, text: str) -> list[str]:
+        """The units of space + text."""
+        return _UNIT.findall(" " + text) if self.cuts else [" " + text]
+
+    def codes(self, units: list[str]) -> np.ndarray:
+        """A number for each unit, valid until the next call; self.whole says which ones both tokenizers give back byte by byte."""
+        distinct = dict.fromkeys(units)
+        fresh = [u for u in distinct if u not in self.index]
+        if len(self.index) + len(fresh) > UNITS:
+            self.forget()
+            fresh = list(distinct)
+        if fresh:
+            data, whole = [u.encode() for u in fresh], np.ones(len(fresh), bool)
+            for coder, side in zip(self.coders, "ab"):
+                ids = coder.encode(fresh)
+                lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
+                ends = np.cumsum(coder.lengths[flat], dtype=np.int64)
+                before = np.concatenate([[0], ends])[np.cumsum(lengths) - lengths]
+                self.flat[f"ids_{side}"].add(flat, lengths)
+                self.flat[f"ends_{side}"].add((ends - np.repeat(before, lengths)).astype(np.int32), lengths)
+                whole &= np.fromiter((b"".join(map(coder.bytes.__getitem__, i)) == d for i, d in zip(ids, data)), bool, len(ids))
+            self.whole = np.concatenate([self.whole, whole])
+            self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh))))
+        return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+
+    def pack(self, ids: list, texts: list[str | None]) -> pa.RecordBatch:
+        """One row of PACKS."""
+        each = [self.units(t) if t else [] for t in texts]
+        codes = self.codes([*chain.from_iterable(each)])
+        ends = np.cumsum([0, *map(len, each)])
+        broken = np.concatenate([[0], np.cumsum(~self.whole[codes])])
+        good = broken[ends[1:]] == broken[ends[:-1]]
+        lengths = np.where(good, np.diff(ends), 0)
+        used, seq, n = np.unique(codes[np.repeat(good, np.diff(ends))], return_inverse=True, return_counts=True)
+        words = pa.StructArray.from_arrays([*(self.flat[c].take(used) for c in _SIDES), pa.array(n, pa.int64())], fields=list(_WORD))
+        seqs = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), seq.astype(np.int32))
+        docs = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), seqs], fields=list(_DOC))
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(words)], words), pa.ListArray.from_arrays([0, len(docs)], docs)], names=["units", "docs"])
 
 
-def _batch(ids: list, rows: list[list[tuple[np.ndarray, ...]]], id_type: pa.DataType) -> pa.RecordBatch:
-    flat = [x for r in rows for x in r]
-    parts = pa.StructArray.from_arrays([_lists([x[k] for x in flat]) for k in range(4)], fields=list(_RANGE))
-    blocks = pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)], dtype=np.int32), parts)
-    return pa.RecordBatch.from_arrays([pa.array(ids, id_type), blocks], names=["doc_id", "blocks"])
+@lru_cache(maxsize=2)
+def table(path_a: str, path_b: str) -> Table:
+    return Table(ByteLevel(path_a), Pieces(path_b))
 
 
-def _tokenised(path_a: str, path_b: str, size: int):
+def _packed(path_a: str, path_b: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = coders(path_a, path_b)
+        units = table(path_a, path_b)
+        ids, texts, chars = [], [], 0
         for batch in batches:
-            ids, rows, chars = [], [], 0
             for i, t in zip(batch.column(0), batch.column(1)):
-                text = t.as_py()
-                ids.append(i.as_py()), rows.append(ranges(text, a, b, size))
-                chars += len(text or "")
-                if chars > BATCH:
-                    yield _batch(ids, rows, pa.int64())
-                    ids, rows, chars = [], [], 0
-            if ids:
-                yield _batch(ids, rows, pa.int64())
-        a.forget(), b.forget()  # the worker lives on for other stages
+                ids.append(i.as_py()), texts.append(t.as_py())
+                chars += len(texts[-1] or "")
+                if chars >= size:
+                    yield units.pack(ids, texts)
+                    ids, texts, chars = [], [], 0
+        if ids:
+            yield units.pack(ids, texts)
+        units.forget()  # the worker lives on for other stages
 
     return run
 
 
-def tokenised(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK) -> DataFrame:
-    """doc_id and blocks of each row of docs."""
+def packed(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", size: int = PACK) -> DataFrame:
+    """PACKS over all rows of docs."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(_tokenised(path_a, path_b, size), f"doc_id long, blocks {BLOCKS}")
+    return rows.mapInArrow(_packed(path_a, path_b, size), PACKS)
+
+
+def _struct(**fields: Column) -> Column:
+    """A struct whose names hold within lambdas, too."""
+    return F.named_struct(*chain.from_iterable((F.lit(k), v) for k, v in fields.items()))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -171,46 +200,45 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _sorted_ends(b: Column) -> Column:
-    """Ends of both sides in order: the end, a bit for B, the place."""
-    of_a = F.transform(b["ends_a"], lambda e, i: F.shiftleft(e.cast("long"), 33).bitwiseOR(i.cast("long")))
-    of_b = F.transform(b["ends_b"], lambda e, i: F.shiftleft(e.cast("long"), 33).bitwiseOR(i.cast("long")).bitwiseOR(F.lit(1 << 32)))
-    return F.sort_array(F.concat(of_a, of_b))
-
-
+_SIDE, _PLACE = 1 << 32, (1 << 31) - 1
 _end = lambda x: F.shiftright(x, 33)
-_place = lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+_place = lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int")
+_of_b = lambda x: x.bitwiseAND(F.lit(_SIDE)) != 0
 
 
-def groups_of(b: Column) -> Column:
-    """array<struct<a, b>> of a block: the ids of each group."""
-
-    def build(s: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda j: _end(F.get(s, j)) == _end(F.get(s, j - 1)))
+def sorted_ends(u: Column) -> Column:
+    """Ends of both sides of a unit in order: the end, a bit for B, the place. Of equal ends A's comes first."""
+    of_a = F.transform(u["ends_a"], lambda e, i: F.shiftleft(e.cast("long"), 33) + i)
+    of_b = F.transform(u["ends_b"], lambda e, i: F.shiftleft(e.cast("long"), 33) + i + F.lit(_SIDE))
+    return F.sort_array(F.concat(of_a, of_b))
 
-        def group(j: Column, k: Column, at: Column) -> Column:
-            before = lambda back: F.when(k == 0, F.lit(0)).otherwise(_place(F.get(s, F.get(at, k - 1) - back)) + 1)
-            cut = lambda ids, back: F.slice(ids, before(back) + 1, _place(F.get(s, j - back)) + 1 - before(back))
-            return F.struct(cut(b["ids_a"], 1).alias("a"), cut(b["ids_b"], 0).alias("b"))
 
-        return _let(places, lambda at: F.transform(at, lambda j, k: group(j, k, at)))
+def groups_of(u: Column, s: Column) -> Column:
+    """array<struct<a, b>> of a unit with its sorted ends: the ids of each group."""
+    # Where both end: the numbers of tokens of A and B up to there.
+    bound = lambda x, j: F.when(_of_b(x), F.when(_end(F.get(s, j - 1)) == _end(x), _struct(a=j - _place(x), b=_place(x) + 1)))
+    bounds = F.array_compact(F.transform(s, bound))
 
-    return F.when(F.size(F.array_intersect(b["ends_a"], b["ends_b"])) > 0, _let(_sorted_ends(b), build)).otherwise(F.array().cast("array<struct<a:array<int>,b:array<int>>>"))
+    def group(x: Column, k: Column, at: Column) -> Column:
+        cut = lambda c: _let(F.when(k == 0, F.lit(0)).otherwise(F.get(at, k - 1)[c]), lambda start: F.slice(u[f"ids_{c}"], start + 1, x[c] - start))
+        return _struct(a=cut("a"), b=cut("b"))
 
+    many = _let(bounds, lambda at: F.transform(at, lambda x, k: group(x, k, at)))
+    # array_intersect gives the common ends; with one alone the unit is one group.
+    return F.when(F.size(F.array_intersect(u["ends_a"], u["ends_b"])) == 1, F.array(_struct(a=u["ids_a"], b=u["ids_b"]))).otherwise(many)
 
-def links_of(b: Column) -> Column:
-    """array<struct<a, b>> of a block: the places of each two tokens whose bytes overlap."""
 
-    def build(s: Column) -> Column:
-        def link(j: Column) -> Column:
-            own, other = _place(F.get(s, j)), j - _place(F.get(s, j))
-            of_b = F.get(s, j).bitwiseAND(F.lit(1 << 32)) != 0
-            return F.struct(F.when(of_b, other).otherwise(own).alias("a"), F.when(of_b, own).otherwise(other).alias("b"))
+def links_of(s: Column) -> Column:
+    """array<struct<a, b>> of a unit's sorted ends: the places of each two tokens whose bytes overlap, in order."""
+    of = lambda a, b: _struct(a=a, b=b)
+    link = lambda x, j: F.when(~_of_b(x), of(_place(x), j - _place(x))).when(_end(F.get(s, j - 1)) != _end(x), of(j - _place(x), _place(x)))
+    first = lambda x, j: F.when(_of_b(x) & (j == 0), of(j, _place(x))).otherwise(link(x, j))
+    return F.array_compact(F.transform(s, first))
 
-        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j == 0) | (_end(F.get(s, j)) != _end(F.get(s, j - 1))))
-        return F.transform(first, link)
 
-    return _let(_sorted_ends(b), build)
+def pairs_of(u: Column, links: Column) -> Column:
+    """The id pair of each link, A's id in the upper half."""
+    return F.transform(links, lambda x: F.shiftleft(F.get(u["ids_a"], x["a"]).cast("long"), 32) + F.get(u["ids_b"], x["b"]))
 
 
 def group_text(groups: Column) -> Column:
@@ -219,51 +247,82 @@ def group_text(groups: Column) -> Column:
     return F.array_join(F.transform(groups, one), ";")
 
 
-def pair_counts(b: Column) -> Column:
-    """array<struct<pair, n>> of a block: each linked id pair (A's id in the upper half) once, with its number of links."""
+def short_pairs(u: Column) -> Column:
+    """pairs_of() for few tokens: each id as often as ends lie in its token, A's and B's side by side."""
+
+    def spread(side: str, ends: Column) -> Column:
+        own = u[f"ends_{side}"]
+        before = lambda i: F.coalesce(F.array_position(ends, F.get(own, i - 1)), F.lit(0))
+        return F.flatten(F.transform(own, lambda e, i: F.array_repeat(F.get(u[f"ids_{side}"], i), (F.array_position(ends, e) - before(i)).cast("int"))))
+
+    pair = lambda x, y: F.shiftleft(x.cast("long"), 32) + y
+    return _let(F.sort_array(F.array_union(u["ends_a"], u["ends_b"])), lambda ends: F.zip_with(spread("a", ends), spread("b", ends), pair))
+
+
+def short_text(u: Column) -> Column:
+    """group_text(groups_of()) for few tokens: each side's ids with semicolons behind common ends and commas elsewhere, and these two zipped."""
+
+    def build(cuts: Column) -> Column:
+        def side(c: str) -> Column:
+            mark = lambda i: F.when(F.array_contains(cuts, F.get(u[f"ends_{c}"], i - 1)), ";").when(i > 0, ",").otherwise("")
+            return F.split(F.array_join(F.transform(u[f"ids_{c}"], lambda x, i: F.concat(mark(i), x.cast("string"))), ""), ";")
 
-    def count(p: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda j: (j == 0) | (F.get(p, j) != F.get(p, j - 1)))
-        run = lambda at: F.transform(at, lambda j, k: F.struct(F.get(p, j).alias("pair"), (F.coalesce(F.get(at, k + 1), F.size(p)) - j).alias("n")))
-        return _let(starts, run)
+        return F.array_join(F.zip_with(side("a"), side("b"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
 
-    ids = lambda x: F.shiftleft(F.get(b["ids_a"], x["a"]).cast("long"), 32).bitwiseOR(F.get(b["ids_b"], x["b"]).cast("long"))
-    return _let(F.sort_array(F.transform(links_of(b), ids)), count)
+    return _let(F.array_intersect(u["ends_a"], u["ends_b"]), build)
 
 
-def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK) -> DataFrame:
-    """doc_id and, for each block of the text, its groups (ids) and links (places of the tokens within the block)."""
-    rows = tokenised(docs, path_a, path_b, id_col, text_col, size)
-    return rows.select("doc_id", F.transform("blocks", lambda b: F.struct(groups_of(b).alias("groups"), links_of(b).alias("links"))).alias("blocks"))
+def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", size: int = PACK) -> DataFrame:
+    """doc_id and, for each unit of the text, its groups (ids) and links (places of the tokens within the unit)."""
+    both = lambda u: _let(sorted_ends(u), lambda s: _struct(groups=groups_of(u, s), links=links_of(s)))
+    rows = packed(docs, path_a, path_b, id_col, text_col, size).select(F.transform("units", both).alias("units"), "docs")
+    # Documents take their units before they become rows, so that no row carries its whole pack.
+    each = F.transform("docs", lambda d: _struct(doc_id=d["doc_id"], units=F.transform(d["seq"], lambda i: F.get(F.col("units"), i))))
+    return rows.select(F.explode(each).alias("d")).select("d.*")
 
 
-def judged_pairs(rows: DataFrame) -> DataFrame:
-    """pair, count over all documents, best: whether it is the highest count of B's id, from rows with pairs."""
-    counts = written(rows.select(F.explode("pairs").alias("p")).groupBy("p.pair").agg(F.sum("p.n").alias("count")), "pairs")
+def judged_pairs(packs: DataFrame) -> DataFrame:
+    """pair, count over all documents, best: whether it is the highest count of B's id, from packs with their units' pairs."""
+    each = packs.select(F.explode("units").alias("u")).select(F.explode("u.pairs").alias("pair"), "u.n")
+    counts = written(each.groupBy("pair").agg(F.sum("n").alias("count")), "pairs")
     id_b = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("id_b")
     highest = counts.groupBy(id_b).agg(F.max("count").alias("highest"))
     # At most one row for each id of B's vocabulary.
     return counts.select("pair", "count", id_b).join(F.broadcast(highest), "id_b").select("pair", "count", (F.col("count") == F.col("highest")).alias("best"))
 
 
-def scored(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK) -> DataFrame:
+def scored(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", size: int = PACK) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and over the links of each document n_best and count_sum."""
-    # One pass over a block gives its text of groups and its pairs; nested so that a block's arrays live for that pass alone.
-    total = lambda f: F.aggregate("blocks", F.lit(0).cast("long"), lambda s, b: s + f(b))
-    of = lambda b: F.struct(group_text(groups_of(b)).alias("text"), F.size(F.array_intersect(b["ends_a"], b["ends_b"])).alias("n"), pair_counts(b).alias("pairs"))
-    cols = [F.monotonically_increasing_id().alias("row"), "doc_id", total(lambda b: F.size(b["ids_a"])).alias("n_a"), total(lambda b: F.size(b["ids_b"])).alias("n_b"), F.transform("blocks", of).alias("done")]
-    rows = tokenised(docs, path_a, path_b, id_col, text_col, size).select(*cols)
-    text = F.array_join("done.text", ";")
-    rows = rows.select("row", "doc_id", "n_a", "n_b", F.aggregate("done", F.lit(0).cast("long"), lambda s, d: s + d["n"]).alias("n_groups"), F.when(text == "", text).otherwise(F.sha2(text, 256)).alias("groups_sha256"), F.flatten("done.pairs").alias("pairs"))
-    rows = written(rows, "alignment")
-    pairs = written(judged_pairs(rows), "judged")
+    size_of = lambda c: F.size(c).cast("long")
+
+    def unit(u: Column) -> Column:
+        few = F.size(u["ids_a"]) + F.size(u["ids_b"]) <= FEW
+        text = F.when(few, short_text(u)).otherwise(_let(sorted_ends(u), lambda s: group_text(groups_of(u, s))))
+        pairs = F.when(few, short_pairs(u)).otherwise(_let(sorted_ends(u), lambda s: pairs_of(u, links_of(s))))
+        return _struct(a=size_of(u["ids_a"]), b=size_of(u["ids_b"]), g=size_of(F.array_intersect(u["ends_a"], u["ends_b"])), text=text, pairs=pairs, n=u["n"])
+
+    total = lambda seq, values, c: F.aggregate(seq, F.lit(0).cast("long"), lambda s, i: s + F.get(values, i)[c])
+    packs = packed(docs, path_a, path_b, id_col, text_col, size).select(F.monotonically_increasing_id().alias("pack"), F.transform("units", unit).alias("units"), "docs")
+
+    def doc(d: Column) -> Column:
+        units = F.col("units")
+        sums = {n: total(d["seq"], units, c) for c, n in (("a", "n_a"), ("b", "n_b"), ("g", "n_groups"))}
+        text = F.array_join(F.transform(d["seq"], lambda i: F.get(units, i)["text"]), ";")
+        return _struct(doc_id=d["doc_id"], **sums, groups_sha256=F.when(F.size(d["seq"]) == 0, F.lit("")).otherwise(F.sha2(text, 256)), seq=d["seq"])
+
+    kept = F.transform("units", lambda u: _struct(pairs=u["pairs"], n=u["n"])).alias("units")
+    packs = written(packs.select("pack", F.transform("docs", doc).alias("docs"), kept), "packs")
+    pairs = written(judged_pairs(packs), "judged")
     frequent = pairs.orderBy(F.desc("count"), "pair").limit(FREQUENT)
-    met = rows.select("row", F.explode("pairs").alias("p")).select("row", "p.pair", F.col("p.n").cast("long").alias("n")).join(F.broadcast(frequent), "pair", "left")
-    sums = lambda x: x.groupBy("row").agg(F.sum("n").alias("n_links"), F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("count")).alias("count_sum"))
-    others = met.where("count IS NULL").select("row", "pair", "n").join(pairs, "pair")
-    both = sums(met.where("count IS NOT NULL")).unionByName(sums(others)).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_links", "n_best", "count_sum")])
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return rows.drop("pairs").join(both, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", zero("n_links"), zero("n_best"), zero("count_sum"), "groups_sha256")
+    met = packs.select("pack", F.posexplode("units.pairs").alias("unit", "p")).select("pack", "unit", F.explode("p").alias("pair")).join(F.broadcast(frequent), "pair", "left")
+    sums = lambda x: x.groupBy("pack", "unit").agg(F.count("*").alias("l"), F.count_if("best").alias("b"), F.sum("count").alias("c"))
+    others = met.where("count IS NULL").select("pack", "unit", "pair").join(pairs, "pair")
+    each = sums(met.where("count IS NOT NULL")).unionByName(sums(others)).groupBy("pack", "unit").agg(*[F.sum(c).alias(c) for c in "lbc"])
+    answers = each.groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("unit", *"lbc"))).alias("answers"))
+    found = lambda d: {n: total(d["seq"], F.col("answers"), c) for c, n in (("l", "n_links"), ("b", "n_best"), ("c", "count_sum"))}
+    each = F.transform("docs", lambda d: _struct(**{c: d[c] for c in ("doc_id", "n_a", "n_b", "n_groups")}, **found(d), groups_sha256=d["groups_sha256"]))
+    # Documents take their sums before they become rows, so that no row carries its whole pack.
+    return packs.select("pack", "docs").join(answers, "pack", "left").select(F.explode(each).alias("d")).select("d.*")
 
 
 def vocabularies() -> tuple[str, str]:

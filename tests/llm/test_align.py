@@ -75,42 +75,55 @@ def corpus(n):
     return [(i, t) for i, t in enumerate(ODD + texts)] + [(3, "the same"), (3, "the same"), (None, "the same"), (None, None)]
 
 
-def test_blocks_give_the_ids_of_whole_texts(plain):
-    a, b = align.coders(*PATHS)
-    assert a.cuts and b.cuts
-    for _, t in corpus(300):
-        for size in (1, 7, 1 << 15):
-            of_a, of_b = tokens(t, plain) if t else ([], [])
-            found = align.ranges(t, a, b, size)
-            assert [i for r in found for i in r[0].tolist()] == [x[0] for x in of_a], t
-            assert [i for r in found for i in r[2].tolist()] == [x[0] for x in of_b], t
+def test_units_give_the_ids_of_whole_texts(plain):
+    t = align.table(*PATHS)
+    assert t.cuts
+    for _, text in corpus(300):
+        if not text:
+            continue
+        of_a, of_b = tokens(text, plain)
+        units = t.units(text)
+        assert "".join(units) == " " + text
+        pack = t.pack([1], [text]).to_pylist()[0]
+        seq = [pack["units"][i] for i in pack["docs"][0]["seq"]]
+        assert [i for u in seq for i in u["ids_a"]] == [x[0] for x in of_a], text
+        assert [i for u in seq for i in u["ids_b"]] == [x[0] for x in of_b], text
+        assert all(u["ends_a"][-1] == u["ends_b"][-1] for u in seq)
 
 
 def test_alignment_matches_brute_force(spark, plain, monkeypatch):
     monkeypatch.setattr(align, "FREQUENT", 20)
     rows = corpus(150)
     df = spark.createDataFrame([(t, i, "x", 1) for i, t in rows], "text string, doc_id long, row string, pair int").repartition(3)
-    for size in (16, 1 << 15):
+    for size, few in ((1, 64), (200, 0), (1 << 22, 64), (1 << 22, 5)):
+        monkeypatch.setattr(align, "FEW", few)
         found = align.scored(df, *PATHS, size=size)
         assert found.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
         assert sorted(map(tuple, found.collect()), key=repr) == brute(rows, plain)
     assert align.scored(df.limit(0), *PATHS).count() == 0
 
 
-def test_groups_and_links_of_blocks(spark, plain):
-    text = "tokenisation of naïve 中文 texts"
-    block = align.aligned(spark.createDataFrame([(1, text)], "doc_id long, text string"), *PATHS).first().blocks[0]
-    a, b = tokens(text, plain)
-    assert {(x.a, x.b) for x in block.links} == {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x[1] < y[2] and y[1] < x[2]}
-    assert [i for g in block.groups for i in g.a] == [x[0] for x in a] and [i for g in block.groups for i in g.b] == [x[0] for x in b]
-
-
-def test_a_full_table_of_words(plain, monkeypatch):
-    monkeypatch.setattr(align, "PIECES", 8)
-    b = align.Pieces(PATHS[1])
-    for _, t in corpus(100):
-        if t and "▁" not in t:
-            assert b.encode(" " + t) == plain[1].encode(t)
+def test_groups_and_links_of_units(spark, plain):
+    rows = [(i, t) for i, t in corpus(60) if i is not None]
+    found = {r.doc_id: r.units for r in align.aligned(spark.createDataFrame(rows[:80], "doc_id long, text string"), *PATHS).collect()}
+    for i, text in rows[:80]:
+        a, b = tokens(text, plain) if text else ([], [])
+        links, groups, at_a, at_b = set(), [], 0, 0
+        for u in found[i]:
+            links |= {(at_a + x.a, at_b + x.b) for x in u.links}
+            groups += u.groups
+            at_a, at_b = at_a + sum(len(g.a) for g in u.groups), at_b + sum(len(g.b) for g in u.groups)
+        assert links == {(p, q) for p, x in enumerate(a) for q, y in enumerate(b) if x[1] < y[2] and y[1] < x[2]}
+        assert [k for g in groups for k in g.a] == [x[0] for x in a] and [k for g in groups for k in g.b] == [x[0] for x in b]
+
+
+def test_a_full_table_of_units(plain, monkeypatch):
+    monkeypatch.setattr(align, "UNITS", 8)
+    t = align.Table(align.ByteLevel(PATHS[0]), align.Pieces(PATHS[1]))
+    for _, text in corpus(100):
+        if text and "▁" not in text:
+            pack = t.pack([1, 2], [text, text]).to_pylist()[0]
+            assert [i for k in pack["docs"][1]["seq"] for i in pack["units"][k]["ids_b"]] == plain[1].encode(text)
 
 
 def test_a_long_text(spark, plain):
