@@ -34,7 +34,7 @@ from .bpe import WHITE, byte_characters
 from .common import written
 
 #: Characters of a pack, units that a worker keeps, pairs that are broadcast, and tokens of both sides up to which places are searched for rather than sorted.
-PACK, UNITS, FREQUENT, FEW = 1 << 22, 600_000, 1 << 16, 64
+PACK, UNITS, FREQUENT, FEW = 1 << 20, 400_000, 1 << 16, 64
 _UNIT = re.compile(f"[{WHITE}]*+[^{WHITE}]++(?:(?! [^{WHITE}])[{WHITE}]++[^{WHITE}]++)*+(?:[{WHITE}]++\\Z)?+|[{WHITE}]+")
 _LIST = pa.list_(pa.int32())
 _SIDES = ("ids_a", "ends_a", "ids_b", "ends_b")
@@ -267,7 +267,9 @@ def short_text(u: Column) -> Column:
             mark = lambda i: F.when(F.array_contains(cuts, F.get(u[f"ends_{c}"], i - 1)), ";").when(i > 0, ",").otherwise("")
             return F.split(F.array_join(F.transform(u[f"ids_{c}"], lambda x, i: F.concat(mark(i), x.cast("string"))), ""), ";")
 
-        return F.array_join(F.zip_with(side("a"), side("b"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
+        one = lambda c: F.array_join(u[f"ids_{c}"].cast("array<string>"), ",")
+        many = F.array_join(F.zip_with(side("a"), side("b"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
+        return F.when(F.size(cuts) == 1, F.concat(one("a"), F.lit("|"), one("b"))).otherwise(many)
 
     return _let(F.array_intersect(u["ends_a"], u["ends_b"]), build)
 
