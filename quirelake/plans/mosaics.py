@@ -139,17 +139,6 @@ def mosaic_encode(spark, sf_dir):
     return _encoded(spark, sf_dir).select("page", "type", "kind", "filter", "w", "h", "channels", F.size("layers").alias("n_layers"), fills.alias("fills"), "size")
 
 
-@query("ab_report")
-def ab_report(spark, sf_dir):
-    """Books of mosaic pages, once as encoded and once with every third book's pages as whole images, compared layer by layer."""
-    pages = mosaic_pages(spark, sf_dir).join(I.classified(mosaic_pages(spark, sf_dir)).select("page", "type"), "page")
-    book = lambda df: df.select(F.floor(F.col("page") / 8).alias("book"), "*", F.lit(100.0).alias("width_pt"), F.lit(100.0).alias("height_pt"))
-    a = E.encoded(pages)
-    b = E.encoded(pages.withColumn("type", F.when(F.floor(F.col("page") / 8) % 3 == 0, "color-image").otherwise(F.col("type"))))
-    both = [pdf.write_books(book(x.where("kind <> '1bit'"))) for x in (a, b)]
-    return pdf.compare_books(*both)
-
-
 def _gray_rows(spark, sf_dir, f: Callable[[np.ndarray], list[tuple]], schema: str) -> DataFrame:
     """The rows that f makes of each page's gray plane, after the page's number."""
     names, kinds = zip(*(c.split() for c in schema.split(", ")))
@@ -259,12 +248,3 @@ def jpeg_headers(spark, sf_dir):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *more], names=["book", "page", "w", "h", "components", "sampling"])
 
     return page_rows(spark, sf_dir).select("book", "page", data.alias("data")).mapInArrow(run, "book long, page int, w int, h int, components int, sampling string")
-
-
-@query("image_listing", f"WITH {PAGES_SQL}, s AS (SELECT book, page, px_w, px_h, jpeg_bytes FROM pg WHERE book % 50 = 1) SELECT book, (page - 1)::INTEGER AS page, px_w AS w, px_h AS h, 8::INTEGER AS bits, 'DCTDecode' AS filter, 2 + jpeg_bytes % 997 AS size FROM s")
-def image_listing(spark, sf_dir):
-    """Images of assembled books, read back from the files."""
-    pages = page_rows(spark, sf_dir).where("book % 50 = 1")
-    data = F.concat(F.unhex(F.lit("FFD8")), F.expr("cast(repeat('x', cast(jpeg_bytes % 997 AS int)) AS binary)"))
-    books = pdf.write_books(pages.select("book", "page", F.lit(10.0).alias("width_pt"), F.lit(10.0).alias("height_pt"), F.lit("jpeg").alias("kind"), F.col("px_w").alias("w"), F.col("px_h").alias("h"), data.alias("data")))
-    return pdf.list_images(books).select("book", "page", "w", "h", "bits", "filter", "size")

@@ -1,44 +1,26 @@
-"""Scanned-page PDF files: a sink that writes one file a book, readers of what it writes, a comparison of two files layer by layer, and headers of JPEG data.
+"""Pages of scans as PDF: the objects of a file, written one by one, and headers of JPEG data. Folders of books are sources.books.
 
-A page comes encoded: jpeg, gray or bits (deflated 1-bit rows, ink 0), or as a payload of operators.encode: an image, or a background with painted stencils. A file is written page by page from
-rows sorted by book and page (write_files), so a task holds one page at a time and a book may be of any size; assemble() makes small files in memory.
+A page comes encoded: jpeg, gray or bits (deflated 1-bit rows, ink 0), or as a payload of operators.encode: an image, or a background with painted stencils.
 """
 
 from __future__ import annotations
 
-import hashlib
-import io
-import json
-import posixpath
-import re
 import struct
-import zlib
-from collections import Counter
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Stream filter, colour space and bits of each kind of payload (fixed values).
 KINDS = {"jpeg": ("DCTDecode", "DeviceRGB", 8), "gray": ("FlateDecode", "DeviceGray", 8), "bits": ("FlateDecode", "DeviceGray", 1)}
 SPACES = {1: "DeviceGray", 3: "DeviceRGB", 4: "DeviceCMYK"}
-#: Short names of stream filters in listings (fixed values).
-FILTERS = {"DCTDecode": "JPEG", "JBIG2Decode": "JBIG2", "FlateDecode": "Flate", "CCITTFaxDecode": "G4", "JPXDecode": "JPEG2000"}
 
 
-def filter_name(name: str | None) -> str:
-    return "none" if not name else FILTERS.get(name, name)
-
-
-def hidden_text(spans: list[tuple[float, float, float, float, str]], height: float) -> bytes:
-    """Invisible text, on the lower edge of its box, in a size within 2..60."""
+def hidden_text(spans: list, height: float) -> bytes:
+    """Invisible text of any script, as UTF-16, on the lower edge of its box, in a size within 2..60."""
     out = []
-    for x0, y0, _, y1, text in spans:
-        safe = text.encode("latin-1", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
-        out.append(b"BT 3 Tr /F1 %.2f Tf %.2f %.2f Td (%s) Tj ET" % (max(2.0, min(y1 - y0, 60.0)), x0, height - y1, safe))
+    for span in spans:
+        x0, y0, y1, text = (span[c] for c in ("x0", "y0", "y1", "text"))
+        out.append(b"BT 3 Tr /F1 %.2f Tf %.2f %.2f Td <%s> Tj ET" % (max(2.0, min(y1 - y0, 60.0)), x0, height - y1, text.encode("utf-16-be", "surrogatepass").hex().encode()))
     return b"\n".join(out)
 
 
@@ -46,12 +28,20 @@ def fill_operator(b: int, g: int, r: int) -> str:
     return f"{r / 255:.4f} {g / 255:.4f} {b / 255:.4f} rg"
 
 
+def _characters() -> bytes:
+    """Stream that maps each 16-bit code to itself, row by row of 256."""
+    rows = [b"<%02x00> <%02xff> <%02x00>" % (i, i, i) for i in range(256)]
+    blocks = b"\n".join(b"%d beginbfrange\n%s\nendbfrange" % (len(part), b"\n".join(part)) for part in (rows[i : i + 100] for i in range(0, 256, 100)))
+    body = b"/CIDInit /ProcSet findresource begin 12 dict begin begincmap /CMapName /Hidden def /CMapType 2 def\n1 begincodespacerange <0000> <ffff> endcodespacerange\n" + blocks + b"\nendcmap end end"
+    return b"<< /Length %d >>\nstream\n%s\nendstream" % (len(body), body)
+
+
 class Writer:
     """Writes a PDF to a stream, object by object; only the places of objects stay in memory."""
 
     def __init__(self, out) -> None:
-        self.out, self.at, self.size, self.kids = out, {}, 0, []
-        self.next = 4  # 1 the catalogue, 2 the page list, 3 the font
+        self.out, self.at, self.size, self.kids, self.numbers = out, {}, 0, [], []
+        self.next = 6  # 1 the catalogue, 2 the page list, 3 the font, 4 its glyphs, 5 their characters
         self._put(b"%PDF-1.4\n")
 
     def _put(self, data: bytes) -> None:
@@ -85,239 +75,24 @@ class Writer:
         paint = b"".join(f"q {fill}{width:.4f} 0 0 {height:.4f} 0 0 cm /Im{i} Do Q\n".encode() for i, fill in enumerate(fills))
         content = self._stream("", paint + hidden_text(p.get("spans") or [], height))
         named = " ".join(f"/Im{i} {x} 0 R" for i, x in enumerate(images))
+        self.numbers.append(p.get("page"))
         self.kids.append(self._object(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {width:.2f} {height:.2f}] /Resources << /XObject << {named} >> /Font << /F1 3 0 R >> >> /Contents {content} 0 R >>".encode()))
 
     def close(self) -> int:
         """Ends the file; returns its size."""
-        self._object(b"<< /Type /Catalog /Pages 2 0 R >>", 1)
+        numbers = " ".join("null" if n is None else str(n) for n in self.numbers)
+        self._object(f"<< /Type /Catalog /Pages 2 0 R /QuirePages [{numbers}] >>".encode(), 1)
         self._object(f"<< /Type /Pages /Kids [{' '.join(f'{k} 0 R' for k in self.kids)}] /Count {len(self.kids)} >>".encode(), 2)
-        self._object(b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>", 3)
+        # Codes of the hidden text are UTF-16 itself; the font is never painted, so it has no outlines.
+        self._object(b"<< /Type /Font /Subtype /Type0 /BaseFont /Hidden /Encoding /Identity-H /DescendantFonts [4 0 R] /ToUnicode 5 0 R >>", 3)
+        self._object(b"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Hidden /CIDSystemInfo << /Registry (Adobe) /Ordering (Identity) /Supplement 0 >> /DW 500 /CIDToGIDMap /Identity >>", 4)
+        self._object(_characters(), 5)
         start = self.size
         self._put(b"xref\n0 %d\n0000000000 65535 f \n" % self.next + b"".join(b"%010d 00000 n \n" % self.at[i] for i in range(1, self.next)))
         self._put(b"trailer << /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (self.next, start))
         return self.size
 
 
-def assemble(pages: list[dict], interpolate: bool = False) -> bytes:
-    """A PDF of pages, as Writer.page() takes them, in the given order."""
-    out = io.BytesIO()
-    w = Writer(out)
-    for p in pages:
-        w.page(p, interpolate)
-    w.close()
-    return out.getvalue()
-
-
-FILES = "book long, n_pages long, bytes long, sha1 string, path string"
-
-
-class _Hashed:
-    """A stream that knows the digest of what went through it."""
-
-    def __init__(self, out) -> None:
-        self.out, self.sha1 = out, hashlib.sha1()
-
-    def write(self, data: bytes) -> None:
-        self.sha1.update(data)
-        self.out.write(data)
-
-
-def write_files(pages: DataFrame, uri: str, interpolate: bool = False) -> DataFrame:
-    """Writes each book of pages (book, page and what Writer.page() takes) to a file of its own in the folder uri and gives FILES; lazily, when the result is read.
-    Rows are sorted by book and page and written one by one, under a temporary name that is replaced when the file is complete, so a retried task leaves the same file."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs as pafs
-        from pyspark import TaskContext
-
-        fs, folder = pafs.FileSystem.from_uri(uri)
-        attempt, book, rows = TaskContext.get().taskAttemptId(), None, []
-
-        def close() -> None:
-            size = writer.close()
-            raw.close()
-            fs.move(temp, path)
-            rows.append((book, len(writer.kids), size, hashed.sha1.hexdigest(), path))
-
-        for b in batches:
-            for i in range(b.num_rows):
-                p = {n: b.column(n)[i].as_py() for n in b.schema.names}
-                if p["book"] != book or not rows and book is None:
-                    if book is not None:
-                        close()
-                    book = p["book"]
-                    path = posixpath.join(folder, f"book{book}_enhanced.pdf")
-                    temp = f"{path}.{attempt}.part"
-                    fs.create_dir(folder, recursive=True)
-                    raw = fs.open_output_stream(temp, compression=None)
-                    writer = Writer(hashed := _Hashed(raw))
-                writer.page(p, interpolate)
-        if book is not None:
-            close()
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in FILES.split(", ")])
-
-    return pages.where("book IS NOT NULL").repartition("book").sortWithinPartitions("book", "page").mapInArrow(run, FILES)
-
-
-def write_books(pages: DataFrame) -> DataFrame:
-    """book, n_pages and pdf for pages (book, page and what Writer.page() takes): for books that fit in memory; write_files() is for any size."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("page").to_dict("records")
-        return pd.DataFrame({"book": [rows[0]["book"]], "n_pages": [len(rows)], "pdf": [assemble(rows)]})
-
-    kept = ["book", "page", "width_pt", "height_pt", "kind", "w", "h", "data", *(c for c in ("filter", "channels", "layers", "mask_w", "mask_h", "spans") if c in pages.columns)]
-    return pages.select(*kept).groupBy("book").applyInPandas(one, "book long, n_pages int, pdf binary")
-
-
-def _objects(pdf: bytes) -> tuple[dict[int, bytes], list[int]]:
-    """Objects of a file by Writer, and the numbers of its pages."""
-    end = pdf.rfind(b"startxref")
-    start = int(pdf[end:].split()[1])
-    at = {i: int(x[:10]) for i, x in enumerate(pdf[start:end].split(b"\n")[3:], 1) if x.endswith(b"n ")}
-    order = sorted(at, key=at.get)
-    stop = {i: at[j] for i, j in zip(order, order[1:])} | {order[-1]: start}
-    body = {i: pdf[a : stop[i]] for i, a in at.items()}
-    return body, [int(x) for x in re.findall(rb"(\d+) 0 R", re.search(rb"/Kids \[(.*?)\]", body[2])[1])]
-
-
-def page_layers(pdf: bytes) -> Iterator[tuple[int, int, dict, bytes]]:
-    """(page from 0, xref, properties, stored bytes) of each image and stencil that pages of a file by Writer show, in order of painting."""
-    body, kids = _objects(pdf)
-    for page, k in enumerate(kids):
-        for ref in re.findall(rb"/Im\d+ (\d+) 0 R", body[k]):
-            head, _, data = body[int(ref)].partition(b"stream\n")
-            number = lambda key: int(re.search(rb"/%s (\d+)" % key, head)[1])
-            space = re.search(rb"/ColorSpace /(\w+)", head)
-            decode = re.search(rb"/Decode \[([^\]]*)\]", head)
-            size = number(b"Length")
-            yield page, int(ref), {
-                "w": number(b"Width"), "h": number(b"Height"), "bits": number(b"BitsPerComponent"), "filter": re.search(rb"/Filter /(\w+)", head)[1].decode(), "size": size,
-                "space": space[1].decode() if space else None, "mask": b"/ImageMask true" in head, "flipped": bool(decode) and decode[1].split()[:1] == [b"1"],
-            }, data[:size]
-
-
-def image_objects(pdf: bytes) -> list[tuple[int, int, int, int, int, str, int]]:
-    """(page, xref, w, h, bits, filter, bytes) of the images that pages of a file show; pages from 0."""
-    return [(page, ref, x["w"], x["h"], x["bits"], x["filter"], x["size"]) for page, ref, x, _ in page_layers(pdf)]
-
-
-def page_boxes(pdf: bytes) -> list[tuple[float, float]]:
-    """Width and height in points of each page, without touching its images."""
-    body, kids = _objects(pdf)
-    return [tuple(map(float, re.search(rb"/MediaBox \[0 0 ([\d.]+) ([\d.]+)\]", body[k]).groups())) for k in kids]
-
-
-def page_count(pdf: bytes) -> int:
-    """Pages of a written file: what a rebuilt book is verified by."""
-    return len(_objects(pdf)[1])
-
-
-def painted_share(x: dict, data: bytes) -> float | None:
-    """Share of a stencil's or one-bit image's samples that are painted: its zeros, or its ones where its decode array is flipped. None if the stream is short or isn't deflated."""
-    if x["filter"] != "FlateDecode":
-        return None
-    rows, stride = np.frombuffer(zlib.decompress(data), np.uint8), -(-x["w"] // 8)
-    if len(rows) < stride * x["h"]:
-        return None
-    ones = float(np.unpackbits(rows[: stride * x["h"]].reshape(x["h"], stride), axis=1)[:, : x["w"]].mean())
-    return ones if x["flipped"] else 1 - ones
-
-
-def differs(x: dict, y: dict, a: bytes, b: bytes) -> str | None:
-    """How two layers of equal size and depth differ; None if what they show is the same."""
-    if x["filter"] == y["filter"] and a == b:
-        return None
-    if x["filter"] != "FlateDecode" or y["filter"] != "FlateDecode":
-        return "streams differ"
-    a, b = zlib.decompress(a), zlib.decompress(b)
-    if x["bits"] != 1:
-        return None if a == b else "bytes differ"
-    from ..operators.raster import unpack_bits
-
-    p, q = unpack_bits(a, x["w"], x["h"]), unpack_bits(b, y["w"], y["h"])
-    if p is None or q is None:
-        return "short stream"
-    n = int((p ^ x["flipped"] != q ^ y["flipped"]).sum())
-    return f"{n} bits differ" if n else None
-
-
-def compare_files(a: bytes | None, b: bytes | None, black: float = 0.9) -> dict:
-    """Report on two files, layer by layer: layers of a page are matched by size, depth and length; stencils over `black` painted are mismatches too."""
-    report = {"pages": 0, "templates_compared": 0, "photo_layers_compared": 0, "filters": {}, "ink_min": None, "ink_min_page": None, "ink_max": None, "mismatches": []}
-    if a is None or b is None or page_count(a) != page_count(b):
-        return report | {"mismatches": [{"page": 0, "why": "a file is missing" if a is None or b is None else f"{page_count(a)} and {page_count(b)} pages"}], "verdict": "MISMATCH"}
-    filters, bad, inks = Counter(), [], []
-    side = []
-    for pdf in (a, b):
-        pages: dict[int, list] = {}
-        for page, _, x, data in page_layers(pdf):
-            pages.setdefault(page, []).append(((x["w"], x["h"], x["bits"]), x["size"], x, data))
-        side.append({k: sorted(v, key=lambda r: r[:2]) for k, v in pages.items()})
-    for page in range(page_count(a)):
-        left, right = side[0].get(page, []), side[1].get(page, [])
-        if [r[0] for r in left] != [r[0] for r in right]:
-            bad.append({"page": page + 1, "why": "other layers"})
-            continue
-        for (key, _, x, p), (_, _, y, q) in zip(left, right):
-            filters[f"{filter_name(x['filter'])} -> {filter_name(y['filter'])}"] += 1
-            report["templates_compared" if key[2] == 1 else "photo_layers_compared"] += 1
-            if key[2] == 1 and (ink := painted_share(x, p)) is not None:
-                inks.append((ink, page + 1))
-                if ink > black:
-                    bad.append({"page": page + 1, "why": f"{ink:.1%} painted"})
-            if why := differs(x, y, p, q):
-                bad.append({"page": page + 1, "why": why})
-    low = min(inks, default=(None, None))
-    return report | {"pages": page_count(a), "filters": dict(filters), "ink_min": low[0], "ink_min_page": low[1], "ink_max": max(inks)[0] if inks else None, "mismatches": bad, "verdict": "MISMATCH" if bad else "IDENTICAL"}
-
-
-REPORT = "book long, pages int, templates_compared int, photo_layers_compared int, filters map<string,int>, ink_min double, ink_min_page int, ink_max double, mismatches array<struct<page:int,why:string>>, verdict string"
-
-
-def compare_books(a: DataFrame, b: DataFrame) -> DataFrame:
-    """REPORT for each book of a and b (book, pdf); a book on one side alone is a mismatch."""
-    both = a.select("book", F.col("pdf").alias("a")).join(b.select("book", F.col("pdf").alias("b")), "book", "full")
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.int32()), pa.float64(), pa.int32(), pa.float64(), pa.list_(pa.struct([("page", pa.int32()), ("why", pa.string())])), pa.string()]
-    names = ["book", "pages", "templates_compared", "photo_layers_compared", "filters", "ink_min", "ink_min_page", "ink_max", "mismatches", "verdict"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for book, p, q in zip(*batch.columns):
-                r = compare_files(p.as_py(), q.as_py()) | {"book": book.as_py()}
-                rows.append([list(r[n].items()) if n == "filters" else r[n] for n in names])
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
-
-    return both.mapInArrow(run, REPORT)
-
-
-def report_json(reports: DataFrame) -> str:
-    """The reports of a bounded number of books as JSON text."""
-    return json.dumps([r.asDict(recursive=True) for r in reports.orderBy("book").toLocalIterator()], ensure_ascii=False, indent=2)
-
-
-def exit_code(reports: DataFrame) -> int:
-    """0 if all books are identical, else 1."""
-    return int(bool(reports.where("verdict <> 'IDENTICAL'").limit(1).count()))
-
-
-_LISTING = "book long, page int, xref int, w int, h int, bits int, filter string, size long"
-
-
-def list_images(books: DataFrame) -> DataFrame:
-    """The image objects of each book (book, pdf); a null file has none."""
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(book.as_py(), *x) for book, pdf in zip(*b.columns) if pdf.as_py() for x in image_objects(pdf.as_py())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in _LISTING.split(", ")])
-
-    return books.select("book", "pdf").mapInArrow(run, _LISTING)
-
-
 def jpeg_header(data: bytes | None) -> tuple[int, int, int, str] | None:
     """(w, h, components, sampling factors such as 2x2,1x1,1x1) of JPEG data from its frame header; None if there is none."""
     if not data or data[:2] != b"\xff\xd8":
@@ -343,7 +118,3 @@ def discover(spark, folder: str, glob: str = "*.pdf") -> DataFrame:
     """path, name and size of the files of a folder in order of path, without reading them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     return files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size")).orderBy("path")
-
-
-def deflated_bits(ink_bytes: bytes) -> bytes:
-    return zlib.compress(ink_bytes, 6)

@@ -87,13 +87,6 @@ def test_pages_through_backends(spark):
         backends.create("restore", "absent")
 
 
-def test_books_round_trip(spark):
-    rows = [(7, 2, 100.0, 200.0, "gray", 4, 5, bytearray(zlib.compress(bytes(20)))), (7, 1, 100.0, 200.0, "bits", 9, 3, bytearray(pdf.deflated_bits(b"\0" * 6))), (8, 1, 50.0, 60.0, "jpeg", 1, 1, bytearray(b"\xff\xd8"))]
-    books = pdf.write_books(spark.createDataFrame(rows, "book long, page int, width_pt double, height_pt double, kind string, w int, h int, data binary"))
-    got = sorted((r.book, r.page, r.w, r.h, r.bits, r.filter, r["size"]) for r in pdf.list_images(books).collect())
-    assert got == [(7, 0, 9, 3, 1, "FlateDecode", len(rows[1][7])), (7, 1, 4, 5, 8, "FlateDecode", len(rows[0][7])), (8, 0, 1, 1, 8, "DCTDecode", 2)]
-
-
 def test_jpeg_header():
     frame = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xff\xc2\x00\x11\x08\x00\x14\x00\x0a\x03\x01\x22\x00\x02\x11\x01\x03\x11\x01"
     assert pdf.jpeg_header(frame) == (10, 20, 3, "2x2,1x1,1x1")

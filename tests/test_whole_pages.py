@@ -1,15 +1,15 @@
 """Whole-page operators, layered encoding, files and stores against plain loops and round trips."""
 
-import json
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quirelake.operators import encode as E
 from quirelake.operators import pageimage as I
 from quirelake.operators import raster
-from quirelake.sources import pdf, store
+from quirelake.sources import books, pdf
 
 
 def scan(h=240, w=200, figure=True):
@@ -133,38 +133,15 @@ def test_layers_hold_the_text_by_colour():
 
 def test_layers_through_files(spark, tmp_path):
     img = scan()
-    rows = [(10 * b + p, "mixed", *img.shape[:2], bytearray(np.roll(img, 3 * p, axis=1).tobytes())) for b in (1, 2) for p in range(3)]
+    rows = [(p, kind, *img.shape[:2], bytearray(img.tobytes())) for p, kind in ((1, "mixed"), (2, "color-image"), (3, "gray-image"))]
     enc = E.encoded(spark.createDataFrame(rows, "page long, type string, h int, w int, data binary"))
-    pages = enc.selectExpr("CAST(page DIV 10 AS bigint) AS book", "page", "72.0D AS width_pt", "86.4D AS height_pt", "kind", "filter", "data", "w", "h", "channels", "layers", "mask_w", "mask_h")
-    out = f"file://{tmp_path}/books"
-    files = sorted(pdf.write_files(pages, out).collect())
-    assert [(f.book, f.n_pages) for f in files] == [(1, 3), (2, 3)] and sorted(x.name for x in (tmp_path / "books").iterdir()) == ["book1_enhanced.pdf", "book2_enhanced.pdf"]
-    whole = pdf.write_books(pages).collect()
-    data = {f.book: (tmp_path / "books" / f"book{f.book}_enhanced.pdf").read_bytes() for f in files}
-    assert {r.book: bytes(r.pdf) for r in whole} == data and pdf.page_count(data[1]) == 3 and pdf.page_boxes(data[1]) == [(72.0, 86.4)] * 3
-    layers = [(x, d) for page, _, x, d in pdf.page_layers(data[1]) if page == 0]
-    assert [x["mask"] for x, _ in layers] == [False, True, True] and b"0.8627 0.0784 0.0784 rg" in data[1]
-    mask = raster.unpack_bits(zlib.decompress(layers[1][1]), layers[1][0]["w"], layers[1][0]["h"])
-    assert (mask == E.split_layers(img)[1][0][0]).all() and abs(pdf.painted_share(*layers[1]) - mask.mean()) < 1e-9
-    same = pdf.compare_files(data[1], data[1])
-    assert same["verdict"] == "IDENTICAL" and same["templates_compared"] == 6 and same["photo_layers_compared"] == 3 and same["filters"] == {"Flate -> Flate": 9}
-    books = lambda d: spark.createDataFrame([(k, bytearray(v) if v else None) for k, v in d.items()], "book long, pdf binary")
-    got = {r.book: r for r in pdf.compare_books(books({1: data[1], 2: data[2], 3: None}), books({1: data[1], 2: data[1][: len(data[1])], 4: data[2]})).collect()}
-    assert got[1].verdict == "IDENTICAL" and got[3].verdict == got[4].verdict == "MISMATCH" and pdf.exit_code(pdf.compare_books(books({1: data[1]}), books({1: data[1]}))) == 0
-    assert json.loads(pdf.report_json(pdf.compare_books(books({1: data[1]}), books({1: None}))))[0]["verdict"] == "MISMATCH"
-    with pytest.raises(Exception, match="can't be read"):
-        E.encoded(spark.createDataFrame([(1, "mixed", 5, 5, None)], "page long, type string, h int, w int, data binary")).collect()
-
-
-def test_comparison_counts_bits_and_black_pages():
-    bits = lambda ink: {"width_pt": 10.0, "height_pt": 10.0, "kind": "bits", "w": 9, "h": 4, "data": pdf.deflated_bits(raster.pack_bits(ink))}
-    a, b = np.zeros((4, 9), bool), np.zeros((4, 9), bool)
-    b[1, 2:5] = True
-    report = pdf.compare_files(pdf.assemble([bits(a), bits(~a)]), pdf.assemble([bits(b), bits(~a)]))
-    assert [m["why"] for m in report["mismatches"]] == ["3 bits differ", "100.0% painted"] and report["ink_min"] == 0 and report["ink_max"] == 1
-    short = {**bits(a), "data": pdf.deflated_bits(b"\0")}
-    assert pdf.compare_files(pdf.assemble([short]), pdf.assemble([bits(a)]))["mismatches"] == [{"page": 1, "why": "short stream"}]
-    assert b"/Interpolate true" in pdf.assemble([bits(a)], interpolate=True) and pdf.filter_name("DCTDecode") == "JPEG" and pdf.filter_name(None) == "none"
+    books.write(enc.select(F.lit(1).cast("long").alias("book"), F.col("page").cast("int").alias("page"), F.lit(72.0).alias("width_pt"), F.lit(86.4).alias("height_pt"), *enc.columns[2:]), f"file://{tmp_path}/b")
+    got = {r.page: r.images for r in books.read(spark, f"file://{tmp_path}/b").collect()}
+    _, layers = E.split_layers(img)
+    assert len(got[1]) == 1 + len(layers) and [x.mask for x in got[1]] == [False] + [True] * len(layers)
+    for x, (mask, fill) in zip(got[1][1:], layers):
+        assert (raster.unpack_bits(zlib.decompress(x.data), x.w, x.h) == mask).all() and x.fill == pdf.fill_operator(*fill)
+    assert len(got[2]) == len(got[3]) == 1
 
 
 def test_pages_that_cannot_be_read_have_null_features(spark):
@@ -172,43 +149,3 @@ def test_pages_that_cannot_be_read_have_null_features(spark):
     df = spark.createDataFrame([(1, 60, 60, bytearray(img.tobytes())), (2, 60, 60, None), (3, 60, 60, bytearray(b"x")), (4, None, 60, bytearray(b"x"))], "page long, h int, w int, data binary")
     got = {r.page: r for r in I.classified(df).collect()}
     assert got[1].type is not None and all(got[i].type is None and got[i].sharpness is None for i in (2, 3, 4))
-
-
-def test_store(tmp_path, spark):
-    s = store.Store.open(str(tmp_path), "abc", pages=3)
-    s.save(2, b"image", dpi=300)
-    assert s.has(2) and not s.has(1) and s.load(2) == b"image" and json.loads((tmp_path / "abc" / "manifest.json").read_text())["pages"] == 3
-    with pytest.raises(OSError):
-        s.load(1)
-    (tmp_path / "abc" / "keep.txt").write_text("x")
-    (tmp_path / "abc" / "below").mkdir()
-    assert store.export([tmp_path / "abc" / "p00002.png"], tmp_path / "out") == 1 and (tmp_path / "out" / "p00002.png").read_bytes() == b"image"
-    assert s.clear([7]) == 0 and s.clear() == 2 and (tmp_path / "abc" / "keep.txt").exists()
-    blocked = tmp_path / "file"
-    blocked.write_text("")
-    none = store.Store.open(str(blocked), "abc")
-    none.save(1, b"x")
-    assert none.folder is None and not none.has(1) and none.clear() == 0
-    assert store.read_image(str(tmp_path / "absent")) is None and store.read_image(str(blocked)) is None
-    assert (store.encode_workers(8, 16), store.encode_workers(None, 16), store.encode_workers(1, 1), store.encode_workers(None, None)) == (6, 6, 1, 1)
-    assert store.pixel_rect((0.9, -0.9, 1.5, 10.0), 2) == (1, -1, 3, 20) and store.stem("C:\\a\\b.c.pdf") == "b.c" and store.page_name(7) == "p00007"
-    (tmp_path / "c.yaml").write_text("sr: {scale: 2}\n")
-    assert store.settings(str(tmp_path / "c.yaml")) == {"sr": {"scale": 2}}
-    store.write_metrics({"b": 1, "a": [1]}, str(tmp_path / "m.json"))
-    assert json.loads((tmp_path / "m.json").read_text()) == {"a": [1], "b": 1}
-    pages = spark.createDataFrame([(3,), (1,), (2,)], "page long")
-    assert [r.page for r in store.page_cursor(pages)] == [1, 2, 3]
-    assert sorted(r.name for r in store.images(spark, f"file://{tmp_path}/out").collect()) == ["p00002.png"]
-
-
-def test_replace_tries_again(tmp_path, monkeypatch):
-    (tmp_path / "a").write_text("x")
-    fails, pauses = [PermissionError()] * 3, []
-    real = store.os.replace
-    monkeypatch.setattr(store.os, "replace", lambda *a: (_ for _ in ()).throw(fails.pop()) if fails else real(*a))
-    store.replace(tmp_path / "a", tmp_path / "b", pauses.append)
-    assert (tmp_path / "b").exists() and pauses == [0.15, 0.3, 0.6]
-    fails += [PermissionError()] * 6
-    with pytest.raises(PermissionError):
-        store.replace(tmp_path / "b", tmp_path / "c", pauses.append)
-    assert max(pauses) <= 1.5
