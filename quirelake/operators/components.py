@@ -1,19 +1,22 @@
-"""Connected components of masked pixels, 8 neighbours, page by page.
+"""Connected components of masked pixels, 8 neighbours, over pages of any size.
 
-A page is one group of applyInPandas: its pixels are bounded by the page's size, pages spread over the cluster, and nothing iterates across
-jobs. Labels are the least position (y * width + x) of a component, so they don't depend on order.
+Each tile labels its own pixels; pairs of labels that touch across tile borders are links, found by a join of border pixels alone; rounds of stars give each label its root. No task holds more than a tile, and no driver more than a count. A label is the least position
+(y * width + x) of its component, whatever the tiles.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialised
+from . import tiles as T
+from .contraction import roots
+
 
 def label_mask(mask: np.ndarray) -> np.ndarray:
-    """Labels (least position in the component, -1 outside) of a boolean page: least-label spreading with pointer jumping."""
+    """Labels (least position in the component, -1 outside) of a boolean plane: least-label spreading with pointer jumping."""
     h, w = mask.shape
     own = np.where(mask, np.arange(h * w).reshape(h, w), h * w)
     while True:
@@ -27,20 +30,29 @@ def label_mask(mask: np.ndarray) -> np.ndarray:
         own = new
 
 
-def _label(pdf: pd.DataFrame) -> pd.DataFrame:
-    y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-    mask = np.zeros((y.max() + 1, x.max() + 1), bool)
-    mask[y, x] = True
-    # Positions refer to the page's own width, so that labels of two masks of a page compare.
-    lab = label_mask(mask)[y, x]
-    lab = lab // mask.shape[1] * int(pdf["width"].iloc[0]) + lab % mask.shape[1]
-    return pdf[["page", "y", "x"]].assign(label=lab)
+def _own_labels(width: int):
+    def run(tile: T.Tile) -> dict[str, np.ndarray]:
+        lab = label_mask(tile.there)
+        y, x = lab // lab.shape[1] + tile.top, lab % lab.shape[1] + tile.left
+        return {"label": y * width + x}
+
+    return run
 
 
-def labels(df: DataFrame, mask: str, width: int) -> DataFrame:
-    """page, y, x, label of the pixels whose column `mask` is true."""
-    rows = df.where(F.col(mask)).select("page", "y", "x", F.lit(width).alias("width"))
-    return rows.groupBy("page").applyInPandas(_label, "page long, y int, x int, label int")
+def labels(df: DataFrame, mask: str, width: int, height: int | None = None, size: int = T.SIZE) -> DataFrame:
+    """page, y, x, label of the pixels whose column `mask` is true. Pages are at most width wide; where they are known to fit one tile by height, too, nothing needs to be merged."""
+    own = T.over(df.where(F.col(mask)).select("page", "y", "x"), [], _own_labels(width), {"label": "long"}, size)
+    if width <= size and height is not None and height <= size:
+        return own.withColumn("label", F.col("label").cast("int"))
+    own = materialised(own, "labels")
+    last, first = lambda c: F.col(c) % size == size - 1, lambda c: F.col(c) % size == 0
+    edge = own.where(last("y") | last("x") | first("y") | first("x"))
+    steps = [(0, 1), (1, -1), (1, 0), (1, 1)]
+    near = F.filter(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps]), lambda p: (F.floor(p["y"] / size) != F.floor(F.col("y") / size)) | (F.floor(p["x"] / size) != F.floor(F.col("x") / size)))
+    asked = edge.where(last("y") | last("x") | first("x")).select("page", F.col("label").alias("u"), F.explode(near).alias("n")).select("page", "u", "n.*")
+    links = asked.join(edge.select("page", "y", "x", F.col("label").alias("v")), ["page", "y", "x"]).select("page", "u", "v").distinct()
+    root = roots(links, ["page"]).withColumnRenamed("node", "label")
+    return own.join(root, ["page", "label"], "left").select("page", "y", "x", F.coalesce("root", "label").cast("int").alias("label"))
 
 
 def stats(labelled: DataFrame) -> DataFrame:

@@ -97,12 +97,14 @@ MOSAIC = 32
 
 
 def mosaic_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """16 pages of F1 as the tiles of one page of 32 x 32, through the tone map of that page; incomplete pages are left out."""
+    """16 pages of F1 as the tiles of one page of 32 x 32, through the tone map of that page; where a vector is missing the page is white."""
     px = gray_pixels(spark, sf_dir).where(F.col("page").isNotNull())
     tile = F.pmod(F.col("page"), F.lit(16))
     at = px.select(F.floor(F.col("page") / 16).alias("page"), (F.floor(tile / 4) * SIDE + F.col("y")).cast("int").alias("y"), (tile % 4 * SIDE + F.col("x")).cast("int").alias("x"), "gray")
-    whole = at.groupBy("page").count().where(F.col("count") == MOSAIC * MOSAIC).select("page")
-    return at.join(whole, "page", "left_semi").select("page", "y", "x", *[F.expr(_tone(i)).alias(c) for i, c in enumerate("bgr")])
+    side = lambda c: F.explode(F.sequence(F.lit(0), F.lit(MOSAIC - 1))).alias(c)
+    grid = at.select("page").distinct().select("page", side("y")).select("page", "y", side("x"))
+    rows = grid.join(at, ["page", "y", "x"], "left").withColumn("gray", F.coalesce("gray", F.lit(255)))
+    return rows.select("page", "y", "x", *[F.expr(_tone(i)).alias(c) for i, c in enumerate("bgr")])
 
 
 def mosaic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +120,7 @@ def mosaic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MOSAIC_SQL = GRAY_SQL + f""", mz AS (SELECT page // 16 AS page, ((page % 16) // 4 * 8 + y)::INTEGER AS y, (page % 16 % 4 * 8 + x)::INTEGER AS x, gray FROM px),
-mw AS (SELECT page FROM mz GROUP BY page HAVING count(*) = 1024),
-mb AS (SELECT page, y, x, {_tone(0)} AS b, {_tone(1)} AS g, {_tone(2)} AS r FROM mz SEMI JOIN mw USING (page)),
+mw AS (SELECT page, y, unnest(range(32))::INTEGER AS x FROM (SELECT page, unnest(range(32))::INTEGER AS y FROM (SELECT DISTINCT page FROM mz))),
+mf AS (SELECT mw.page, mw.y, mw.x, coalesce(mz.gray, 255) AS gray FROM mw LEFT JOIN mz ON mz.page = mw.page AND mz.y = mw.y AND mz.x = mw.x),
+mb AS (SELECT page, y, x, {_tone(0)} AS b, {_tone(1)} AS g, {_tone(2)} AS r FROM mf),
 mc AS (SELECT *, ((114 * b + 587 * g + 299 * r) // 1000)::INTEGER AS gray, greatest(b, g, r) AS hi, greatest(b, g, r) - least(b, g, r) AS spread FROM mb)"""

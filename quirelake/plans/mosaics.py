@@ -1,22 +1,48 @@
-"""Queries over pages of 32 x 32 (F3) as binary rows: features, classes, figures, encoding, files."""
+"""Queries over pages of 32 x 32 (F3): features, classes, figures, planes over tiles of 16 x 16; encoding as binary rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import pixel as P
+from ..operators import components as CC
 from ..operators import encode as E
 from ..operators import pageimage as I
-from ..operators import raster
+from ..operators import pages as G
 from ..operators.raster import ellipse
 from ..sources import pdf
-from .fixtures import MOSAIC, MOSAIC_SQL, PAGES_SQL, mosaic_pages, page_rows
+from ..sources.shared import materialised
+from .fixtures import MOSAIC, MOSAIC_SQL, PAGES_SQL, mosaic_pages, mosaic_pixels, page_rows
 from .registry import query
 
+#: Side of a tile, half a page's.
+TILE = 16
+
+
+def _gray(spark, sf_dir) -> DataFrame:
+    return mosaic_pixels(spark, sf_dir).select("page", "y", "x", P.luma().alias("gray"))
+
+
+def _masks(spark, sf_dir) -> DataFrame:
+    return G.masks(mosaic_pixels(spark, sf_dir), TILE)
+
+
+def _features(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    masks = materialised(_masks(spark, sf_dir), "masks")
+    return G.features(masks, MOSAIC, TILE), masks
+
+
+def _bits(rows: DataFrame, value: str) -> DataFrame:
+    """page, y and each row's values as a string of digits."""
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", value))), lambda p: p[value].cast("string")), "")
+    return rows.groupBy("page", "y").agg(line.alias("bits"))
+
+
 _LAST = MOSAIC - 1
 
 
@@ -49,8 +75,8 @@ txt AS (SELECT p.page, p.y, p.x, ((sum(t.w * q.v) + 128) // 256 > 40)::INT AS t
 SELECT m.page, avg(o.c::DOUBLE) AS color_ratio, avg(t.t::DOUBLE) AS text_ratio, avg((m.spread <= 12 AND m.gray > 40 AND m.gray < 220)::INT::DOUBLE) AS gray_ratio
 FROM mc m JOIN opened o ON o.page = m.page AND o.y = m.y AND o.x = m.x JOIN txt t ON t.page = m.page AND t.y = m.y AND t.x = m.x GROUP BY m.page""")
 def mosaic_ratios(spark, sf_dir):
-    """Shares of the opened colour mask, the smoothed text mask and mid-gray, one pass over binary pages."""
-    return I.classified(mosaic_pages(spark, sf_dir)).select("page", "color_ratio", "text_ratio", "gray_ratio")
+    """Shares of the opened colour mask, the smoothed text mask and mid-gray, over pages of four tiles."""
+    return G.ratios(_masks(spark, sf_dir)).drop("pixels")
 
 
 #: Components of a mask on mosaics: the least label spreads to all eight neighbours, in rounds that outlast any path in it. `tag` keeps the tables of several masks apart.
@@ -80,7 +106,7 @@ prof AS (SELECT bl.page, (row_number() OVER (PARTITION BY bl.page ORDER BY area
 @query("mosaic_classify", f"WITH RECURSIVE {MOSAIC_SQL}, {_CLASSES} SELECT *, {_GRAY_CLASS.format('gray_blob > 0.0008')} AS type FROM feat")
 def mosaic_classify(spark, sf_dir):
     """Full page classification: opened and smoothed masks, and the largest components."""
-    return I.classified(mosaic_pages(spark, sf_dir)).drop("sharpness")
+    return G.classified(_features(spark, sf_dir)[0])
 
 
 @query("mosaic_sharpness")
@@ -91,39 +117,33 @@ def mosaic_sharpness(spark, sf_dir):
 @query("mosaic_blobs", f"WITH RECURSIVE {MOSAIC_SQL}, {_CONTENT}, {_spread('true', 'content', '_g')}, {_BLOBS} SELECT * FROM prof WHERE rank <= 3")
 def mosaic_blobs(spark, sf_dir):
     """The three largest gray regions of each page that lie away from strokes."""
-    got = I.diagnosed(mosaic_pages(spark, sf_dir)).select("page", F.posexplode("blobs").alias("at", "b"))
-    return got.select("page", (F.col("at") + 1).alias("rank"), "b.area", *[F.round(f"b.{c}", 6).alias(c) for c in ("mean", "std", "darkness")], "b.border")
+    return G.blobs(mosaic_pixels(spark, sf_dir), _masks(spark, sf_dir), MOSAIC, MOSAIC, size=TILE)
 
 
 @query("verdict_confusion", f"""WITH RECURSIVE {MOSAIC_SQL}, {_CLASSES}, {_BLOBS}, v AS (SELECT *, page IN (SELECT page FROM prof WHERE rank <= 3 AND darkness > 35 AND std > 12) AS figure FROM feat)
 SELECT {_GRAY_CLASS.format('gray_blob > 0.0008')} AS current_verdict, {_GRAY_CLASS.format('figure')} AS strict_verdict, count(*) AS n FROM v GROUP BY ALL""")
 def verdict_confusion(spark, sf_dir):
     """Pages by their class and by the stricter one."""
-    return I.diagnosed(mosaic_pages(spark, sf_dir)).groupBy(F.col("type").alias("current_verdict"), F.col("strict").alias("strict_verdict")).agg(F.count("*").alias("n"))
+    features, masks = _features(spark, sf_dir)
+    both = G.strict_type(features, G.blobs(mosaic_pixels(spark, sf_dir), masks, MOSAIC, MOSAIC, size=TILE))
+    return both.groupBy(F.col("type").alias("current_verdict"), F.col("strict").alias("strict_verdict")).agg(F.count("*").alias("n"))
 
 
-def _areas(spark, sf_dir, mask) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for page, h, w, data in zip(*(c.to_pylist() for c in b.columns)):
-                _, ids, n = I.areas(mask(I.luma(I.decode(data, h, w))))
-                rows += [(page, int(i), int(k)) for i, k in zip(ids, n)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int64()))], names=["page", "label", "area"])
+def _labels(spark, sf_dir, mask: str) -> DataFrame:
+    """Components of a condition on gray, over tiles of half a page."""
+    return CC.labels(_gray(spark, sf_dir).withColumn("m", F.expr(mask)), "m", MOSAIC, MOSAIC, TILE)
 
-    return mosaic_pages(spark, sf_dir).select("page", "h", "w", "data").mapInArrow(run, "page long, label int, area long")
 
-
-@query("mosaic_specks", f"WITH RECURSIVE {MOSAIC_SQL}, {_spread('gray < 128')} SELECT page, label::INTEGER AS label, area FROM ar WHERE area < {I.SPECK}")
+@query("mosaic_specks", f"WITH RECURSIVE {MOSAIC_SQL}, {_spread('gray < 128')} SELECT page, label::INTEGER AS label, area FROM ar WHERE area < {G.SPECK}")
 def mosaic_specks(spark, sf_dir):
     """Components that are dropped as specks."""
-    return _areas(spark, sf_dir, lambda gray: gray < 128).where(F.col("area") < I.SPECK)
+    return CC.stats(_labels(spark, sf_dir, "gray < 128")).where(F.col("area") < G.SPECK).select("page", "label", "area")
 
 
-@query("mosaic_figures", f"WITH RECURSIVE {MOSAIC_SQL}, {_spread('gray < 170')} SELECT page, label::INTEGER AS label, area FROM ar WHERE area >= {I.FIGURE} * {MOSAIC * MOSAIC}")
+@query("mosaic_figures", f"WITH RECURSIVE {MOSAIC_SQL}, {_spread('gray < 170')} SELECT page, label::INTEGER AS label, area FROM ar WHERE area >= {G.FIGURE} * {MOSAIC * MOSAIC}")
 def mosaic_figures(spark, sf_dir):
     """Connected dark regions of 0.4 % of the page or more, which stay out of the text."""
-    return _areas(spark, sf_dir, lambda gray: gray < 170).where(F.col("area") >= I.FIGURE * MOSAIC * MOSAIC)
+    return CC.stats(_labels(spark, sf_dir, "gray < 170")).where(F.col("area") >= G.FIGURE * MOSAIC * MOSAIC).select("page", "label", "area")
 
 
 def _encoded(spark, sf_dir) -> DataFrame:
@@ -139,28 +159,6 @@ def mosaic_encode(spark, sf_dir):
     return _encoded(spark, sf_dir).select("page", "type", "kind", "filter", "w", "h", "channels", F.size("layers").alias("n_layers"), fills.alias("fills"), "size")
 
 
-def _gray_rows(spark, sf_dir, f: Callable[[np.ndarray], list[tuple]], schema: str) -> DataFrame:
-    """The rows that f makes of each page's gray plane, after the page's number."""
-    names, kinds = zip(*(c.split() for c in schema.split(", ")))
-    types = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[k] for k in kinds]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for page, h, w, data in zip(*(c.to_pylist() for c in b.columns)):
-                columns = list(zip(*f(I.luma(I.decode(data, h, w))))) or [()] * len(types)
-                yield pa.RecordBatch.from_arrays([pa.array([page] * len(columns[0]), pa.int64()), *(pa.array([*map(_plain, c)], k) for c, k in zip(columns, types))], names=["page", *names])
-
-    return mosaic_pages(spark, sf_dir).select("page", "h", "w", "data").mapInArrow(run, f"page long, {schema}")
-
-
-def _plain(v):
-    return v.item() if isinstance(v, np.generic) else v
-
-
-def _pixels(plane: np.ndarray) -> list[tuple]:
-    return [(y, x, *np.atleast_1d(v)) for (y, x), v in zip(np.ndindex(plane.shape[:2]), plane.reshape(plane.shape[0] * plane.shape[1], -1))]
-
-
 def _held(c: str, d: str) -> str:
     """A place beyond the edge is the edge."""
     return f"least(greatest(p.{c} + {d}, 0), {_LAST})"
@@ -173,7 +171,7 @@ _REACH = 10
 SELECT p.page, p.y, p.x, quantile_disc(q.gray, 0.5)::INTEGER AS gray FROM mc p, d a, d b JOIN mc q ON q.page = p.page AND q.y = {_held('y', 'a.d')} AND q.x = {_held('x', 'b.d')} GROUP BY p.page, p.y, p.x""")
 def mosaic_median(spark, sf_dir):
     """Background shade: the median over 21 x 21."""
-    return _gray_rows(spark, sf_dir, lambda gray: _pixels(raster.median(gray, 2 * _REACH + 1)), "y int, x int, gray int")
+    return G.median(_gray(spark, sf_dir), "gray", 2 * _REACH + 1, TILE)
 
 
 def _ink_sql(name: str, k: int, c: int) -> str:
@@ -188,31 +186,33 @@ g{k} AS (SELECT p.page, p.y, p.x, sum(t.w * q.v) AS v FROM a{k} p, t{k} t JOIN a
 @query("mosaic_ink", f"WITH {MOSAIC_SQL}, {_ink_sql('i', 25, 10)} SELECT page, y, x, ink FROM i")
 def mosaic_ink(spark, sf_dir):
     """Ink by the local threshold of layers (25, 10)."""
-    return _gray_rows(spark, sf_dir, lambda gray: _pixels(E.ink_threshold(gray).astype(np.int32)), "y int, x int, ink int")
+    return G.local_ink(_gray(spark, sf_dir), 25, 10, TILE)
 
 
 @query("mosaic_one_bit", f"WITH {MOSAIC_SQL}, {_ink_sql('i', 35, 15)} SELECT page, y, string_agg(ink::VARCHAR, '' ORDER BY x) AS bits FROM i GROUP BY page, y")
 def mosaic_one_bit(spark, sf_dir):
-    """Pages as 1-bit PNG files by the local threshold of text pages (35, 15), read back."""
-    bits = lambda gray: [(y, "".join("01"[v] for v in row)) for y, row in enumerate(raster.png_ink(raster.page_1bit(gray)).astype(int))]
-    return _gray_rows(spark, sf_dir, bits, "y int, bits string")
+    """Rows of pages in one bit a pixel, by the local threshold of text pages (35, 15)."""
+    return _bits(G.local_ink(_gray(spark, sf_dir), 35, 15, TILE), "ink")
 
 
 @query("mosaic_widened", f"""WITH RECURSIVE {MOSAIC_SQL}, {_kernel('ell9', 9)}, {_spread('gray < 170')},
 large AS MATERIALIZED (SELECT m.page, m.y, m.x, (a.label IS NOT NULL)::INT AS c FROM mc m LEFT JOIN (SELECT * FROM lab WHERE i = 160) l ON l.page = m.page AND l.own = m.y * {MOSAIC} + m.x
-  LEFT JOIN (SELECT * FROM ar WHERE area >= {I.FIGURE} * {MOSAIC * MOSAIC}) a ON a.page = l.page AND a.label = l.label), {_fold('wide', 'max', 'c', 'large', 'ell9')}
+  LEFT JOIN (SELECT * FROM ar WHERE area >= {G.FIGURE} * {MOSAIC * MOSAIC}) a ON a.page = l.page AND a.label = l.label), {_fold('wide', 'max', 'c', 'large', 'ell9')}
 SELECT page, y, string_agg(c::VARCHAR, '' ORDER BY x) AS bits FROM wide GROUP BY page, y""")
 def mosaic_widened(spark, sf_dir):
     """Figures of each page, widened by the 9 x 9 ellipse."""
-    bits = lambda gray: [(y, "".join("01"[v] for v in row)) for y, row in enumerate(I.figures(gray < 170).astype(int))]
-    return _gray_rows(spark, sf_dir, bits, "y int, bits string")
+    lab = _labels(spark, sf_dir, "gray < 170")
+    large = CC.stats(lab).where(F.col("area") >= G.FIGURE * MOSAIC * MOSAIC).select("page", "label")
+    inside = lab.join(large, ["page", "label"], "left_semi").select("page", "y", "x", F.lit(1).alias("in"))
+    rows = _gray(spark, sf_dir).join(inside, ["page", "y", "x"], "left").select("page", "y", "x", F.coalesce("in", F.lit(0)).alias("m"))
+    return _bits(G.widened(rows, "m", ellipse(9), TILE), "c")
 
 
 @query("mosaic_pad", f"""WITH {MOSAIC_SQL}, p AS (SELECT page, y, x FROM (SELECT DISTINCT page FROM mc), (SELECT unnest(range({MOSAIC}))::INTEGER AS y), (SELECT unnest(range({MOSAIC}))::INTEGER AS x))
 SELECT p.page, p.y, p.x, m.gray FROM p JOIN mc m ON m.page = p.page AND m.y = greatest(p.y - 3, 0) AND m.x = greatest(p.x - 5, 0)""")
 def mosaic_pad(spark, sf_dir):
     """Pages without their last three rows and five columns, filled up to multiples of eight at the top and left."""
-    return _gray_rows(spark, sf_dir, lambda gray: _pixels(I.pad_to_multiple(gray[:-3, :-5])[0]), "y int, x int, gray int")
+    return G.padded(_gray(spark, sf_dir).where(f"y < {MOSAIC - 3} AND x < {MOSAIC - 5}"), "gray", 3, 5)
 
 
 _WEIGHT = """CASE kind WHEN 'linear' THEN greatest(1 - t, 0) WHEN 'cubic' THEN CASE WHEN t <= 1 THEN 1.25 * t * t * t - 2.25 * t * t + 1 WHEN t < 2 THEN -0.75 * t * t * t + 3.75 * t * t - 6 * t + 3 ELSE 0 END
@@ -227,9 +227,20 @@ down AS (SELECT page, a.kind, i AS y, a.x, sum(w * v) AS v FROM across a JOIN ta
 SELECT page, kind, y, string_agg(least(greatest(round_even(v, 0), 0), 255)::INTEGER::VARCHAR, ',' ORDER BY x) AS grays FROM down GROUP BY page, kind, y""")
 def mosaic_resize(spark, sf_dir):
     """Pages twice as large by the linear, cubic and Lanczos kernels, row by row."""
-    size = 2 * MOSAIC
-    rows = lambda gray: [(kind, y, ",".join(map(str, row))) for kind in I.REACH for y, row in enumerate(I.resize(gray, size, size, kind))]
-    return _gray_rows(spark, sf_dir, rows, "kind string, y int, grays string")
+    rows = G.resampled(_gray(spark, sf_dir), "gray", _taps(spark, 2 * MOSAIC))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "gray"))), lambda p: p["gray"].cast("string")), ",")
+    return rows.groupBy("page", "kind", "y").agg(line.alias("grays"))
+
+
+def _taps(spark, new: int) -> DataFrame:
+    """Weights (kind, i, src, w) of the kernels from a side of MOSAIC to one of `new` pixels, as columns of a range of places."""
+    rows = spark.range(new).select(F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.lit(-5), F.lit(MOSAIC + 4))).alias("j"))
+    t = F.abs((F.col("i") + 0.5) * MOSAIC / new - 0.5 - F.col("j"))
+    cubic = F.when(t <= 1, 1.25 * t * t * t - 2.25 * t * t + 1).when(t < 2, -0.75 * t * t * t + 3.75 * t * t - 6 * t + 3).otherwise(0.0)
+    lanczos = F.when(t >= 4, 0.0).when(t == 0, 1.0).otherwise(4 * F.sin(F.pi() * t) * F.sin(F.pi() * t / 4) / (F.pi() * F.pi() * t * t))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), w.alias("w")) for k, w in (("linear", F.greatest(1 - t, F.lit(0.0))), ("cubic", cubic), ("lanczos", lanczos))]))
+    rows = rows.select("i", F.least(F.greatest("j", F.lit(0)), F.lit(_LAST)).alias("src"), kinds.alias("k")).select("i", "src", "k.*").where("w <> 0")
+    return rows.withColumn("w", F.col("w") / F.sum("w").over(W.partitionBy("kind", "i")))
 
 
 @query("jpeg_headers", f"""WITH {PAGES_SQL} SELECT book, page, CASE WHEN page < 7 THEN px_w END AS w, CASE WHEN page < 7 THEN px_h END AS h, CASE WHEN page < 7 THEN CASE WHEN starts_with(ptype, 'gray') THEN 1 ELSE 3 END END AS components,
