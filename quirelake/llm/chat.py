@@ -11,7 +11,7 @@ So shared turns are written twice as often as needed at most, however long they
 
 Nulls and edge cases. A null text is an empty one, a null role an empty role. Rows of a conversation are taken by turn, then role, then text; null turns come first; repeated rows are
 turns each. Rows with a null conv_id belong together with nothing: each is a conversation of one turn. Equal conversations share their leaf and each get a result row. A conversation is one record and is
-held in memory as such; an empty table gives an empty result. Other columns aren't read.
+held in memory as such, read and written by a few copies of its text; a pack holds up to 2^31 characters, as its places are 32-bit numbers, and a conversation that needs more is an error, not cut; an empty table gives an empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -31,15 +31,16 @@ PACK = 1 << 16
 #: Hex digits of a turn's hash: 128 bits, so that no two of any number of turns that fit a cluster share one by chance.
 DIGITS = 32
 LOSS_ROLE = "assistant"
-_TURN = re.compile(r"### ((?:[^\\\n]|\\.)*)\n((?:[^\\<]|\\.)*)</turn>\n", re.S)
+HEAD, END = "### ", "</turn>\n"
 
 
 def escape(text: str) -> str:
-    return re.sub(r"[\\<#]", r"\\\g<0>", text)
+    return text.replace("\\", "\\\\").replace("<", "\\<").replace("#", "\\#")
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.S)
+    # Each `<` and `#` stands behind its own backslash; without these, backslashes are in pairs.
+    return text.replace("\\<", "<").replace("\\#", "#").replace("\\\\", "\\")
 
 
 def escape_role(role: str) -> str:
@@ -60,14 +61,28 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of each turn of a formatted conversation."""
     out, at = [], 0
     while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if not m:
+        start = formatted.find("\n", at) + 1
+        end = _end(formatted, start) if start and formatted.startswith(HEAD, at) else -1
+        if end < 0:
             raise ValueError(f"no turn at {at}")
-        out.append((unescape_role(m[1]), unescape(m[2])))
-        at = m.end()
+        out.append((unescape_role(formatted[at + len(HEAD) : start - 1]), unescape(formatted[start:end])))
+        at = end + len(END)
     return out
 
 
+def _end(formatted: str, start: int) -> int:
+    """Where the text that begins at start ends: at the first end mark whose `<` isn't escaped, that is, behind an even number of backslashes. -1 if there is none."""
+    at = formatted.find(END, start)
+    while at >= 0:
+        first = at
+        while first > start and formatted[first - 1] == "\\":
+            first -= 1
+        if (at - first) % 2 == 0:
+            return at
+        at = formatted.find(END, at + 1)
+    return -1
+
+
 def chains(rows: DataFrame) -> DataFrame:
     """conv_id, turns (role, text in order) and chain: DIGITS hex digits for each turn, that depend on all turns up to it."""
     turn = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

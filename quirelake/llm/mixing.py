@@ -7,7 +7,7 @@ the data gives the same copies. Copies are dealt out to partitions by a hash of
 Target shares default to the sources' shares raised to `power` (0.7) and scaled to sum to one: sources differ less than before, none vanishes. `epochs`
 scales all means. Means over STEP are sums of several draws, so that exp(-mean) never underflows.
 
-Nulls and edge cases. Rows without a source form a source of their own. A null id draws by the id 'null', as do all such rows. A null or empty text
+Nulls and edge cases. Rows without a source form a source of their own. A row without an id draws by the MD5 of its other columns, so such rows draw apart unless they agree in all of them. A null or empty text
 counts as a row. Repeated rows draw the same numbers and stay distinct rows. Sources named in the weights but not in the table have no rows to repeat; sources not named have weight zero
 when weights are given. Columns named copy or shuffle_key in the input are replaced. An empty table gives an empty result.
 """
@@ -56,16 +56,23 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float
     return F.broadcast(n) if total["sources"] <= BROADCAST else n
 
 
+def drawn_by(docs: DataFrame, id_col: str) -> Column:
+    """What a row's numbers are drawn by: its id, or else its other columns."""
+    rest = [F.col(f"`{c}`").cast("string") for c in docs.columns if c != id_col]
+    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null|"), F.md5(F.concat_ws("|", *rest))))
+
+
 def replicated(docs: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, epochs: float = 1.0, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs, each row once for each of its copies, with copy (from 0) and shuffle_key, globally shuffled."""
     docs = docs.drop("copy", "shuffle_key")
     rate = rates(docs, weights, power, epochs, source_col).withColumnRenamed("mean", "__mean").withColumnRenamed("draws", "__draws").withColumnRenamed("cdf", "__cdf")
     # Beyond BROADCAST sources adaptive execution splits hot sources of the join.
     rows = docs.join(rate, F.col(source_col).eqNullSafe(F.col("__source")), "left")
-    one = lambda i: F.size(F.filter("__cdf", lambda c: c < uniform(seed, F.col(id_col), i)))
+    key = drawn_by(docs, id_col)
+    one = lambda i: F.size(F.filter("__cdf", lambda c: c < uniform(seed, key, i)))
     copies = F.when(F.col("__draws") == 1, one(F.lit(0))).otherwise(F.aggregate(F.sequence(F.lit(0), F.col("__draws") - 1), F.lit(0), lambda a, i: a + one(i)))
     rows = rows.withColumn("__copies", copies).where("__copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
-    rows = rows.withColumn("shuffle_key", uniform(seed, "order", F.col(id_col), F.col("copy"))).select(*docs.columns, "copy", "shuffle_key")
+    rows = rows.withColumn("shuffle_key", uniform(seed, "order", key, F.col("copy"))).select(*docs.columns, "copy", "shuffle_key")
     return rows.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
@@ -81,10 +88,10 @@ cdf AS (
   SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM rate
   UNION ALL SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM cdf WHERE k < ceil(mean + 12 * sqrt(mean) + 30)),
 u AS (
-  SELECT *, ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, 'null') || '|0'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+  SELECT *, ('0x' || substr(md5('17|' || row_key || '|0'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM (SELECT *, coalesce(doc_id::VARCHAR, 'null|' || md5(concat_ws('|', text, lang, source, n_chars::VARCHAR))) AS row_key FROM documents)),
 k AS (
-  SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars,
+  SELECT u.row_key, u.doc_id, u.text, u.lang, u.source, u.n_chars,
     (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM u.source AND cdf.c < u.u) AS copies FROM u),
-x AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(copies))::INTEGER AS copy FROM k WHERE copies > 0)
-SELECT *, ('0x' || substr(md5('17|order|' || coalesce(doc_id::VARCHAR, 'null') || '|' || copy), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shuffle_key FROM x
+x AS (SELECT row_key, doc_id, text, lang, source, n_chars, unnest(range(copies))::INTEGER AS copy FROM k WHERE copies > 0)
+SELECT * EXCLUDE (row_key), ('0x' || substr(md5('17|order|' || row_key || '|' || copy), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shuffle_key FROM x
 """

@@ -43,8 +43,9 @@ _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _END = b"\r\n\r\n"
 
 
-def record_id(page_id: int | None, sha1: bytes, copy: int = 0) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{sha1.hex()}/{copy}')}>"
+def record_id(page_id: int | None, url: str | None, sha1: bytes, copy: int = 0) -> str:
+    """Distinct for distinct page, address and payload, and for rows that agree in all three by their number `copy`."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{url!r}/{sha1.hex()}/{copy}')}>"
 
 
 def _head(first: str, fields: list[tuple[str, object]]) -> bytes:
@@ -55,20 +56,20 @@ def _label(digest: bytes) -> str:
     return "sha1:" + base64.b32encode(digest).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, copy: int = 0) -> bytes:
-    """One WARC record; refers_to is the page_id of the response that a revisit repeats."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, copy: int = 0, refers_url: str | None = None) -> bytes:
+    """One WARC record; refers_to and refers_url are the page_id and address of the response that a revisit repeats."""
     sha1 = hashlib.sha1(payload).digest()
     http = _head("HTTP/1.1 200 OK", [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", len(payload))])
     block = http if refers_to is not None else http + payload
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", record_id(page_id, sha1, copy)),
+        ("WARC-Record-ID", record_id(page_id, url, sha1, copy)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", None if url is None else "".join(c if c > " " else f"%{ord(c):02X}" for c in url)),
         ("WARC-Payload-Digest", _label(sha1)),
         ("WARC-Block-Digest", _label(hashlib.sha1(block).digest())),
         ("WARC-Profile", PROFILE if refers_to is not None else None),
-        ("WARC-Refers-To", record_id(refers_to, sha1) if refers_to is not None else None),
+        ("WARC-Refers-To", record_id(refers_to, refers_url, sha1) if refers_to is not None else None),
         ("Page-ID", page_id),
         ("Refers-To-Page-ID", refers_to),
         ("Content-Type", "application/http; msgtype=response"),
@@ -146,15 +147,16 @@ def _write(uri: str, roll: int):
             if fs is None:
                 fs, folder = pafs.FileSystem.from_uri(uri)
                 fs.create_dir(posixpath.join(folder, "_temporary"), recursive=True)
-            for shard, page_id, url, html, refers_to in zip(*b.columns):
+            for shard, page_id, url, html, refers_to, refers_url in zip(*b.columns):
                 page_id, shard = page_id.as_py(), shard.as_py()
                 if out is None or out.shard != shard:
                     if out and out.out:
                         files.append(out.close())
                     out, last = _Shard(fs, folder, shard, attempt, roll), None
-                copy = copy + 1 if page_id == last else 0
-                last = page_id
-                files += out.add(page_id, record(page_id, url.as_py(), (html.as_py() or "").encode(), refers_to.as_py(), copy))
+                own = page_id, url.as_py(), html.as_py() or ""  # equal rows stand together
+                copy = copy + 1 if own == last else 0
+                last = own
+                files += out.add(page_id, record(page_id, own[1], own[2].encode(), refers_to.as_py(), copy, refers_url.as_py()))
         if out and out.out:
             files.append(out.close())
         if files:
@@ -196,9 +198,10 @@ def place(starts: list[int], page_id: Column) -> Column:
 
 
 def duplicates(pages: DataFrame, smallest: int = SMALLEST) -> DataFrame:
-    """digest and refers_to: the payloads of at least `smallest` bytes that several rows hold, and their largest page_id."""
+    """digest, refers_to and refers_url: the payloads of at least `smallest` bytes that several rows hold, their largest page_id and, of its rows, the last address."""
     big = pages.where(F.octet_length("html") >= smallest)
-    return big.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).where("n > 1").select("digest", "refers_to")
+    last = F.max(F.struct("page_id", "url")).alias("r")
+    return big.groupBy("digest").agg(F.count("*").alias("n"), last).where("n > 1").select("digest", F.col("r.page_id").alias("refers_to"), F.col("r.url").alias("refers_url"))
 
 
 def write_warc(pages: DataFrame, uri: str, roll: int = ROLL, smallest: int = SMALLEST, shard: int | None = None) -> DataFrame:
@@ -210,7 +213,7 @@ def write_warc(pages: DataFrame, uri: str, roll: int = ROLL, smallest: int = SMA
     refers = F.when(F.col("page_id") == F.col("refers_to"), F.lit(None)).otherwise(F.col("refers_to"))
     unnumbered = len(starts) + 1 + F.pmod(F.xxhash64("url", "html"), F.lit(max(1, more))).cast("int")
     where = F.when(F.col("page_id").isNull(), unnumbered).otherwise(place(starts, F.col("page_id")))
-    rows = rows.join(again, "digest", "left").select(where.alias("shard"), "page_id", "url", "html", refers.alias("refers_to"))
+    rows = rows.join(again, "digest", "left").select(where.alias("shard"), "page_id", "url", "html", refers.alias("refers_to"), "refers_url")
     sorted_rows = rows.repartitionById(len(starts) + 1 + more, "shard").sortWithinPartitions("shard", "page_id", "url", "html")
     manifest = written(sorted_rows.mapInArrow(_write(uri, roll), MANIFEST), "manifest")
     drop(again)

@@ -123,6 +123,16 @@ def test_mixing_rates_and_repeatability(spark):
         p *= 2.5 / (k + 1)
 
 
+def test_mixing_rows_without_ids_draw_apart(spark):
+    rows = [(None, f"text {i}", "a") for i in range(3000)] + [(i, "t", "b") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for seed in (17, 19, 20):
+        n = Counter(r.text for r in mixing.replicated(df, {"a": 1.0, "b": 1.0}, seed=seed).where("doc_id IS NULL").collect())
+        assert abs(sum(n.values()) - 3000) < 250 and abs(3000 - len(n) - 3000 / np.e) < 200
+    got = mixing.replicated(df, seed=17).where("doc_id IS NULL")
+    assert got.select("shuffle_key").distinct().count() == got.count()
+
+
 def test_bpe_equals_tiktoken(spark):
     import tiktoken
 
@@ -229,6 +239,21 @@ def test_chat_shared_turns_longer_than_a_pack(spark):
         assert len(ids) == len(p.text) and all(ids[n.start] == n.position and ids[n.end - 1] == n.position + n.end - n.start - 1 for n in p.nodes)
 
 
+def test_chat_reads_very_long_turns_in_a_few_copies():
+    import tracemalloc
+
+    text = "a <b> # \\\\</turn>\n" * 500_000
+    formatted = chat.format_turn("user", text)[0] + chat.format_turn("assis\\tant\n", "\\")[0]
+    tracemalloc.start()
+    assert chat.parse(formatted) == [("user", text), ("assis\\tant\n", "\\")]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * len(formatted)
+    for bad in ("### user\ntext", "## x\n</turn>\n", "### user\na\\</turn>\n", "### user"):
+        with pytest.raises(ValueError):
+            chat.parse(bad)
+
+
 def test_chat_pack_ends_by_what_is_added():
     turn = lambda t: {"role": "user", "text": t}
     key = lambda *names: "".join(n * chat.DIGITS for n in names)
@@ -266,6 +291,22 @@ def test_warc_round_trip(spark):
     assert empty.count() == 0 and warc.read_warc(empty, uri).count() == 0
 
 
+def test_warc_record_ids_are_distinct_and_references_live(spark):
+    x, y = "x" * 2000, "y" * 2000
+    rows = [(5, "u", x), (5, "u", y), (1, "u", y), (5, "v", x), (5, "u", x), (5, None, x), (2, "u", x), (None, "u", x), (None, "w", x), (None, "u", x), (3, "u", "s"), (3, "u", "t"), (3, "u", "s"), (None, None, y)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    manifest = warc.write_warc(df, uri := new_path(spark, "warc"), roll=900)
+    from pyarrow import fs as pafs
+
+    fs, folder = pafs.FileSystem.from_uri(uri)
+    found = [f for m in manifest.collect() for f, _ in warc.read_records(fs.open_input_stream(f"{folder}/{m.file}", compression=None))]
+    ids = [f["WARC-Record-ID"] for f in found]
+    responses = {f["WARC-Record-ID"] for f in found if f["WARC-Type"] == "response"}
+    assert len(ids) == len(set(ids)) == len(rows)
+    revisits = [f for f in found if f["WARC-Type"] == "revisit"]
+    assert len(revisits) == 6 and all(f["WARC-Refers-To"] in responses for f in revisits)
+
+
 def test_warc_gives_the_same_archives_from_any_layout(spark):
     rng = random.Random(12)
     rows = [(i * i % 7919 * 1000 + i % 3, f"http://h/{i}", "".join(rng.choice("abc <>é") for _ in range(rng.randint(0, 1500)))) for i in range(6000)]
