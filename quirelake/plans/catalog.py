@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import books, jobs, mosaics, pages, pixels, texts  # noqa: F401  they register their queries
+from . import books, jobs, mosaics, pages, pixels, texts, wholes  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 
