@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import pixel as P
 from ..operators import needles, sums
 from ..operators.ranks import ranked
+from ..streaming.jobs import not_stopped
 from .fixtures import MOSAIC, MOSAIC_SQL, mosaic_pixels, table
 from .registry import query
 
@@ -55,3 +56,12 @@ def needle_hits(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     passages = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
     return needles.hits(texts, passages).groupBy("doc_id", "item_id").agg(F.min("at").cast("int").alias("first_at"), F.count("*").alias("hits"))
+
+
+@query("pages_not_stopped", """WITH e AS (SELECT event_id, user_id AS job, ts, event_type FROM events), s AS (SELECT job, ts FROM e WHERE event_type = 'error')
+SELECT job, event_id FROM e WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM s WHERE s.job = e.job AND s.ts <= e.ts AND s.ts >= e.ts - INTERVAL 2 DAY)""")
+def pages_not_stopped(spark, sf_dir):
+    """Pages (clicks) of jobs (users) without a stop (an error) in the two days up to them; streams of both give the same."""
+    ev = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("job"), F.col("ts").alias("time"), "event_type")
+    pages = ev.where("event_type = 'click'").drop("event_type")
+    return not_stopped(pages, ev.where("event_type = 'error'").select("job", "time"), 2 * 24 * 3600).select("job", "event_id")

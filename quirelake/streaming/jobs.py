@@ -1,52 +1,70 @@
-"""Streams of job logs and job requests: stage, progress and last lines of each job, the life of jobs under one serial consumer, and page checkpoints that can be resumed.
+"""Streams of job logs and job requests: stage, progress and last lines of each job, the life of jobs, pages of jobs that weren't stopped, one serial consumer, and page checkpoints that can be resumed.
 
-Lines may come late, repeated and in any order over batches: a line counts once, the stage is that of the line with the largest number that has one, progress is the largest of all lines. State is bounded: a row and
-RING lines a job; of numbers more than RING under the largest only repeats can't be told any more, and such lines don't count. A job without news for a day of processing time is given up.
+Lines may come late, repeated and in any order over batches. Stage is that of the line with the largest number that has one and progress the largest of all lines, so any line may take part in these at any time, however late; only the ring of the last RING lines lets lines go.
+State is a value and up to RING lines a job, in a state store on disk: a batch reads and writes what it changes, not the ring. Steps of a job are put in order of their time, over batches, by event-time timers.
+
+Streams with state of this kind need the RocksDB store: stateful() sets it for the session.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..plans.jobs import progress, stage
 
 RING = 4000
-_STATE = "seq long, stage_seq long, stage string, progress double, n_lines long, numbers array<long>, lines array<string>"
 _OUT = "job long, seq long, stage string, progress double, n_lines long"
 
 
-def _follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    seq, stage_seq, at, done, n, numbers, lines = state.get if state.exists else (-1, -1, None, 0.0, 0, [], [])
-    held = dict(zip(numbers, lines))
-    for x in (r for b in batches for r in b.itertuples(index=False)):
-        number = int(x.seq)
-        if number in held or number <= seq - RING:
-            continue
-        held[number], seq, n = x.line, max(seq, number), n + 1
-        if isinstance(x.stage, str) and number > stage_seq:
-            stage_seq, at = number, x.stage
-        if x.progress is not None and x.progress == x.progress:
-            done = max(done, float(x.progress))
-        if len(held) > 2 * RING:
-            held = {k: held[k] for k in sorted(held)[-RING:]}
-    held = {k: held[k] for k in sorted(held)[-RING:]}
-    state.update((seq, stage_seq, at, float(done), n, list(held), list(held.values())))
-    state.setTimeoutDuration(24 * 3600 * 1000)
-    yield pd.DataFrame({"job": [key[0]], "seq": [seq], "stage": [at], "progress": [done], "n_lines": [min(n, RING)]})
-
-
-def job_progress(log: DataFrame) -> DataFrame:
-    """A row for each job with news in a batch of the stream log (job, seq, line)."""
-    rows = log.select(F.col("job").cast("long"), F.col("seq").cast("long"), "line", stage(F.col("line")).alias("stage"), progress(F.col("line")).alias("progress"))
-    return rows.groupBy("job").applyInPandasWithState(_follow, _OUT, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+def stateful(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _Follow(StatefulProcessor):
+    """State: what is known of a job, and the lines of its ring by number."""
+
+    def __init__(self, ring: int) -> None:
+        self.ring = ring
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.about = handle.getValueState("about", "seq long, stage_seq long, stage string, progress double, held long")
+        self.lines = handle.getMapState("lines", "seq long", "line string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        seq, stage_seq, at, done, held = self.about.get() if self.about.exists() else (-1, -1, None, 0.0, 0)
+        before = seq
+        for x in rows:
+            if x.stage is not None and x.seq > stage_seq:
+                stage_seq, at = x.seq, x.stage
+            if x.progress is not None:
+                done = max(done, x.progress)
+            if x.seq > seq - self.ring and not self.lines.containsKey((x.seq,)):
+                self.lines.updateValue((x.seq,), (x.line,))
+                held += 1
+            seq = max(seq, x.seq)
+        if seq > before >= 0 or held > self.ring:
+            # What falls out of the ring is found by number where few numbers have passed, else by the lines themselves.
+            gone = range(before - self.ring + 1, seq - self.ring + 1) if 0 <= before and seq - before <= self.ring else [k[0] for k in self.lines.keys() if k[0] <= seq - self.ring]
+            for k in gone:
+                if self.lines.containsKey((k,)):
+                    self.lines.removeKey((k,))
+                    held -= 1
+        self.about.update((seq, stage_seq, at, float(done), held))
+        yield Row(job=key[0], seq=seq, stage=at, progress=float(done), n_lines=held)
+
+    def close(self) -> None:
+        pass
+
+
+def job_progress(log: DataFrame, ring: int = RING) -> DataFrame:
+    """A row for each job with news in a batch of the stream log (job, seq, line): largest number, stage, progress, and lines in the ring."""
+    stateful(log.sparkSession)
+    rows = log.select(F.col("job").cast("long"), F.col("seq").cast("long"), "line", stage(F.col("line")).alias("stage"), progress(F.col("line")).alias("progress")).where("seq IS NOT NULL")
+    return rows.groupBy("job").transformWithState(_Follow(ring), _OUT, "Update", "None")
 
 
 def checkpoint_pages(pages: DataFrame, store: str, checkpoint: str):
@@ -68,21 +86,65 @@ def checkpoint_pages(pages: DataFrame, store: str, checkpoint: str):
 NEXT = {None: {"draft", "queued"}, "draft": {"queued"}, "queued": {"running", "stopped"}, "running": {"done", "error", "stopped"}, "done": {"queued"}, "error": {"queued"}, "stopped": {"queued"}}
 
 
-def _live(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    status, created, refused = state.get if state.exists else (None, None, 0)
-    for x in sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: r.at):
-        if x.status in NEXT[status]:
-            status, created = x.status, created if created is not None and status is not None else int(x.at)
-        else:
-            refused += 1
-    state.update((status, created, refused))
-    yield pd.DataFrame({"job": [key[0]], "status": [status], "created": [created], "refused": [refused]})
-
-
-def job_states(requests: DataFrame) -> DataFrame:
-    """Status, time of creation and number of refused steps of each job with news in a batch of the stream requests (job, at, status); a step that can't follow the present state is refused."""
-    rows = requests.select(F.col("job").cast("long"), F.col("at").cast("long"), "status")
-    return rows.groupBy("job").applyInPandasWithState(_live, "job long, status string, created long, refused long", "status string, created long, refused long", "update", GroupStateTimeout.NoTimeout)
+class _Live(StatefulProcessor):
+    """State: the job's present state, and the steps that wait for their time to pass, by time; a timer a time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.about = handle.getValueState("about", "status string, created long, refused long")
+        self.waiting = handle.getMapState("waiting", "at long", "statuses string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        for x in rows:
+            before = self.waiting.getValue((x.at,))[0].split(",") if self.waiting.containsKey((x.at,)) else []
+            self.waiting.updateValue((x.at,), (",".join(sorted([*before, x.status])),))
+            self.handle.registerTimer(x.at)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if not self.waiting.containsKey((at,)):
+            return
+        status, created, refused = self.about.get() if self.about.exists() else (None, None, 0)
+        for step in self.waiting.getValue((at,))[0].split(","):
+            if step in NEXT[status]:
+                status, created = step, created if created is not None and status is not None else at
+            else:
+                refused += 1
+        self.waiting.removeKey((at,))
+        self.about.update((status, created, refused))
+        yield Row(job=key[0], at=at, status=status, created=created, refused=refused)
+
+    def close(self) -> None:
+        pass
+
+
+def job_states(requests: DataFrame, late: str = "10 seconds") -> DataFrame:
+    """job, at (milliseconds), status, created and refused after each time at which a job of the stream requests (job, at, status) had steps: in order of time, once no earlier step can come any more but by more than `late`, which Spark drops.
+    A step that can't follow the present state is refused; steps of one time go in order of their name."""
+    stateful(requests.sparkSession)
+    rows = requests.select(F.col("job").cast("long"), F.col("at").cast("long"), "status", F.timestamp_millis("at").alias("time")).where("at IS NOT NULL AND status IS NOT NULL").withWatermark("time", late)
+    return rows.groupBy("job").transformWithState(_Live(), "job long, at long, status string, created long, refused long", "Append", "EventTime")
+
+
+def not_stopped(pages: DataFrame, stops: DataFrame, within: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """The rows of pages (job, time, ...) whose job wasn't told to stop (stops: job, time) at their time or up to `within` seconds before it.
+
+    As streams, an outer interval join: each page comes out once, when no stop for it can come any more. As tables, stops become their first and last time by job and stretch of `within` seconds, of which a page asks for its own and the one before: no page meets
+    more than two rows, however often its job was stopped. Pages without a job or a time are never stopped."""
+    if pages.isStreaming:
+        p, s = pages.withWatermark("time", late), stops.select(F.col("job").alias("__job"), F.col("time").alias("__time")).withWatermark("__time", late)
+        on = (F.col("job") == F.col("__job")) & (F.col("__time") <= F.col("time")) & (F.col("__time") >= F.col("time") - F.expr(f"INTERVAL {within} SECONDS"))
+        return p.join(s, on, "left_outer").where("__job IS NULL").select(*pages.columns)
+    micros, length = F.unix_micros(F.col("time").cast("timestamp")), within * 1_000_000
+    stretch = F.floor(F.col("__t") / length)
+    ends = stops.select("job", micros.alias("__t")).groupBy("job", stretch.alias("__b")).agg(F.min("__t").alias("__first"), F.max("__t").alias("__last"))
+    rows = pages.withColumn("__t", micros).withColumn("__b", stretch)
+    own = ends.select("job", "__b", "__first")
+    before = ends.select("job", (F.col("__b") + 1).alias("__b"), "__last")
+    rows = rows.join(own, ["job", "__b"], "left").join(before, ["job", "__b"], "left")
+    stopped = (F.col("__first") <= F.col("__t")) | (F.col("__last") >= F.col("__t") - length)
+    return rows.where(~F.coalesce(stopped, F.lit(False))).select(*pages.columns)
 
 
 def serial_consumer(queued: DataFrame, work: Callable[[int], None], cancelled: Callable[[int], bool], checkpoint: str):
@@ -95,15 +157,3 @@ def serial_consumer(queued: DataFrame, work: Callable[[int], None], cancelled: C
                 work(r.job)
 
     return queued.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-class Cancelled(Exception):
-    """Raised between pages of a job that is to stop."""
-
-
-def until_cancelled(pages: Iterator, stop: Callable[[], bool]) -> Iterator:
-    """The pages, until stop() says so."""
-    for page in pages:
-        if stop():
-            raise Cancelled
-        yield page
