@@ -4,16 +4,17 @@ A paragraph is a line; lines without a blank line between them are a block, read
 each block go through a multinomial logistic regression of hashed word 1-, 2- and 3-grams over the licence families, a class for other licences and one for text that is no licence. It is trained on the template
 passages of the families, varied by rule (framing, numbers, dropped and added words), on pieces of them amid corpus words, on the OTHERS in the same ways, and against lines and windows of a bounded sample of
 the corpus. A temperature fitted on examples kept out of training calibrates the probabilities. Windows that look like any licence are joined over gaps of up to GAP words, and
-the templates are compared with the whole joined stretch: a template counts where CONFIRM of its word shingles stand together. Where templates of several families overlap (agpl,
-gpl and lgpl share their wording), the one with the largest similarity, then the most shingles, then the largest probability stays. Neighbouring finds of one family are one passage.
+the templates are compared with the whole joined stretch: a template counts where CONFIRM of its word shingles stand together. The family of the words that a template matches is the
+classifier's: the most probable one by the pooled evidence of the windows over them, a window counting by its share within and its probability of being a licence. A template only confirms that family, or doesn't; words whose most probable family has no template there
+have none. Where confirmed words of several families overlap, the one with the largest similarity stays. Neighbouring finds of one family are one passage.
 
-Licences of unknown family. A stretch without any confirmed template is the passage of an `unknown-licence` where a run of windows is a licence with a probability of SURE or more and the run holds TERMS different
+Licences of unknown family. A stretch without any confirmed family is the passage of an `unknown-licence` where a run of windows is a licence with a probability of SURE or more and the run holds TERMS different
 legal terms: wording of a licence that no template has. Its similarity is the largest share of any template's shingles.
 
 Sample. The negatives come from SAMPLE documents, those with the least hashed ids of the ones with up to LONGEST bytes, cut into pieces of PIECE words, NEGATIVES of them at most; a piece that holds a template or LEGAL
 terms like a licence's is left out. All else reads all rows and whole texts. The corpus is read once for the ids, once for these texts and once for the scan; trained() can be called once and its model given to several scans.
 
-Nulls and edge cases. A null or empty text has no paragraph and no licence. Blank lines aren't paragraphs and end a passage. Equal finds go to the family that comes first by name.
+Nulls and edge cases. A null or empty text has no paragraph and no licence. Blank lines aren't paragraphs and end a passage. Equally probable families go to the first by name.
 Without any document the negatives are the templates' words shuffled. Repeated rows each get their row. An empty table gives an empty result. Columns other than id and text aren't read.
 """
 
@@ -386,6 +387,21 @@ def unknown(words: list[bytes], begin: np.ndarray, end: np.ndarray, p: np.ndarra
     return (i, j, float(p[sure].max())) if legal_terms(words[i:j]) >= TERMS else None
 
 
+def family_of(first: int, last: int, begin: np.ndarray, end: np.ndarray, p: np.ndarray) -> tuple[str | None, float]:
+    """The most probable family of the words first..last by the pooled evidence of the windows over them, and its probability in the window that shows it best.
+
+    Windows' evidence adds up, so a family that some window speaks against loses to one that none does. A window that hangs over the ends, or looks less like a licence, says as much less."""
+    over = (begin <= last) & (end > first)
+    if not over.any():
+        return None, 0.0
+    inside = (np.minimum(end[over], last + 1) - np.maximum(begin[over], first)) / (end[over] - begin[over])
+    families = p[over, : len(TEMPLATES)]
+    licence = families.sum(axis=1, keepdims=True)
+    score = (inside[:, None] * licence * np.log(families / licence.clip(1e-12) + 1e-6)).sum(axis=0)
+    best = int(score.argmax())
+    return FAMILIES[best], float(families[:, best].max())
+
+
 def scan(model: Classifier, text: str, least: float = LEAST, confirm: float = CONFIRM) -> tuple[int, list[dict]]:
     """(number of paragraphs, confirmed passages with family, lines [first, last], probability and similarity) of a whole text."""
     words, line, edge, n_lines, blank = [], [], [], 0, True
@@ -420,20 +436,17 @@ def scan(model: Classifier, text: str, least: float = LEAST, confirm: float = CO
     for a, b, _ in stretches:
         near = hit[(begin[hit] < b) & (end[hit] > a)]
 
-        def probability(x: tuple) -> float:
-            over = near[(begin[near] <= a + x[4]) & (end[near] > a + x[3])]
-            return float(p[over, FAMILIES.index(x[2])].max()) if len(over) else 0.0
-
-        finds = [(x, probability(x)) for x in confirmed(words[a:b], confirm)]
-        if not finds and (found := unknown(words, begin[near], end[near], licence[near])):
-            i, j, q = found
-            best = max(similarity(words[i:j], f) for f in TEMPLATES)
-            out.append({"family": UNKNOWN_LICENCE, "first_line": line[i], "last_line": line[j - 1], "probability": q, "similarity": best})
+        # The classifier gives the family of the words that a template may confirm; one of another family rejects nothing and confirms nothing.
+        finds = [(x, q) for x in confirmed(words[a:b], confirm) for c, q in [family_of(a + x[3], a + x[4], begin[near], end[near], p[near])] if c == x[2]]
         finds.sort(key=lambda f: (-f[0][0], -f[0][1], -f[1], f[0][2]))
         kept: list[tuple[tuple, float]] = []
         for f in finds:
             if not any(k[0][2] != f[0][2] and k[0][3] <= f[0][4] and f[0][3] <= k[0][4] for k in kept):
                 kept.append(f)
+        if not kept and (found := unknown(words, begin[near], end[near], licence[near])):
+            i, j, q = found
+            best = max(similarity(words[i:j], f) for f in TEMPLATES)
+            out.append({"family": UNKNOWN_LICENCE, "first_line": line[i], "last_line": line[j - 1], "probability": q, "similarity": best})
         last: dict | None = None
         for (s, _, family, i, j), q in sorted(kept, key=lambda f: (f[0][3], f[0][4])):
             if last and last["family"] == family and i - upto <= GAP:

@@ -6,6 +6,8 @@ import re
 from collections import Counter
 from zlib import crc32
 
+import numpy as np
+
 from quirelake.llm import langid, licenses, lm_score
 
 def brute_models(texts, targets):
@@ -171,6 +173,32 @@ def trained_on_plain(rng, n=400):
     return licenses.Classifier().fit(licenses.training([plain(60).encode().split() for _ in range(n)])), plain
 
 
+def test_licence_families_are_the_classifiers():
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(500)]
+    negatives = [[words[i].encode() for i in rng.integers(0, 500, 60)] for _ in range(600)]
+    model = licenses.Classifier().fit(licenses.training(negatives))
+    texts = [(f, "Words before it\n" + t + "\nand behind") for f, ts in licenses.TEMPLATES.items() for t in ts]
+    found = lambda m: sum({x["family"] for x in licenses.scan(m, t)[1]} == {f} for f, t in texts)
+    assert found(model) >= 0.95 * len(texts)
+    # Brute force over every window of the text: the family with the most probable one.
+    for f, t in texts[::5]:
+        toks = [w for w in licenses.tokens(t) if w != b"\n"]
+        best = {}
+        for size in licenses.SIZES:
+            for i in range(max(1, len(toks) - size + 1)):
+                part = toks[i : i + size]
+                p = model.proba(model.windows(part, np.array([0]), np.array([len(part)])))[0]
+                for c, q in zip(licenses.FAMILIES[: len(licenses.TEMPLATES)], p):
+                    best[c] = max(best.get(c, 0), q)
+        assert max(best, key=best.get) == f
+    n = len(licenses.TEMPLATES)
+    model.w[:, :n] = model.w[:, np.roll(np.arange(n), 1)]
+    model.b[:n] = np.roll(model.b[:n], 1)
+    assert found(model) < 0.2 * len(texts)
+    assert found(licenses.Classifier()) < 0.2 * len(texts)
+
+
 def test_licences_of_unknown_family_and_recall():
     rng = random.Random(15)
     model, plain = trained_on_plain(rng)
