@@ -67,17 +67,29 @@ def job_progress(log: DataFrame, ring: int = RING) -> DataFrame:
     return rows.groupBy("job").transformWithState(_Follow(ring), _OUT, "Update", "None")
 
 
+def stored_near(batch: DataFrame, store: str) -> DataFrame:
+    """sig and page of the stored pages that a batch may repeat. The batch's least and largest signature and page, a row that the driver sees, become filters that prune folders by signature and skip row groups by the pages in their footers, as files are sorted."""
+    ends = batch.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("sig", "page") for f in (F.min, F.max)]).first()
+    done = batch.sparkSession.read.schema(batch.schema).parquet(store).select("sig", "page")
+    for c in ("sig", "page"):
+        done = done.where(F.col(c).between(F.lit(ends[f"min_{c}"]), F.lit(ends[f"max_{c}"])))
+    return done
+
+
 def checkpoint_pages(pages: DataFrame, store: str, checkpoint: str):
-    """Starts a query that adds pages (sig, page, ...) to the Parquet folder `store`, by signature, leaving out pages that are stored: restarting repeats none."""
+    """Starts a query that adds pages (sig, page, ...) to the Parquet folder `store`, by signature and sorted, leaving out pages that are stored: restarting repeats none. A batch reads of the store what lies within its own range."""
 
     def keep(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        batch = batch.dropDuplicates(["sig", "page"])
-        path = spark._jvm.org.apache.hadoop.fs.Path(store)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            done = spark.read.schema(batch.schema).parquet(store).select("sig", "page")
-            batch = batch.join(done, ["sig", "page"], "left_anti").select(*batch.columns)
-        batch.write.mode("append").partitionBy("sig").parquet(store)
+        batch = batch.dropDuplicates(["sig", "page"]).persist()
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(store)
+            new = batch
+            if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+                new = batch.join(stored_near(batch, store), ["sig", "page"], "left_anti").select(*batch.columns)
+            new.repartitionByRange("sig", "page").sortWithinPartitions("sig", "page").write.mode("append").partitionBy("sig").parquet(store)
+        finally:
+            batch.unpersist()
 
     return pages.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

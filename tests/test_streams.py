@@ -69,3 +69,14 @@ def test_one_consumer_takes_jobs_in_order(spark, tmp_path):
     groups = [[{"job": 3, "created": 1}, {"job": 1, "created": 9}, {"job": 2, "created": 1}, {"job": 3, "created": 1}], [{"job": 5, "created": 2}]]
     batches(spark, tmp_path / "in", "job long, created long", groups, lambda s: jobs.serial_consumer(s, ran.append, lambda j: j == 1, str(tmp_path / "cp")))
     assert ran == [2, 3, 5]
+
+
+def test_a_batch_reads_of_the_store_what_it_may_repeat(spark, tmp_path):
+    rows = spark.createDataFrame([(s, p) for s in "abc" for p in range(1000)], "sig string, page int")
+    rows.repartitionByRange(4, "page").sortWithinPartitions("page").write.partitionBy("sig").parquet(str(tmp_path / "store"))
+    batch = spark.createDataFrame([("b", 10), ("b", 20), ("b", 5000)], "sig string, page int")
+    near = jobs.stored_near(batch.where("page < 100"), str(tmp_path / "store"))
+    assert near.count() == 11
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(page), GreaterThanOrEqual(page,10), LessThanOrEqual(page,20)]" in plan and "PartitionFilters: [isnotnull(sig" in plan
+    assert batch.join(jobs.stored_near(batch, str(tmp_path / "store")), ["sig", "page"], "left_anti").collect()[0].page == 5000
