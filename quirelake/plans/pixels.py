@@ -10,6 +10,9 @@ from ..functions import pixel as P
 from ..operators import classify as C
 from ..operators import components as CC
 from ..operators import neighbourhood as N
+from ..operators import pages as G
+from ..operators.raster import ellipse
+from ..sources.shared import materialised
 from .fixtures import BGR_SQL, GRAY_SQL, SIDE, bgr_pixels, gray_pixels, table
 from .registry import query
 
@@ -22,15 +25,54 @@ def _frame(value: str, fold: str, k: int, source: str, out: str) -> str:
 {out} AS (SELECT * EXCLUDE ({out}_v), {fold}({out}_v) OVER (PARTITION BY page, x ORDER BY y RANGE BETWEEN {k} PRECEDING AND {k} FOLLOWING) AS {out}_o FROM {out}_r)"""
 
 
+def ellipse_sql(name: str, size: int) -> str:
+    """SQL table of the offsets of an ellipse."""
+    at = [(int(y) - size // 2, int(x) - size // 2) for y, x in zip(*ellipse(size).nonzero())]
+    return f"{name}(dy, dx) AS (VALUES " + ", ".join(map(str, at)) + ")"
+
+
+def fold_sql(out: str, fold: str, value: str, source: str, kernel: str) -> str:
+    """Tables of the places that a kernel reaches from each pixel, written out first so that they are joined by all their keys, and of the folded values."""
+    return f"""{out}_at AS MATERIALIZED (SELECT p.page, p.y, p.x, p.y + k.dy AS qy, p.x + k.dx AS qx FROM {source} p, {kernel} k),
+{out} AS MATERIALIZED (SELECT p.page, p.y, p.x, {fold}(q.{value}) AS {value} FROM {out}_at p JOIN {source} q ON q.page = p.page AND q.y = p.qy AND q.x = p.qx GROUP BY p.page, p.y, p.x)"""
+
+
+def _mirrored(c: str) -> str:
+    return f"CASE WHEN p.{c} + t.d < 0 THEN -(p.{c} + t.d) WHEN p.{c} + t.d > {SIDE - 1} THEN {2 * SIDE - 2} - (p.{c} + t.d) ELSE p.{c} + t.d END"
+
+
+_WEIGHTS = "(VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1))"
+
+
+def _cc(mask: str, source: str, tag: str = "") -> str:
+    """Recursive SQL: lab(page, y, x, label) of the pixels of source under mask. `tag` keeps the tables of several masks apart."""
+    return f"""on_{tag} AS (SELECT page, y, x FROM {source} WHERE {mask}),
+reach{tag} AS (SELECT page, y, x, y AS ty, x AS tx FROM on_{tag} UNION SELECT r.page, r.y, r.x, o.y, o.x FROM reach{tag} r JOIN on_{tag} o ON o.page = r.page AND abs(o.y - r.ty) <= 1 AND abs(o.x - r.tx) <= 1),
+lab{tag} AS (SELECT page, y, x, min(ty * 8 + tx)::INTEGER AS label FROM reach{tag} GROUP BY page, y, x)"""
+
+
+#: Masks of F2 pages: colour opened by the 9 x 9 ellipse, gradient smoothed over 5 x 5, mid-gray away from ink.
 MASK_SQL = (
     BGR_SQL
-    + ", m0 AS (SELECT *, CASE WHEN gray < 100 THEN 1 ELSE 0 END AS ink, CASE WHEN hi = 0 THEN 0 ELSE 255 * spread // hi END AS sat FROM col), "
+    + f", {ellipse_sql('ell9', 9)}, sat AS (SELECT page, y, x, (CASE WHEN hi = 0 THEN 0 ELSE 255 * spread // hi END > 45)::INT AS c FROM col), {fold_sql('era', 'min', 'c', 'sat', 'ell9')}, {fold_sql('opened', 'max', 'c', 'era', 'ell9')}, "
+    + "m0 AS (SELECT *, CASE WHEN gray < 100 THEN 1 ELSE 0 END AS ink FROM col), "
     + ", ".join([_frame("ink", "max", 3, "m0", "near"), _frame("gray", "max", 1, "near", "top"), _frame("gray", "min", 1, "top", "low")])
-    + ", mk AS (SELECT page, y, x, b, g, r, gray, sat > 45 AS colour, top_o - low_o > 40 AS text, spread <= 12 AND gray > 40 AND gray < 220 AND near_o = 0 AS content_gray FROM low)"
-    + ", ft AS (SELECT page, avg(colour::INT::DOUBLE) AS color_ratio, avg(text::INT::DOUBLE) AS text_ratio, avg(content_gray::INT::DOUBLE) AS gray_ratio, bool_or(colour) AS colour_any, bool_or(content_gray) AS gray_any FROM mk GROUP BY page)"
+    + f""", gd AS (SELECT page, y, x, top_o - low_o AS v FROM low),
+ac AS (SELECT p.page, p.y, p.x, sum(t.w * q.v) AS v FROM gd p, {_WEIGHTS} t(d, w) JOIN gd q ON q.page = p.page AND q.y = p.y AND q.x = {_mirrored('x')} GROUP BY p.page, p.y, p.x),
+tx AS (SELECT p.page, p.y, p.x, (sum(t.w * q.v) + 128) // 256 > 40 AS t FROM ac p, {_WEIGHTS} t(d, w) JOIN ac q ON q.page = p.page AND q.x = p.x AND q.y = {_mirrored('y')} GROUP BY p.page, p.y, p.x),
+mk AS (SELECT l.page, l.y, l.x, o.c = 1 AS colour, tx.t AS text, l.spread <= 12 AND l.gray > 40 AND l.gray < 220 AND l.near_o = 0 AS content_gray
+  FROM low l JOIN opened o ON o.page = l.page AND o.y = l.y AND o.x = l.x JOIN tx ON tx.page = l.page AND tx.y = l.y AND tx.x = l.x),
+ft AS (SELECT page, avg(colour::INT::DOUBLE) AS color_ratio, avg(text::INT::DOUBLE) AS text_ratio, avg(content_gray::INT::DOUBLE) AS gray_ratio, bool_or(colour) AS colour_any, bool_or(content_gray) AS gray_any FROM mk GROUP BY page)"""
 )
-#: On a page of 64 pixels one pixel is over the blob share already, so `any pixel` says what the largest component says.
-TYPE_SQL = "CASE WHEN colour_any THEN CASE WHEN text_ratio > 0.03 THEN 'mixed' WHEN text_ratio > 0.01 THEN 'color-text' ELSE 'color-image' END WHEN gray_any THEN CASE WHEN text_ratio > 0.005 THEN 'gray-text' ELSE 'gray-image' END ELSE 'bw-text' END"
+#: Largest components of both masks, as shares of the page.
+BLOB_SQL = f"""{_cc('colour', 'mk', '_c')}, {_cc('content_gray', 'mk', '_g')},
+bc AS (SELECT page, max(n) / 64.0::DOUBLE AS blob FROM (SELECT page, label, count(*) AS n FROM lab_c GROUP BY ALL) GROUP BY page), bg AS (SELECT page, max(n) / 64.0::DOUBLE AS blob FROM (SELECT page, label, count(*) AS n FROM lab_g GROUP BY ALL) GROUP BY page)"""
+TYPE_SQL = "CASE WHEN coalesce(bc.blob, 0) > 0.0008 THEN CASE WHEN text_ratio > 0.03 THEN 'mixed' WHEN text_ratio > 0.01 THEN 'color-text' ELSE 'color-image' END WHEN coalesce(bg.blob, 0) > 0.0008 THEN CASE WHEN text_ratio > 0.005 THEN 'gray-text' ELSE 'gray-image' END ELSE 'bw-text' END"
+
+
+def _masks(spark, sf_dir) -> DataFrame:
+    on = lambda c, name: (F.col(c) == 1).alias(name)
+    return G.masks(bgr_pixels(spark, sf_dir)).select("page", "y", "x", on("colour", "colour"), on("text", "text"), on("content", "content_gray"))
 
 
 def _ratios(masks: DataFrame) -> DataFrame:
@@ -39,12 +81,13 @@ def _ratios(masks: DataFrame) -> DataFrame:
 
 @query("mask_ratios", f"WITH {MASK_SQL} SELECT page, color_ratio, text_ratio, gray_ratio FROM ft")
 def mask_ratios(spark, sf_dir):
-    return _ratios(C.masks(bgr_pixels(spark, sf_dir)))
+    return _ratios(_masks(spark, sf_dir))
 
 
-@query("page_classify", f"WITH {MASK_SQL} SELECT page, color_ratio, text_ratio, gray_ratio, {TYPE_SQL} AS type FROM ft")
+@query("page_classify", f"WITH RECURSIVE {MASK_SQL}, {BLOB_SQL} SELECT ft.page, color_ratio, text_ratio, gray_ratio, {TYPE_SQL} AS type FROM ft LEFT JOIN bc ON bc.page = ft.page LEFT JOIN bg ON bg.page = ft.page")
 def page_classify(spark, sf_dir):
-    masks = C.masks(bgr_pixels(spark, sf_dir))
+    """Six-way class of each page by opened and smoothed masks and the largest component of each."""
+    masks = materialised(_masks(spark, sf_dir), "masks")
     ratios = _ratios(masks)
     blob = lambda c: CC.largest_ratio(ratios.select("page"), CC.labels(masks, c, SIDE, SIDE), AREA).withColumnRenamed("ratio", f"blob_{c}")
     rows = ratios.join(blob("colour"), "page").join(blob("content_gray"), "page")
@@ -53,13 +96,13 @@ def page_classify(spark, sf_dir):
 
 @query("coarse_route", f"WITH {MASK_SQL} SELECT page, CASE WHEN text_ratio < 0.005 THEN 'image' ELSE 'text' END AS route, text_ratio >= 0 AND color_ratio < 0.005 AND NOT colour_any AND NOT gray_any AS binarisable FROM ft")
 def coarse_route(spark, sf_dir):
-    agg = C.masks(bgr_pixels(spark, sf_dir)).groupBy("page").agg(P.share("text").alias("t"), P.share("colour").alias("c"), F.bool_or("colour").alias("a"), F.bool_or("content_gray").alias("g"))
+    agg = _masks(spark, sf_dir).groupBy("page").agg(P.share("text").alias("t"), P.share("colour").alias("c"), F.bool_or("colour").alias("a"), F.bool_or("content_gray").alias("g"))
     return agg.select("page", C.coarse_type(F.col("t")).alias("route"), ((F.col("c") < 0.005) & ~F.col("a") & ~F.col("g")).alias("binarisable"))
 
 
 @query("route_union", f"WITH {MASK_SQL} SELECT page, CASE WHEN text_ratio < 0.005 THEN 'image-model' ELSE 'text-model' END AS backend FROM ft")
 def route_union(spark, sf_dir):
-    routed = C.masks(bgr_pixels(spark, sf_dir)).groupBy("page").agg(C.coarse_type(P.share("text")).alias("route"))
+    routed = _masks(spark, sf_dir).groupBy("page").agg(C.coarse_type(P.share("text")).alias("route"))
     both = [routed.where(F.col("route") == r).select("page", F.lit(f"{r}-model").alias("backend")) for r in ("text", "image")]
     return both[0].unionByName(both[1])
 
@@ -106,13 +149,6 @@ def otsu_threshold(spark, sf_dir):
     return N.otsu(gray_pixels(spark, sf_dir))
 
 
-def _cc(mask: str, source: str) -> str:
-    """Recursive SQL: lab(page, y, x, label) of the pixels of source under mask."""
-    return f"""on_ AS (SELECT page, y, x FROM {source} WHERE {mask}),
-reach AS (SELECT page, y, x, y AS ty, x AS tx FROM on_ UNION SELECT r.page, r.y, r.x, o.y, o.x FROM reach r JOIN on_ o ON o.page = r.page AND abs(o.y - r.ty) <= 1 AND abs(o.x - r.tx) <= 1),
-lab AS (SELECT page, y, x, min(ty * 8 + tx)::INTEGER AS label FROM reach GROUP BY page, y, x)"""
-
-
 CC_SQL = f"WITH RECURSIVE {GRAY_SQL}, {_cc('gray < 128', 'px')}"
 AREAS_SQL = ", ar AS (SELECT page, label, count(*) AS area FROM lab GROUP BY ALL)"
 
