@@ -96,6 +96,12 @@ LOG_SQL = """lg AS (SELECT user_id AS job, (row_number() OVER (PARTITION BY user
 MOSAIC = 32
 
 
+def _stroke(i: int) -> str:
+    """F3's channel i: tone maps, but two pages of eight are coloured with two dots or with lines of text, which makes them color-text and mixed."""
+    paper = (40, 120, 200)[i]
+    return f"CASE WHEN page % 8 = 5 THEN CASE WHEN y = x AND y % 10 = 5 AND y > 9 THEN 20 ELSE {paper} END WHEN page % 8 = 6 THEN CASE WHEN y % 8 = 3 AND x BETWEEN 3 AND 28 THEN 20 ELSE {paper} END ELSE {_tone(i)} END"
+
+
 def mosaic_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16 pages of F1 as the tiles of one page of 32 x 32, through the tone map of that page; where a vector is missing the page is white."""
     px = gray_pixels(spark, sf_dir).where(F.col("page").isNotNull())
@@ -104,7 +110,7 @@ def mosaic_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda c: F.explode(F.sequence(F.lit(0), F.lit(MOSAIC - 1))).alias(c)
     grid = at.select("page").distinct().select("page", side("y")).select("page", "y", side("x"))
     rows = grid.join(at, ["page", "y", "x"], "left").withColumn("gray", F.coalesce("gray", F.lit(255)))
-    return rows.select("page", "y", "x", *[F.expr(_tone(i)).alias(c) for i, c in enumerate("bgr")])
+    return rows.select("page", "y", "x", *[F.expr(_stroke(i)).alias(c) for i, c in enumerate("bgr")])
 
 
 def mosaic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,5 +128,5 @@ def mosaic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 MOSAIC_SQL = GRAY_SQL + f""", mz AS (SELECT page // 16 AS page, ((page % 16) // 4 * 8 + y)::INTEGER AS y, (page % 16 % 4 * 8 + x)::INTEGER AS x, gray FROM px),
 mw AS (SELECT page, y, unnest(range(32))::INTEGER AS x FROM (SELECT page, unnest(range(32))::INTEGER AS y FROM (SELECT DISTINCT page FROM mz))),
 mf AS (SELECT mw.page, mw.y, mw.x, coalesce(mz.gray, 255) AS gray FROM mw LEFT JOIN mz ON mz.page = mw.page AND mz.y = mw.y AND mz.x = mw.x),
-mb AS (SELECT page, y, x, {_tone(0)} AS b, {_tone(1)} AS g, {_tone(2)} AS r FROM mf),
+mb AS (SELECT page, y, x, {_stroke(0)} AS b, {_stroke(1)} AS g, {_stroke(2)} AS r FROM mf),
 mc AS (SELECT *, ((114 * b + 587 * g + 299 * r) // 1000)::INTEGER AS gray, greatest(b, g, r) AS hi, greatest(b, g, r) - least(b, g, r) AS spread FROM mb)"""
