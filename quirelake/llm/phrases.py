@@ -3,7 +3,7 @@
 Texts are lower-cased (A-Z), split at punctuation and line ends into pieces and these into words at spaces and tabs. Equal pieces of a language become one row with its multiplicity, by partial sums before the exchange, and a table.
 
 Phrases are counted length by length, weighted by multiplicities. A phrase of k words can only reach the least frequency if both phrases of k - 1 words within it do, so a bitmap of those that did (64 MB at most; it takes in a few others, never misses one)
-decides which phrases of k words leave a task at all. Pieces go through Arrow in blocks of at most BLOCK words with an overlap, so a piece of any length is never whole as words, and a block's equal phrases leave it once: a hot phrase
+decides which phrases of k words leave a task at all; from three words on, pieces are cut down to their runs of known pairs first. Pieces go through Arrow in blocks of at most BLOCK words with an overlap, so a piece of any length is never whole as words, and a block's equal phrases leave it once: a hot phrase
 comes to its counter as one row a block. The counts are shuffled by hash of language and phrase into buckets; in each task duckdb sums them out of core: under a fixed memory limit, with its spill in a folder of the executor's own
 scratch space that goes with the task (a lost executor costs its buckets, which are counted again from the shuffle).
 
@@ -100,6 +100,36 @@ def phrases_of(langs: pa.Array, texts: pa.Array, m: np.ndarray, k: int, known, b
         yield from table.group_by(["lang", "phrase"], use_threads=False).aggregate([("m", "sum")]).rename_columns(["lang", "phrase", "m"]).combine_chunks().to_batches()
 
 
+def runs_of(langs: pa.Array, texts: pa.Array, m: np.ndarray, known) -> Iterator[pa.RecordBatch]:
+    """lang, piece, m: of each piece the longest runs of three words or more whose neighbouring words are all known pairs, equal ones summed. Longer frequent phrases lie within them."""
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(size // (8 * BLOCK))) + 1):
+        a, n = int(rows[0]), len(rows)
+        words = pc.split_pattern_regex(texts.slice(a, n), "[ \t]+")
+        of = np.repeat(np.arange(a, a + n), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        flat = words.flatten().dictionary_encode()
+        h = word_hashes(flat.dictionary)[flat.indices.to_numpy()]
+        pair = np.zeros(len(of) + 1, bool)  # whether a word and the next are known; none before the first
+        pair[1:-1] = (of[:-1] == of[1:]) & known.has(mixed(mixed(word_hashes(langs)[of[:-1]], h[:-1]), h[1:]))
+        first, last = np.flatnonzero(pair[1:] & ~pair[:-1]), np.flatnonzero(pair[:-1] & ~pair[1:])
+        first, last = first[last - first > 1], last[last - first > 1]
+        if not len(first):
+            continue
+        ends = np.cumsum(last - first + 1)
+        at = np.repeat(first - np.concatenate([[0], ends[:-1]]), last - first + 1) + np.arange(ends[-1])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), flat.dictionary.take(flat.indices.take(pa.array(at))))
+        table = pa.table({"lang": langs.take(pa.array(of[first])), "piece": pc.binary_join(lists, " "), "m": m[of[first]]})
+        yield from table.group_by(["lang", "piece"], use_threads=False).aggregate([("m", "sum")]).rename_columns(["lang", "piece", "m"]).combine_chunks().to_batches()
+
+
+def _runs(known):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from runs_of(b.column(0), b.column(1), b.column(2).to_numpy(), known.value)
+
+    return run
+
+
 def _emit(k: int, known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,6 +174,8 @@ def frequent_phrases(parts: DataFrame, longest: int = LONGEST, least: int = LEAS
     tables = [words.where(F.col("f") >= least)]
     for k in range(2, longest + 1):
         known = bitmap(tables[-1], "key")
+        if k == 3:
+            parts = written(parts.mapInArrow(_runs(known), "lang string, piece string, m long"), "runs")
         tables.append(written(counts(parts, k, known, least), f"phrases{k}"))
         known.unpersist()
     return tables, n

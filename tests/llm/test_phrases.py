@@ -83,6 +83,36 @@ def test_blocks_count_each_phrase_once():
             assert got == want
 
 
+def test_runs_hold_all_longer_phrases_of_known_pairs(monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    langs, m = ["en" if i % 2 else "fr" for i in range(60)], np.arange(1, 61)
+    good = {("en", "a b"), ("en", "b c"), ("fr", "b a"), ("en", "c a"), ("fr", "a a"), ("en", "a a")}
+    keys = phrases.phrase_keys(pa.array([g[0] for g in good]), pa.array([g[1] for g in good]))
+
+    class Known:
+        def has(self, h):
+            return np.isin(h.view(np.int64), keys)
+
+    want = Counter()
+    for lang, t, x in zip(langs, texts, m):
+        run = []
+        for w in [*t.split(), None]:
+            if run and (lang, f"{run[-1]} {w}") in good:
+                run.append(w)
+            else:
+                if len(run) > 2:
+                    want[lang, " ".join(run)] += x
+                run = [w]
+    for block in (1, 1 << 19):
+        monkeypatch.setattr(phrases, "BLOCK", block)
+        got = Counter()
+        for b in phrases.runs_of(pa.array(langs), pa.array(texts), m, Known()):
+            for r in b.to_pylist():
+                got[r["lang"], r["piece"]] += r["m"]
+        assert got == want and want
+
+
 def test_phrases_have_one_hash_in_pieces_and_in_tables():
     class Seen:
         def has(self, h):
