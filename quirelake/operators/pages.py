@@ -71,7 +71,6 @@ def blobs(px: DataFrame, masks: DataFrame, width: int, height: int, most: int =
     gray = px.select("page", "y", "x", P.luma().alias("gray"))
     lab = CC.labels(masks.withColumn("m", F.col("content") == 1), "m", width, size=size).join(gray, ["page", "y", "x"])
     edge = (F.least("y", "x") <= 4) | (F.col("y") >= height - 5) | (F.col("x") >= width - 5)
-    # Pixels are exactly counted by gray, so that mean and deviation come from few rows and in one order.
     value = F.col("gray").cast("double")
     each = lab.groupBy("page", "label").agg(F.count("*").alias("area"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.bool_or(edge).alias("border"))
     paper = gray.groupBy("page").agg(F.percentile("gray", F.lit(0.9)).alias("p90"))
