@@ -72,7 +72,7 @@ TYPE_SQL = "CASE WHEN coalesce(bc.blob, 0) > 0.0008 THEN CASE WHEN text_ratio >
 
 def _masks(spark, sf_dir) -> DataFrame:
     on = lambda c, name: (F.col(c) == 1).alias(name)
-    return G.masks(bgr_pixels(spark, sf_dir)).select("page", "y", "x", on("colour", "colour"), on("text", "text"), on("content", "content_gray"))
+    return G.masks(bgr_pixels(spark, sf_dir), SIDE).select("page", "y", "x", on("colour", "colour"), on("text", "text"), on("content", "content_gray"))
 
 
 def _ratios(masks: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def page_classify(spark, sf_dir):
     """Six-way class of each page by opened and smoothed masks and the largest component of each."""
     masks = materialised(_masks(spark, sf_dir), "masks")
     ratios = _ratios(masks)
-    blob = lambda c: CC.largest_ratio(ratios.select("page"), CC.labels(masks, c, SIDE, SIDE), AREA).withColumnRenamed("ratio", f"blob_{c}")
+    blob = lambda c: CC.largest_ratio(ratios.select("page"), CC.labels(masks, c, SIDE, SIDE, SIDE), AREA).withColumnRenamed("ratio", f"blob_{c}")
     rows = ratios.join(blob("colour"), "page").join(blob("content_gray"), "page")
     return rows.select("page", "color_ratio", "text_ratio", "gray_ratio", C.page_type(F.col("blob_colour"), F.col("blob_content_gray"), F.col("text_ratio")).alias("type"))
 
@@ -154,7 +154,7 @@ AREAS_SQL = ", ar AS (SELECT page, label, count(*) AS area FROM lab GROUP BY ALL
 
 
 def _gray_labels(spark, sf_dir) -> DataFrame:
-    return CC.labels(gray_pixels(spark, sf_dir).withColumn("m", F.col("gray") < 128), "m", SIDE, SIDE)
+    return CC.labels(gray_pixels(spark, sf_dir).withColumn("m", F.col("gray") < 128), "m", SIDE, SIDE, SIDE)
 
 
 @query("cc_labels", f"{CC_SQL} SELECT * FROM lab")
@@ -217,7 +217,7 @@ ch AS (SELECT * FROM tk WHERE bucket = -1 OR rn <= 3 + (SELECT count(*) FROM gr
 def core_colours(spark, sf_dir) -> DataFrame:
     """Colour of each component: mean over its pixels among the darkest 30 % of the page's foreground, or over all of them."""
     px = bgr_pixels(spark, sf_dir).withColumn("gray", P.luma()).withColumn("m", F.col("gray") < P.DARK)
-    fg = CC.labels(px, "m", SIDE, SIDE).join(px, ["page", "y", "x"]).withColumn("lum", F.col("b") + F.col("g") + F.col("r"))
+    fg = CC.labels(px, "m", SIDE, SIDE, SIDE).join(px, ["page", "y", "x"]).withColumn("lum", F.col("b") + F.col("g") + F.col("r"))
     fg = fg.withColumn("cut", F.percentile("lum", F.lit(0.3)).over(W.partitionBy("page")))
     mean = lambda c: F.floor(F.coalesce(F.avg(F.when(F.col("lum") <= F.col("cut"), F.col(c))), F.avg(c))).cast("int").alias(c)
     return fg.groupBy("page", "label").agg(F.count("*").alias("area"), *[mean(c) for c in "bgr"])
