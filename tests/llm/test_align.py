@@ -6,12 +6,22 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.accumulators import AccumulatorParam
+
 from quirelake.llm import align
 
 pytest.importorskip("public_tokenizers")
 PATHS = align.vocabularies()
 
 
+class Most(AccumulatorParam):
+    def zero(self, value):
+        return []
+
+    def addInPlace(self, a, b):
+        return a + b
+
+
 @pytest.fixture(scope="module")
 def plain():
     import sentencepiece
@@ -132,3 +142,44 @@ def test_a_long_text(spark, plain):
     n = {r.doc_id: r for r in found}
     assert n[1].n_a == len(plain[0].encode(" " + text).ids) and n[1].n_b == len(plain[1].encode(text)) and n[1].n_links == n[1].n_a + n[1].n_b - n[1].n_groups
     assert n[2].n_a == len(plain[0].encode(" " + "x" * 200_000).ids)
+
+
+def test_fresh_units_go_to_tokenizers_in_bounded_steps(plain, monkeypatch):
+    t = align.Table(align.ByteLevel(PATHS[0]), align.Pieces(PATHS[1]))
+    steps = []
+    for coder in t.coders:
+        monkeypatch.setattr(coder, "encode", lambda units, f=coder.encode: steps.append((len(units), sum(map(len, units)))) or f(units))
+    text = " ".join(f"word{i}, {'naïve' * (i % 40)}" for i in range(15_000))
+    pack = t.pack([1], [text]).to_pylist()[0]
+    assert max(n for n, _ in steps) <= 8192 and max(c for _, c in steps) < len(text) / 2
+    assert [i for k in pack["docs"][0]["seq"] for i in pack["units"][k]["ids_a"]] == [x[0] for x in tokens(text, plain)[0]]
+
+
+def test_a_pack_has_each_pair_once(spark, plain):
+    rows = spark.createDataFrame([(i, "the same words, and again the same words " * 50) for i in range(20)], "doc_id long, text string").coalesce(1)
+    (pack,) = align.packed(rows, *PATHS, kind=align.Linked).collect()
+    assert len(pack.pairs) == len(set(pack.pairs)) < 40 and sum(pack.weights) == sum(r.n_links for r in align.scored(rows, *PATHS).collect())
+
+
+def test_packs_go_to_python_few_at_a_time(spark, plain, monkeypatch):
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(40_000))
+    rows = spark.createDataFrame([(i, text()) for i in range(30)], "doc_id long, text string").coalesce(1)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    sizes, answered = spark.sparkContext.accumulator([], Most()), align._answered
+
+    def watched(frequent):
+        def run(batches):
+            def seen():
+                for b in batches:
+                    sizes.add([b.nbytes])
+                    yield b
+
+            yield from answered(frequent)(seen())
+
+        return run
+
+    monkeypatch.setattr(align, "_answered", watched)
+    assert align.scored(rows, *PATHS, size=1 << 17).count() == 30
+    assert len(sizes.value) > 1 and max(sizes.value) < 3 * (8 << 20)
+    assert sum(sizes.value) > 3 * (8 << 20)
