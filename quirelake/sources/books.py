@@ -5,8 +5,11 @@ on several tasks, and sorted; a task holds one page at a time. Each attempt writ
 visible: it is written last and under a temporary name first. A failed attempt removes its folder, an aborted epoch those of all its messages; what a lost executor leaves is never seen. An epoch of a stream that is committed again keeps its
 first manifest.
 
+Shelves. With the option shelve, volumes of up to so many bytes don't become files of their own (a file and a font each for a few small pages takes far more disk than the pages): they stand one behind another in a shelf, a file of a task,
+compressed in runs of RUN bytes or a bit more, so at most a run and a volume of such a size are in memory. The index says where a volume's run is and where it stands in it; each is a whole PDF. Larger volumes are files as ever.
+
 Reading. The driver reads the manifests, a row for each task that wrote, with the range of its books and pages; splits are runs of PAGES pages of an index, whatever the files' sizes. Filters on book and page are pushed down to manifests,
-indexes and pages, and a reading schema of fewer columns leaves images or texts unread: of a file its end, its two lists and the objects of the asked pages are read, each by its byte range. Column read_bytes counts them.
+indexes and pages, and a reading schema of fewer columns leaves images or texts unread: of a file its end, its two lists and the objects of the asked pages are read, each by its byte range. Column read_bytes counts them. Of a shelf the runs with asked pages are read, each counted at its first one. A split reads those row groups of the index that it needs.
 
 Nulls and edge cases. Pages without a book are a book of their own, in file unnamed_enhanced.pdf. Pages without a number come first in their volume. Pages of one number stay apart, in the order of their data's digest. A page without spans has an empty list. A folder
 without manifests has no rows. Texts are UTF-16, so any script comes back.
@@ -19,10 +22,12 @@ import json
 import posixpath
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import nullcontext
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -32,13 +37,13 @@ from pyspark.sql.types import StructType
 
 from .pdf import Writer
 
-VOLUME, PAGES, TAIL = 1000, 2000, 2048
+VOLUME, PAGES, TAIL, RUN, GROUP = 1000, 2000, 2048, 1 << 18, 1000
 SCHEMA = """book bigint, page int, width_pt double, height_pt double, images array<struct<xref:int,w:int,h:int,bits:int,filter:string,mask:boolean,flipped:boolean,fill:string,size:bigint,data:binary>>,
 spans array<struct<x:double,y:double,size:double,text:string>>, read_bytes bigint"""
 _IMAGE = pa.struct([("xref", pa.int32()), ("w", pa.int32()), ("h", pa.int32()), ("bits", pa.int32()), ("filter", pa.string()), ("mask", pa.bool_()), ("flipped", pa.bool_()), ("fill", pa.string()), ("size", pa.int64()), ("data", pa.binary())])
 _SPAN = pa.struct([("x", pa.float64()), ("y", pa.float64()), ("size", pa.float64()), ("text", pa.string())])
 _TYPES = {"book": pa.int64(), "page": pa.int32(), "width_pt": pa.float64(), "height_pt": pa.float64(), "images": pa.list_(_IMAGE), "spans": pa.list_(_SPAN), "read_bytes": pa.int64()}
-_INDEX = pa.schema([("book", pa.int64()), ("first_page", pa.int32()), ("last_page", pa.int32()), ("n_pages", pa.int64()), ("bytes", pa.int64()), ("path", pa.string())])
+_INDEX = pa.schema([("book", pa.int64()), ("first_page", pa.int32()), ("last_page", pa.int32()), ("n_pages", pa.int64()), ("bytes", pa.int64()), ("path", pa.string()), ("begin", pa.int64()), ("stop", pa.int64()), ("run", pa.int64()), ("run_size", pa.int64()), ("run_bytes", pa.int64()), ("place", pa.int64())])
 
 
 def _system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -69,29 +74,98 @@ class Part(D.WriterCommitMessage):
     last_page: int | None = None
 
 
-class _Counted:
-    def __init__(self, out) -> None:
-        self.out, self.size = out, 0
+class _Volume:
+    """What a Writer writes to: kept in memory up to `most` bytes, beyond that a file."""
+
+    def __init__(self, most: int, start: Callable[[], pa.NativeFile]) -> None:
+        self.size, self.most, self.start, self.held, self.out = 0, most, start, bytearray(), None
 
     def write(self, data: bytes) -> None:
         self.size += len(data)
-        self.out.write(data)
-
-
-def write_part(batches: Iterator[pa.RecordBatch], root: str, folder: str) -> Part:
+        if self.out is None and self.size <= self.most:
+            self.held += data
+        else:
+            if self.out is None:
+                self.out = self.start()
+                self.out.write(self.held)
+                self.held = bytearray()
+            self.out.write(data)
+
+
+class _Task:
+    """Files, shelf and index of a task in a folder of their own."""
+
+    def __init__(self, root: str, part: Part, shelve: int) -> None:
+        self.fs, self.base = _system(root)
+        self.part, self.shelve, self.home = part, shelve, posixpath.join(self.base, part.folder)
+        self.rows, self.run, self.waiting, self.open, self.shelf, self.index, self.last = [], bytearray(), [], [], None, None, ()
+
+    def stream(self, name: str) -> pa.NativeFile:
+        self.fs.create_dir(self.home, recursive=True)
+        self.open.append(self.fs.open_output_stream(posixpath.join(self.home, name), compression=None))
+        return self.open[-1]
+
+    def volume(self) -> _Volume:
+        return _Volume(self.shelve, lambda: self.stream("open.part"))
+
+    def close(self, key: tuple, numbers: list, volume: _Volume) -> None:
+        book, number = key
+        known, part = [n for n in numbers if n is not None], self.part
+        row = {"book": book, "first_page": min(known, default=None), "last_page": max(known, default=None), "n_pages": len(numbers), "bytes": volume.size, "begin": part.pages, "stop": part.pages + len(numbers)}
+        part.books, part.pages, part.bytes, part.unnamed = part.books + ((book,) != self.last), part.pages + len(numbers), part.bytes + volume.size, part.unnamed or book is None
+        self.last = (book,)
+        own = lambda value, other, fold: other if value is None else value if other is None else fold(value, other)
+        part.low, part.high = own(part.low, book, min), own(part.high, book, max)
+        part.first_page, part.last_page = own(part.first_page, row["first_page"], min), own(part.last_page, row["last_page"], max)
+        if volume.out is None:
+            self.waiting.append(row | {"path": f"{part.folder}/shelf", "place": len(self.run)})
+            self.run += volume.held
+            if len(self.run) >= RUN:
+                self.put()
+            return
+        self.put()  # the index is in the order of pages
+        self.open.pop().close()
+        name = file_name(book, number * VOLUME + 1, (number + 1) * VOLUME, number == 0)
+        self.fs.move(posixpath.join(self.home, "open.part"), posixpath.join(self.home, name))
+        self.note([row | {"path": f"{part.folder}/{name}"}])
+
+    def put(self) -> None:
+        """The volumes that wait go to the shelf."""
+        if not self.waiting:
+            return
+        self.shelf = self.shelf or self.stream("shelf")
+        at, data = self.shelf.tell(), pa.compress(bytes(self.run), "zstd", asbytes=True)
+        self.shelf.write(data)
+        self.note([r | {"run": at, "run_size": len(data), "run_bytes": len(self.run)} for r in self.waiting])
+        self.run, self.waiting = bytearray(), []
+
+    def note(self, rows: list[dict], end: bool = False) -> None:
+        self.rows += rows
+        if self.rows and (end or len(self.rows) >= GROUP):
+            if self.index is None:
+                self.fs.create_dir(posixpath.join(self.base, "_index"), recursive=True)
+                self.index = pq.ParquetWriter(posixpath.join(self.base, self.part.index), _INDEX, filesystem=self.fs)
+            self.index.write_table(pa.Table.from_pylist(self.rows, _INDEX))
+            self.rows = []
+
+    def end(self) -> None:
+        self.put()
+        self.note([], True)
+        self.stop()
+
+    def stop(self) -> None:
+        for f in [*self.open, *filter(None, [self.index])]:
+            f.close()
+
+
+def write_part(batches: Iterator[pa.RecordBatch], root: str, folder: str, shelve: int = 0) -> Part:
     """Files of sorted pages in a folder of their own below root, with their index."""
-    fs, base = _system(root)
     part = Part(f"data/{folder}", f"_index/{folder}.parquet")
-    home, rows, key, out, numbers = posixpath.join(base, part.folder), [], None, None, []
+    task, key, numbers = _Task(root, part, shelve), None, []
 
     def close() -> None:
         writer.close()
-        out.close()
-        book, volume = key
-        known = [n for n in numbers if n is not None]
-        name = file_name(book, volume * VOLUME + 1, (volume + 1) * VOLUME, volume == 0)
-        fs.move(posixpath.join(home, "open.part"), posixpath.join(home, name))
-        rows.append((book, min(known, default=None), max(known, default=None), len(numbers), counted.size, f"{part.folder}/{name}"))
+        task.close(key, numbers, volume)
 
     try:
         for b in batches:
@@ -100,25 +174,17 @@ def write_part(batches: Iterator[pa.RecordBatch], root: str, folder: str) -> Par
                 if at != key:
                     if key is not None:
                         close()
-                    fs.create_dir(home, recursive=True)
-                    key, numbers = at, []
-                    out = fs.open_output_stream(posixpath.join(home, "open.part"), compression=None)
-                    writer = Writer(counted := _Counted(out))
+                    key, numbers, volume = at, [], task.volume()
+                    writer = Writer(volume)
                 writer.page(p)
                 numbers.append(p["page"])
         if key is not None:
             close()
-        if rows:
-            fs.create_dir(posixpath.join(base, "_index"), recursive=True)
-            pq.write_table(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _INDEX.types)], schema=_INDEX), posixpath.join(base, part.index), filesystem=fs)
+        task.end()
     except BaseException:
-        if out is not None and not out.closed:
-            out.close()
+        task.stop()
         remove(root, part)
         raise
-    named, known = [r[0] for r in rows if r[0] is not None], [x for r in rows for x in r[1:3] if x is not None]
-    part.books, part.pages, part.bytes, part.unnamed = len({r[0] for r in rows}), sum(r[3] for r in rows), sum(r[4] for r in rows), any(r[0] is None for r in rows)
-    part.low, part.high, part.first_page, part.last_page = min(named, default=None), max(named, default=None), min(known, default=None), max(known, default=None)
     return part
 
 
@@ -164,11 +230,11 @@ def parts_of(fs: pafs.FileSystem, manifest: str) -> list[Part]:
 
 
 class _BatchWriter(D.DataSourceArrowWriter):
-    def __init__(self, root: str, overwrite: bool) -> None:
-        self.root, self.overwrite, self.epoch = root, overwrite, uuid.uuid4().hex
+    def __init__(self, root: str, overwrite: bool, shelve: int = 0) -> None:
+        self.root, self.overwrite, self.epoch, self.shelve = root, overwrite, uuid.uuid4().hex, shelve
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
-        return write_part(iterator, self.root, _attempt(self.epoch))
+        return write_part(iterator, self.root, _attempt(self.epoch), self.shelve)
 
     def commit(self, messages: list[Part | None]) -> None:
         commit(self.root, self.epoch, messages, self.overwrite)
@@ -179,11 +245,11 @@ class _BatchWriter(D.DataSourceArrowWriter):
 
 
 class _StreamWriter(D.DataSourceStreamArrowWriter):
-    def __init__(self, root: str) -> None:
-        self.root = root
+    def __init__(self, root: str, shelve: int = 0) -> None:
+        self.root, self.shelve = root, shelve
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
-        return write_part(iterator, self.root, _attempt("stream"))
+        return write_part(iterator, self.root, _attempt("stream"), self.shelve)
 
     def commit(self, messages: list[Part | None], batchId: int) -> None:
         commit(self.root, f"epoch{batchId:012d}", messages)
@@ -322,22 +388,26 @@ class _Reader(D.DataSourceReader):
         if split.start == split.stop:
             return
         fs, base = _system(self.root)
-        files = pq.read_table(posixpath.join(base, split.index), filesystem=fs).to_pylist()
-        rows, held, at = [], 0, 0
+        wanted = (pc.field("begin") < split.stop) & (pc.field("stop") > split.start)
+        files = pq.read_table(posixpath.join(base, split.index), filesystem=fs, filters=wanted).to_pylist()
+        rows, held, run, data = [], 0, None, None
         for x in files:
-            begin, at = at, at + x["n_pages"]
-            a, b = max(split.start, begin) - begin, min(split.stop, at) - begin
+            a, b = max(split.start - x["begin"], 0), min(split.stop - x["begin"], x["n_pages"])
             if a >= b or not self._holds(x["book"], "book") or not self._open(x["first_page"], x["last_page"], True, "page"):
                 continue
-            with fs.open_input_file(posixpath.join(base, x["path"])) as f:
-                pdf, counted = Pdf(f), 0
+            more = 0
+            with fs.open_input_file(posixpath.join(base, x["path"])) if x["run"] is None or (x["path"], x["run"]) != run else nullcontext() as f:
+                if x["run"] is not None and f is not None:
+                    run, more = (x["path"], x["run"]), x["run_size"]
+                    data = pa.decompress(f.read_at(x["run_size"], x["run"]), x["run_bytes"], "zstd")
+                pdf, counted = Pdf(f if x["run"] is None else pa.BufferReader(data.slice(x["place"], x["bytes"]))), 0
                 for i in range(a, b):
                     if not self._holds(pdf.numbers[i], "page"):
                         continue
                     row = {"book": x["book"], "page": pdf.numbers[i]} | (pdf.page(i, set(self.columns), "data" in self.images) if set(self.columns) - {"book", "page", "read_bytes"} else {})
-                    row["read_bytes"], counted = pdf.read - counted, pdf.read
+                    held += pdf.read - counted
+                    row["read_bytes"], counted, more = pdf.read - counted if x["run"] is None else more, pdf.read, 0
                     rows.append(row)
-                    held += row["read_bytes"]
                     if len(rows) >= 1000 or held > 1 << 24:
                         yield self._batch(rows)
                         rows, held = [], 0
@@ -368,10 +438,10 @@ class ScannedBooks(D.DataSource):
         return _Reader(self.options["path"], schema, self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> _BatchWriter:
-        return _BatchWriter(self.options["path"], overwrite)
+        return _BatchWriter(self.options["path"], overwrite, int(self.options.get("shelve", 0)))
 
     def streamWriter(self, schema: StructType, overwrite: bool) -> _StreamWriter:
-        return _StreamWriter(self.options["path"])
+        return _StreamWriter(self.options["path"], int(self.options.get("shelve", 0)))
 
 
 def register(spark: SparkSession) -> None:
@@ -386,9 +456,9 @@ def dealt(pages: DataFrame) -> DataFrame:
     return pages.repartition("book", volume).sortWithinPartitions("book", volume, "page", F.xxhash64("data"))
 
 
-def write(pages: DataFrame, path: str, overwrite: bool = False) -> None:
+def write(pages: DataFrame, path: str, overwrite: bool = False, **options) -> None:
     register(pages.sparkSession)
-    dealt(pages).write.format("scanned_books").mode("overwrite" if overwrite else "append").save(path)
+    dealt(pages).write.format("scanned_books").options(**options).mode("overwrite" if overwrite else "append").save(path)
 
 
 def read(spark: SparkSession, path: str, columns: str = SCHEMA, **options) -> DataFrame:

@@ -111,3 +111,50 @@ def test_files_are_found_without_reading_them(spark, tmp_path):
     for name in ("b.pdf", "a.pdf", "c.txt"):
         (tmp_path / name).write_bytes(b"xx")
     assert [(r.name, r["size"]) for r in pdf.discover(spark, f"file://{tmp_path}").collect()] == [("a.pdf", 2), ("b.pdf", 2)]
+
+
+def test_small_books_share_shelves(spark, tmp_path, monkeypatch):
+    rows = [page(b, n, 300, [(0, 0, 1, 9, f"words {b}")]) for b in range(1, 301) for n in range(1, 5)] + [page(500, n, 40_000) for n in (1, 2)] + [page(None, 1, 10)]
+    df = spark.createDataFrame(rows, PAGE).repartition(3)
+    books.write(df, str(tmp_path / "a"))
+    books.write(df, str(tmp_path / "b"), shelve=50_000)
+    every = [os.path.join(d, f) for d, _, names in os.walk(tmp_path / "b" / "data") for f in names]
+    assert [f.split("/")[-1] for f in files(tmp_path / "b")] == ["book500_enhanced.pdf"] and len(every) <= 5
+    assert sum(map(os.path.getsize, every)) < 80_002 + 300 * 600 + 30_000 < sum(os.path.getsize(tmp_path / "a" / f) for f in files(tmp_path / "a")) / 8
+    key = lambda r: (r.book or -1, r.page)
+    for where in ("true", "page = 3", "book = 7", "book IN (500, 8) AND page > 1", "book IS NULL"):
+        a, b = (sorted(books.read(spark, str(tmp_path / n), pages_per_split=7).drop("read_bytes").where(where).collect(), key=key) for n in "ab")
+        assert a == b and a
+    full = books.read(spark, str(tmp_path / "b"), pages_per_split=10_000)
+    assert sum(r.read_bytes for r in full.select("read_bytes").collect()) < 1.5 * sum(map(os.path.getsize, every)) + 20_000
+
+
+def test_a_failed_write_of_shelves_leaves_nothing(spark, tmp_path):
+    good = spark.createDataFrame([page(b, n) for b in range(9) for n in (1, 2)], PAGE)
+    bad = good.unionByName(spark.createDataFrame([page(50, 1)], PAGE).withColumn("kind", F.lit("no such kind")))
+    with pytest.raises(Exception):
+        books.write(bad, str(tmp_path / "b"), shelve=1 << 20)
+    assert not [f for _, _, names in os.walk(tmp_path) for f in names]
+
+
+def test_a_split_reads_its_rows_of_the_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(books, "GROUP", 10)
+    batch = spark.createDataFrame([page(b, n) for b in range(100) for n in (1, 2)], PAGE).toArrow().to_batches()
+    w = books._BatchWriter(str(tmp_path / "b"), False, 1 << 20)
+    w.commit([w.write(iter(batch))])
+    reader, sizes, plain = books.ScannedBooks({"path": str(tmp_path / "b"), "pages_per_split": "20"}).reader(books.StructType.fromDDL("book bigint, page int")), [], books.pq.read_table
+    monkeypatch.setattr(books.pq, "read_table", lambda *a, **k: sizes.append((t := plain(*a, **k)).num_rows) or t)
+    got = [r for s in reader.partitions() for b in reader.read(s) for r in b.to_pylist()]
+    assert len(got) == 200 and len(sizes) == 10 and max(sizes) <= 20
+
+
+@pytest.mark.parametrize("name", ["image_listing"])
+def test_queries_over_the_library_take_little_disk(spark, tmp_path, monkeypatch, name):
+    from quirelake.plans import books as plans
+    from quirelake.plans import catalog
+
+    monkeypatch.setattr(plans, "new_folder", lambda spark, tag: str(tmp_path / tag))
+    catalog.queries()[name](spark, "/root/testdata/sf0.001").count()
+    every = [os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(tmp_path) for f in names]
+    pages = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert len(every) < 40 and sum(every) < 250 * pages  # a file for each book: 2.5 KB a page, 3 KB with blocks
