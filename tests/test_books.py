@@ -148,7 +148,7 @@ def test_a_split_reads_its_rows_of_the_index(spark, tmp_path, monkeypatch):
     assert len(got) == 200 and len(sizes) == 10 and max(sizes) <= 20
 
 
-@pytest.mark.parametrize("name", ["image_listing", "page_geometry"])
+@pytest.mark.parametrize("name", ["image_listing", "page_geometry", "page_source_range"])
 def test_queries_over_the_library_take_little_disk(spark, tmp_path, monkeypatch, name):
     from quirelake.plans import books as plans
     from quirelake.plans import catalog
