@@ -5,8 +5,11 @@ Pages are pixel rows (page, y, x, b, g, r) of any size; a task holds a tile with
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from .raster import ellipse
 FIGURE, SPECK = 0.004, 24
 #: By how much a gray figure is darker than paper, and the least deviation of its grays (fixed values).
 DARKER, UNEVEN = 35, 12
+#: Pixels of strips that are resampled at once.
+CELLS = 1 << 20
 BINOMIAL = [1, 4, 6, 4, 1]
 
 
@@ -132,10 +137,86 @@ def padded(px: DataFrame, value: str, top: int, left: int) -> DataFrame:
     return rows.select("page", F.col("__y").cast("int").alias("y"), F.col("__x").cast("int").alias("x"), value)
 
 
-def resampled(px: DataFrame, value: str, taps: DataFrame) -> DataFrame:
-    """page, kind, y, x and the resampled value, by a table of taps (kind, i, src, w): the weights of source places for each new place along a side. Taps are as many as a side's pixels times a kernel's reach: few, and broadcast."""
-    taps = F.broadcast(taps)
-    across = px.join(taps.withColumnRenamed("src", "x"), "x").groupBy("page", "kind", "y", F.col("i").alias("nx")).agg(F.sum(F.col("w") * F.col(value)).alias("v"))
-    down = across.join(taps.withColumnRenamed("src", "y"), ["kind", "y"]).groupBy("page", "kind", "i", "nx").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
-    level: Column = F.greatest(F.least(F.bround("v", 0), F.lit(255.0)), F.lit(0.0)).cast("int")
-    return down.select("page", "kind", F.col("i").alias("y"), F.col("nx").alias("x"), level.alias(value))
+def lines(px: DataFrame, value: str) -> DataFrame:
+    """page, y, xs and grays: the places and values of each line of pixel rows."""
+    rows = px.where(f"page IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL AND `{value}` IS NOT NULL").groupBy("page", "y").agg(F.collect_list(F.struct("x", F.col(value).alias("g"))).alias("p"))
+    return rows.select("page", "y", F.col("p")["x"].alias("xs"), F.col("p")["g"].alias("grays"))
+
+
+class Taps:
+    """Weights of source places for each new place along a side, as tables (place, tap) of a kind; places of few taps have zeros."""
+
+    def __init__(self, taps: DataFrame) -> None:
+        kind, i, src, w = (taps.toArrow().column(c).to_numpy() for c in ("kind", "i", "src", "w"))
+        self.sources = int(src.max()) + 1
+        self.low, self.high = np.full(i.max() + 1, self.sources), np.zeros(i.max() + 1, np.int64)
+        np.minimum.at(self.low, i, src)
+        np.maximum.at(self.high, i, src)
+        self.span = int(max((self.high - self.low).max(), 0))
+        self.kinds = {}
+        for k in sorted(set(kind)):
+            own = np.flatnonzero(kind == k)
+            own = own[np.argsort(i[own], kind="stable")]
+            n = np.bincount(i[own], minlength=len(self.low))
+            at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            place, weight = np.zeros((len(n), n.max()), np.int64), np.zeros((len(n), n.max()))
+            place[i[own], at], weight[i[own], at] = src[own], w[own]
+            self.kinds[k] = place, weight
+
+    def along(self, planes: np.ndarray, there: np.ndarray, kind: str, places: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sums of new places along the last axis, whose first place is top, and where any source is there."""
+        place, weight = (x[places] for x in self.kinds[kind])
+        out, any_there = np.zeros((*planes.shape[:-1], len(places))), np.zeros((*planes.shape[:-1], len(places)), bool)
+        for k in range(place.shape[1]):
+            at = np.clip(place[:, k] - top, 0, planes.shape[-1] - 1)
+            out += weight[:, k] * planes[..., at]
+            any_there |= there[..., at] & (weight[:, k] != 0)
+        return out, any_there
+
+
+def resampled(rows: DataFrame, taps: DataFrame, size: int = T.SIZE) -> DataFrame:
+    """page, kind, y and a line's grays, with null where no source is there, of pages given line by line (page, y, xs, grays), by a table of taps (kind, i, src, w): the weights of source places for each new place along a side.
+
+    Pages are dealt out in strips of `size` lines with those below that taps reach, so a task holds strips and never a page. Taps are as many as a side's pixels times a kernel's reach: few, and broadcast. Of values for one pixel all count."""
+    weights = Taps(taps)
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def made(t: Taps, pages: list, strip: int, ys: np.ndarray, xs: pa.ListArray, grays: pa.ListArray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Lines of strips of one number; at says which of pages each pixel belongs to, ys its line."""
+        height = size + t.span
+        planes, there = np.zeros((len(pages), height, t.sources)), np.zeros((len(pages), height, t.sources), bool)
+        ok = (xs >= 0) & (xs < t.sources) & (ys >= 0) & (ys < t.sources)
+        where = at[ok], ys[ok] - strip * size, xs[ok]
+        np.add.at(planes, where, grays[ok])
+        there[where] = True
+        new = np.flatnonzero(t.low // size == strip)
+        if not len(new):
+            return
+        for kind in t.kinds:
+            across, seen = t.along(planes, there, kind, np.arange(len(t.low)), 0)
+            down, seen = t.along(across.swapaxes(1, 2), seen.swapaxes(1, 2), kind, new, strip * size)
+            level, seen = np.clip(np.rint(down.swapaxes(1, 2)), 0, 255).astype(np.int32), seen.swapaxes(1, 2)
+            n, y = np.nonzero(seen.any(axis=2))
+            values = pa.array(level[n, y].ravel(), mask=None if seen.all() else ~seen[n, y].ravel())
+            ends = np.arange(len(n) + 1, dtype=np.int32) * len(t.low)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(pages)[n], pa.int64()), pa.array([kind] * len(n)), pa.array(new[y].astype(np.int32)), pa.ListArray.from_arrays(ends, values)], names=["page", "kind", "y", "grays"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = shared.value
+        most = max(1, CELLS // ((size + t.span) * t.sources))
+        for b in batches:
+            numbers = b.column("strip").to_numpy()
+            for strip in np.unique(numbers):
+                own = np.flatnonzero(numbers == strip)
+                for i in range(0, len(own), most):
+                    part = b.take(pa.array(own[i : i + most]))
+                    each = part.column("lines")
+                    line = each.flatten()
+                    xs, grays = line.field("xs"), line.field("grays")
+                    n = xs.value_lengths().to_numpy(zero_copy_only=False)
+                    page = np.repeat(np.arange(len(part)), each.value_lengths().to_numpy(zero_copy_only=False))
+                    yield from made(t, part.column("page").to_pylist(), int(strip), np.repeat(line.field("y").to_numpy(), n), xs.flatten().to_numpy(), grays.flatten().to_numpy(), np.repeat(page, n))
+
+    strips = F.sequence(F.greatest(F.floor((F.col("y") - weights.span) / size), F.lit(0)).cast("int"), F.floor(F.col("y") / size).cast("int"))
+    rows = rows.where("page IS NOT NULL AND y >= 0").select("page", F.explode(strips).alias("strip"), F.struct("y", "xs", "grays").alias("line"))
+    return rows.groupBy("page", "strip").agg(F.collect_list("line").alias("lines")).mapInArrow(run, "page long, kind string, y int, grays array<int>")

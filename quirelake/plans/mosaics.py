@@ -17,7 +17,7 @@ from ..operators import pages as G
 from ..operators.raster import ellipse
 from ..sources import pdf
 from ..sources.shared import materialised
-from .fixtures import MOSAIC, MOSAIC_SQL, PAGES_SQL, mosaic_pages, mosaic_pixels, page_rows
+from .fixtures import MOSAIC, MOSAIC_SQL, PAGES_SQL, mosaic_lines, mosaic_pages, mosaic_pixels, page_rows
 from .registry import query
 
 #: Side of a tile, half a page's.
@@ -227,9 +227,8 @@ down AS (SELECT page, a.kind, i AS y, a.x, sum(w * v) AS v FROM across a JOIN ta
 SELECT page, kind, y, string_agg(least(greatest(round_even(v, 0), 0), 255)::INTEGER::VARCHAR, ',' ORDER BY x) AS grays FROM down GROUP BY page, kind, y""")
 def mosaic_resize(spark, sf_dir):
     """Pages twice as large by the linear, cubic and Lanczos kernels, row by row."""
-    rows = G.resampled(_gray(spark, sf_dir), "gray", _taps(spark, 2 * MOSAIC))
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "gray"))), lambda p: p["gray"].cast("string")), ",")
-    return rows.groupBy("page", "kind", "y").agg(line.alias("grays"))
+    rows = G.resampled(mosaic_lines(spark, sf_dir), _taps(spark, 2 * MOSAIC), TILE)
+    return rows.select("page", "kind", "y", F.array_join(F.transform("grays", lambda g: g.cast("string")), ",").alias("grays"))
 
 
 def _taps(spark, new: int) -> DataFrame:

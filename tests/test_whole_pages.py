@@ -149,3 +149,49 @@ def test_pages_that_cannot_be_read_have_null_features(spark):
     df = spark.createDataFrame([(1, 60, 60, bytearray(img.tobytes())), (2, 60, 60, None), (3, 60, 60, bytearray(b"x")), (4, None, 60, bytearray(b"x"))], "page long, h int, w int, data binary")
     got = {r.page: r for r in I.classified(df).collect()}
     assert got[1].type is not None and all(got[i].type is None and got[i].sharpness is None for i in (2, 3, 4))
+
+
+def test_resampled_lines_match_plain_loops(spark):
+    import random
+
+    from quirelake.operators import pages as G
+
+    rng = random.Random(5)
+    px = [(p, y, x, rng.randrange(256)) for p in (1, 2, None) for y in range(11) for x in range(11) if p == 2 or (y != 4 and (y < 8 or x % 3))] + [(2, 3, 3, 7)]
+    taps = [(k, i, min(max(i // 2 + d, 0), 10), w) for k, ws in (("near", {0: 1.0}), ("soft", {-1: 0.25, 0: 0.5, 1: 0.25})) for i in range(22) for d, w in ws.items()]
+    want = {}
+    for p, y, x, g in px:
+        for k, i, src, w in taps if p else []:
+            for k2, j, src2, w2 in taps:
+                if k == k2 and src == y and src2 == x:
+                    want[p, k, i, j] = want.get((p, k, i, j), 0) + w * w2 * g
+    want = {at: min(max(round(v), 0), 255) for at, v in want.items()}
+    rows = G.lines(spark.createDataFrame(px, "page long, y int, x int, gray int").repartition(3), "gray")
+    table = spark.createDataFrame(taps, "kind string, i int, src int, w double")
+    for size in (2, 5, 64):
+        got = {(r.page, r.kind, r.y, x): g for r in G.resampled(rows, table, size).collect() for x, g in enumerate(r.grays) if g is not None}
+        assert got == want
+    assert G.resampled(rows.limit(0), table).count() == 0
+
+
+def test_pages_of_vectors_meet_in_one_exchange(spark):
+    from quirelake.plans import catalog
+
+    for name, most in (("mosaic_resize", 1), ("mosaic_pad", 1)):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= most, plan
+
+
+def test_odd_vectors_of_pages(spark, tmp_path):
+    from quirelake.plans import fixtures
+
+    e = [0.25] * 64
+    rows = [(0, e), (0, [-0.5] * 64), (1, e[:10]), (2, [0.0] * 70), (17, []), (18, None), (None, e), (-1, [None] + e[1:])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {}
+    for r in fixtures._gray_lines(spark, str(tmp_path)).collect():
+        for x, g in zip(r.xs, r.grays):
+            got.setdefault((r.page, r.y, x), []).append(g)
+    assert {p for p, _, _ in got} == {0, -1} and len(got) == 2 * 1024
+    assert sorted(got[0, 0, 0]) == [0, 192] and got[0, 0, 8] == [192] and got[0, 1, 10] == [255] and got[0, 0, 16] == [128] and got[0, 8, 21] == [128] and got[0, 8, 22] == [255]
+    assert got[-1, 24, 24] == [0] and got[-1, 24, 25] == [192]
