@@ -1,12 +1,12 @@
 """Scanned books as a data source of Spark, `scanned_books`: a folder of PDF files that is written in two phases and read by ranges of pages.
 
 Writing. Pages (book, page, width_pt, height_pt, kind, w, h, data, and if there are any spans, layers and what else pdf.Writer.page() takes) are dealt out by book and volume of VOLUME pages, so that a book of any length is several files
-on several tasks, and sorted; a task holds one page at a time. Each attempt writes into a folder of its own, with an index of its files as Parquet, and reports these in its commit message. Only the driver's manifest of an epoch makes them
+on several tasks, and sorted; a task holds one page at a time. Of pages that stand by book and in order already only later volumes are dealt out, so that the pages themselves aren't shuffled. Each attempt writes into a folder of its own, with an index of its files as Parquet, and reports these in its commit message. Only the driver's manifest of an epoch makes them
 visible: it is written last and under a temporary name first. A failed attempt removes its folder, an aborted epoch those of all its messages; what a lost executor leaves is never seen. An epoch of a stream that is committed again keeps its
 first manifest.
 
 Shelves. With the option shelve, volumes of up to so many bytes don't become files of their own (a file and a font each for a few small pages takes far more disk than the pages): they stand one behind another in a shelf, a file of a task,
-compressed in runs of RUN bytes or a bit more, so at most a run and a volume of such a size are in memory. The index says where a volume's run is and where it stands in it; each is a whole PDF. Larger volumes are files as ever.
+compressed in runs of RUN bytes or a bit more, so at most a run and a volume of such a size are in memory; what small files share (syntax, fonts) is found again over a run of some hundred books. The index says where a volume's run is and where it stands in it; each is a whole PDF. Larger volumes are files as ever.
 
 Reading. The driver reads the manifests, a row for each task that wrote, with the range of its books and pages; splits are runs of PAGES pages of an index, whatever the files' sizes. Filters on book and page are pushed down to manifests,
 indexes and pages, and a reading schema of fewer columns leaves images or texts unread: of a file its end, its two lists and the objects of the asked pages are read, each by its byte range. Column read_bytes counts them. Of a shelf the runs with asked pages are read, each counted at its first one. A split reads those row groups of the index that it needs.
@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .pdf import Writer
+from .shared import cleaned
 
-VOLUME, PAGES, TAIL, RUN, GROUP = 1000, 2000, 2048, 1 << 18, 1000
+VOLUME, PAGES, TAIL, RUN, LEVEL, GROUP = 1000, 2000, 2048, 1 << 21, 7, 1000
 SCHEMA = """book bigint, page int, width_pt double, height_pt double, images array<struct<xref:int,w:int,h:int,bits:int,filter:string,mask:boolean,flipped:boolean,fill:string,size:bigint,data:binary>>,
 spans array<struct<x:double,y:double,size:double,text:string>>, read_bytes bigint"""
 _IMAGE = pa.struct([("xref", pa.int32()), ("w", pa.int32()), ("h", pa.int32()), ("bits", pa.int32()), ("filter", pa.string()), ("mask", pa.bool_()), ("flipped", pa.bool_()), ("fill", pa.string()), ("size", pa.int64()), ("data", pa.binary())])
@@ -134,7 +135,7 @@ class _Task:
         if not self.waiting:
             return
         self.shelf = self.shelf or self.stream("shelf")
-        at, data = self.shelf.tell(), pa.compress(bytes(self.run), "zstd", asbytes=True)
+        at, data = self.shelf.tell(), pa.Codec("zstd", compression_level=LEVEL).compress(bytes(self.run), asbytes=True)
         self.shelf.write(data)
         self.note([r | {"run": at, "run_size": len(data), "run_bytes": len(self.run)} for r in self.waiting])
         self.run, self.waiting = bytearray(), []
@@ -450,15 +451,18 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def dealt(pages: DataFrame) -> DataFrame:
-    """Pages as a writer takes them: by book and volume, in order."""
+def dealt(pages: DataFrame, by_book: bool = False) -> DataFrame:
+    """Pages as a writer takes them: by book and volume, in order. by_book: those of a book are in one partition and in order already, as a window leaves them; first volumes stay there."""
     volume = F.floor(F.greatest(F.coalesce("page", F.lit(1)) - 1, F.lit(0)) / VOLUME)
+    if by_book:
+        return pages.where(volume == 0).union(dealt(pages.where(volume > 0)))
     return pages.repartition("book", volume).sortWithinPartitions("book", volume, "page", F.xxhash64("data"))
 
 
-def write(pages: DataFrame, path: str, overwrite: bool = False, **options) -> None:
+def write(pages: DataFrame, path: str, overwrite: bool = False, by_book: bool = False, **options) -> None:
     register(pages.sparkSession)
-    dealt(pages).write.format("scanned_books").options(**options).mode("overwrite" if overwrite else "append").save(path)
+    with cleaned(pages.sparkSession):
+        dealt(pages, by_book).write.format("scanned_books").options(**options).mode("overwrite" if overwrite else "append").save(path)
 
 
 def read(spark: SparkSession, path: str, columns: str = SCHEMA, **options) -> DataFrame:

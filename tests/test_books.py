@@ -158,3 +158,37 @@ def test_queries_over_the_library_take_little_disk(spark, tmp_path, monkeypatch,
     every = [os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(tmp_path) for f in names]
     pages = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     assert len(every) < 40 and sum(every) < 250 * pages  # a file for each book: 2.5 KB a page, 3 KB with blocks
+
+
+def shuffled(spark):
+    """Bytes that the session's stages have shuffled."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_pages_of_page_geometry_are_not_shuffled(spark, tmp_path, monkeypatch):
+    from quirelake.plans import books as plans
+
+    monkeypatch.setattr(plans, "new_folder", lambda spark, tag: str(tmp_path / tag))
+    monkeypatch.setattr(plans, "_LIBRARIES", {}, raising=False)
+    before = shuffled(spark)
+    got = plans.page_geometry(spark, "/root/testdata/sf0.01")
+    pages, moved = got.count(), shuffled(spark) - before
+    kept = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(tmp_path) for f in names)
+    assert pages == 60_000 and moved < 60 * pages and kept < 75 * pages  # 115 and 97 with whole pages in an exchange and runs of 256 KB
+
+
+def test_volumes_of_pages_by_book(spark, tmp_path):
+    from pyspark.sql import Window as W
+
+    rows = spark.range(5000).select((F.col("id") % 2).alias("book"), "id").union(spark.range(40).select(F.col("id") + 10, "id"))
+    rows = rows.withColumn("page", F.row_number().over(W.partitionBy("book").orderBy("id")).cast("int"))
+    rows = rows.select("book", "page", F.lit(9.0).alias("width_pt"), F.lit(9.0).alias("height_pt"), F.lit("jpeg").alias("kind"), F.lit(1).alias("w"), F.lit(1).alias("h"), F.col("id").cast("string").cast("binary").alias("data"))
+    for name, options in (("files", {}), ("shelves", {"shelve": 1 << 16})):
+        books.write(rows, str(tmp_path / name), by_book=True, **options)
+        got = books.read(spark, str(tmp_path / name), "book bigint, page int, images array<struct<data:binary>>").collect()
+        assert sorted((r.book, r.page, bytes(r.images[0].data)) for r in got) == sorted((b, i + 1, b"%d" % (2 * i + b)) for b in (0, 1) for i in range(2500)) + [(b, 1, b"%d" % (b - 10)) for b in range(10, 50)]
+    long = [f.split("/")[-1] for f in files(tmp_path / "files") if "book1_" in f]
+    assert sorted(long) == ["book1_enhanced.pdf", "book1_p1001-2000_enhanced.pdf", "book1_p2001-3000_enhanced.pdf"]
