@@ -198,6 +198,13 @@ def remove(root: str, part: Part) -> None:
             fs.delete_dir(full) if kind == pafs.FileType.Directory else fs.delete_file(full)
 
 
+def delete(root: str) -> None:
+    """Takes away a folder of books."""
+    fs, base = _system(root)
+    if fs.get_file_info(base).type == pafs.FileType.Directory:
+        fs.delete_dir(base)
+
+
 def manifests(root: str) -> list[str]:
     fs, base = _system(root)
     found = fs.get_file_info(pafs.FileSelector(posixpath.join(base, "_manifest"), allow_not_found=True))

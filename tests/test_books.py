@@ -192,3 +192,32 @@ def test_volumes_of_pages_by_book(spark, tmp_path):
         assert sorted((r.book, r.page, bytes(r.images[0].data)) for r in got) == sorted((b, i + 1, b"%d" % (2 * i + b)) for b in (0, 1) for i in range(2500)) + [(b, 1, b"%d" % (b - 10)) for b in range(10, 50)]
     long = [f.split("/")[-1] for f in files(tmp_path / "files") if "book1_" in f]
     assert sorted(long) == ["book1_enhanced.pdf", "book1_p1001-2000_enhanced.pdf", "book1_p2001-3000_enhanced.pdf"]
+
+
+def test_page_source_range_shares_the_library_of_its_session(spark, tmp_path, monkeypatch):
+    import shutil
+
+    from quirelake.plans import books as plans
+
+    made = []
+    monkeypatch.setattr(plans, "new_folder", lambda spark, tag: made.append(str(tmp_path / f"{tag}{len(made)}")) or made[-1])
+    monkeypatch.setattr(plans, "_LIBRARIES", {}, raising=False)
+    data = tmp_path / "data"
+    data.mkdir()
+    shutil.copy("/root/testdata/sf0.001/lineitem.parquet", data)
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    first = [f(spark, str(data)) for f in (plans.image_listing, plans.page_geometry, plans.page_source_range)]
+    assert [d.count() for d in first[:2]] == 2 * [rows.count()] and len(made) == 1
+    found = sorted(map(tuple, first[2].collect()))
+    assert found and min(r[0] for r in found) > 10 and found == sorted(map(tuple, plans.page_source_range(spark, str(data)).collect())) and len(made) == 1
+    # Another state of the table is another library; what was asked for before still reads its own.
+    rows.where("l_orderkey < 100").coalesce(1).write.parquet(str(tmp_path / "less"))
+    os.remove(data / "lineitem.parquet")
+    (tmp_path / "less").rename(data / "lineitem.parquet")
+    assert plans.page_geometry(spark, str(data)).count() == rows.where("l_orderkey < 100").count() and len(made) == 2
+    assert first[1].count() == rows.count()
+    # So is a folder that somebody has deleted; libraries of other applications go.
+    books.delete(made[1])
+    assert plans.page_geometry(spark, str(data)).count() == rows.where("l_orderkey < 100").count() and len(made) == 3
+    plans._forget("another")
+    assert not any(map(os.path.exists, made)) and not plans._LIBRARIES
