@@ -1,11 +1,12 @@
 """Collocations: phrases of 2 to 5 words that occur far more often than their parts would together, by language.
 
-Texts are lower-cased (A-Z), split at punctuation and line ends into pieces and these into words at spaces and tabs. Equal pieces of a language become one row with its multiplicity, by partial sums before the exchange, and a table.
+Texts are lower-cased (A-Z), split at punctuation and line ends into pieces and these into words at spaces and tabs, by NumPy on a batch's bytes; Arrow gives equal words one code, so that hashes are taken of distinct words alone.
 
-Phrases are counted length by length, weighted by multiplicities. A phrase of k words can only reach the least frequency if both phrases of k - 1 words within it do, so a bitmap of those that did (64 MB at most; it takes in a few others, never misses one)
-decides which phrases of k words leave a task at all; from three words on, pieces are cut down to their runs of known pairs first. Pieces go through Arrow in blocks of at most BLOCK words with an overlap, so a piece of any length is never whole as words, and a block's equal phrases leave it once: a hot phrase
-comes to its counter as one row a block. The counts are shuffled by hash of language and phrase into buckets; in each task duckdb sums them out of core: under a fixed memory limit, with its spill in a folder of the executor's own
-scratch space that goes with the task (a lost executor costs its buckets, which are counted again from the shuffle).
+Phrases are counted in two rounds, first those of one and two words, then longer ones, and each round twice. First by 64-bit hash: a task sums the hashes of up to KEYS phrases before they leave it, as an array for each bucket of hashes, so that a hot phrase
+comes to its counter once for all of them and Spark moves arrays, not rows; then they are summed over the corpus. A phrase is no more frequent than its hash, so a bitmap of the hashes that reach the least frequency (64 MB at most; it takes in a few others, never misses one)
+has all phrases that can. Only these are written out as words and summed exactly, by language and phrase, whatever hashes they share. Both sums spill as other aggregations of Spark do.
+
+The second round reads runs: the longest parts of pieces whose neighbouring words are all pairs of the bitmap, at least three words, equal ones summed. Each frequent phrase of three words or more lies within them. Phrases go through a task in blocks of at most BLOCK words with an overlap.
 
 A candidate cut after k words asks for the counts of its two parts. Requests travel by hash of language and part to where its count is, meet it in a join whose hot parts adaptive execution splits, and the answers come back by candidate. A part of a candidate is
 as frequent as the candidate, so each request finds its count. Scores are floor(scale * a * n / (l * r)) in decimals of 38 digits. A candidate goes if a longer one that holds its words is as frequent (`share` per cent of it); the longer ones
@@ -17,9 +18,6 @@ bytes. Counts up to 10^13 keep the arithmetic exact. An empty table gives an emp
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,24 +29,65 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bitmap, drop, written
-from .lines import lowered
 
 LONGEST, LEAST, SCALE, SHARE, TOP = 5, 100, 1000, 100, 2000
-#: Words that a task turns into phrases at once, and memory of duckdb in a task.
-BLOCK, MEMORY = 1 << 19, "256MB"
+#: Words that a task turns into phrases at once, and hashes that it sums before they leave it.
+BLOCK, KEYS = 1 << 19, 1 << 21
+#: Buckets of hashes, which shuffle partitions share: many, so that these come out even.
+BUCKETS = 1 << 12
 #: Shares of a language's candidates that are ranked apart before what is left of them is ranked together.
 SHARES = 64
-BREAK = "[.,;:!?\\x0A-\\x0D]"
+#: What bytes are: 0 of a word, 1 between words, 2 between pieces. All bytes of other characters than these are of words.
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(b" \t")], _KIND[list(b".,;:!?\n\x0b\x0c\r")] = 1, 2
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[ord("A") : ord("Z") + 1] += 32
+_SPACE = pa.scalar(" ", pa.large_string())
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 COUNTS = "lang string, phrase string, f long, key long"
+#: Number of words that stands for runs.
+RUN = -1
+
+
+class Words:
+    """The lower-cased words of texts in order: their distinct words, the code of each word among them, its text, and its piece by rising numbers."""
+
+    def __init__(self, langs: pa.Array, texts: pa.Array) -> None:
+        self.langs, texts = langs, texts.cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        kind, starts = _KIND[data], ends[:-1] - ends[0]
+        inner = kind == 0
+        edge = np.flatnonzero(np.diff(inner, prepend=False, append=False))
+        # Words that meet where one text ends and the next begins.
+        meet = np.unique(starts[(starts > 0) & (starts < len(data))])
+        meet = meet[inner[meet] & inner[meet - 1]]
+        if len(meet):
+            edge = np.sort(np.concatenate([edge, meet, meet]))
+        first, last = edge[::2].copy(), edge[1::2]
+        offsets = np.zeros(len(first) + 1, np.int64)
+        np.cumsum(last - first, out=offsets[1:])
+        flat = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(_LOW[data[inner]])).dictionary_encode()
+        self.distinct, self.codes = flat.dictionary, flat.indices.to_numpy()
+        self.of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(np.searchsorted(first, np.append(starts, len(data)))))
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[first] + self.of.astype(np.int64)
+        self.hashes = word_hashes(self.distinct)
+        self.at_lang = word_hashes(langs)
+
+
+def words_in(langs: pa.Array, texts: pa.Array, *more: np.ndarray) -> Iterator[tuple]:
+    """Words of some megabytes of texts at a time, and their part of more."""
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(size // (8 * BLOCK))) + 1):
+        if len(rows):
+            a, n = int(rows[0]), len(rows)
+            yield Words(langs.slice(a, n), texts.slice(a, n)), *(x[a : a + n] for x in more)
 
 
-def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, piece, m: distinct pieces that hold a word, and how often they occur."""
-    text = lowered(F.col(f"`{text_col}`").cast("string"))
-    rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(text, BREAK)).alias("piece"))
-    rows = rows.select("lang", F.btrim("piece", F.lit(" \t")).alias("piece")).where("piece <> ''")
-    return rows.groupBy("lang", "piece").agg(F.count("*").alias("m"))
+def texts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """lang, piece, m: the texts as they are, each once."""
+    col = lambda name, null: F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(null))
+    return docs.select(col(lang_col, "und").alias("lang"), col(text_col, "").alias("piece"), F.lit(1).cast("long").alias("m"))
 
 
 def mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -72,113 +111,164 @@ def phrase_keys(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
     return out.view(np.int64)
 
 
-def phrases_of(langs: pa.Array, texts: pa.Array, m: np.ndarray, k: int, known, block: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """lang, phrase, m of phrases of k words, summed within blocks of words. known is the Bitmap of the phrases of k - 1 words that may be part of one, None for k = 1."""
-    words = pc.split_pattern_regex(texts, "[ \t]+")
-    ends = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False)).astype(np.int64)
-    flat, of = words.flatten(), np.repeat(np.arange(len(texts)), np.diff(np.concatenate([[0], ends])))
-    at_lang = word_hashes(langs)
-    for at in range(0, len(flat), block):
-        part = flat.slice(at, block + k - 1).dictionary_encode()
-        codes, piece = part.indices.to_numpy(), of[at : at + block + k - 1]
+def _grouped(keys: np.ndarray, m: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the keys, where each distinct one begins in it, and the sums of m (None: ones)."""
+    order = np.argsort(keys)
+    x = keys[order]
+    at = np.flatnonzero(np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]]))
+    return order, at, np.diff(np.append(at, len(x))) if m is None else np.add.reduceat(m[order], at)
+
+
+def phrases_in(words: Words, m: np.ndarray, k: int, known, wanted, block: int) -> Iterator[pa.RecordBatch]:
+    langs, n_words = words.langs.dictionary_encode(), max(len(words.distinct), 1)
+    lang = langs.indices.to_numpy()
+    for at in range(0, len(words.codes), block):
+        codes, piece, of = (x[at : at + block + k - 1] for x in (words.codes, words.piece, words.of))
         n = len(codes) - k + 1
         if n <= 0:
             continue
         start = np.flatnonzero(piece[:n] == piece[k - 1 :])
-        if known is not None and len(start):
-            hashes = word_hashes(part.dictionary)[codes]
-            h = at_lang[piece[: len(codes) - k + 2]]
+        if (known is not None or wanted is not None) and len(start):
+            hashes, h = words.hashes[codes], words.at_lang[of]
             for j in range(k - 1):
-                h = mixed(h, hashes[j : len(codes) - k + 2 + j])
-            ok = known.has(h)
-            start = start[ok[start] & ok[start + 1]]
+                h = mixed(h[: n + k - 1 - j], hashes[j:])
+            h = h[: n + 1]
+            if known is not None:
+                ok = known.has(h)
+                start = start[ok[start] & ok[start + 1]]
+            if wanted is not None:
+                start = start[wanted.has(mixed(h[start], hashes[start + k - 1]))]
         if not len(start):
             continue
-        names = [part.dictionary.take(pa.array(codes[start + j])) for j in range(k)]
-        phrase = pc.binary_join_element_wise(*names, " ") if k > 1 else names[0]
-        table = pa.table({"lang": langs.take(pa.array(piece[start])), "phrase": phrase, "m": m[piece[start]]})
-        yield from table.group_by(["lang", "phrase"], use_threads=False).aggregate([("m", "sum")]).rename_columns(["lang", "phrase", "m"]).combine_chunks().to_batches()
+        # Language and words in one number; where that would pass 63 bits, by rank of what it holds so far.
+        group, top = lang[of[start]].astype(np.int64), len(langs.dictionary)
+        for j in range(k):
+            if top * n_words >= 1 << 63:
+                group = np.unique(group, return_inverse=True)[1]
+                top = len(start)
+            group, top = group * n_words + codes[start + j], top * n_words
+        order, begins, sums = _grouped(group, m[of[start]])
+        one = start[order[begins]]
+        names = [words.distinct.take(pa.array(codes[one + j])) for j in range(k)]
+        phrase = pc.binary_join_element_wise(*names, _SPACE) if k > 1 else names[0]
+        yield pa.RecordBatch.from_arrays([words.langs.take(pa.array(of[one])), phrase.cast(pa.string()), pa.array(sums)], names=["lang", "phrase", "m"])
+
+
+def phrases_of(langs: pa.Array, texts: pa.Array, m: np.ndarray, k: int, known, block: int = BLOCK, wanted=None) -> Iterator[pa.RecordBatch]:
+    """lang, phrase, m of phrases of k words, summed within blocks of words. known is a Bitmap of the phrases of k - 1 words that may be part of one, wanted one of those of k words, None for all."""
+    for words, some in words_in(langs, texts, m):
+        yield from phrases_in(words, some, k, known, wanted, block)
+
+
+def runs_in(words: Words, m: np.ndarray, known) -> Iterator[pa.RecordBatch]:
+    h, of = words.hashes[words.codes], words.of
+    pair = np.zeros(len(of) + 1, bool)  # whether a word and the next are known; none before the first
+    pair[1:-1] = (words.piece[:-1] == words.piece[1:]) & known.has(mixed(mixed(words.at_lang[of[:-1]], h[:-1]), h[1:]))
+    first, last = np.flatnonzero(pair[1:] & ~pair[:-1]), np.flatnonzero(pair[:-1] & ~pair[1:])
+    first, last = first[last - first > 1], last[last - first > 1]
+    if not len(first):
+        return
+    ends = np.cumsum(last - first + 1)
+    at = np.repeat(first - np.concatenate([[0], ends[:-1]]), last - first + 1) + np.arange(ends[-1])
+    lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends])), words.distinct.take(pa.array(words.codes[at])))
+    table = pa.table({"lang": words.langs.take(pa.array(of[first])), "piece": pc.binary_join(lists, _SPACE).cast(pa.string()), "m": m[of[first]]})
+    yield from table.group_by(["lang", "piece"], use_threads=False).aggregate([("m", "sum")]).rename_columns(["lang", "piece", "m"]).combine_chunks().to_batches()
 
 
 def runs_of(langs: pa.Array, texts: pa.Array, m: np.ndarray, known) -> Iterator[pa.RecordBatch]:
     """lang, piece, m: of each piece the longest runs of three words or more whose neighbouring words are all known pairs, equal ones summed. Longer frequent phrases lie within them."""
-    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-    for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(size // (8 * BLOCK))) + 1):
-        a, n = int(rows[0]), len(rows)
-        words = pc.split_pattern_regex(texts.slice(a, n), "[ \t]+")
-        of = np.repeat(np.arange(a, a + n), pc.list_value_length(words).to_numpy(zero_copy_only=False))
-        flat = words.flatten().dictionary_encode()
-        h = word_hashes(flat.dictionary)[flat.indices.to_numpy()]
-        pair = np.zeros(len(of) + 1, bool)  # whether a word and the next are known; none before the first
-        pair[1:-1] = (of[:-1] == of[1:]) & known.has(mixed(mixed(word_hashes(langs)[of[:-1]], h[:-1]), h[1:]))
-        first, last = np.flatnonzero(pair[1:] & ~pair[:-1]), np.flatnonzero(pair[:-1] & ~pair[1:])
-        first, last = first[last - first > 1], last[last - first > 1]
-        if not len(first):
-            continue
-        ends = np.cumsum(last - first + 1)
-        at = np.repeat(first - np.concatenate([[0], ends[:-1]]), last - first + 1) + np.arange(ends[-1])
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), flat.dictionary.take(flat.indices.take(pa.array(at))))
-        table = pa.table({"lang": langs.take(pa.array(of[first])), "piece": pc.binary_join(lists, " "), "m": m[of[first]]})
-        yield from table.group_by(["lang", "piece"], use_threads=False).aggregate([("m", "sum")]).rename_columns(["lang", "piece", "m"]).combine_chunks().to_batches()
-
-
-def _runs(known):
+    for words, some in words_in(langs, texts, m):
+        yield from runs_in(words, some, known)
+
+
+def hashes_of(langs: pa.Array, texts: pa.Array, m: np.ndarray, sizes: range) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Hashes of the phrases of so many words, one for each occurrence in a text, and m of its text, None for ones."""
+    for words, some in words_in(langs, texts, m):
+        once = bool((some == 1).all())
+        for at in range(0, len(words.codes), BLOCK):
+            piece, of = (x[at : at + BLOCK + sizes[-1] - 1] for x in (words.piece, words.of))
+            w, h = words.hashes[words.codes[at : at + len(of)]], words.at_lang[of]
+            for k in range(1, min(sizes[-1], len(of)) + 1):
+                h = mixed(h[: len(w) - k + 1], w[k - 1 :])
+                if k in sizes:
+                    n = min(len(h), BLOCK)
+                    whole = piece[:n] == piece[k - 1 : k - 1 + n]
+                    yield h[:n][whole], None if once else some[of[:n][whole]]
+
+
+def packed(keys: list[np.ndarray], m: list[np.ndarray | None]) -> Iterator[pa.RecordBatch]:
+    """bucket, keys, sums: the distinct keys of each bucket and the sums of their m."""
+    x = np.concatenate(keys)
+    if all(each is None for each in m):
+        x.sort()
+        at = np.flatnonzero(np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]]))
+        x, sums = x[at], np.diff(np.append(at, len(x)))
+    else:
+        order, at, sums = _grouped(x, np.concatenate([np.ones(len(k), np.int64) if each is None else each for k, each in zip(keys, m)]))
+        x = x[order[at]]
+    bucket = ((x >> np.uint64(32)) * np.uint64(BUCKETS) >> np.uint64(32)).astype(np.int32)
+    at = np.flatnonzero(np.diff(bucket, prepend=np.int32(-1)))
+    lists = [pa.ListArray.from_arrays(pa.array(np.append(at, len(x)), pa.int32()), pa.array(v)) for v in (x.view(np.int64), sums.astype(np.int64))]
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), *lists], names=["bucket", "keys", "sums"])
+
+
+def _hash(sizes: range):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, m, n = [], [], 0
         for b in batches:
-            yield from runs_of(b.column(0), b.column(1), b.column(2).to_numpy(), known.value)
+            for x, each in hashes_of(b.column(0), b.column(1), b.column(2).to_numpy(), sizes):
+                keys.append(x)
+                m.append(each)
+                n += len(x)
+                if n >= KEYS:
+                    yield from packed(keys, m)
+                    keys, m, n = [], [], 0
+        if n:
+            yield from packed(keys, m)
 
     return run
 
 
-def _emit(k: int, known):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield from phrases_of(b.column(0), b.column(1), b.column(2).to_numpy(), k, known and known.value)
-
-    return run
-
+def _spell(sizes: range, held):
+    """lang, words, phrase, m: phrases of so many words that a bitmap holds; with words 0 the number of words of a language, with words RUN runs for longer phrases, both in the first round alone. held has the Bitmap of each number of words."""
 
-def _count(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import duckdb
-
-        own = tempfile.mkdtemp(prefix="phrases-")
-        try:
-            con = duckdb.connect(os.path.join(own, "counts.db"), config={"memory_limit": MEMORY, "threads": 1, "temp_directory": os.path.join(own, "spill"), "preserve_insertion_order": False})
-            con.execute("CREATE TABLE part (lang VARCHAR, phrase VARCHAR, m BIGINT)")
-            for batch in batches:
-                con.register("rows", pa.Table.from_batches([batch]))
-                con.execute("INSERT INTO part SELECT lang, phrase, m FROM rows")
-                con.unregister("rows")
-            found = con.sql(f"SELECT lang, phrase, sum(m)::BIGINT AS f FROM part GROUP BY lang, phrase HAVING sum(m) >= {least}")
-            for batch in found.to_arrow_reader(1 << 16):
-                lang, phrase = batch.column(0).cast(pa.string()), batch.column(1).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([lang, phrase, batch.column(2), pa.array(phrase_keys(lang, phrase))], names=["lang", "phrase", "f", "key"])
-            con.close()
-        finally:
-            shutil.rmtree(own, ignore_errors=True)
+        def named(rows: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+            for r in rows:
+                yield pa.RecordBatch.from_arrays([r.column(0), pa.array(np.full(len(r), k, np.int32)), r.column(1), r.column(2)], names=["lang", "words", "phrase", "m"])
+
+        for b in batches:
+            for words, m in words_in(b.column(0), b.column(1), b.column(2).to_numpy()):
+                for k in sizes:
+                    yield from named(phrases_in(words, m, k, held[k - 1].value if k - 1 in held else None, held[k].value, BLOCK), k)
+                if 1 in sizes:
+                    yield from named(runs_in(words, m, held[2].value), RUN)
+                    n = pa.table({"lang": words.langs, "n": m * np.bincount(words.of, minlength=len(m))}).group_by("lang", use_threads=False).aggregate([("n", "sum")]).filter(pc.field("n_sum") > 0)
+                    yield from named(n.select(["lang"]).append_column("phrase", pa.array([""] * len(n), pa.string())).append_column("m", n["n_sum"]).combine_chunks().to_batches(), 0)
 
     return run
 
 
-def counts(parts: DataFrame, k: int, known, least: int) -> DataFrame:
-    """lang, phrase, f, key of the phrases of k words that occur so often."""
-    emitted = parts.mapInArrow(_emit(k, known), "lang string, phrase string, m long")
-    return emitted.repartition("lang", "phrase").mapInArrow(_count(least), COUNTS)
+def counts(parts: DataFrame, sizes: range, held: dict, least: int) -> DataFrame:
+    """lang, words, phrase, f of the phrases in parts (lang, piece, m) of so many words that occur so often; in the first round, of one and two words, the sums of runs and of all words of a language, too. Adds the bitmaps of these numbers of words to held."""
+    rows = parts.mapInArrow(_hash(sizes), "bucket int, keys array<long>, sums array<long>").repartition("bucket")
+    keys = rows.select("bucket", F.inline(F.arrays_zip("keys", "sums"))).toDF("bucket", "key", "m")
+    often = written(keys.groupBy("bucket", "key").agg(F.sum("m").alias("f")).where(F.col("f") >= least).select("key"), "keys")
+    held |= dict.fromkeys(sizes, bitmap(often, "key"))
+    drop(often)
+    found = parts.mapInArrow(_spell(sizes, held), "lang string, words int, phrase string, m long").groupBy("lang", "words", "phrase").agg(F.sum("m").alias("f"))
+    return written(found.where((F.col("words") <= 0) | (F.col("f") >= least)), "phrases", "words")
 
 
 def frequent_phrases(parts: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[list[DataFrame], DataFrame]:
     """Tables of the phrases of 1, 2, ... words that occur so often, and n, the words of each language."""
-    words = written(counts(parts, 1, None, 1), "words")
-    n = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    tables = [words.where(F.col("f") >= least)]
-    for k in range(2, longest + 1):
-        known = bitmap(tables[-1], "key")
-        if k == 3:
-            parts = written(parts.mapInArrow(_runs(known), "lang string, piece string, m long"), "runs")
-        tables.append(written(counts(parts, k, known, least), f"phrases{k}"))
-        known.unpersist()
-    return tables, n
+    held: dict = {}
+    short = counts(parts, range(1, 3), held, least)
+    of = lambda t, k: t.where(F.col("words") == k).select("lang", "phrase", "f")
+    long = counts(of(short, RUN).toDF("lang", "piece", "m"), range(3, longest + 1), held, least)
+    for b in set(held.values()):
+        b.unpersist()
+    return [of(short if k < 3 else long, k) for k in range(1, longest + 1)], of(short, 0).select("lang", F.col("f").alias("n"))
 
 
 def scored(tables: list[DataFrame], n: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -219,9 +309,7 @@ def held_by_longer(tables: list[DataFrame]) -> DataFrame:
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, scale: int = SCALE, share: int = SHARE, top: int = TOP, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best phrases of each language. longest is 3 at least."""
-    parts = written(pieces(docs, text_col, lang_col), "pieces")
-    tables, n = frequent_phrases(parts, longest, least)
-    drop(parts)
+    tables, n = frequent_phrases(texts(docs, text_col, lang_col), longest, least)
     rows = scored(tables, n, scale).join(held_by_longer(tables), ["lang", "phrase"], "left")
     rows = rows.where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from quirelake.llm import phrases
+from quirelake.llm.common import Bitmap
 
 
 def low(t):
@@ -130,3 +131,49 @@ def test_arithmetic_beyond_64_bits(spark):
     tables = [t([("en", "a", big), ("en", "b", big - 1)]), t([("en", "a b", big - 7)])]
     row = phrases.scored(tables, spark.createDataFrame([("en", 9 * 10**12)], "lang string, n long")).first()
     assert row.score == 1000 * (big - 7) * (9 * 10**12) // (big * (big - 1)) and (row.l, row.r) == (big, big - 1)
+
+
+def test_hashes_leave_a_task_as_sums_by_bucket(monkeypatch):
+    rng = random.Random(3)
+    texts = [", ".join(" ".join(f"W{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(1, 30))) for _ in range(20)) for _ in range(300)]
+    langs, m = [rng.choice(["en", "fr"]) for _ in texts], [1] * 150 + [rng.randint(1, 9) for _ in range(150)]
+    want = Counter()
+    for text, lang, x in zip(texts, langs, m):
+        for piece in low(text).split(","):
+            words = piece.split()
+            for k in (1, 2, 3):
+                want.update({(lang, " ".join(words[i : i + k])): 0 for i in range(len(words) - k + 1)})
+                for i in range(len(words) - k + 1):
+                    want[lang, " ".join(words[i : i + k])] += x
+    keys = phrases.phrase_keys(pa.array([g[0] for g in want]), pa.array([g[1] for g in want])).tolist()
+    batch = pa.RecordBatch.from_arrays([pa.array(langs), pa.array(texts), pa.array(m)], names=["lang", "piece", "m"])
+    monkeypatch.setattr(phrases, "BUCKETS", 64)
+    for block, most in ((1 << 19, 1 << 21), (7, 1 << 21), (1 << 19, 20000)):
+        monkeypatch.setattr(phrases, "BLOCK", block)
+        monkeypatch.setattr(phrases, "KEYS", most)
+        found = list(phrases._hash(range(1, 4))([batch.slice(0, 150), batch.slice(150)]))
+        got, bucket_of = Counter(), {}
+        for rows in found:
+            assert len(rows) <= 64 < sum(map(len, rows.column("keys").to_pylist())) / 8
+            for r in rows.to_pylist():
+                for key, x in zip(r["keys"], r["sums"], strict=True):
+                    got[key] += x
+                    assert bucket_of.setdefault(key, r["bucket"]) == r["bucket"]
+        assert got == Counter(dict(zip(keys, want.values()))) and len(got) == len(want)
+
+
+def test_words_meet_breaks_and_ends_of_texts():
+    texts = ["Ab", "cD  e\tf", "", "x.Y z", ". ,", "\u00c9a\x85b!\rq", "q", " \t"]
+    langs, held = pa.array(["en"] * len(texts)), Bitmap(np.full(1, -1).view(np.uint64))
+    rows = lambda k, wanted=None: Counter({r["phrase"]: r["m"] for b in phrases.phrases_of(langs, pa.array(texts), np.ones(len(texts), np.int64), k, None, wanted=wanted) for r in b.to_pylist()})
+    assert rows(1) == rows(1, held) == Counter(["ab", "cd", "e", "f", "x", "y", "z", "\u00c9a\x85b", "q", "q"])
+    assert rows(2) == rows(2, held) == Counter(["cd e", "e f", "y z"]) and rows(3) == Counter(["cd e f"])
+    assert not rows(1, Bitmap(np.zeros(1, np.uint64)))
+
+
+def test_counts_are_exact_whatever_the_bitmaps_take_in(spark, monkeypatch):
+    rows = corpus()
+    full = lambda *_: spark.sparkContext.broadcast(Bitmap(np.full(1, -1).view(np.uint64)))
+    monkeypatch.setattr(phrases, "bitmap", full)
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    assert sorted(map(tuple, phrases.collocations(df, 4, 20).collect())) == brute(rows, 4, 20, 1000, 100, 2000)
