@@ -221,3 +221,49 @@ def test_page_source_range_shares_the_library_of_its_session(spark, tmp_path, mo
     assert plans.page_geometry(spark, str(data)).count() == rows.where("l_orderkey < 100").count() and len(made) == 3
     plans._forget("another")
     assert not any(map(os.path.exists, made)) and not plans._LIBRARIES
+
+
+def shelf(folder, rows, monkeypatch=None, **constants):
+    """A reader's factory over a shelf of the given pages, which one task has written."""
+    import pyarrow as pa
+
+    for name, value in constants.items():
+        monkeypatch.setattr(books, name, value)
+    names = ["book", "page", "width_pt", "height_pt", "kind", "w", "h", "data", "spans"]
+    span = pa.list_(pa.struct([(c, pa.float64()) for c in ("x0", "y0", "x1", "y1")] + [("text", pa.string())]))
+    types = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), span]
+    columns = [[None if v is None else bytes(v) if n == "data" else [dict(zip(("x0", "y0", "x1", "y1", "text"), s)) for s in v] if n == "spans" else v for v in values] for n, values in zip(names, zip(*rows))]
+    table = pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+    w = books._BatchWriter(str(folder), False, 1 << 16)
+    w.commit([w.write(iter(table.to_batches(max_chunksize=70)))])
+    return lambda columns=books.SCHEMA, **options: books.ScannedBooks({"path": str(folder), **options}).reader(books.StructType.fromDDL(columns))
+
+
+def pages_of(reader):
+    return [r for s in reader.partitions() for b in reader.read(s) for r in b.to_pylist()]
+
+
+ODD = [page(b, n, 30 * n, [(0, 9, 1, 30 + n, f"页 {n} 𝔘"), (5, 1, 2, 2, "")][: n % 3]) for b in range(1, 90) for n in range(1, 2 + b % 6)] + [page(None, None, 5), page(None, 1, 6), page(95, 1, 90_000), page(95, 2, 9), page(96, 1, 0)]
+
+
+def test_image_listing_takes_few_splits_and_one_font_a_run(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    read = shelf(tmp_path / "b", [page(b, n, 30, [(0, 0, 1, 9, "words")]) for b in range(2500) for n in (1, 2)])
+    index = pq.read_table(str(tmp_path / "b" / "_index")).to_pydict()
+    assert sum(dict(zip(index["run"], index["run_bytes"])).values()) < 1200 * 5000  # 5.7 KB a page when each book had its own font
+    reader = read("book bigint, page int, images array<struct<w:int,h:int,bits:int,filter:string,size:bigint>>, read_bytes bigint")
+    assert len(reader.partitions()) == 1 and len(pages_of(read(pages_per_split=100))) == 5000  # 3 splits of 2000
+    # Pages of one image are read together, not book by book.
+    monkeypatch.setattr(books, "Pdf", None)
+    got = pages_of(reader)
+    assert [(r["book"], r["page"]) for r in got] == [(b, n) for b in range(2500) for n in (1, 2)] and {tuple(r["images"][0].values()) for r in got} == {(10, 20, 8, "DCTDecode", 32)}
+    assert sum(r["read_bytes"] for r in got) == sum(dict(zip(index["run"], index["run_size"])).values())
+
+
+def test_pages_made_together_are_those_made_one_by_one(spark, tmp_path, monkeypatch):
+    shelf(tmp_path / "a", ODD)
+    shelf(tmp_path / "b", ODD, monkeypatch, BULK=0)
+    for name in ("shelf", "book95_enhanced.pdf"):
+        a, b = ([(d / name).read_bytes() for d in (tmp_path / x / "data").iterdir()] for x in "ab")
+        assert a == b and len(a) == 1 and a[0]
