@@ -287,3 +287,15 @@ def test_page_source_range_reads_together_what_it_read_one_by_one(spark, tmp_pat
             assert got[0] == got[1] and len(got[0]) == (len(ODD) if not low else sum(bool(r[0] and r[0] > 10 and low <= r[1] <= high) for r in ODD))
             if low is None and "spans" in columns:
                 assert [[s["text"] for s in r["spans"]] for r in got[0]] == [[s[4] for s in r[8]] for r in ODD] and [r["images"][0]["size"] for r in got[0]] == [len(r[7]) for r in ODD]
+
+
+def test_page_geometry_of_layered_pages_on_a_shelf(spark, tmp_path, monkeypatch):
+    schema = "book long, page int, width_pt double, height_pt double, kind string, w int, h int, data binary, filter string, channels int, layers array<struct<filter:string,data:binary,b:int,g:int,r:int>>, mask_w int, mask_h int"
+    layer = ("FlateDecode", bytearray(zlib.compress(b"\0" * 6)), 255, 0, 51)
+    rows = [(b, n, 9.25 * n, 9.0 + b, "layers", 3, 2, bytearray(b"bg"), "FlateDecode", 3, n * [layer], 9, 3) for b in range(20) for n in (1, 2)]
+    books.write(spark.createDataFrame(rows, schema).coalesce(1), str(tmp_path / "b"), shelve=1 << 16)
+    full = books.read(spark, str(tmp_path / "b"))
+    assert sorted((r.book, r.page, len(r.images)) for r in full.collect()) == [(b, n, 1 + n) for b in range(20) for n in (1, 2)]
+    read = lambda: books.ScannedBooks({"path": str(tmp_path / "b")}).reader(books.StructType.fromDDL("book bigint, page int, width_pt double, height_pt double"))
+    monkeypatch.setattr(books, "Pdf", None)  # sizes alone are read together, however many images there are
+    assert sorted(tuple(r.values()) for r in pages_of(read())) == [(b, n, 9.25 * n, 9.0 + b) for b in range(20) for n in (1, 2)]
