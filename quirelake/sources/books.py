@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .pdf import Writer, fonts, objects, plain
-from .shared import cleaned
+from .shared import cleaned, configured
 
 VOLUME, PAGES, SPLIT, BATCH, TAIL, RUN, LEVEL, GROUP, BULK = 1000, 2000, 1 << 28, 4000, 2048, 1 << 21, 3, 1000, 1 << 26
 SCHEMA = """book bigint, page int, width_pt double, height_pt double, images array<struct<xref:int,w:int,h:int,bits:int,filter:string,mask:boolean,flipped:boolean,fill:string,size:bigint,data:binary>>,
@@ -702,7 +702,8 @@ def dealt(pages: DataFrame, by_book: bool = False) -> DataFrame:
 
 def write(pages: DataFrame, path: str, overwrite: bool = False, by_book: bool = False, **options) -> None:
     register(pages.sparkSession)
-    with cleaned(pages.sparkSession):
+    # Pages grow in a writer: tasks of a quarter of Spark's usual size, or the last few take long.
+    with cleaned(pages.sparkSession), configured(pages.sparkSession, "spark.sql.adaptive.advisoryPartitionSizeInBytes", "16m"):
         dealt(pages, by_book).write.format("scanned_books").options(**options).mode("overwrite" if overwrite else "append").save(path)
 
 
